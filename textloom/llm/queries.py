@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import packing
+from textloom.llm import media, mixing, packing
 from textloom.llm.base import documents
 
 
@@ -21,8 +21,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.stored(documents(spark, sf_dir)))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing,)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op3_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
