@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import media, mixing, packing
+from textloom.llm import lm, media, mixing, packing, secret_scan
 from textloom.llm.base import documents
 
 
@@ -29,8 +29,16 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(documents(spark, sf_dir)))
+
+
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_media, op3_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op3_mixing, op4_secrets, op5_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
