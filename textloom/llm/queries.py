@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import jaccard, langid, linededup, lm, media, mixing, packing, secret_scan
+from textloom.llm import fingerprint, jaccard, langid, linededup, lm, media, mixing, packing, secret_scan
 from textloom.llm.base import documents
 
 
@@ -37,6 +37,10 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(documents(spark, sf_dir))
+
+
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_media, op3_mixing, op4_secrets, op5_lm, op7_linededup, op8_jaccard, op9_langid)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op3_mixing, op4_secrets, op5_lm, op6_fingerprint, op7_linededup, op8_jaccard, op9_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
