@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import fingerprint, jaccard, langid, linededup, lm, media, mixing, packing, secret_scan
+from textloom.llm import fingerprint, html_text, jaccard, langid, linededup, lm, media, mixing, packing, secret_scan
 from textloom.llm.base import documents
 
 
@@ -53,8 +53,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents(spark, sf_dir))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), drop=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_media, op3_mixing, op4_secrets, op5_lm, op6_fingerprint, op7_linededup, op8_jaccard, op9_langid)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op3_mixing, op4_secrets, op5_lm, op6_fingerprint, op7_linededup, op8_jaccard, op9_langid, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
