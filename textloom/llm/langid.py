@@ -235,13 +235,13 @@ def sample(docs: DataFrame, limit: int = TRAIN_DOCS) -> tuple[list[str], list[st
 _padded: dict[str, np.ndarray] = {}
 
 
-def predict(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document."""
+def label(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """df with lang_pred and score of every document; columns of those names are replaced."""
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), held_out(F.col(doc_id)).alias("held_out"))
-    weights = train(*sample(docs))
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, weights))
-    kind = df.schema[doc_id].dataType.simpleString()
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, train(*sample(docs))))
+    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    schema = df.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, (labels, emit, move) = shared.value
@@ -250,8 +250,8 @@ def predict(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
             _padded[key] = padded(emit)
         emit = _padded[key]
         for batch in batches:
-            raw, ends = buffers(batch.column("text"))
-            lettered = np.array([LETTER.search(x) is not None for x in strings(batch.column("text"))], bool)
+            raw, ends = buffers(batch.column(text))
+            lettered = np.array([LETTER.search(x) is not None for x in strings(batch.column(text))], bool)
             best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for a, b in slices(ends) if labels else ():
                 part = FOLD[raw[ends[a] : ends[b]]]
@@ -268,6 +268,12 @@ def predict(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
                 score[a:b] = np.divide(mass.max(1), mass.sum(1), out=np.zeros(b - a), where=mass.sum(1) > 0)
             ok = lettered & bool(labels)
             names = [labels[k] if good else UNDECIDED for k, good in zip(best.tolist(), ok.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(np.where(ok, np.clip(score, 0, 1), 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(np.where(ok, np.clip(score, 0, 1), 0.0))], [*kept, "lang_pred", "score"])
+
+    return df.select(*kept).mapInArrow(run, schema)
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+def predict(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document."""
+    out = label(df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

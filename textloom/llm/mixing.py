@@ -167,8 +167,8 @@ def _counted(rest: DataFrame) -> dict[int, int]:
 
 
 def repeated(df: DataFrame, mixed: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of df as often as the mix takes them. Ids must be unique here; `mixed` is mix(df) written out."""
-    times = mixed.filter(F.col("taken") > 0).select(F.col("doc_id").alias("_mix_id"), (F.col("taken") / F.col("size")).cast("int").alias("_mix_times"))
+    """The rows of df as often as the mix takes them; rows that share an id are taken alike. `mixed` is mix(df)."""
+    times = mixed.filter(F.col("taken") > 0).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_mix_times"))
     joined = df.join(times, df[doc_id].eqNullSafe(times["_mix_id"]))
     return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*[df[c] for c in df.columns])
 
