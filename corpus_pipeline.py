@@ -5,18 +5,49 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import packing
+from textloom.llm import jaccard, langid, linededup, mixing, packing
 from textloom.llm.base import documents, shared_dir
 from textloom.llm.queries import tokenizer_path
 
+#: A document whose best language has less of its words than this is of none that is known.
+LEAST_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no known language, go. A missing language becomes the predicted one."""
+    out = langid.label(docs)
+    known = (F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SCORE)
+    return out.filter(known).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated runs of lines go; a document that had nothing else goes with them."""
+    out = linededup.dedup(docs)
+    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"\S")
+    return out.filter(left).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    first = jaccard.join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.repeated(docs, mixing.mix(docs))
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences."""
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("packing", pack)]
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("ngram_jaccard", ngram_jaccard), ("mix", mix), ("packing", pack)]
 
+#: Language ID, winnowing and packing have no form in SQL.
 ORACLE_SQL = None
 
 
