@@ -108,17 +108,21 @@ def python_run(df: DataFrame, patches: list[tuple[int, dict]], on_no_match: str)
     }).drop("_r")
 
 
+def python_failure(rules: dict):
+    """The first broken rule, for rules that read frontmatter."""
+
+    @F.pandas_udf("string")
+    def first(content: pd.Series) -> pd.Series:
+        return content.map(lambda t: next(iter(failures(rules, t)), None))
+
+    return first
+
+
 def validated(df: DataFrame, validators: list[dict]) -> DataFrame:
     """The first broken rule of each validator is an error."""
     for v in validators:
         if "frontmatterRequired" in v:
-            rules = {k: x for k, x in v.items() if k != "name"}
-
-            @F.pandas_udf("string")
-            def first(content: pd.Series, rules: dict = rules) -> pd.Series:
-                return content.map(lambda t: next(iter(failures(rules, t)), None))
-
-            broken = first("content")
+            broken = python_failure({k: x for k, x in v.items() if k != "name"})("content")
         else:
             broken = first_failure(v, F.col("content"))
         df = df.withColumn("_v", broken).withColumn("errors", F.when(F.col("_v").isNotNull(), F.concat("errors", F.array(F.concat(F.lit(f"validator {v['name']}: breaks "), F.col("_v"))))).otherwise(F.col("errors"))).drop("_v")
