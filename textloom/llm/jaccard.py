@@ -6,8 +6,7 @@
    counter, then by hash. Any total order makes prefix filtering exact; this one keeps frequent shingles out of prefixes.
 3. Each set sends its prefix, the n - ceil(0.8 n) + 1 rarest shingles, to the shingles' buckets. Sets that meet nowhere
    can't be similar.
-4. In each bucket every set is paired with one hub only, the same for all buckets of a group of near copies. Buckets of
-   very frequent shingles are salted, and their hubs meet in a second round. Pairs that pass the length and positional
+4. In each bucket every set is paired with one hub only, the member least edited. Buckets of very frequent shingles are salted, and their hubs meet in a second round. Pairs that pass the length and positional
    filters are verified once, after a suffix filter, on the whole sets.
 5. Components of those links tell which bucket members are connected already. Pairs of a bucket between different
    components are all verified, so no link that could change a component is lost.
@@ -131,9 +130,13 @@ def possible(n: Column, pos: Column, m: Column, at: Column) -> Column:
 
 
 def hubs(rows: DataFrame, *by: str) -> DataFrame:
-    """Each row with its bucket's hub, the member of the smallest hash, and whether others than the hub are there."""
+    """Each row with its bucket's hub and whether others than the hub are there.
+
+    The hub is the member with the fewest rarer shingles before the bucket's: of near copies the one least edited, to
+    which the others are nearest.
+    """
     bucket = Window.partitionBy(*by)
-    hub = F.min(F.struct(F.xxhash64("sig").alias("o"), "sig", "n", "pos")).over(bucket)
+    hub = F.min(F.struct("pos", "n", F.xxhash64("sig").alias("o"), "sig")).over(bucket)
     return rows.withColumn("hub", hub).withColumn("many", F.min("sig").over(bucket) != F.max("sig").over(bucket))
 
 
