@@ -35,6 +35,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 COUNTERS, PARTS = 1 << 21, 256
 #: Salts of a bucket whose shingle's counter stands out.
 SALTS = 64
+MASKS = mix(np.arange(1, SALTS + 1, dtype=np.uint64))
 
 
 def signatures(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -92,7 +93,10 @@ def levels(parts: DataFrame) -> np.ndarray:
 
 
 def prefixes(df: DataFrame, shared, hot: int) -> DataFrame:
-    """h, salt, sig, n, pos of the rarest shingles of every distinct set of a slice."""
+    """Dealt by key: key, h, sig, n, pos, salted of the rarest shingles of every distinct set of a slice.
+
+    The key is the shingle's hash, changed by one of SALTS masks where its counter stands out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
@@ -116,10 +120,16 @@ def prefixes(df: DataFrame, shared, hot: int) -> DataFrame:
                 count = take[first]
                 owner = np.repeat(first, count)
                 pos = np.arange(len(at_)) - np.repeat(np.cumsum(count) - count, count)
-                salt = np.where(high[at_] >= hot, (sig[owner].view(np.uint64) % np.uint64(SALTS)).astype(np.int64) + 1, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(sets[at_].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(sig[owner]), pa.array(n[owner].astype(np.int32)), pa.array(pos.astype(np.int32))], ["h", "salt", "sig", "n", "pos"])
+                salted = high[at_] >= hot
+                h = np.where(salted, sets[at_] ^ MASKS[sig[owner] & (SALTS - 1)], sets[at_])
+                what = (salted.astype(np.int64) << 62) | (n[owner] << 31) | pos
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sig[owner]), pa.array(what)], ["key", "sig", "what"])
 
-    return df.mapInArrow(run, "h long, salt int, sig long, n int, pos int")
+    dealt = df.mapInArrow(run, "key long, sig long, what long").repartition("key")  # three numbers a row cross the network
+    mask = F.get(F.array(*(F.lit(int(x)) for x in MASKS.view(np.int64))), F.col("sig").bitwiseAND(SALTS - 1).cast("int"))
+    part = lambda by: F.shiftright("what", by).bitwiseAND((1 << 31) - 1).cast("int")
+    salted = F.col("what") >= (1 << 62)
+    return dealt.select("key", F.when(salted, F.col("key").bitwiseXOR(mask)).otherwise(F.col("key")).alias("h"), "sig", part(31).alias("n"), part(0).alias("pos"), salted.alias("salted"))
 
 
 def possible(n: Column, pos: Column, m: Column, at: Column) -> Column:
@@ -147,7 +157,7 @@ def paired(rows: DataFrame) -> DataFrame:
 
 
 def whole_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sig, members (packed) of the wanted sets (sig and one document that has it)."""
+    """sig, members (packed) of the wanted sets (sig and one document that has it). Rows that repeat can repeat a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,11 +166,18 @@ def whole_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
             for a, b in slices(ends):
                 sets, at = shingle_sets(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], WIDTH)
                 sig = signatures(sets, at)
-                keep = np.flatnonzero(sig == expected[a:b])
+                keep = np.unique(np.where(sig == expected[a:b], sig, np.int64(0)), return_index=True)[1]
+                keep = keep[sig[keep] == expected[a + keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array([sets[at[k] : at[k + 1]].tobytes() for k in keep], pa.binary())], ["sig", "members"])
 
     joined = df.join(wanted, df["doc_id"].eqNullSafe(wanted["one"])).select("text", "sig")
-    return joined.mapInArrow(run, "sig long, members binary").dropDuplicates(["sig"])
+    return cut(joined.mapInArrow(run, "sig long, members binary"), "sets")
+
+
+def wanted(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """ids of the sets that stand in any pair."""
+    some = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    return ids.join(some, "sig", "left_semi")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -196,13 +213,12 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFr
     nodes = both.filter(F.col("part").isNull()).select("doc_id", "n", "sig")
     level = levels(both.filter(F.col("part").isNotNull()).select("part", "counts"))
     hot = max(int(np.median(level)) + 4, 10)
-    rows = hubs(prefixes(docs, spark.sparkContext.broadcast(level), hot).withColumn("salted", F.col("salt") > 0), "h", "salt")
-    rows = cut(rows.filter(F.col("many") | F.col("salted")), "buckets")
+    rows = hubs(prefixes(docs, spark.sparkContext.broadcast(level), hot), "key")
+    rows = cut(rows.filter(F.col("many") | F.col("salted")).drop("key"), "buckets")
     again = hubs(rows.filter(F.col("salted") & (F.col("sig") == F.col("hub.sig"))).drop("hub", "many"), "h")
     pairs = cut(paired(rows).unionByName(paired(again)).distinct(), "pairs")
     ids = nodes.filter(F.col("n") > 0).groupBy("sig").agg(F.min("doc_id").alias("one"))
-    wanted = ids.join(rows.select("sig").distinct(), "sig", "left_semi")
-    sets = cut(whole_sets(docs, wanted), "sets")
+    sets = whole_sets(docs, wanted(ids, pairs))
     links = cut(verified(pairs, sets), "links")
     joined = components(links)
     root = joined.withColumnRenamed("node", "sig")
@@ -213,10 +229,10 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFr
     p, q = apart.alias("p"), apart.alias("q")
     cross = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.root") != F.col("q.root")) & (F.col("p.sig") < F.col("q.sig")) & possible(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos")))
     cross = cross.select(F.col("p.sig").alias("a"), F.col("q.sig").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(verified(cut(cross, "cross"), sets), "more")
-    if more.isEmpty():
-        roots = joined
-    else:
+    cross = cut(cross, "cross")
+    roots = joined
+    if not cross.isEmpty():
+        more = cut(verified(cross, whole_sets(docs, wanted(ids, cross))), "more")
         roots = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     placed = ids.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = placed.groupBy("root").agg(F.min("one").alias("component_id"))
