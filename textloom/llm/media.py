@@ -21,6 +21,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm.base import strings
 
@@ -326,7 +327,7 @@ def inspect(df: DataFrame, data: str, declared: str | None = None, prefix: str =
     (kind, start and end of every confirmed medium, embedded ones included). Existing columns of those names are replaced."""
     names = [prefix + x for x in ("type", "corrected", "found")]
     kept = [c for c in df.columns if c not in names]
-    schema = df.select(*kept).schema.add(names[0], "string").add(names[1], "boolean").add(names[2], "array<struct<kind:string,start:bigint,end:bigint>>")
+    schema = df.select(*kept).schema.add(names[0], "string").add(names[1], "boolean").add(names[2], T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long")))
     row = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
