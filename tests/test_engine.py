@@ -258,3 +258,25 @@ def test_watch(spark, tmp_path, corpus):
     watch.start(stream_table(spark, str(tmp_path / "in")), str(tmp_path / "c"), once=True).awaitTermination()
     assert rows(watch.current().filter("path = 'a/x.md'"), "output") == [("U2",)]
     assert watch.versions().filter("version = 1").count() == 1
+
+
+def test_suites(spark):
+    from textloom.plans import suites
+
+    text = "tests:\n- name: a\n  input: x\n  patches: [{op: replace, old: x, new: y}]\n  expected: y\n- name: b\n  input: x\n  patches: []\n  expected: z\n"
+    got = {r["name"]: r for r in suites.run(spark, suites.read(text)).collect()}
+    assert got["a"]["passed"] and got["a"]["applied"] == 1
+    assert not got["b"]["passed"] and "-z" in got["b"]["diff"] and "+x" in got["b"]["diff"]
+    with pytest.raises(spec.Invalid):
+        suites.read("tests: [{name: a}]")
+
+
+def test_plugin_files(tmp_path):
+    import hashlib
+
+    file = tmp_path / "p.py"
+    file.write_text("def apply(text, params, context):\n    return text + '!'\n")
+    md.load_plugin("shout", str(file), "sha256-" + hashlib.sha256(file.read_bytes()).hexdigest())
+    assert md.apply("a", {"op": "plugin", "plugin": "shout"}) == ("a!", 1)
+    with pytest.raises(ValueError, match="meant"):
+        md.load_plugin("other", str(file), "00")

@@ -5,11 +5,13 @@ Each operator is a function of the text and its parameters that returns the new
 
 from __future__ import annotations
 
+import hashlib
 import re
 import shlex
 import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any, NamedTuple
 
 from textloom.functions import codecs
@@ -714,6 +716,18 @@ def register_plugin(name: str, function: Callable[..., str]) -> None:
     PLUGINS[name] = function
 
 
+def load_plugin(name: str, path: str, checksum: str | None = None) -> None:
+    """Register the function `apply` of a Python file, after its SHA-256 if one is given."""
+    data = Path(path).read_bytes()
+    if checksum and hashlib.sha256(data).hexdigest() != checksum.removeprefix("sha256-"):
+        raise ValueError(f"plugin {name!r} is not the file that was meant")
+    module: dict[str, Any] = {"__name__": f"plugin_{name}"}
+    exec(compile(data, path, "exec"), module)  # noqa: S102  plugins are code by nature
+    if "apply" not in module:
+        raise TypeError(f"plugin {name!r} has no function apply")
+    register_plugin(name, module["apply"])
+
+
 @op("exec")
 def execute(text: str, command: str, timeout: int = 30_000) -> Result:
     """The text through a command, without a shell; what fails or takes too long changes nothing."""

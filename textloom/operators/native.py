@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.patterns import Unsupported, from_js, java_replacement
@@ -104,8 +104,8 @@ def insert_at_lines(c: Column, p: dict, after: bool) -> Pair:
 
 
 def between(c: Column, p: dict, new: Column | None) -> Pair:
-    lines = lines_of(c)
-    a = first_where(lines, lambda x, i: F.contains(x, F.lit(p["start"])))
+    lines, a = (F.col("_lines"), F.col("_first")) if STAGED in p else (lines_of(c), None)
+    a = first_where(lines, lambda x, i: F.contains(x, F.lit(p["start"]))) if a is None else a
     b = first_where(lines, lambda x, i: (i > a) & F.contains(x, F.lit(p["end"])))
     inner = p.get("inclusive", True) is False
     return given(b.isNotNull(), c, spliced(lines, a + 1 if inner else a, b if inner else b + 1, new))
@@ -140,9 +140,10 @@ def sections_of(lines: Column, heads: Column) -> Column:
 class Place:
     """Lines of a text and one section of it."""
 
-    def __init__(self, text: Column, name: str) -> None:
-        self.lines = lines_of(text)
-        self.heads = heads_of(self.lines)
+    def __init__(self, text: Column, name: str, patch: dict) -> None:
+        staged = STAGED in patch
+        self.lines = F.col("_lines") if staged else lines_of(text)
+        self.heads = F.col("_heads") if staged else heads_of(self.lines)
         head = F.get(F.filter(self.heads, lambda h: h["id"] == name), F.lit(0))
         self.start, self.level = head["at"], head["level"]
         after = F.filter(self.heads, lambda g: (g["at"] > self.start) & (g["level"] <= self.level))
@@ -151,7 +152,7 @@ class Place:
 
 
 def remove_section(c: Column, p: dict) -> Pair:
-    s = Place(c, p["id"])
+    s = Place(c, p["id"], p)
     end = s.end
     if p.get("includeChildren", True) is False:
         end = F.least(s.end, F.coalesce(F.array_min(F.filter(s.heads, lambda g: g["at"] > s.start)["at"]), s.end))
@@ -159,42 +160,42 @@ def remove_section(c: Column, p: dict) -> Pair:
 
 
 def replace_section(c: Column, p: dict) -> Pair:
-    s = Place(c, p["id"])
+    s = Place(c, p["id"], p)
     return given(s.there, c, spliced(s.lines, s.start + 1, s.end, array_of(p["content"])))
 
 
 def prepend_to_section(c: Column, p: dict) -> Pair:
-    s = Place(c, p["id"])
+    s = Place(c, p["id"], p)
     return given(s.there, c, spliced(s.lines, s.start + 1, s.start + 1, F.array(F.lit(p["content"]))))
 
 
 def append_to_section(c: Column, p: dict) -> Pair:
-    s = Place(c, p["id"])
+    s = Place(c, p["id"], p)
     return given(s.there, c, spliced(s.lines, s.end, s.end, F.array(F.lit(p["content"]))))
 
 
 def replace_in_section(c: Column, p: dict) -> Pair:
-    s = Place(c, p["id"])
+    s = Place(c, p["id"], p)
     body = text_of(taken(s.lines, s.start + 1, s.end))
     n = F.coalesce(occurrences(body, p["old"]), F.lit(0))
     return given(s.there & (n > 0), c, spliced(s.lines, s.start + 1, s.end, F.array(F.replace(body, F.lit(p["old"]), F.lit(p["new"])))), n)
 
 
 def rename_header(c: Column, p: dict) -> Pair:
-    s = Place(c, p["id"])
+    s = Place(c, p["id"], p)
     line = F.concat(F.repeat(F.lit("#"), s.level), F.lit(f" {p['new']}" if p["new"] else ""))
     return given(s.there, c, spliced(s.lines, s.start, s.start + 1, F.array(line)))
 
 
 def change_section_level(c: Column, p: dict) -> Pair:
-    s = Place(c, p["id"])
+    s = Place(c, p["id"], p)
     level = F.greatest(F.lit(1), F.least(F.lit(6), s.level + p["delta"]))
     line = F.concat(F.repeat(F.lit("#"), level), F.regexp_replace(F.get(s.lines, s.start), "^#{1,6}", ""))
     return given(s.there, c, spliced(s.lines, s.start, s.start + 1, F.array(line)))
 
 
 def insert_section(c: Column, p: dict) -> Pair:
-    s = Place(c, p["id"])
+    s = Place(c, p["id"], p)
     body = ["", *p["content"].removesuffix("\n").split("\n")] if p.get("content") else []
     new = F.array(*(F.lit(x) for x in [p["header"], *body, ""]))
     at = s.start if p.get("position") == "before" else s.end
@@ -204,7 +205,7 @@ def insert_section(c: Column, p: dict) -> Pair:
 def move_section(c: Column, p: dict) -> Pair:
     if p["id"] == p["after"]:
         return c, F.lit(0)
-    s, to = Place(c, p["id"]), Place(c, p["after"])
+    s, to = Place(c, p["id"], p), Place(c, p["after"], p)
     moved = taken(s.lines, s.start, s.end)
     # Once cut, a section that held the moved one ends earlier; one before it ends where the next header of its level is.
     rest_end = F.coalesce(F.array_min(F.filter(to.heads, lambda g: (g["at"] > to.start) & (g["level"] <= to.level) & ((g["at"] < s.start) | (g["at"] >= s.end)))["at"]), F.size(s.lines))
@@ -237,6 +238,24 @@ BUILDERS: dict[str, Callable[[Column, dict], Pair]] = {
 }
 
 
+#: Marks a patch whose document's lines, headers or first marker are columns already.
+STAGED = "_staged"
+STAGES = ("_lines", "_heads", "_first")
+
+
+def staged(df: DataFrame, patch: dict) -> tuple[DataFrame, dict]:
+    """df with what a patch's expressions refer to again and again, each computed once in a projection of its own."""
+    sections = "id" in patch and patch["op"] in BUILDERS
+    if not sections and not patch["op"].endswith("-between"):
+        return df, patch
+    df = df.withColumn("_lines", lines_of(F.col("content")))
+    if sections:
+        df = df.withColumn("_heads", heads_of(F.col("_lines")))
+    else:
+        df = df.withColumn("_first", first_where(F.col("_lines"), lambda x, i: F.contains(x, F.lit(patch["start"]))))
+    return df, patch | {STAGED: True}
+
+
 def build(patch: dict, content: Column) -> Pair | None:
     """New content and count, or None if this patch needs Python."""
     builder = BUILDERS.get(patch["op"])

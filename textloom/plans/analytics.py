@@ -168,3 +168,9 @@ def lint(patches: list[dict]) -> list[tuple[int, str, str]]:
         if any(g in ("**", "**/*") for g in as_list(p.get("include"))):
             out.append((k, "info", "glob admits everything"))
     return out
+
+
+def explain(edge: DataFrame) -> DataFrame:
+    """path, lineage: the patches that a document meets, in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "op")))
+    return edge.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["ord"].cast("string"), x["op"])), ",").alias("lineage"))

@@ -145,11 +145,24 @@ def apply_patches(df: DataFrame, patches: list[dict], on_no_match: str = "warn",
             df = python_run(df, numbered, on_no_match)
             continue
         for n, patch in numbered:
-            built = native.build(patch, F.col("content"))
-            df = native_step(df, n, patch, on_no_match, built) if built else python_run(df, [(n, patch)], on_no_match)
+            staged, marked = native.staged(df, patch)
+            built = native.build(marked, F.col("content"))
+            df = native_step(staged, n, patch, on_no_match, built).drop(*native.STAGES) if built else python_run(df, [(n, patch)], on_no_match)
+        df = fenced(df, ["content", "applied", "skipped", "warnings", "errors"])
     return df
 
 
+def fenced(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df as it is, with a generator of one row around these columns.
+
+    Filters on them stop there. Pushed into the steps below, they would be written out step into step, and their size
+    would grow as a power of the number of patches.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    out = df.select(*rest, F.inline(F.array(F.struct(*columns))))
+    return out.select(*df.columns)
+
+
 def build(df: DataFrame, program: Program, *, allow_exec: bool = False) -> DataFrame:
     """A whole program on a corpus: corpus patches, content patches, validators."""
     out = apply_corpus(df, program.corpus)

@@ -6,6 +6,7 @@ result of an operator is then another template, written down line by line and so
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import values
 from textloom.operators import corpus as corpus_ops
-from textloom.operators import native, relations
-from textloom.plans import analytics, build, checks, stores
+from textloom.operators import md, native, relations
+from textloom.plans import analytics, build, checks, recover, stores, suggest
 from textloom.plans.planner import program
 
 TEMPLATE = """---
@@ -239,7 +240,7 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three part types nearest to a mistyped one."""
-    target = "STANDARD POLISHD"
+    target = "STANDERT"
     types = table(spark, sf_dir, "part").select(F.col("p_type").alias("value")).distinct()
     d = F.levenshtein("value", F.lit(target))
     return types.select("value", d.cast("long").alias("distance")).orderBy("distance", "value").limit(3)
@@ -447,8 +448,6 @@ def benchmark_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textloom.plans import suggest
-
     out = suggest.moved_files(text_corpus(spark, sf_dir), changed_corpus(spark, sf_dir))
     return out.select("path", "to_path")
 
@@ -466,6 +465,113 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select_resources(paths(spark, sf_dir).withColumn("content", F.lit("")), ["{en,de}/**/*.md", "fr/src2/*", "!**/src1?/*"]).select("path")
 
 
+# Escape hatches, suggestions, recovery, lineage and builds over time.
+
+
+def plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    md.PLUGINS["upper"] = lambda text, params, context: text.upper() + params["end"]
+    out = build.apply_patches(corpus(spark, sf_dir), [{"op": "plugin", "plugin": "upper", "params": {"end": "!"}}])
+    return out.select("doc_id", "content")
+
+
+def execute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.apply_patches(corpus(spark, sf_dir), [{"op": "exec", "command": "tr d D"}], allow_exec=True).select("doc_id", "content")
+
+
+def transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    md.TRANSFORMS["echo"] = lambda text, prompt, given: f"{text}{prompt}"
+    out = build.apply_patches(corpus(spark, sf_dir), [{"op": "ai-transform", "prompt": "end", "provider": "echo"}, {"op": "ai-transform", "prompt": "x", "provider": "none", "onNoMatch": "skip"}])
+    return out.select("doc_id", "content")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.lines(text_corpus(spark, sf_dir)).select("path", F.col("line").cast("long").alias("line"), "text")
+
+
+def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.explain(edges(spark, sf_dir))
+
+
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = corpus(spark, sf_dir)
+    target = source.withColumn("content", F.replace("content", F.lit("https://example.com/"), F.lit("/d/")))
+    return suggest.suggestions(suggest.paired(source, target))
+
+
+def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = corpus(spark, sf_dir)
+    target = source.withColumn("content", F.concat("content", F.lit("end")))
+    return suggest.consolidated(suggest.suggestions(suggest.paired(source, target))).select("patch", "score", "files", "include")
+
+
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = spark.createDataFrame([("STANDERT",), ("promoo",), ("LARG",)], "target string")
+    types = table(spark, sf_dir, "part").select(F.col("p_type").alias("value"))
+    return recover.nearest(targets, types).withColumn("distance", F.col("distance").cast("long"))
+
+
+def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section ids of each document nearest to a mistyped one."""
+    found = relations.sections(corpus(spark, sf_dir)).select("path", F.col("id").alias("value"))
+    return recover.nearest(paths(spark, sf_dir).withColumn("target", F.lit("sumary")), found, 1, "path").select("path", "value", F.col("distance").cast("long").alias("distance"))
+
+
+def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = program({"patches": [{"op": "replace", "old": "e", "new": "E"}]})
+    old = changed_corpus(spark, sf_dir)
+    cache = build.build(old, p).select("path", values.content_hash(F.col("content")).alias("_"), F.col("content").alias("output"))
+    cache = cache.join(old.select("path", values.content_hash(F.col("content")).alias("source_hash")), "path").select("path", "source_hash", F.lit(stores.program_hash(p)).alias("patch_hash"), "output")
+    return stores.incremental(text_corpus(spark, sf_dir), cache, p).select("path", "content", "rebuilt")
+
+
+def pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.pruned(history(spark, sf_dir), keep_last=30).select("build_id")
+
+
+def build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as files of two builds, by return flag."""
+    item = table(spark, sf_dir, "lineitem").filter("l_returnflag IN ('A', 'R')")
+    return item.groupBy(F.col("l_returnflag").alias("build_id"), F.col("l_partkey").cast("string").alias("path")).agg(F.max("l_linenumber").cast("string").alias("sha256"), F.count("*").alias("size"), F.max("l_linenumber").cast("long").alias("patches"))
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.compare_builds(build_files(spark, sf_dir), "A", "R")
+
+
+def regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name"))
+    return stores.regressions(e.agg(F.max("value").alias("mean")), e.agg(F.avg("value").alias("mean"))).select("name", F.round("percent", 6).alias("percent"))
+
+
+def corpus_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unified diffs have no form in SQL; their rows are compared in corpus_status."""
+    return stores.corpus_diff(text_corpus(spark, sf_dir), changed_corpus(spark, sf_dir))
+
+
+def region_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One markdown table of nations a region, sorted and filtered as documents, read back as rows."""
+    n = table(spark, sf_dir, "nation").select("n_regionkey", F.concat(F.lit("| "), "n_name", F.lit(" | "), F.col("n_nationkey").cast("string"), F.lit(" |")).alias("row"), "n_nationkey")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "row"))), lambda x: x["row"]), "\n")
+    docs = n.groupBy("n_regionkey").agg(F.concat(F.lit("| name | key |\n| --- | --- |\n"), body).alias("content")).select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".md")).alias("path"), "content")
+    out = build.apply_patches(docs, [{"op": "sort-table", "table": 0, "column": "key", "type": "number", "direction": "desc"}, {"op": "filter-table-rows", "table": 0, "column": "name", "pattern": "[13579]$"}])
+    rows_ = relations.table_rows(out)
+    return rows_.select("path", F.col("row").cast("long").alias("row"), F.get("cells", F.lit(0)).alias("name"))
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A watched folder, run until it has no more: the state after one batch."""
+    import tempfile
+
+    from textloom.streaming.watch import Watch
+
+    where = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + "/watch-" + uuid.uuid4().hex
+    source = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    source = source.select(path_column().alias("path"), F.col("text").alias("content"))
+    watch = Watch(spark, f"{where}/state", program({"patches": [{"op": "replace", "old": "e", "new": "E"}]}))
+    watch.start(source, f"{where}/log", once=True).awaitTermination()
+    return watch.current().select("path", "output")
+
+
 FLAGSHIP = [
     {"op": "replace-regex", "pattern": "plain", "replacement": "simple", "flags": "g"},
     {"op": "append-to-section", "id": "summary", "content": "more"},
@@ -491,7 +597,7 @@ PLAIN_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
     "validators": (validators, f"SELECT doc_id, CASE WHEN a THEN 'notContains' WHEN b THEN 'matchesRegex' WHEN c THEN 'minWordCount' WHEN d THEN 'maxLineCount' ELSE '' END AS failed, CAST(CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) + CAST(d AS INT) AS BIGINT) AS n FROM (SELECT doc_id, contains(text, 'password') AS a, NOT regexp_matches(text, '[a-z]') AS b, {WORDS_SQL} < 20 AS c, {LINE_COUNT_SQL} > 40 AS d FROM documents)"),
     "counts": (counts, f"SELECT doc_id, CAST({WORDS_SQL} AS BIGINT) AS words, CAST({LINE_COUNT_SQL} AS BIGINT) AS lines FROM documents"),
     "slugs": (slugs, "SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(p_name || ' -- ' || p_type)), '\\s+', '-', 'g'), '[^a-z0-9_-]', '', 'g'), '-+', '-', 'g'), '-') AS slug FROM part"),
-    "fuzzy": (fuzzy, "SELECT value, CAST(levenshtein(value, 'STANDARD POLISHD') AS BIGINT) AS distance FROM (SELECT DISTINCT p_type AS value FROM part) ORDER BY 2, 1 LIMIT 3"),
+    "fuzzy": (fuzzy, "SELECT value, CAST(levenshtein(value, 'STANDERT') AS BIGINT) AS distance FROM (SELECT DISTINCT p_type AS value FROM part) ORDER BY 2, 1 LIMIT 3"),
     "sections": (sections, SECTIONS_SQL),
     "links": (links, CORPUS_SQL + "SELECT path, 'home' AS text, 'https://example.com/' || CAST(doc_id AS VARCHAR) AS url FROM c"),
     "table_cells": (table_cells, CORPUS_SQL + "SELECT path, CAST(r AS BIGINT) AS row, h AS header, CASE WHEN h = 'key' THEN key WHEN key = 'source' THEN source WHEN key = 'chars' THEN CAST(n_chars AS VARCHAR) ELSE lang END AS value FROM c, (VALUES (0, 'source'), (1, 'chars'), (2, 'lang'), (3, 'lang')) AS t(r, key), (VALUES ('key'), ('value')) AS u(h)"),
@@ -519,6 +625,29 @@ PLAIN_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
     "renamed": (renamed, "WITH u AS (SELECT any_value(" + PATH_SQL + ") AS path, any_value(source) AS source FROM documents GROUP BY text HAVING count(*) = 1) SELECT path, 'new/' || path AS to_path FROM u WHERE source = 'src3'"),
     "deduplicated": (deduplicated, CORPUS_SQL + "SELECT path, CASE WHEN source LIKE 'src1%' THEN 'new' ELSE 'old' END AS content FROM c"),
     "selected": (selected, CORPUS_SQL + "SELECT path FROM c WHERE (lang IN ('en', 'de') OR (lang = 'fr' AND source = 'src2')) AND NOT regexp_full_match(source, 'src1.')"),
+    "plugin": (plugin, f"SELECT doc_id, upper({filled_sql(TEMPLATE)}) || '!' AS content FROM documents"),
+    "exec": (execute, f"SELECT doc_id, replace({filled_sql(TEMPLATE)}, 'd', 'D') AS content FROM documents"),
+    "ai_transform": (transform, f"SELECT doc_id, {filled_sql(TEMPLATE)} || 'end' AS content FROM documents"),
+    "lines": (lines, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, CAST(k - 1 AS BIGINT) AS line, string_split(text, chr(10))[k] AS text FROM (SELECT path, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM c)"),
+    "lineage": (lineage, EDGE_SQL + "SELECT path, string_agg(CAST(ord AS VARCHAR) || ':' || op, ',' ORDER BY ord) AS lineage FROM e GROUP BY path"),
+    "suggestions": (suggestions, CORPUS_SQL + """SELECT path, '{"item": "[home](https://example.com/' || CAST(doc_id AS VARCHAR) || ')", "list": 0, "new": "[home](/d/' || CAST(doc_id AS VARCHAR) || ')", "op": "set-list-item"}' AS patch, CAST(0.9 AS DOUBLE) AS score, CAST(1 AS DOUBLE) AS checked FROM c"""),
+    "consolidated": (consolidated, """SELECT '{"content": "end", "op": "append-to-file"}' AS patch, CAST(0.9 AS DOUBLE) AS score, count(*) AS files, '**/*.md' AS include FROM documents"""),
+    "nearest": (nearest, """WITH t(target) AS (VALUES ('STANDERT'), ('promoo'), ('LARG')), d AS (
+ SELECT target, value, least(levenshtein(target, value), levenshtein(lower(target), lower(value))) AS distance,
+ CASE WHEN length(target) <= 5 THEN 2 WHEN length(target) <= 10 THEN 3 WHEN length(target) <= 20 THEN 5 ELSE 7 END AS most
+ FROM t, (SELECT DISTINCT p_type AS value FROM part) WHERE target <> value)
+SELECT target, value, CAST(distance AS BIGINT) AS distance FROM d WHERE distance <= most QUALIFY row_number() OVER (PARTITION BY target ORDER BY distance, value) <= 5"""),
+    "recovered": (recovered, CORPUS_SQL + "SELECT path, 'summary' AS value, CAST(1 AS BIGINT) AS distance FROM c"),
+    "incremental": (incremental, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(text, 'e', 'E') AS content, source IN ('src1', 'src2', 'src3') AS rebuilt FROM c"),
+    "pruned": (pruned, "SELECT CAST(o_orderkey AS VARCHAR) AS build_id FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC LIMIT 30"),
+    "compared": (compared, """WITH f AS (SELECT l_returnflag AS b, CAST(l_partkey AS VARCHAR) AS path, max(l_linenumber) AS h, count(*) AS size FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2)
+SELECT coalesce(x.path, y.path) AS path, CASE WHEN x.h IS NULL THEN 'added' WHEN y.h IS NULL THEN 'deleted' WHEN x.h = y.h THEN 'unchanged' ELSE 'modified' END AS status,
+ CAST(coalesce(y.size, 0) - coalesce(x.size, 0) AS BIGINT) AS size_delta, CAST(coalesce(y.h, 0) - coalesce(x.h, 0) AS BIGINT) AS patch_delta
+FROM (SELECT * FROM f WHERE b = 'A') x FULL JOIN (SELECT * FROM f WHERE b = 'R') y ON x.path = y.path"""),
+    "regressions": (regressions, "SELECT event_type AS name, round((max(value) - avg(value)) / avg(value) * 100, 6) AS percent FROM events GROUP BY 1"),
+    "corpus_diff": (corpus_diff, None),
+    "region_tables": (region_tables, "SELECT 'r' || CAST(n_regionkey AS VARCHAR) || '.md' AS path, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) - 1 AS BIGINT) AS row, n_name AS name FROM nation WHERE regexp_matches(n_name, '[13579]$')"),
+    "streamed": (streamed, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(text, 'e', 'E') AS output FROM c"),
 }
 
 
