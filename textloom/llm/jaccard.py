@@ -8,8 +8,9 @@
    can't be similar.
 4. In each bucket every set is paired with one hub only, the member least edited. Buckets of very frequent shingles are salted, and their hubs meet in a second round. Pairs that pass the length and positional
    filters are verified once, after a suffix filter, on the whole sets.
-5. Components of those links tell which bucket members are connected already. Pairs of a bucket between different
-   components are all verified, so no link that could change a component is lost.
+5. Components of those links tell which bucket members are connected already. In a few more rounds members of other
+   components meet a bucket's largest one, by its least edited member. At last all pairs of a bucket between different
+   components are verified, so no link that could change a component is lost.
 
 Null text is empty. A document without words has an empty set, is linked with nothing and is its own component. With
 fewer than five words the whole sequence is its one shingle. Rows that repeat are nodes of one set. Only the id and the
@@ -35,6 +36,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 COUNTERS, PARTS = 1 << 21, 256
 #: Salts of a bucket whose shingle's counter stands out.
 SALTS = 64
+#: Rounds in which members meet their buckets' largest components before all remaining pairs do.
+ROUNDS = 3
 MASKS = mix(np.arange(1, SALTS + 1, dtype=np.uint64))
 
 
@@ -174,6 +177,20 @@ def whole_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut(joined.mapInArrow(run, "sig long, members binary"), "sets")
 
 
+def placed_members(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """h, sig, n, pos, root of all members of buckets; a set without a link is its own root."""
+    root = joined.withColumnRenamed("node", "sig")
+    return rows.select("h", "sig", "n", "pos").distinct().join(root, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+
+
+def toward_largest(members: DataFrame) -> DataFrame:
+    """Pairs of each bucket's members with the least edited one of its most frequent component, if they are of another."""
+    bucket = Window.partitionBy("h")
+    sized = members.withColumn("m", F.count("*").over(Window.partitionBy("h", "root")))
+    hub = F.min(F.struct((-F.col("m")).alias("m"), "root", "pos", "n", F.xxhash64("sig").alias("o"), "sig")).over(bucket)
+    return paired(sized.withColumn("hub", hub).filter(F.col("root") != F.col("hub.root"))).distinct()
+
+
 def wanted(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """ids of the sets that stand in any pair."""
     some = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
@@ -221,8 +238,16 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFr
     sets = whole_sets(docs, wanted(ids, pairs))
     links = cut(verified(pairs, sets), "links")
     joined = components(links)
-    root = joined.withColumnRenamed("node", "sig")
-    members = rows.select("h", "sig", "n", "pos").distinct().join(root, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    for _ in range(ROUNDS):
+        near = cut(toward_largest(placed_members(rows, joined)).join(pairs, ["a", "b"], "left_anti"), "near")
+        if near.isEmpty():
+            break
+        more = cut(verified(near, whole_sets(docs, wanted(ids, near))), "more")
+        pairs = pairs.unionByName(near)
+        if more.isEmpty():
+            break
+        joined = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    members = placed_members(rows, joined)
     bucket = Window.partitionBy("h")
     apart = members.withColumn("apart", F.min("root").over(bucket) != F.max("root").over(bucket)).filter("apart").drop("apart")
     apart = cut(apart, "apart")
