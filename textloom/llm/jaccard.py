@@ -34,6 +34,8 @@ WIDTH = 5
 #: Similarity of NUMERATOR / DENOMINATOR and more.
 NUMERATOR, DENOMINATOR = 4, 5
 COUNTERS, PARTS = 1 << 21, 256
+#: Bits of the filter of documents whose sets are fetched.
+BITS = 1 << 26
 #: Salts of a bucket whose shingle's counter stands out.
 SALTS = 64
 #: Rounds in which members meet their buckets' largest components before all remaining pairs do.
@@ -159,22 +161,52 @@ def paired(rows: DataFrame) -> DataFrame:
     return rows.filter(other & fit).select(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b"))
 
 
-def whole_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sig, members (packed) of the wanted sets (sig and one document that has it). Rows that repeat can repeat a set."""
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """BITS bits with those of the ids' hashes set: of one size for any corpus. Tasks set bits as rows stream by."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
-            raw, ends = buffers(batch.column(0))
-            expected = batch.column(1).to_numpy()
+            bits = batch.column(1).to_numpy()
+            for part in np.unique(of := batch.column(0).to_numpy()).tolist():
+                found.setdefault(part, np.zeros(BITS // PARTS, bool))[bits[of == part]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(x).tobytes() for x in found.values()], pa.binary())], ["part", "bits"])
+
+    h = F.pmod(F.xxhash64("one"), F.lit(BITS)).cast("int")
+    rows = ids.select(F.floor(h / (BITS // PARTS)).cast("int").alias("part"), (h % (BITS // PARTS)).alias("bit"))
+    out = np.zeros((PARTS, BITS // PARTS // 8), np.uint8)
+    for row in rows.repartition("part").mapInArrow(fill, "part int, bits binary").collect():
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def whole_sets(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """sig, members (packed) of the wanted sets (sig and one document that has it), and of few others.
+
+    No text moves: documents whose id's bit is not set are passed over where they are read. Sets that nobody asked for
+    meet no pair later.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(bitmap(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for whole in batches:
+            at = whole.column(1).to_numpy()
+            batch = whole.column(0).filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            raw, ends = buffers(batch)
             for a, b in slices(ends):
-                sets, at = shingle_sets(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], WIDTH)
-                sig = signatures(sets, at)
-                keep = np.unique(np.where(sig == expected[a:b], sig, np.int64(0)), return_index=True)[1]
-                keep = keep[sig[keep] == expected[a + keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array([sets[at[k] : at[k + 1]].tobytes() for k in keep], pa.binary())], ["sig", "members"])
+                sets, begin = shingle_sets(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], WIDTH)
+                sig, keep = np.unique(signatures(sets, begin), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array([sets[begin[k] : begin[k + 1]].tobytes() for k in keep], pa.binary())], ["sig", "members"])
 
-    joined = df.join(wanted, df["doc_id"].eqNullSafe(wanted["one"])).select("text", "sig")
-    return cut(joined.mapInArrow(run, "sig long, members binary"), "sets")
+    hashed = df.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("long").alias("bit"))
+    return cut(hashed.mapInArrow(run, "sig long, members binary"), "sets")
+
+
+def wanted(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """ids of the sets that stand in any pair."""
+    some = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    return ids.join(some, "sig", "left_semi")
 
 
 def placed_members(rows: DataFrame, joined: DataFrame) -> DataFrame:
@@ -191,12 +223,6 @@ def toward_largest(members: DataFrame) -> DataFrame:
     return paired(sized.withColumn("hub", hub).filter(F.col("root") != F.col("hub.root"))).distinct()
 
 
-def wanted(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """ids of the sets that stand in any pair."""
-    some = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    return ids.join(some, "sig", "left_semi")
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets are similar enough; a suffix filter first, by counts between fixed pivots."""
     need = (a.size + b.size) * NUMERATOR  # of (NUMERATOR + DENOMINATOR) * common
