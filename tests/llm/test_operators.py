@@ -245,6 +245,26 @@ def test_words_beyond_the_head_are_joined(make, monkeypatch):
     assert all(small[i][0] == whole[i][0] and abs(small[i][1] - whole[i][1]) < 1e-9 for i in whole)
 
 
+def test_scores_equal_a_full_bigram_model(make, monkeypatch):
+    rng = random.Random(31)
+    rows = [(k, prose(rng, rng.randint(0, 40)) + f" rare{k % 9} odd{k} " * (k % 4)) for k in range(90)] + [(100 + i, t) for i, t in EDGE]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    words = [(i, [*full(t).encode().lower().split(), b""]) for i, t in rows]
+    c = Counter(w for i, ws in words if not held(i) for w in ws)
+    pairs = Counter(p for i, ws in words if not held(i) for p in zip([b"", *ws], ws))  # noqa: B905
+    kinds = Counter(a for a, _ in pairs)
+    cut = lambda x: (lambda a, b: a / (a + 2 * b))(sum(n == 1 for n in x.values()), sum(n == 2 for n in x.values()))
+    d1, d2, total = cut(c), cut(pairs), sum(c.values())
+    root = lambda w: (max(c[w] - d1, 0) + d1 * len(c) / (len(c) + 1)) / total
+    arc = lambda a, w: (max(pairs[a, w] - d2, 0) + d2 * kinds[a] * root(w)) / c[a] if c[a] else root(w)
+    want = sorted((i, round(sum(math.log10(arc(a, w)) for a, w in zip([b"", *ws], ws)), 5)) for i, ws in words)  # noqa: B905
+    for head, contexts in ((100_000, 512), (20, 5), (5, 1), (0, 1)):
+        monkeypatch.setattr(lm, "HEAD", head)
+        monkeypatch.setattr(lm, "CONTEXTS", contexts)
+        have = sorted((i, round(s, 5)) for i, s in got(lm.score(make(rows)), "doc_id", "score"))
+        assert [i for i, _ in have] == [i for i, _ in want] and max(abs(a - b) for (_, a), (_, b) in zip(have, want, strict=True)) < 1e-4
+
+
 def test_automaton_is_a_distribution():
     contexts, counts = [b"", b"a", b"b"], np.array([4.0, 10, 6])
     unigrams = lm.Unigrams(23, 4, 1, 1)
