@@ -336,6 +336,42 @@ def test_line_runs_are_removed_once(make):
     assert out[7] == (None, 0, 0) and out[8] == ("", 1, 0)
 
 
+def test_a_fragments_holder_does_not_hide_the_whole_run(make):
+    """Of three documents the first has a middle fragment alone; the third loses all that the second has."""
+    rng = random.Random(32)
+    rows, runs = [], {}
+    for k in range(0, 300, 3):
+        run = [prose(rng, rng.choice((15, rng.randint(1, 40)))) for _ in range(rng.randint(4, 9))]
+        while sum(len(x.split()) for x in run) < 50:
+            run.append(prose(rng, 15))
+        own = [[prose(rng, 9) for _ in range(2)] for _ in range(3)]
+        rows += [(k + n, "\n".join([own[n][0], *(run[1:-1] if n == 0 else run), own[n][1]])) for n in range(3)]
+        runs[k + 2] = "\n".join(own[2])
+    out = dict(got(linededup.dedup(make(rows)), "doc_id", "text"))
+    assert all(out[i] == text for i, text in runs.items())
+
+
+def test_lines_go_only_if_an_earlier_run_has_them(make):
+    """Against all pairs of places, on texts of few words, with copies within a document: whole guaranteed runs go, no other lines than those of runs of K words."""
+    rng = random.Random(33)
+    pool = [prose(rng, rng.choice((3, 8, 15, 30))) for _ in range(9)]
+    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))) for k in range(40)]
+    texts = [t.split("\n") for _, t in rows]
+    size = lambda x: len(" ".join(x).split())
+    out = dict(got(linededup.dedup(make(rows)), "doc_id", "text"))
+    for k, mine in enumerate(texts):
+        must, may = set(), set()
+        for a in range(len(mine)):
+            for b in range(a + 1, len(mine) + 1):
+                run = mine[a:b]
+                if size(run) >= 25 and any(theirs[j : j + b - a] == run for q, theirs in enumerate(texts[: k + 1]) for j in range(a if q == k else len(theirs))):
+                    may |= set(range(a, b))
+                    must |= set(range(a, b)) if size(run) >= 50 else set()
+        left, at = out[k].split("\n") if out[k] else [], 0
+        assert len(mine) - len(may) <= len(left) <= len(mine) - len(must)
+        assert left == [x for i, x in enumerate(mine) if i not in may] or must != may
+
+
 def test_runs_of_fifty_words_always_share_a_fingerprint():
     rng = random.Random(7)
     for _ in range(200):

@@ -3,11 +3,13 @@
 Lines are what line feeds separate, without white space at their ends; blank lines count for nothing. The k-gram of a
 line is that line and those after it up to K words. Windows of k-grams that begin within K words of each other select the
 k-gram with the smallest hash (winnowing), so any two runs of equal lines with 2 K = 50 words or more select a common
-k-gram: it is their guaranteed fingerprint. Fingerprints are joined with the first place of their hash, in order of id and
-line, matches are extended both ways as long as lines agree, and the later run is deleted. Every deleted line has an
-equal one at an earlier place, so something of each repeated run stays.
+k-gram: it is their guaranteed fingerprint. A fingerprint that an earlier place has too, in order of id and line, is
+extended both ways, as long as lines are in a gram that an earlier place has and that overlaps what is covered so far.
+Grams are all k-grams, and for each line also the shortest one of K words that ends with it: together they cover every
+run of K words or more, whichever place has it. Every deleted line has an equal one at an earlier place, so something of
+each repeated run stays.
 
-A hash's places are never paired with each other, only with the first, so a line of a third of all documents costs one
+A gram's places are never paired with each other, only with the first, so a line of a third of all documents costs one
 row each. Null text stays null and has no lines. Rows that repeat id and text are one document: they keep the same lines.
 Ids and texts are the only columns read; all others pass through whatever their names.
 """
@@ -64,76 +66,76 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, k: int = K) -> list[tupl
     return [(h, i) for i, h in out.items()]
 
 
-def signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+def grams(words: np.ndarray, k: int = K) -> list[tuple[int, int]]:
+    """First line and stop of the shortest stretches of k words that begin with a line, and of those that end with one."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    n = len(words)
+    stop = np.searchsorted(total, total[:-1] + k)
+    start = np.searchsorted(total, total[1:] - k, "right") - 1
+    return sorted({(i, j) for i, j in enumerate(stop.tolist()) if j <= n} | {(i, j + 1) for j, i in enumerate(start.tolist()) if i >= 0})
 
 
 def lines(df: DataFrame, k: int) -> DataFrame:
-    """One row a document: id, h (of the text), places, line hashes, words, and its fingerprints. Documents under k words have none."""
+    """One row a document: id, h (of the text) and its grams: 128 bits of hash, first line that isn't blank, places of its lines, whether it is a fingerprint. Documents under k words have none."""
     kind = df.schema["id"].dataType.simpleString()
-    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-    found = pa.list_(pa.struct([("f", pa.int64()), ("pos", pa.int32())]))
+    found = pa.list_(pa.struct([("f", pa.int64()), ("g", pa.int64()), ("pos", pa.int32()), ("places", pa.list_(pa.int32())), ("chosen", pa.bool_())]))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[int] = []
-            at_, hash_, words_, prints_ = [], [], [], []
+            prints_ = []
             for row, x in enumerate(strings(batch.column(2))):
                 at, hashes, words = parsed(x)
                 if words.sum() < k:
                     continue
                 rows.append(row)
-                at_.append(at)
-                hash_.append(hashes.view(np.int64).tolist())
-                words_.append(words.tolist())
-                prints_.append([{"f": h - (1 << 64) if h >> 63 else h, "pos": i} for h, i in fingerprints(hashes, words, k)])
+                data = hashes.tobytes()
+                stops: dict[int, int] = {}
+                own = grams(words, k)
+                for i, j in own:
+                    stops.setdefault(i, j)  # the k-gram of a line is the shortest that begins there
+                chosen = {(i, stops[i]) for _, i in fingerprints(hashes, words, k)}
+                prints = []
+                for i, j in own:
+                    full = xxhash.xxh3_128_intdigest(data[8 * i : 8 * j])
+                    prints.append({"f": signed(full >> 64), "g": signed(full & (1 << 64) - 1), "pos": i, "places": at[i:j], "chosen": (i, j) in chosen})
+                prints_.append(prints)
             take = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at_, ints), pa.array(hash_, longs), pa.array(words_, ints), pa.array(prints_, found)], ["id", "h", "places", "hashes", "words", "prints"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(prints_, found)], ["id", "h", "prints"])
 
-    return df.select("id", "h", "text").mapInArrow(run, f"id {kind}, h long, places array<int>, hashes array<long>, words array<int>, prints array<struct<f:long,pos:int>>")
+    return df.select("id", "h", "text").mapInArrow(run, f"id {kind}, h long, prints array<struct<f:long,g:long,pos:int,places:array<int>,chosen:boolean>>")
 
 
-def extended(mine: np.ndarray, theirs: np.ndarray, places: list[tuple[int, int]], same: bool) -> np.ndarray:
-    """Which lines of `mine` are in a run that `theirs` has, from matching places; in one document only the later run."""
-    gone = np.zeros(len(mine), bool)
-    done: set[tuple[int, int]] = set()
-    for i, j in sorted(places):
-        if (i, j) in done or same and j >= i:
-            continue
-        a, b = i, j
-        while a and b and mine[a - 1] == theirs[b - 1]:
-            a, b = a - 1, b - 1
-        c, d = i, j
-        while c < len(mine) and d < len(theirs) and mine[c] == theirs[d]:
-            done.add((c, d))
-            c, d = c + 1, d + 1
-        gone[a:c] = True
-    return gone
+def extended(found: list[tuple[int, list[int], bool]]) -> list[int]:
+    """Places of the lines to delete in a document, from the grams that an earlier place has: stretches of overlapping ones that have a fingerprint."""
+    out: list[int] = []
+    stretch: list[int] = []
+    stop, anchored = -1, False
+    for pos, places, chosen in sorted(found):
+        if pos >= stop:
+            out += stretch if anchored else []
+            stretch, stop, anchored = [], pos, False
+        stretch += places[max(stop - pos, 0) :]
+        stop, anchored = max(stop, pos + len(places)), anchored or chosen
+    return out + (stretch if anchored else [])
 
 
 def removals(df: DataFrame, k: int = K) -> DataFrame:
     """id, h, gone: places of the lines to delete. df: id, h, text."""
     kind = df.schema["id"].dataType.simpleString()
     known = cut(lines(df, k), "lines").dropDuplicates(["id", "h"])
-    prints = known.select("id", "h", F.explode("prints").alias("x")).select(F.col("x.f").alias("f"), "id", "h", F.col("x.pos").alias("pos"))
-    first = prints.groupBy("f").agg(F.min(F.struct("id", "h", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = prints.join(first, "f").filter(~F.struct("id", "h", "pos").eqNullSafe(F.col("first")))
-    pairs = later.groupBy("id", "h", F.col("first.id").alias("of_id"), F.col("first.h").alias("of_h")).agg(F.collect_set(F.struct("pos", F.col("first.pos").alias("of_pos"))).alias("at"))
-    mine = known.select(F.col("id").alias("id2"), F.col("h").alias("h2"), "places", "hashes")
-    theirs = known.select(F.col("id").alias("id3"), F.col("h").alias("h3"), F.col("hashes").alias("of_hashes"))
-    full = pairs.join(mine, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))).join(theirs, F.col("of_id").eqNullSafe(F.col("id3")) & (F.col("of_h") == F.col("h3")))
-    full = full.select("id", "h", "at", "places", "hashes", "of_hashes", (F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h"))).alias("same"))
+    prints = known.select("id", "h", F.explode("prints").alias("x")).select("id", "h", "x.*")
+    first = prints.groupBy("f", "g").agg(F.min(F.struct("id", "h", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = prints.join(first, ["f", "g"]).filter(~F.struct("id", "h", "pos").eqNullSafe(F.col("first")))
+    full = later.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "places", "chosen")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for at, places, mine, theirs, same in zip(*(batch.column(c).to_pylist() for c in ("at", "places", "hashes", "of_hashes", "same")), strict=True):
-                gone = extended(np.array(mine), np.array(theirs), [(x["pos"], x["of_pos"]) for x in at], same)
-                out.append(np.array(places, np.int32)[gone].tolist())
+            out = [extended([(x["pos"], x["places"], x["chosen"]) for x in at]) for at in batch.column("at").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(out, pa.list_(pa.int32()))], ["id", "h", "gone"])
 
-    each = full.mapInArrow(run, f"id {kind}, h long, gone array<int>")
-    return each.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    return full.mapInArrow(run, f"id {kind}, h long, gone array<int>").filter(F.size("gone") > 0)
 
 
 def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
