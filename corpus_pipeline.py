@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm import jaccard, langid, linededup, mixing, packing
 from textloom.llm.base import documents, shared_dir
@@ -30,9 +31,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    first = jaccard.join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi")
+    """Of each group of near duplicates one row with the smallest id stays; ids may repeat or be null, nulls come last."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    id_ = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")
+    found = jaccard.join(keyed.select(id_.alias("doc_id"), "text"))
+    first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id._key").alias("_kept"))
+    rows = keyed.join(first, F.col("_key") == F.col("_kept"), "left_semi")
+    among = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))  # rows of one id and text
+    return rows.withColumn("_n", F.row_number().over(among)).filter("_n = 1").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

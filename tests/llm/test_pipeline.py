@@ -49,3 +49,13 @@ def test_empty(spark, make, tmp_path):
 
     make([]).write.parquet(str(tmp_path / "documents.parquet"))
     assert c.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark, make):
+    import corpus_pipeline as c
+
+    rng = random.Random(41)
+    a, b, d = (prose(rng, 60) for _ in range(3))
+    rows = [*[(1, a)] * 5, (1, b), (2, b + " end"), (2, d), (None, b), (None, d), (3, a + " end"), (None, prose(rng, 60))]
+    out = [(r.doc_id, r.text) for r in c.ngram_jaccard(spark, make(rows), "").collect()]
+    assert sorted(out, key=str) == sorted([(1, a), (1, b), (2, d), rows[-1]], key=str)
