@@ -59,3 +59,20 @@ def test_one_row_of_each_group_stays(spark, make):
     rows = [*[(1, a)] * 5, (1, b), (2, b + " end"), (2, d), (None, b), (None, d), (3, a + " end"), (None, prose(rng, 60))]
     out = [(r.doc_id, r.text) for r in c.ngram_jaccard(spark, make(rows), "").collect()]
     assert sorted(out, key=str) == sorted([(1, a), (1, b), (2, d), rows[-1]], key=str)
+
+
+def test_rows_that_share_an_id_are_repeated_by_their_own_draws(spark, make):
+    import corpus_pipeline as c
+    from textloom.llm import mixing
+
+    rng = random.Random(42)
+    rows = [(k % 2 or None, prose(rng, 30 + k % 3) if k % 3 else "the same few words", "en", f"s{k % 3}") for k in range(300)]
+    docs = make(rows)
+    want = {(r.source_size, round(r.target)): 0 for r in mixing.mix(docs).collect()}
+    drawn = sum(r.taken for r in mixing.mix(docs).collect())
+    out = c.mix(spark, docs, "").collect()
+    assert sum(len(r.text.split()) for r in out) == drawn
+    for source in ("s0", "s1", "s2"):
+        size = sum(len(t.split()) for _, t, _, s in rows if s == source)
+        target = next(b for a, b in want if a == size)
+        assert abs(sum(len(r.text.split()) for r in out if r.source == source) - target) <= 32

@@ -12,7 +12,7 @@ all choices for its last undecided documents, two and LANDING set aside, are com
 nearest the expected total is taken.
 
 Null text has no words; null sources form a source of their own, last in order. Documents without words are taken
-floor(m) times or once more like others, which adds nothing. Repeated rows are documents of their own. Reruns agree:
+floor(m) times or once more like others, which adds nothing. Repeated rows are documents of their own; where rows share id, text and source, their draws are shared out. Reruns agree:
 all randomness comes from hashes of ids. Other columns of the input play no part.
 """
 
@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm.base import WORD, cut
 
@@ -110,11 +111,16 @@ def source_table(docs: DataFrame, weights: tuple[float, ...], share: float, most
     return got
 
 
+def row_key(doc_id: Column, text: Column, source: Column) -> Column:
+    """What rows must share to be drawn from one lot. Nulls have hashes of their own."""
+    return F.xxhash64(doc_id, doc_id.isNull(), text, text.isNull(), source, source.isNull())
+
+
 def mix(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words, repeats counted) of every document."""
+    """doc_id, size, source_size, target and taken (words, repeats counted) of every document, and the key by which repeated() finds its row."""
     spark = df.sparkSession
     words = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"))
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"), row_key(F.col(doc_id), F.col(text), F.col(source)).alias("key"))
     docs = cut(docs.withColumn("row", F.monotonically_increasing_id()), "sizes")  # a row's number is fixed once written
     table = source_table(docs, weights, share, most)
     known = spark.createDataFrame(
@@ -142,7 +148,7 @@ def mix(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: st
         level += 1
     out = docs.join(decided, "row", "left")
     taken = (F.col("base") + F.coalesce(F.col("extra"), F.lit(0))) * F.col("size")
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "key")
 
 
 def flier(level: int):
@@ -166,9 +172,11 @@ def _counted(rest: DataFrame) -> dict[int, int]:
     return {r["place"]: r["n"] for r in rest.groupBy("place").agg(F.count("*").alias("n")).collect()}
 
 
-def repeated(df: DataFrame, mixed: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of df as often as the mix takes them; rows that share an id are taken alike. `mixed` is mix(df)."""
-    times = mixed.filter(F.col("taken") > 0).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_mix_times"))
-    joined = df.join(times, df[doc_id].eqNullSafe(times["_mix_id"]))
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*[df[c] for c in df.columns])
-
+def repeated(df: DataFrame, mixed: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of df as often as the mix takes them, each row by a draw of its own. `mixed` is mix(df)."""
+    times = mixed.filter(F.col("size") > 0).groupBy(F.col("key").alias("_mix_key")).agg(F.sort_array(F.collect_list((F.col("taken") / F.col("size")).cast("int")), asc=False).alias("_mix_times"))
+    times = times.filter(F.col("_mix_times")[0] > 0)
+    joined = df.withColumn("_mix_of", row_key(F.col(doc_id), F.col(text), F.col(source))).join(times, F.col("_mix_of") == F.col("_mix_key"))
+    among = Window.partitionBy("_mix_of").orderBy(F.xxhash64(*df.columns))  # rows of one key share out its draws
+    joined = joined.withColumn("_mix_n", F.get("_mix_times", F.row_number().over(among) - 1)).filter("_mix_n > 0")
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*df.columns)
