@@ -11,7 +11,7 @@ from typing import Any
 import yaml
 
 
-class Loader(yaml.SafeLoader):
+class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
     """YAML 1.2 core scalars, and timestamps as text stays dates."""
 
 
@@ -59,6 +59,64 @@ Dumper.add_representer(type(None), lambda d, _: d.represent_scalar("tag:yaml.org
 Dumper.add_representer(float, lambda d, x: d.represent_scalar("tag:yaml.org,2002:float" if x != int(x) or abs(x) > 1e15 else "tag:yaml.org,2002:int", repr(int(x)) if x == int(x) and abs(x) <= 1e15 else repr(x)) if x == x and abs(x) != float("inf") else yaml.SafeDumper.represent_float(d, x))
 
 
+#: Keys and scalars that are themselves in every YAML reader and writer; lists of such scalars under their key.
+SIMPLE_KEY, SIMPLE_TEXT, SIMPLE_INT = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*\Z"), re.compile(r"[A-Za-z](?:[A-Za-z0-9 _./-]*[A-Za-z0-9])?\Z"), re.compile(r"(?:0|-?[1-9][0-9]*)\Z")
+WORDS = {"true": True, "false": False, "null": None}
+
+
+def _simple(text: str) -> Any:
+    """The value of a simple scalar; KeyError for any other."""
+    if SIMPLE_TEXT.match(text):
+        if text in WORDS:
+            return WORDS[text]
+        if text.lower() not in WORDS:
+            return text
+    elif SIMPLE_INT.match(text):
+        return int(text)
+    raise KeyError(text)
+
+
+def simple_load(lines: list[str]) -> dict:
+    """A block of `key: scalar` lines and lists of scalars, as yaml_load reads it; KeyError if anything else is there."""
+    out: dict = {}
+    items: list | None = None
+    for line in lines:
+        if line.startswith("  - ") and items is not None:
+            items.append(_simple(line[4:]))
+            continue
+        if items == []:
+            raise KeyError(line)
+        key, colon, value = line.partition(":")
+        if not colon or not SIMPLE_KEY.match(key) or key.lower() in WORDS or (value and value[0] != " "):
+            raise KeyError(line)
+        items = None if value else []
+        out[key] = _simple(value[1:]) if value else items
+    if items == []:
+        raise KeyError("an empty value")
+    return out
+
+
+def _scalar(value: Any) -> str | None:
+    """A scalar as yaml_dump writes it, None for what needs more care."""
+    if value is None or value is True or value is False:
+        return {None: "null", True: "true", False: "false"}[value]
+    if type(value) is int:
+        return str(value)
+    return value if type(value) is str and SIMPLE_TEXT.match(value) and value.lower() not in WORDS else None
+
+
+def simple_dump(key: Any, value: Any, pad: str = "") -> str | None:
+    """One entry of a map as yaml_dump writes it, None for what needs more care."""
+    if type(key) is not str or not SIMPLE_KEY.match(key) or key.lower() in WORDS:
+        return None
+    if type(value) in (list, dict) and value:
+        inner = pad + "  "
+        parts = [simple_dump(k, v, inner) for k, v in value.items()] if type(value) is dict else [f"{inner}- {x}\n" if (x := _scalar(y)) else None for y in value]
+        return None if None in parts else f"{pad}{key}:\n{''.join(parts)}"
+    text = _scalar(value)
+    return None if text is None else f"{pad}{key}: {text}\n"
+
+
 def yaml_load(text: str) -> Any:
     return yaml.load(text, Loader)  # noqa: S506  a safe loader
 
@@ -74,14 +132,18 @@ def split_frontmatter(text: str) -> tuple[dict, str, bool]:
         return {}, text, False
     end = lines.index("---", 1)
     try:
-        data = yaml_load("\n".join(lines[1:end]))
-    except (yaml.YAMLError, ValueError):
-        return {}, text, False
+        data = simple_load(lines[1:end])
+    except KeyError:
+        try:
+            data = yaml_load("\n".join(lines[1:end]))
+        except (yaml.YAMLError, ValueError):
+            return {}, text, False
     return (data if isinstance(data, dict) else {}), "\n".join(lines[end + 1 :]), True
 
 
 def join_frontmatter(data: dict, body: str) -> str:
-    return f"---\n{yaml_dump(data)}---\n{body}"
+    parts = [simple_dump(k, v) or yaml_dump({k: v}) for k, v in data.items()]
+    return f"---\n{''.join(parts) or yaml_dump(data)}---\n{body}"
 
 
 CONDITION_BLOCK = re.compile(r"\A---\s*\n(.*?)\n---\s*\n", re.S)
@@ -90,7 +152,12 @@ CONDITION_BLOCK = re.compile(r"\A---\s*\n(.*?)\n---\s*\n", re.S)
 def condition_frontmatter(text: str) -> dict:
     """The grammar of conditions and validators: spaces after --- are fine, a final line feed is needed. Bad YAML raises."""
     m = CONDITION_BLOCK.match(text)
-    data = yaml_load(m[1]) if m else None
+    if not m:
+        return {}
+    try:
+        return simple_load(m[1].split("\n"))
+    except KeyError:
+        data = yaml_load(m[1])
     return data if isinstance(data, dict) else {}
 
 

@@ -1,6 +1,7 @@
 """Builds: a program folded over every document of a corpus, as columns where possible and in one fused UDF a run else.
 
-A corpus is a table with `path` and `content`. The fold is narrow: documents never meet, nothing is shuffled.
+A corpus is a table with `path` and `content`. The fold is narrow: documents never meet, nothing is shuffled. A null
+content stays null: no condition holds for it, no patch matches it, no rule is broken by it, in columns and in Python alike.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from textloom.plans.checks import condition_column, failure_array, failures, fir
 from textloom.plans.planner import Program, as_list, own, runs
 
 STATE = "content string, applied int, skipped int, warnings array<string>, errors array<string>"
+STATE_FIELDS = [("content", pa.string()), ("applied", pa.int32()), ("skipped", pa.int32()), ("warnings", pa.list_(pa.string())), ("errors", pa.list_(pa.string()))]
 
 
 class BuildError(RuntimeError):
@@ -47,7 +50,7 @@ def native_step(df: DataFrame, k: int, patch: dict, on_no_match: str, built: nat
     text, n = built
     content = F.col("content")
     run = path_guard(patch, F.col("path"))
-    when = condition_column(patch["when"], content) if "when" in patch else F.lit(True)
+    when = F.coalesce(condition_column(patch["when"], content), F.lit(False)) if "when" in patch else F.lit(True)
     df = df.withColumn("_run", run & when).withColumn("_off", run & ~when)
     df = df.withColumn("_new", F.when(F.col("_run"), F.struct(text.alias("t"), n.cast("int").alias("n"))))
     hit = F.coalesce(F.col("_new.n") > 0, F.lit(False))
@@ -67,7 +70,7 @@ def native_step(df: DataFrame, k: int, patch: dict, on_no_match: str, built: nat
     return df.withColumns(columns).drop("_run", "_off", "_new")
 
 
-def fold(text: str, path: str, patches: list[tuple[int, dict]], on_no_match: str) -> tuple[str, int, int, list[str], list[str]]:
+def fold(text: str | None, path: str, patches: list[tuple[int, dict]], on_no_match: str) -> tuple[str | None, int, int, list[str], list[str]]:
     """Patches on one document, in Python."""
     applied = skipped = 0
     warnings: list[str] = []
@@ -75,10 +78,10 @@ def fold(text: str, path: str, patches: list[tuple[int, dict]], on_no_match: str
     for k, patch in patches:
         if not admitted(path, as_list(patch.get("include")), as_list(patch.get("exclude"))):
             continue
-        if "when" in patch and not holds(patch["when"], text):
+        if "when" in patch and (text is None or not holds(patch["when"], text)):
             skipped += 1
             continue
-        new, n = md.apply(text, own(patch), path)
+        new, n = (None, 0) if text is None else md.apply(text, own(patch), path)
         if n:
             text, applied = new, applied + 1
             errors += [message(k, patch, f"breaks {x}") for x in failures(patch.get("validate", {}), text)]
@@ -94,12 +97,13 @@ def python_run(df: DataFrame, patches: list[tuple[int, dict]], on_no_match: str)
     plugins = {p["plugin"]: md.PLUGINS[p["plugin"]] for _, p in patches if p["op"] == "plugin" and p["plugin"] in md.PLUGINS}
     transforms = dict(md.TRANSFORMS) if any(p["op"] == "ai-transform" for _, p in patches) else {}
 
-    @F.pandas_udf(STATE)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(STATE)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         md.PLUGINS.update(plugins)
         md.TRANSFORMS.update(transforms)
         for content, path in batches:
-            yield pd.DataFrame([fold(t, p, patches, on_no_match) for t, p in zip(content, path, strict=True)], columns=["content", "applied", "skipped", "warnings", "errors"])
+            done = [fold(t, p, patches, on_no_match) for t, p in zip(content.to_pylist(), path.to_pylist(), strict=True)]
+            yield pa.StructArray.from_arrays([pa.array([x[k] for x in done], kind) for k, (_, kind) in enumerate(STATE_FIELDS)], [name for name, _ in STATE_FIELDS])
 
     df = df.withColumn("_r", run("content", "path"))
     return df.withColumns({
@@ -113,7 +117,7 @@ def python_failure(rules: dict):
 
     @F.pandas_udf("string")
     def first(content: pd.Series) -> pd.Series:
-        return content.map(lambda t: next(iter(failures(rules, t)), None))
+        return content.map(lambda t: None if t is None else next(iter(failures(rules, t)), None))
 
     return first
 
