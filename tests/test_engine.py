@@ -1,6 +1,10 @@
 """Planner, builds, corpus patches, analytics, stores, suggestions, recovery, sources and watch."""
 
+import contextlib
+
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.functions import codecs, patterns, values
@@ -29,6 +33,18 @@ def test_patterns_end_like_javascript():
     assert patterns.check_js("(") and patterns.check_js("a", "q") and not patterns.check_js(r"(?<x>a)\k<x>")
 
 
+SCALARS = ["Doc 17", "en", "true", "True", "null", "~", "3", "03", "-4", "1.5", "a: b", "a #b", "- x", "yes", "2020-01-01", "", "a  b", "x.y/z", "é", "'q'", "[a]", "0", "-0", "*a", "|", "<<", "1_000"]
+
+
+@given(st.lists(st.tuples(st.sampled_from(["title", "a-b", "_x", "true", "1", "é", "a b"]), st.one_of(st.sampled_from(SCALARS), st.lists(st.sampled_from(SCALARS), max_size=2))), min_size=1, max_size=4))
+def test_simple_frontmatter_equals_yaml(entries):
+    lines = [x for k, v in entries for x in ([f"{k}: {v}"] if isinstance(v, str) else [f"{k}:", *(f"  - {i}" for i in v)])]
+    with contextlib.suppress(KeyError):
+        assert repr(codecs.simple_load(lines)) == repr(codecs.yaml_load("\n".join(lines)))
+    data = {k: v if isinstance(v, str) else {"in": v, "n": None} for k, v in entries}
+    assert "".join(codecs.simple_dump(k, v) or codecs.yaml_dump({k: v}) for k, v in data.items()) == codecs.yaml_dump(data)
+
+
 def test_yaml_is_1_2():
     assert codecs.yaml_load("a: yes\nb: 0o17\nc: 010\nd: ~") == {"a": "yes", "b": 15, "c": 10, "d": None}
     data = {"a": "true", "b": ["x", {"c": 1.5}], "d": {}, "e": "l1\nl2\n", "f": None}
@@ -129,6 +145,22 @@ def test_corpus_patches(corpus):
     assert apply_corpus(corpus, [{"op": "copy-file", "src": "none.md", "dest": "a/x.md"}]).count() == 3
 
 
+def test_one_document_a_path(corpus):
+    out = apply_corpus(corpus, [{"op": "rename-file", "match": "a/*.md", "rename": "z.md"}])
+    assert rows(out, "path", "content") == [("a/z.md", "# T\n\nbeta\n"), *rows(corpus.filter("path like 'b/%'"), "path", "content")]
+    out = apply_corpus(corpus, [{"op": "copy-file", "src": "a/x.md", "dest": "b/y.md"}, {"op": "move-file", "match": "a/y.md", "dest": "b"}])
+    assert dict(rows(out, "path", "content"))["b/y.md"] == "# T\n\nbeta\n" and out.count() == out.select("path").distinct().count()
+    with pytest.raises(ValueError, match="not a file name"):
+        apply_corpus(corpus, [{"op": "rename-file", "match": "a/*.md", "rename": "../z.md"}])
+
+
+def test_null_content(spark):
+    df = spark.createDataFrame([("a.md", None), ("b.md", "# T\n")], "path string, content string")
+    for patch in ({"op": "replace", "old": "T", "new": "U"}, {"op": "set-frontmatter", "key": "k", "value": 1}, {"op": "append-to-section", "id": "t", "content": "x"}, {"op": "replace-code-block", "index": 0, "content": "x"}):
+        out = build.build(df, Program([], [patch | {"when": {"not": {"fileContains": "zz"}}}, patch], "warn", [{"name": "v", "minWordCount": 0}, {"name": "w", "frontmatterRequired": ["k"]}]))
+        assert rows(out.filter("path = 'a.md'"), "content", "applied", "skipped", "warnings", "errors") == [(None, 0, 1, [f"patch 1 ({patch['op']}): no match"], [])]
+
+
 def test_partitions_do_not_matter(corpus):
     patches = [{"op": "append-to-section", "id": "t", "content": "x"}, {"op": "set-frontmatter", "key": "a", "value": [1]}]
     one, many = (rows(build.apply_patches(corpus.repartition(n), patches), "path", "content", "applied") for n in (1, 7))
@@ -260,6 +292,80 @@ def test_watch(spark, tmp_path, corpus):
     assert watch.versions().filter("version = 1").count() == 1
 
 
+def test_watch_keeps_folders_apart_and_compacts(spark, tmp_path):
+    from textloom.streaming.watch import Watch, stream_files
+
+    inside = tmp_path / "in"
+    seen = []
+    watch = Watch(spark, str(tmp_path / "state"), Program([], [{"op": "replace", "old": "T", "new": "U"}]), on_build=lambda df, n: seen.append((n, df.count())), compact=2)
+    for k in range(5):
+        for where in ("a", "b c"):
+            (inside / where).mkdir(parents=True, exist_ok=True)
+            (inside / where / f"i{k}.md").write_text(f"T{where}{k}")
+        watch.start(stream_files(spark, str(inside)), str(tmp_path / "c"), once=True).awaitTermination()
+    assert rows(watch.current(), "path", "output") == sorted((f"{w}/i{k}.md", f"U{w}{k}") for w in ("a", "b c") for k in range(5))
+    assert seen == [(k, 2) for k in range(5)] and watch.table.base() == 3
+    assert sorted(p.name for p in (tmp_path / "state/output").iterdir() if p.is_dir()) == ["base=3", "version=4"]
+    watch.batch(spark.createDataFrame([("a/i0.md", "T")], "path string, content string"), 2)  # an old batch again
+    assert watch.current().count() == 10
+    gone = watch.sweep(watch.current().filter("path like 'a/%'").select("path"), 5)
+    assert gone.count() == 5 and watch.current().count() == 5
+
+
+def test_watch_rebuilds_if_documents_depend_on_each_other(spark, tmp_path):
+    from textloom.streaming.watch import Watch
+
+    watch = Watch(spark, str(tmp_path / "state"), Program([{"op": "copy-file", "src": "a.md", "dest": "b.md"}], [{"op": "replace", "old": "x", "new": "y"}]))
+    table = lambda *r: spark.createDataFrame(list(r), "path string, content string")
+    watch.batch(table(("a.md", "x1")), 0)
+    watch.batch(table(("c.md", "x3")), 1)
+    assert rows(watch.current(), "path", "output") == [("a.md", "y1"), ("b.md", "y1"), ("c.md", "y3")]
+    watch.batch(table(("a.md", None)), 2)
+    assert rows(watch.current(), "path", "output") == [("c.md", "y3")]
+
+
+def test_watch_raises_what_the_store_raises(spark, tmp_path):
+    from textloom.streaming.watch import Hooks, Watch
+
+    (tmp_path / "state/output/version=0").mkdir(parents=True)
+    (tmp_path / "state/output/version=0/_SUCCESS").write_text("")
+    (tmp_path / "state/output/version=0/part-0.parquet").write_text("not parquet")
+    out = tmp_path / "said"
+    watch = Watch(spark, str(tmp_path / "state"), Program([], []), hooks=Hooks(on_error=[f"echo '{{{{exitCode}}}}' > {out}"]))
+    with pytest.raises(Exception, match="(?i)parquet"):
+        watch.batch(spark.createDataFrame([("a.md", "x")], "path string, content string"), 1)
+    assert out.read_text() == "1\n"
+
+
+def test_hooks(tmp_path):
+    from textloom.streaming.watch import run_hooks
+
+    out = tmp_path / "out"
+    good = run_hooks([f"echo \"File: {{{{file}}}} {{{{none}}}}\" '{{{{error}}}}' {{{{file}}}} > {out}", "exit 3", f"echo last >> {out}"], {"file": "a $(touch x)'.md", "error": "e"})
+    assert not good and out.read_text() == "File: a $(touch x)'.md {{none}} e a $(touch x)'.md\nlast\n"
+    assert not run_hooks(["sleep 5"], {}, timeout=0.2) and run_hooks([], {})
+
+
+def test_progress(spark, tmp_path, corpus):
+    import time
+
+    from textloom.streaming.watch import Progress, Watch, stream_table
+
+    corpus.write.parquet(str(tmp_path / "in"))
+    said: list[dict] = []
+    listener = Progress(said.append)
+    spark.streams.addListener(listener)
+    try:
+        Watch(spark, str(tmp_path / "state"), Program([], [])).start(stream_table(spark, str(tmp_path / "in")), str(tmp_path / "c"), once=True).awaitTermination()
+        for _ in range(100):
+            if any(x["event"] == "ended" for x in said):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [x["event"] for x in said] == ["started", "progress", "ended"] and said[1]["rows"] == 3
+
+
 def test_suites(spark):
     from textloom.plans import suites
 

@@ -32,9 +32,28 @@ def copy_file(df: DataFrame, src: str, dest: str) -> DataFrame:
     return rest.unionByName(copies)
 
 
+def landed(df: DataFrame, hit: Column, to: Column, could: Column) -> DataFrame:
+    """df with the documents that are hit at other paths, one document a path.
+
+    Of those that land on one path the last in order of their old paths stays, instead of what was there. `could`: whether
+    a document that stays put could be in the way; only such documents are compared with the new paths.
+    """
+    hit = F.coalesce(hit, F.lit(False))
+    columns = df.columns
+    moved = df.filter(hit).withColumn("_old", F.col("path")).withColumn("path", to)
+    last = moved.groupBy("path").agg(F.max_by(F.struct(*(c for c in columns if c != "path")), "_old").alias("_d")).select(*(F.col("path") if c == "path" else F.col(f"_d.{c}").alias(c) for c in columns))
+    rest = df.filter(~hit)
+    near = F.coalesce(could, F.lit(False))
+    clear = rest.filter(near).join(moved.select("path").distinct(), "path", "left_anti").select(*columns)
+    return rest.filter(~near).unionByName(clear).unionByName(last)
+
+
 def rename_file(df: DataFrame, match: str, rename: str) -> DataFrame:
     """Matching documents get another name in their folder."""
-    return df.withColumn("path", F.when(path_matches(F.col("path"), match), F.concat(folder_of(F.col("path")), F.lit(rename))).otherwise(F.col("path")))
+    if "/" in rename or "\\" in rename or ".." in rename:
+        raise ValueError(f"not a file name: {rename}")
+    path = F.col("path")
+    return landed(df, path_matches(path, match), F.concat(folder_of(path), F.lit(rename)), name_of(path) == rename)
 
 
 def delete_file(df: DataFrame, match: str) -> DataFrame:
@@ -43,9 +62,9 @@ def delete_file(df: DataFrame, match: str) -> DataFrame:
 
 def move_file(df: DataFrame, match: str, dest: str) -> DataFrame:
     """Matching documents go to another folder under their name."""
-    folder = relative(dest)
+    folder, path = relative(dest), F.col("path")
     prefix = folder + "/" if folder else ""
-    return df.withColumn("path", F.when(path_matches(F.col("path"), match), F.concat(F.lit(prefix), name_of(F.col("path")))).otherwise(F.col("path")))
+    return landed(df, path_matches(path, match), F.concat(F.lit(prefix), name_of(path)), folder_of(path) == prefix)
 
 
 def write_file(df: DataFrame, path: str, content: str) -> DataFrame:

@@ -7,15 +7,67 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.functions.values import canonical, content_hash
 from textloom.plans.build import build
 from textloom.plans.planner import Program
 
 
+class Versions:
+    """A keyed table (path, ..., deleted, version) as one Parquet folder a version, compacted into a base now and then."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, compact: int = 10) -> None:
+        self.spark, self.folder, self.schema, self.compact = spark, folder, schema, compact
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _parts(self) -> tuple[int, list[int]]:
+        """The newest whole base, -1 for none, and all whole versions after it. Errors of the store are raised."""
+        fs, path = self._fs()
+        whole = lambda name: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS"))
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        numbers = lambda kind: sorted(int(x.split("=")[1]) for x in names if x.startswith(f"{kind}=") and whole(x))
+        base = max(numbers("base"), default=-1)
+        return base, [n for n in numbers("version") if n > base]
+
+    def base(self) -> int:
+        return self._parts()[0]
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """All versions since the newest base, the base with them; or those before a number."""
+        base, versions = self._parts()
+        paths = [f"{self.folder}/base={base}"] * (base >= 0) + [f"{self.folder}/version={n}" for n in versions if before is None or n < before]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def newest(self, before: int | None = None) -> DataFrame:
+        """The newest row of each path."""
+        rows = self.read(before)
+        rest = [c for c in rows.columns if c != "path"]
+        return rows.groupBy("path").agg(F.max_by(F.struct(*rest), "version").alias("v")).select("path", *(F.col(f"v.{c}").alias(c) for c in rest))
+
+    def version(self, number: int) -> DataFrame:
+        """What one version wrote; what the base has of it once it is compacted."""
+        base, versions = self._parts()
+        if number in versions:
+            return self.spark.read.schema(self.schema).parquet(f"{self.folder}/version={number}")
+        return self.read().filter(F.col("version") == number)
+
+    def write(self, rows: DataFrame, number: int) -> None:
+        """Write a version; writing it again replaces it. Every `compact` versions the newest rows become the base."""
+        rows.write.mode("overwrite").parquet(f"{self.folder}/version={number}")
+        base, versions = self._parts()
+        if len(versions) < self.compact:
+            return
+        self.newest().write.mode("overwrite").parquet(f"{self.folder}/base={number}")
+        fs, _ = self._fs()
+        for name in [f"base={base}"] * (base >= 0) + [f"version={n}" for n in versions]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"), True)
+
+
 def program_hash(program: Program) -> str:
     """Of canonical JSON, so any field that changes counts."""
     return hashlib.sha256(canonical([program.corpus, program.content, program.on_no_match, program.validators]).encode()).hexdigest()
@@ -69,25 +121,32 @@ def unified(before: str, after: str, path: str, context: int = 3) -> str:
     return "\n".join(difflib.unified_diff(before.split("\n"), after.split("\n"), f"a/{path}", f"b/{path}", lineterm="", n=context))
 
 
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path, status of every document that differs. Hashes alone meet."""
+    return verify(snapshot(before), after).filter(F.col("status") != "unchanged")
+
+
 def corpus_diff(before: DataFrame, after: DataFrame, text: bool = True) -> DataFrame:
-    """path, status and a unified diff of every document that differs."""
-    a = before.select("path", F.col("content").alias("_a"))
-    b = after.select("path", F.col("content").alias("_b"))
-    out = a.join(b, "path", "full").withColumn("status", status(F.col("_a"), F.col("_b"))).filter(F.col("status") != "unchanged")
+    """path, status and a unified diff of every document that differs. Only texts of such documents move."""
+    some = changed(before, after)
     if not text:
-        return out.select("path", "status")
+        return some
+    keys = some.select("path")
+    a = before.select("path", F.col("content").alias("_a")).join(keys, "path", "left_semi")
+    b = after.select("path", F.col("content").alias("_b")).join(keys, "path", "left_semi")
 
     @F.pandas_udf("string")
     def diff(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y, p in batches:
             yield pd.Series([unified(i or "", j or "", k) for i, j, k in zip(x, y, p, strict=True)])
 
-    return out.select("path", "status", diff("_a", "_b", "path").alias("diff"))
+    return some.join(a, "path", "left").join(b, "path", "left").select("path", "status", diff("_a", "_b", "path").alias("diff"))
 
 
 def line_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """path, removed, added: numbers of lines, as multisets."""
-    side = lambda df, sign: df.select("path", F.explode(F.split("content", "\n")).alias("line"), F.lit(sign).alias("n"))
+    """path, removed, added: numbers of lines, as multisets. Lines of documents that don't differ never move."""
+    keys = changed(before, after).select("path")
+    side = lambda df, sign: df.join(keys, "path", "left_semi").select("path", F.explode(F.split("content", "\n")).alias("line"), F.lit(sign).alias("n"))
     counts = side(before, -1).unionByName(side(after, 1)).groupBy("path", "line").agg(F.sum("n").alias("n"))
     return counts.groupBy("path").agg(F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed"), F.sum(F.greatest(F.col("n"), F.lit(0))).alias("added"))
 
@@ -110,15 +169,12 @@ def builds(history: DataFrame, *, success: bool | None = None, tag: str | None =
 
 
 def pruned(history: DataFrame, keep_last: int | None = None, keep_after: str | None = None) -> DataFrame:
-    """Builds that stay: the newest ones, or those since a time."""
-    place = F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("build_id")))
-    out = history.withColumn("_n", place)
-    keep = F.lit(False)
-    if keep_last is not None:
-        keep = keep | (F.col("_n") <= keep_last)
-    if keep_after is not None:
-        keep = keep | (F.col("ts") >= F.lit(keep_after).cast("timestamp"))
-    return out.filter(keep).drop("_n")
+    """Builds that stay: the newest ones, by a top-k of each task merged, or those since a time."""
+    since = history.filter(F.col("ts") >= F.lit(keep_after).cast("timestamp")) if keep_after is not None else None
+    if keep_last is None:
+        return history.limit(0) if since is None else since
+    last = history.orderBy(F.desc("ts"), F.desc("build_id")).limit(keep_last)
+    return last if since is None else since.unionByName(last.filter(F.coalesce(F.col("ts") < F.lit(keep_after).cast("timestamp"), F.lit(True))))
 
 
 def history_statistics(history: DataFrame) -> DataFrame:

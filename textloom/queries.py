@@ -248,18 +248,26 @@ def fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Corpus patches.
 
+CONTENT = filled_sql(TEMPLATE)
+
+
+def landed_sql(hit: str, to: str) -> str:
+    """One row a path: documents that are hit go first, the last of them in order of old paths."""
+    return f"SELECT path, doc_id, content FROM (SELECT CASE WHEN {hit} THEN {to} ELSE path END AS path, doc_id, content, {hit} AS hit, path AS old FROM c) QUALIFY row_number() OVER (PARTITION BY path ORDER BY hit DESC, old DESC) = 1"
+
+
 FILES: list[tuple[str, dict, str]] = [
-    ("copy_file", {"op": "copy-file", "src": "en/src1/doc_1.md", "dest": "copy.md"}, "SELECT path, doc_id FROM c UNION ALL SELECT 'copy.md', doc_id FROM c WHERE path = 'en/src1/doc_1.md'"),
-    ("rename_file", {"op": "rename-file", "match": "de/*/doc_*1.md", "rename": "one.md"}, "SELECT CASE WHEN regexp_full_match(path, 'de/[^/]*/doc_[^/]*1\\.md') THEN regexp_replace(path, '[^/]*$', 'one.md') ELSE path END AS path, doc_id FROM c"),
-    ("delete_file", {"op": "delete-file", "match": "{en,fr}/**"}, "SELECT path, doc_id FROM c WHERE NOT (path LIKE 'en/%' OR path LIKE 'fr/%')"),
-    ("move_file", {"op": "move-file", "match": "**/src1?/*.md", "dest": "moved/here"}, "SELECT CASE WHEN regexp_full_match(path, '[^/]*/src1[0-9]/[^/]*\\.md') THEN 'moved/here/' || regexp_extract(path, '[^/]*$') ELSE path END AS path, doc_id FROM c"),
-    ("write_file", {"op": "write-file", "path": "en/src1/doc_1.md", "content": "new"}, "SELECT path, doc_id FROM c WHERE path <> 'en/src1/doc_1.md' UNION ALL SELECT 'en/src1/doc_1.md', NULL"),
+    ("copy_file", {"op": "copy-file", "src": "en/src1/doc_1.md", "dest": "copy.md"}, "SELECT path, doc_id, content FROM c UNION ALL SELECT 'copy.md', doc_id, content FROM c WHERE path = 'en/src1/doc_1.md'"),
+    ("rename_file", {"op": "rename-file", "match": "de/*/doc_*1.md", "rename": "one.md"}, landed_sql("regexp_full_match(path, 'de/[^/]*/doc_[^/]*1\\.md')", "regexp_replace(path, '[^/]*$', 'one.md')")),
+    ("delete_file", {"op": "delete-file", "match": "{en,fr}/**"}, "SELECT path, doc_id, content FROM c WHERE NOT (path LIKE 'en/%' OR path LIKE 'fr/%')"),
+    ("move_file", {"op": "move-file", "match": "**/src1?/*.md", "dest": "moved/here"}, landed_sql("regexp_full_match(path, '[^/]*/src1[0-9]/[^/]*\\.md')", "'moved/here/' || regexp_extract(path, '[^/]*$')")),
+    ("write_file", {"op": "write-file", "path": "en/src1/doc_1.md", "content": "new"}, "SELECT path, doc_id, content FROM c WHERE path <> 'en/src1/doc_1.md' UNION ALL SELECT 'en/src1/doc_1.md', NULL, 'new'"),
 ]
 CORPUS_SQL = f"WITH c AS (SELECT doc_id, lang, source, n_chars, {PATH_SQL} AS path FROM documents) "
 
 
 def file_query(patch: dict) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: corpus_ops.apply_corpus(corpus(spark, sf_dir), [patch]).select("path", "doc_id")
+    return lambda spark, sf_dir: corpus_ops.apply_corpus(corpus(spark, sf_dir), [patch]).select("path", "doc_id", "content")
 
 
 # Embedded relations.
@@ -683,6 +691,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     out = {f"patch_{name}": patch_sql(lines) for name, _, lines in PATCHES}
     out |= {name: sql for name, _, sql in TEXT}
-    out |= {f"file_{name}": CORPUS_SQL + sql for name, _, sql in FILES}
+    out |= {f"file_{name}": CORPUS_SQL.replace(" FROM documents", f", {CONTENT} AS content FROM documents") + sql for name, _, sql in FILES}
     out |= {name: sql for name, _, sql in JSON}
     return {"flagship": flagship_sql()} | out | {name: sql for name, (_, sql) in PLAIN_QUERIES.items() if sql}

@@ -17,13 +17,18 @@ CONFIG_NAMES = ("config.yaml", "kustomization.yaml")
 DEPTH = 10
 
 
+def relative_path(folder: str) -> Column:
+    """Path of the file that a row was read from, relative to the folder that was scanned."""
+    root = folder.rstrip("/").split("://", 1)[-1].lstrip("/")
+    url = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    return F.regexp_replace(url, rf"^[a-z0-9]+:/*\Q{root}\E/", "")
+
+
 def read_corpus(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """path (relative), content of all files with these extensions, whatever file system the folder is on."""
     glob = "*." + (extensions[0] if len(extensions) == 1 else "{" + ",".join(extensions) + "}")
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    root = folder.rstrip("/").split("://", 1)[-1].lstrip("/")
-    url = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
-    path = F.regexp_replace(url, rf"^[a-z0-9]+:/*\Q{root}\E/", "")
+    path = relative_path(folder)
     out = files.select(path.alias("path"), F.col("value").alias("content"))
     return out.filter(~path.rlike(rf"(^|/)({'|'.join(x.replace('.', chr(92) + '.') for x in SKIPPED)})/"))
 
@@ -99,6 +104,30 @@ def write_files(df: DataFrame, folder: str) -> None:
     df.select("path", "content").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
 
 
+def clean(folder: str, result: DataFrame, extensions: tuple[str, ...] = EXTENSIONS, delete: bool = True) -> DataFrame:
+    """Paths below an output folder that a build's result doesn't have; their files are deleted, unless only asked for.
+
+    The folder is one that all executors share. A retried task finds its files gone, which is fine.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    gone = leftovers(read_corpus(result.sparkSession, folder, extensions), result)
+    if not delete:
+        return gone
+    root = folder.removeprefix("file://")
+
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for path in frame["path"]:
+                Path(root, relative(path)).unlink(missing_ok=True)
+            yield frame
+
+    done = [tuple(r) for r in gone.mapInPandas(remove, "path string").collect()]  # what a person reads: files of one output folder
+    return result.sparkSession.createDataFrame(done, "path string")
+
+
 def leftovers(existing: DataFrame, result: DataFrame) -> DataFrame:
     """Paths that a clean build would delete."""
     return existing.select("path").join(result.select("path"), "path", "left_anti")
