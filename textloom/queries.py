@@ -64,7 +64,9 @@ TABLE, LIST = 18, 27  # lines of the template at which its table and its list be
 
 
 def filled(lines: list[str]) -> Column:
-    """The template's text as a column."""
+    """The lines' text as a column."""
+    if not "".join(lines):
+        return F.lit("\n" * (len(lines) - 1))
     parts: list[Column] = []
     for literal, name in _pieces("\n".join(lines)):
         parts += [F.lit(literal)] if literal else []
@@ -171,16 +173,78 @@ PATCHES: list[tuple[str, dict[str, Any], list[str]]] = [
 ]
 
 
+#: Documents of other shapes: without structure; with carriage returns, so without any header, table or list that ends its
+#: line; with fences that hold a header and a list, a header with an id of its own, an ordered list, a ragged table; empty.
+BARE = ["# Note {id}", "", "plain words from {source}", ""]
+RETURNS = ["---\r", "lang: {lang}\r", "---\r", "## Data\r", "\r", "| key | value |\r", "| --- | --- |\r", "| lang | {lang} |\r", "\r", "- plain\r", "- [x] done\r", ""]
+FENCED = ["```md", "## Summary", "- plain", "| key |", "```", "", "## Links {#links}", "", "1. plain", "2. done", "   more {id}", "", "## Data", "", "| key | v |", "|:--|--:|", "| lang | a |", "| b | ", "~~~js", "let x;", "~~~", ""]
+SHAPES = [TEMPLATE, BARE, RETURNS, FENCED, [""]]
+KIND, MERGED = ("---", "meta:", "  kind: doc", "---"), ("---", "lang: xx", "draft: true", "---")
+WRITTEN = "| :--- | ---: |"
+#: What patches do to those shapes: edits (first line, line after the last, new lines), from the last line to the first. A
+#: shape that isn't named has no match.
+OTHERS: dict[str, dict[int, list[tuple]]] = {
+    "replace": {1: [(2, 3, "simple words from {source}")], 2: [(9, 10, "- simple\r")], 3: [(8, 9, "1. simple"), (2, 3, "- simple")]},
+    "replace_regex": {1: [(0, 1, "# *Note {id}")], 2: [(3, 4, "## *Data\r")], 3: [(12, 13, "## *Data"), (6, 7, "## *Links {#links}"), (1, 2, "## *Summary")]},
+    "prepend_to_file": {k: [(0, 0, "top")] for k in (1, 2, 3, 4)},
+    "append_to_file": {1: [(3, 4, "end")], 2: [(11, 12, "end")], 3: [(21, 22, "end")], 4: [(0, 1, "end")]},
+    "replace_code_block": {3: [(0, 6, "```ts", "let y;", "```")]},
+    "replace_line": {3: [(2, 3, "- line")]},
+    "insert_after_line": {3: [(13, 13, "new")]},
+    "remove_section": {3: [(1, 6)]},
+    "remove_section_only": {3: [(1, 6)]},
+    "replace_section": {3: [(2, 6, "short")]},
+    "prepend_to_section": {3: [(13, 13, "new")]},
+    "append_to_section": {3: [(6, 6, "new")]},
+    "replace_in_section": {3: [(8, 9, "1. x")]},
+    "rename_header": {3: [(12, 13, "## Facts")]},
+    "move_section": {3: [(22, 22, "## Summary", "- plain", "| key |", "```", ""), (1, 6)]},
+    "move_section_back": {3: []},
+    "insert_section": {3: [(12, 12, "## Notes", "", "none", "")]},
+    "set_frontmatter": {k: [(0, 0, *KIND)] for k in (1, 2, 3, 4)},
+    "merge_frontmatter": {k: [(0, 0, *MERGED)] for k in (1, 2, 3, 4)},
+    "add_table_row": {3: [(17, 17, "| new |  |"), (15, 16, WRITTEN)]},
+    "add_table_column": {3: [(14, 17, "| key | v | unit |", WRITTEN + " --- |", "| lang | a | - |")]},
+    "rename_table_column": {3: [(14, 16, "| key | what |", WRITTEN)]},
+    "sort_table": {3: [(15, 16, WRITTEN)]},
+    "filter_table_rows": {3: [(15, 17, WRITTEN)]},
+    "add_list_item": {3: [(9, 9, "1. new")]},
+    "remove_list_item": {3: [(9, 11)]},
+    "set_list_item": {3: [(9, 10, "1. ready")]},
+    "sort_list": {3: []},
+    "filter_list_items": {3: [(9, 11)]},
+}
+
+
+def changed_shape(k: int, edits: list[tuple]) -> list[str]:
+    out = list(SHAPES[k])
+    for start, end, *new in edits:
+        out[start:end] = new
+    return out
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content, doc_id: documents of all shapes, by their id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    content = filled(TEMPLATE)
+    for k in range(1, len(SHAPES)):
+        content = F.when(F.col("doc_id") % len(SHAPES) == k, filled(SHAPES[k])).otherwise(content)
+    return docs.select(path_column().alias("path"), content.alias("content"), "doc_id")
+
+
 def patch_query(patch: dict) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = build.apply_patches(corpus(spark, sf_dir), [patch])
-        return out.select("doc_id", "content", F.col("applied").cast("long").alias("applied"))
+        out = build.apply_patches(shapes(spark, sf_dir), [patch])
+        return out.select("doc_id", "content", F.col("applied").cast("long").alias("applied"), F.size("warnings").cast("long").alias("warnings"))
 
     return run
 
 
-def patch_sql(lines: list[str]) -> str:
-    return f"SELECT doc_id, {filled_sql(lines)} AS content, CAST(1 AS BIGINT) AS applied FROM documents"
+def patch_sql(name: str, lines: list[str]) -> str:
+    some = OTHERS.get(name, {})
+    cases = " ".join(f"WHEN {k} THEN {filled_sql(changed_shape(k, some.get(k, []))) or repr('')}" for k in range(1, len(SHAPES)))
+    hit = f"doc_id % {len(SHAPES)} IN ({', '.join(map(str, [0, *some]))})"
+    return f"SELECT doc_id, CASE doc_id % {len(SHAPES)} {cases} ELSE {filled_sql(lines)} END AS content, CAST(CASE WHEN {hit} THEN 1 ELSE 0 END AS BIGINT) AS applied, CAST(CASE WHEN {hit} THEN 0 ELSE 1 END AS BIGINT) AS warnings FROM documents"
 
 
 # Text and line patches on the documents' own texts, with counts.
@@ -306,23 +370,44 @@ def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Structured files.
 
 
+#: Contents of structured files, by their number: nested values, an empty file, one whose root is no map.
+NESTED = '{"id": {id}, "a": {"c": [1, "x"], "d": null}, "k": {k}}'
+FILES_OF = [NESTED, "", "[1]"]
+
+
+def put(text: str, number: Column, k: Column) -> Column:
+    return F.replace(F.replace(F.lit(text), F.lit("{id}"), number), F.lit("{k}"), k)
+
+
 def json_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.concat(F.lit("e/"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.col("props").alias("content"))
+    number, k = F.col("event_id").cast("string"), F.get_json_object("props", "$.k")
+    content = put(NESTED, number, k)
+    for n in (1, 2):
+        content = F.when(F.col("event_id") % 3 == n, F.lit(FILES_OF[n])).otherwise(content)
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("e/"), number, F.lit(".json")).alias("path"), content.alias("content"))
 
 
 def json_query(patch: dict) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = build.apply_patches(json_corpus(spark, sf_dir), [patch])
-        return out.select("path", F.get_json_object("content", "$.k").alias("k"), F.get_json_object("content", "$.a.b").alias("b"), F.col("applied").cast("long").alias("applied"))
+        return out.select("path", "content", F.col("applied").cast("long").alias("applied"))
 
     return run
 
 
-EVENT_SQL = "'e/' || CAST(event_id AS VARCHAR) || '.json' AS path"
+def json_sql(full: str, empty: str | None) -> str:
+    """Whole files: of nested values, and of an empty file if it changes. A file whose root is no map never does."""
+    text = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    some = f"replace(replace({text(full)}, '{{id}}', CAST(event_id AS VARCHAR)), '{{k}}', props->>'$.k')"
+    applied = "event_id % 3 = 0" if empty is None else "event_id % 3 < 2"
+    return f"SELECT 'e/' || CAST(event_id AS VARCHAR) || '.json' AS path, CASE event_id % 3 WHEN 0 THEN {some} WHEN 1 THEN {text(empty or '')} ELSE '[1]' END AS content, CAST(CASE WHEN {applied} THEN 1 ELSE 0 END AS BIGINT) AS applied FROM events"
+
+
+BEGIN = '{\n  "id": {id},\n  "a": {\n    "c": [\n      1,\n      "x"\n    ],\n    "d": null'
 JSON: list[tuple[str, dict, str]] = [
-    ("json_set", {"op": "json-set", "path": "a.b", "value": 1}, f"SELECT {EVENT_SQL}, props->>'$.k' AS k, '1' AS b, CAST(1 AS BIGINT) AS applied FROM events"),
-    ("json_delete", {"op": "json-delete", "path": "k"}, f"SELECT {EVENT_SQL}, CAST(NULL AS VARCHAR) AS k, props->>'$.a.b' AS b, CAST(CASE WHEN props->>'$.k' IS NULL THEN 0 ELSE 1 END AS BIGINT) AS applied FROM events"),
-    ("json_merge", {"op": "json-merge", "value": {"a": {"b": "x"}, "k": 0}}, f"SELECT {EVENT_SQL}, '0' AS k, 'x' AS b, CAST(1 AS BIGINT) AS applied FROM events"),
+    ("json_set", {"op": "json-set", "path": "a.b", "value": 1}, json_sql(BEGIN + ',\n    "b": 1\n  },\n  "k": {k}\n}', '{\n  "a": {\n    "b": 1\n  }\n}')),
+    ("json_delete", {"op": "json-delete", "path": "k"}, json_sql(BEGIN + "\n  }\n}", None)),
+    ("json_merge", {"op": "json-merge", "value": {"a": {"b": "x"}, "k": 0}}, json_sql(BEGIN + ',\n    "b": "x"\n  },\n  "k": 0\n}', '{\n  "a": {\n    "b": "x"\n  },\n  "k": 0\n}')),
 ]
 
 # Patches by documents.
@@ -689,7 +774,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {f"patch_{name}": patch_sql(lines) for name, _, lines in PATCHES}
+    out = {f"patch_{name}": patch_sql(name, lines) for name, _, lines in PATCHES}
     out |= {name: sql for name, _, sql in TEXT}
     out |= {f"file_{name}": CORPUS_SQL.replace(" FROM documents", f", {CONTENT} AS content FROM documents") + sql for name, _, sql in FILES}
     out |= {name: sql for name, _, sql in JSON}
