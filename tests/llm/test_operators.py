@@ -10,9 +10,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
-from tests.llm.conftest import CLASHES, EDGE, FRENCH, prose
+from tests.llm.conftest import CLASHES, EDGE, FRENCH, WORDS, prose
 from textloom.llm import fingerprint, html_text, jaccard, langid, linededup, lm, media, mixing, packing, secret_scan
 from textloom.llm.queries import tokenizer_path
 
@@ -30,10 +32,10 @@ def full(text):
 
 def test_packing_places_every_id_once(make):
     out = packing.pack(make(EDGE, CLASHES), tokenizer_path(), keep_ids=True).toPandas()
-    encode = packing.Encoder(tokenizer_path())
+    plain = Tokenizer.from_file(tokenizer_path())
     for i, t in dict(EDGE).items():
         own = out[out.doc_id == i].sort_values("start")
-        ids = np.concatenate([np.frombuffer(encode.whole.encode(full(t), add_special_tokens=False).ids and np.array(encode.whole.encode(full(t), add_special_tokens=False).ids, "<u4").tobytes() or b"", "<u4"), [0]])
+        ids = [*plain.encode(full(t), add_special_tokens=False).ids, 0]
         times = sum(1 for j, _ in EDGE if j == i)
         assert own.length.sum() == times * len(ids) and set(own.doc_tokens) == {len(ids)}
         first = own.drop_duplicates("start")
@@ -68,11 +70,31 @@ def test_nnls_explains_a_mix():
     assert abs(np.bincount(combos.ravel(), np.repeat(x, 3), 1025)[[512, 256, 768]] - [20, 10, 10]).max() < 0.5
 
 
-def test_encoder_equals_the_tokenizer():
-    e = packing.Encoder(tokenizer_path())
-    texts = ["", " x", "x ", "  a  b", "a\n\n b", "<|endoftext|> hi", "a\0b c", "don't it's  ok\t\tz", "é ñ x 　y", "a \x1c b", "a  b", "x" * 5000, *(full(t) for _, t in EDGE[:-2])]
-    for t in texts:
-        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.whole.encode(t, add_special_tokens=False).ids, repr(t)
+PARTS_OF_TEXTS = [" ", "  ", "\n", "\t", "a", "B's", "'s", " 's", "don't", "é", "漢字", "😀", "\0", "<|endoftext|>", "<|endof", "1234", "_", "--", "\xa0", "　", "\x1c", "\x85", "ab cd", "x" * 30, " \n ", "\r\n", "'ll", "ﬁ", "\u0301", "٣", "\ufeff"]
+
+
+def test_encoder_equals_the_plain_tokenizer(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 500)
+    rng = random.Random(5)
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = ["".join(rng.choice(PARTS_OF_TEXTS) for _ in range(rng.randrange(14))) for _ in range(6000)] + ["", " x", "x ", "<|endoftext|> hi", "a\0b c", "x" * 5000, *(full(t) for _, t in EDGE)]
+    e = packing.Encoder(tokenizer_path(), 7)
+    for at in range(0, len(texts), 400):
+        some = texts[at : at + 400]
+        for t, ids in zip(some, e.encode(pa.array(some, pa.string())), strict=True):
+            assert ids.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 7], repr(t)
+    assert e.encode(pa.array([], pa.string())) == []
+    assert 50256 in e.encode(pa.array(["a <|endoftext|> b"]))[0]
+
+
+def test_packing_without_rows(make):
+    out = packing.pack(make([], CLASHES), tokenizer_path())
+    assert out.count() == 0 and out.columns[:5] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+
+def test_packing_null_ids(make):
+    out = got(packing.pack(make([(None, "a b"), (None, "c"), (None, None)]), tokenizer_path()), "doc_id", "doc_tokens", "offset", "sequence_id")
+    assert sorted(n for _, n, _, _ in out) == [1, 2, 3] and all(i is None for i, *_ in out) and sorted((s, o) for *_, o, s in out)[0] == (0, 0)
 
 
 def test_sequences_hold_ids_in_order(make):
@@ -159,6 +181,19 @@ def test_flight_keeps_both_totals():
     assert abs(q.sum() - p.sum()) < 1e-6 and abs((q * x).sum() - (p * x).sum()) < 1e-3
 
 
+def test_mix_splits_rows_that_are_alike(make, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 100)
+    monkeypatch.setattr("textloom.llm.base.SPREAD", 5)
+    seen = []
+    plain = mixing.flier
+    monkeypatch.setattr(mixing, "flier", lambda level: seen.append(level) or plain(level))
+    rows = [(None, "same words here", "en", "a")] * 2000 + [(k, prose(random.Random(k), 50), "en", "bcdefgh"[k % 7]) for k in range(1400)]
+    out = mixing.mix(make(rows)).toPandas()
+    same = out[out.doc_id.isna()]
+    assert len(out) == 3400 and abs(same.taken.sum() - same.target.iloc[0]) <= 0.02 * same.target.iloc[0] and (same.taken <= 6).all()
+    assert len(seen) > 1
+
+
 def test_mix_edges(make):
     assert len(got(mixing.mix(make(EDGE, CLASHES)), "doc_id", "taken")) == len(EDGE)
     assert got(mixing.mix(make([])), "doc_id") == []
@@ -446,6 +481,29 @@ def test_jaccard_equals_brute_force(make):
     assert got(jaccard.join(make([])), "doc_id") == []
 
 
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components(spark, monkeypatch, local):
+    from textloom.llm import graph
+
+    monkeypatch.setattr(graph, "LOCAL", local)
+    edges = [(k, k + 1) for k in range(28) if k % 7] + [(100, 1), (3, 100), (5, 5), (-4, -9), (-9, -4)]
+    got_ = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    want = {n: min(g) for g in ([*range(1, 8), 100], *([*range(k, k + 7)] for k in range(8, 28, 7)), [-9, -4]) for n in g}
+    assert got_ == want
+
+
+@pytest.mark.parametrize("share", [1, 1000])
+def test_hot_keys_are_dealt_and_joined_alike(spark, monkeypatch, share):
+    from textloom.llm import base
+
+    monkeypatch.setattr(base, "SHARE", share)
+    monkeypatch.setattr(base, "SPREAD", 3)
+    rows = [(k % 5 and 7, k) for k in range(200)] + [(None, 1), (8, 2)]
+    out = base.hot_join(spark.createDataFrame(rows, "k long, v long"), spark.createDataFrame([(7, "a"), (0, "b"), (9, "c")], "k long, w string"), "k")
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(map(tuple, out.select("k", "v", "w").collect()), key=key) == sorted([(k, v, {7: "a", 0: "b"}.get(k)) for k, v in rows], key=key)
+
+
 def test_salted_buckets_lose_nothing(make, monkeypatch):
     rng = random.Random(10)
     base = prose(rng, 90).split()
@@ -508,6 +566,30 @@ def test_forward_backward_equals_enumeration():
         at += n
 
 
+def test_spans_of_a_code_switched_text(make):
+    rng = random.Random(21)
+    rows = [(k, prose(rng, 120, FRENCH if k % 2 else WORDS), "fr" if k % 2 else "en") for k in range(200)]
+    mixed = [prose(rng, 60), prose(rng, 40, FRENCH), prose(rng, 50)]
+    out = dict(got(langid.spans(make([*rows, (9001, " ".join(mixed), None), (9002, None, None), (9003, "", None)])), "doc_id", "spans"))
+    assert out[9002] == [] and out[9003] == []
+    labels = [x["lang"] for x in out[9001] for _ in range(x["first_word"], x["after_word"])]
+    truth = ["en"] * 60 + ["fr"] * 40 + ["en"] * 50
+    assert len(labels) == 150 and sum(a == b for a, b in zip(labels, truth)) >= 143
+    assert len(out[9001]) <= 7 and all(0 <= x["score"] <= 1 for x in out[9001])
+
+
+def test_training_windows_come_from_all_over_a_text():
+    text = " ".join(str(k) for k in range(10_000))
+    words = [int(w) for w in langid.windows_of(text, 5).split()]
+    assert len(words) == langid.WINDOWS * langid.LENGTH and max(words) > 5000 and words == sorted(words)
+    assert langid.windows_of(" a  b\n", 5) == "a b" and langid.windows_of("", 5) == "" and langid.windows_of(text, 5) != langid.windows_of(text, 6)
+
+
+def test_languages_of_nulls_and_ties(make):
+    out = got(langid.predict(make([(None, "le chat", "fr"), (1, "the cat", "en"), (1, "the cat", "en"), (2, "zzz", None)])), "doc_id", "lang_pred")
+    assert len(out) == 4 and out.count((1, out[1][1])) == 2
+
+
 def test_language_without_labels(make):
     assert got(langid.predict(make([(1, "some words", None)])), "lang_pred", "score") == [("und", 0.0)]
     assert got(langid.predict(make([])), "doc_id") == []
@@ -525,7 +607,10 @@ def test_language_without_labels(make):
         ("<ul><li>a<li>b<ol start=3><li>c</ol></ul>x", "- a\n- b\n  3. c\n\nx"),
         ("<table><tr><th>k<th>value<tr><td>long<td>1</table>", "k     value\nlong  1"),
         ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
-        ("<div style='display: none'>x</div><p hidden>y</p><span aria-hidden=true>z</span>ok", "ok"),
+        ("<div style='display: none'>x</div><p hidden>y</p><span aria-hidden=true>z</span>ok", "zok"),
+        ("<dialog>a</dialog><dialog open>b</dialog><select><option>c<option selected>d</select><map><area>e</map>", "b\nde"),
+        ("<table><tr><td colspan=1000>head<td>x<tr><td>a<td>b</table>", "head     x\na     b"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
         ("<script>var t='</p>';</script><style>p{}</style>t<!-- c --><title>q</title>", "t"),
         ("<pre>\n a\n  b</pre>c", " a\n  b\n\nc"),
         ("&lt;a&gt; &amp;&nbsp;b &#233;", "<a> &\xa0b é"),
@@ -539,6 +624,41 @@ def test_rendering(page, text):
     assert html_text.text_of(page) == text
 
 
+def test_cells_stand_where_a_full_grid_has_them():
+    rng = random.Random(13)
+    for _ in range(200):
+        rows, want, taken = [], [], set()
+        height = rng.randrange(1, 6)
+        for r in range(height):
+            rows.append([])
+            want.append([])
+            c = 0
+            for _ in range(rng.randrange(0, 5)):
+                across, down = rng.choice([1, 1, 2, 5]), rng.choice([1, 1, 2, 9])
+                while (r, c) in taken:
+                    c += 1
+                rows[-1].append(html_text.Node("td", {"colspan": str(across), "rowspan": str(down)}))
+                want[-1].append(c)
+                taken |= {(r + y, c + x) for y in range(min(down, height - r)) for x in range(across)}
+                c += across
+        assert [[c for c, _ in row] for row in html_text.places(rows)] == want
+
+
+def test_hostile_tables_are_laid_out_soon():
+    import time
+
+    began = time.process_time()
+    html_text.text_of("<table>" + "<tr>" + "".join("<td colspan=1000 rowspan=65534>x" for _ in range(30)) * 1 + "".join("<tr>" + "<td rowspan=9999>y" * 30 for _ in range(300)) + "</table>")
+    assert time.process_time() - began < 10
+
+
+def test_extract_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, "<p>x", 1), (1, None, 2), (1, "<p>" + "long " * 50_000, 3)], "page_id int, html string, batch int")
+    out = {r["batch"]: r for r in html_text.extract(df).collect()}
+    assert out[1]["text"] == "x" and out[1]["page_id"] is None and out[2]["text"] == "" and len(out[3]["text"]) == 249_999
+    assert html_text.extract(df.limit(0), drop=True).collect() == []
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "<p>x", "old"), (2, None, "old"), (2, None, "old")], "page_id int, html string, text string")
     assert sorted(got(html_text.extract(df, drop=True), "page_id", "text")) == [(1, "x"), (2, ""), (2, "")]

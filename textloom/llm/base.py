@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the word rule, as a 256-entry table.
 SPACE = np.zeros(256, bool)
@@ -24,7 +25,11 @@ FOLD[65:91] += 32
 #: Java pattern of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass handles; longer documents make a pass of their own.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 19
+#: Rows of an Arrow batch while a cut is written: what a worker holds at once doesn't follow the size of its partition.
+ARROW_ROWS = 2000
+#: A key of more than one row in so many is dealt over SPREAD tasks; so there are at most SHARE such keys.
+SHARE, SPREAD = 1000, 64
 
 _folders: dict[str, SparkSession] = {}
 
@@ -54,10 +59,40 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
     _folders[path] = spark
-    df.write.parquet(path)
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(ARROW_ROWS, int(rows) if int(rows) > 0 else ARROW_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def frequent(counted: DataFrame, key: str, least: int = 0) -> list:
+    """The keys of more than one in SHARE of the rows, and of more than `least`: SHARE values at most."""
+    least = max(counted.count() // SHARE, SPREAD * SPREAD, least)
+    return [r[0] for r in counted.groupBy(key).agg(F.count("*").alias("n")).filter((F.col("n") > least) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
+    """rows with the columns of `table`, which has at most one row a key; null keys and those that it lacks get nulls.
+
+    Frequent keys are found first. `counted`: a table, cheaper to read, that has each key as often as rows.
+    """
+    return spread_join(rows, table, [key], frequent(rows if counted is None else counted, key), "left")
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], often: list, how: str) -> DataFrame:
+    """A join whose rows with frequent values of the first key are dealt over SPREAD tasks, to each of which the table's
+    rows of that value go."""
+    if not often:
+        return rows.join(table, keys, how)
+    hot = F.col(keys[0]).isin(often)
+    left = rows.withColumn("_salt", F.when(hot, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")).otherwise(0))
+    right = table.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,20 +1,27 @@
 """N-gram Jaccard join: which documents share at least 80 % of their word 5-grams, exactly, and what they connect.
 
-1. Shingling gives each document its set of 64-bit shingle hashes and a signature of that set. Documents with one set are
-   one node from here on, so exact copies never meet each other.
+1. Shingling gives each document its set of 64-bit shingle hashes, a signature of that set and a sketch: how many of its
+   hashes are in each of 64 equal ranges. Documents with one set are one node from here on, so exact copies never meet.
 2. A fixed table of 2**21 counters, summed over all documents, orders shingles rare first: by the logarithm of their
    counter, then by hash. Any total order makes prefix filtering exact; this one keeps frequent shingles out of prefixes.
 3. Each set sends its prefix, the n - ceil(0.8 n) + 1 rarest shingles, to the shingles' buckets. Sets that meet nowhere
    can't be similar.
-4. In each bucket every set is paired with one hub only, the member least edited. Buckets of very frequent shingles are salted, and their hubs meet in a second round. Pairs that pass the length and positional
-   filters are verified once, after a suffix filter, on the whole sets.
-5. Components of those links tell which bucket members are connected already. In a few more rounds members of other
-   components meet a bucket's largest one, by its least edited member. At last all pairs of a bucket between different
-   components are verified, so no link that could change a component is lost.
+4. In each bucket every set is paired with one hub only, the member least edited. Buckets of very frequent shingles are
+   salted, and their hubs meet in a second round. Pairs that pass the length and positional filters, then the suffix filter
+   (the ranges of two sketches bound what can be common), are verified once on the whole sets.
+5. Components of those links tell which members of buckets of three and more are connected already. Of buckets with the
+   same members, as the shingles of a shared passage make, one goes on. While pairs across
+   components would outnumber the rows many times, members of other components meet their bucket's largest one, by its
+   least edited member. At last the pairs of different components that pass all filters are verified, found by blocks of
+   members against blocks, so no link that could change a component is lost.
+
+Whole texts are read three times as a rule: for signatures, prefixes, and the few sets that stand in a pair. A bucket, a
+hub, a set of copies or a component that holds many rows is dealt over many tasks by counts taken before.
 
 Null text is empty. A document without words has an empty set, is linked with nothing and is its own component. With
-fewer than five words the whole sequence is its one shingle. Rows that repeat are nodes of one set. Only the id and the
-text are read. Hash equality of 64 bits stands for equality of shingles and of sets.
+fewer than five words the whole sequence is its one shingle. Rows that repeat are nodes of one set. An empty table gives an
+empty result. Only the id and the text are read, so other columns can have any name. Null ids are ids like others, and the
+smallest. Hash equality of 64 bits stands for equality of shingles and of sets.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.base import buffers, cut, mix, shingle_sets, slices
+from textloom.llm.base import buffers, cut, hot_join, mix, shingle_sets, slices
 from textloom.llm.graph import components
 
 WIDTH = 5
@@ -38,8 +45,13 @@ COUNTERS, PARTS = 1 << 21, 256
 BITS = 1 << 26
 #: Salts of a bucket whose shingle's counter stands out.
 SALTS = 64
-#: Rounds in which members meet their buckets' largest components before all remaining pairs do.
-ROUNDS = 3
+#: Rounds, at most, in which members meet their buckets' largest components before all remaining pairs do, and how many
+#: remaining pairs a row are worth a round. Neither changes the result.
+ROUNDS, DENSE = 3, 4
+#: Ranges of a sketch, and the largest set that has one: sketches hold 16-bit counts.
+RANGES, SKETCHED = 64, (1 << 16) - 1
+#: Members of a block of a bucket.
+BLOCK = 256
 MASKS = mix(np.arange(1, SALTS + 1, dtype=np.uint64))
 
 
@@ -50,33 +62,37 @@ def signatures(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix(total[ends[1:]] - total[ends[:-1]] + n.astype(np.uint64)).view(np.int64)
 
 
+def sketches(sets: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
+    """Counts of each set's members by range, for sets that are not too large for 16 bits."""
+    n = np.diff(ends)
+    at = np.repeat(np.arange(len(n)) * RANGES, n) + (sets >> np.uint64(58)).astype(np.int64)
+    counts = np.bincount(at, minlength=len(n) * RANGES).reshape(-1, RANGES).astype(np.uint16)
+    return [row.tobytes() if size <= SKETCHED else None for row, size in zip(counts, n.tolist(), strict=True)]
+
+
 def shingled(df: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, sig) and, where doc_id and n are null, parts of a task's counters (part, counts)."""
+    """Rows of documents (doc_id, n, sig, sketch) and, where n is null, parts of a task's counters (part, counts)."""
     kind = df.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "sig", "part", "counts"]
+    names = ["doc_id", "n", "sig", "sketch", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, np.uint8)
+        counters = np.zeros(COUNTERS, np.uint32)
         type_ = None
         for batch in batches:
             raw, ends = buffers(batch.column(1))
             type_ = batch.column(0).type
-            n, sig = [], []
             for a, b in slices(ends):
                 sets, at = shingle_sets(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], WIDTH)
-                n.append(np.diff(at))
-                sig.append(signatures(sets, at))
-                seen = np.bincount((sets & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                np.minimum(seen + counters, 255, out=seen)
-                counters[:] = seen
-            if n:
-                k = batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(sig)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                np.add.at(counters, (sets & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(signatures(sets, at)), pa.array(sketches(sets, at), pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names
+                )
         if type_ is not None:
-            parts = [x.tobytes() for x in counters.reshape(PARTS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, type_), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
+            parts = [x.tobytes() for x in np.minimum(counters, 255).astype(np.uint8).reshape(PARTS, -1)]
+            null = lambda t: pa.nulls(PARTS, t)
+            yield pa.RecordBatch.from_arrays([null(type_), null(pa.int64()), null(pa.int64()), null(pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return df.mapInArrow(run, f"doc_id {kind}, n long, sig long, part int, counts binary")
+    return df.mapInArrow(run, f"doc_id {kind}, n long, sig long, sketch binary, part int, counts binary")
 
 
 def levels(parts: DataFrame) -> np.ndarray:
@@ -98,20 +114,21 @@ def levels(parts: DataFrame) -> np.ndarray:
 
 
 def prefixes(df: DataFrame, shared, hot: int) -> DataFrame:
-    """Dealt by key: key, h, sig, n, pos, salted of the rarest shingles of every distinct set of a slice.
+    """Dealt by key: key, h, sig, n, pos, salted of the rarest shingles of every distinct set of a task.
 
     The key is the shingle's hash, changed by one of SALTS masks where its counter stands out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
+        level, known = shared.value, set()  # sets of this task: copies send one prefix
         for batch in batches:
             raw, ends = buffers(batch.column(1))
             for a, b in slices(ends):
                 sets, at = shingle_sets(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], WIDTH)
                 sig, n = signatures(sets, at), np.diff(at)
                 _, first = np.unique(sig, return_index=True)
-                first = first[n[first] > 0]
+                first = np.array([k for k in first.tolist() if n[k] and int(sig[k]) not in known], np.int64)
+                known.update(sig[first].tolist())
                 high = level[(sets & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 key = (high.astype(np.uint64) << np.uint64(56)) | (sets >> np.uint64(8))
                 take = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
@@ -145,7 +162,7 @@ def possible(n: Column, pos: Column, m: Column, at: Column) -> Column:
 
 
 def hubs(rows: DataFrame, *by: str) -> DataFrame:
-    """Each row with its bucket's hub and whether others than the hub are there.
+    """Each row with its bucket's hub, and whether others than the hub are there.
 
     The hub is the member with the fewest rarer shingles before the bucket's: of near copies the one least edited, to
     which the others are nearest.
@@ -155,6 +172,30 @@ def hubs(rows: DataFrame, *by: str) -> DataFrame:
     return rows.withColumn("hub", hub).withColumn("many", F.min("sig").over(bucket) != F.max("sig").over(bucket))
 
 
+def described(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of buckets with `group`, what identifies a bucket's members if they are more than two, and `lead`, the first of
+    them by signature with its place. Two halves of a hash are summed, so that copies don't cancel out."""
+    bucket = Window.partitionBy(by)
+    hash_ = F.xxhash64("sig")
+    half = lambda x: F.sum(x).over(bucket)
+    group = F.struct(F.count("*").over(bucket).alias("k"), half(hash_.bitwiseAND(0xFFFFFFFF)).alias("low"), half(F.shiftrightunsigned(hash_, 32)).alias("high"))
+    lead = F.min(F.struct("sig", "pos")).over(bucket)
+    return rows.withColumn("group", group).withColumn("group", F.when(F.col("group.k") > 2, F.col("group"))).withColumn("lead", F.when(F.col("group.k") > 2, lead))
+
+
+def remaining(rows: DataFrame) -> DataFrame:
+    """h, sig, n, pos, salted of the buckets that have pairs beside those with the hub.
+
+    A passage that documents share makes a bucket of each of its shingles, all with the same members. Of such buckets one
+    is enough, that of the rarest shingle: there the positional filter holds. A bucket's place in the order of any one
+    member is its place among them.
+    """
+    whole = rows.filter(F.col("group").isNotNull() & ~F.col("salted"))
+    kept = whole.filter(F.col("sig") == F.col("lead.sig")).groupBy("group").agg(F.min(F.struct(F.col("lead.pos").alias("p"), "h")).alias("first")).select(F.col("first.h").alias("h"))
+    some = whole.join(kept.distinct(), "h", "left_semi").unionByName(rows.filter("salted"))
+    return cut(some.select("h", "sig", "n", "pos", "salted").distinct(), "members")
+
+
 def paired(rows: DataFrame) -> DataFrame:
     other = F.col("sig") != F.col("hub.sig")
     fit = possible(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"))
@@ -200,52 +241,125 @@ def whole_sets(df: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array([sets[begin[k] : begin[k + 1]].tobytes() for k in keep], pa.binary())], ["sig", "members"])
 
     hashed = df.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("long").alias("bit"))
-    return cut(hashed.mapInArrow(run, "sig long, members binary"), "sets")
+    out = cut(hashed.mapInArrow(run, "sig long, members binary"), "sets")
+    shared.destroy()
+    return out
 
 
 def wanted(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """ids of the sets that stand in any pair."""
     some = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    return ids.join(some, "sig", "left_semi")
+    return ids.select("sig", "one").join(some, "sig", "left_semi")
+
+
+def near_enough(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The suffix filter: pairs whose sketches leave room for enough common members. Pairs of very large sets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.full(RANGES, SKETCHED, np.uint16).tobytes()
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(p or whole for p in batch.column(c).to_pylist()), np.uint16).reshape(-1, RANGES).astype(np.int64) for c in ("x", "y"))
+            enough = np.minimum(x, y).sum(1) * (NUMERATOR + DENOMINATOR) >= (x.sum(1) + y.sum(1)) * NUMERATOR
+            null = batch.column("x").is_null().to_numpy(zero_copy_only=False) | batch.column("y").is_null().to_numpy(zero_copy_only=False)
+            keep = pa.array(enough | null)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return cut(attached(cut(pairs, "candidates"), ids.select("sig", "sketch")).mapInArrow(run, "a long, b long"), "pairs")
 
 
-def placed_members(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """h, sig, n, pos, root of all members of buckets; a set without a link is its own root."""
-    root = joined.withColumnRenamed("node", "sig")
-    return rows.select("h", "sig", "n", "pos").distinct().join(root, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+def attached(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with x and y, what `sets` (sig and a value) has of both. Pairs of a set that has many are dealt over tasks."""
+    value = next(c for c in sets.columns if c != "sig")
+    x, y = (sets.select(F.col("sig").alias(side), F.col(value).alias(name)) for side, name in (("a", "x"), ("b", "y")))
+    return hot_join(hot_join(pairs, x, "a"), y, "b", pairs).select("a", "b", "x", "y")
 
 
-def toward_largest(members: DataFrame) -> DataFrame:
-    """Pairs of each bucket's members with the least edited one of its most frequent component, if they are of another."""
-    bucket = Window.partitionBy("h")
-    sized = members.withColumn("m", F.count("*").over(Window.partitionBy("h", "root")))
-    hub = F.min(F.struct((-F.col("m")).alias("m"), "root", "pos", "n", F.xxhash64("sig").alias("o"), "sig")).over(bucket)
-    return paired(sized.withColumn("hub", hub).filter(F.col("root") != F.col("hub.root"))).distinct()
+def placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members with their root; a set without a link is its own root."""
+    return members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+
+
+def divided(members: DataFrame) -> DataFrame:
+    """h, salted, size, pairs (of different roots) and hub of buckets with more than one root. The hub is the least edited
+    member of the most frequent root. Counts are summed before they move."""
+    of_root = members.groupBy("h", "root").agg(F.count("*").alias("m"), F.min(F.struct("pos", "n", F.xxhash64("sig").alias("o"), "sig")).alias("best"), F.max("salted").alias("salted"))
+    hub = F.min(F.struct((-F.col("m")).alias("m"), "root", "best"))
+    out = of_root.groupBy("h").agg(F.max("salted").alias("salted"), F.sum("m").alias("size"), F.sum(F.col("m").cast("double") * F.col("m")).alias("same"), hub.alias("hub"))
+    out = out.withColumn("pairs", (F.col("size").cast("double") * F.col("size") - F.col("same")) / 2).filter("pairs > 0")
+    return out.select("h", "salted", "size", "pairs", F.col("hub.root").alias("hub_root"), F.col("hub.best").alias("hub"))
+
+
+def in_buckets(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """members of the buckets, with the buckets' columns; members of frequent shingles by salts."""
+    salt = F.when(F.col("salted"), F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("salted"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return members.withColumn("_salt", salt).join(buckets.withColumn("_salt", F.explode(salts)).drop("salted"), ["h", "_salt"]).drop("_salt")
+
+
+def toward_largest(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Pairs of members with the hub of their bucket, if that is of another root."""
+    return paired(in_buckets(members, buckets).filter(F.col("root") != F.col("hub_root"))).distinct()
+
+
+def across(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Pairs of members of a bucket that have different roots and pass the length and positional filters.
+
+    Members are dealt to blocks; each block meets each, so a bucket makes many small tasks' work.
+    """
+    rows = in_buckets(members, buckets.select("h", "salted", "size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("blocks").cast("long")).cast("int")).select("h", "sig", "n", "pos", "root", "block", "blocks")
+    p = rows.withColumn("to", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).alias("p")
+    q = rows.withColumnRenamed("block", "to").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("to")))).alias("q")
+    fit = possible(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos"))
+    once = (F.col("p.block") < F.col("p.to")) | (F.col("p.sig") < F.col("q.sig"))
+    met = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.block") == F.col("q.block")) & (F.col("p.to") == F.col("q.to")) & (F.col("p.root") != F.col("q.root")) & once & fit)
+    return met.select(F.least("p.sig", "q.sig").alias("a"), F.greatest("p.sig", "q.sig").alias("b")).distinct()
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets are similar enough; a suffix filter first, by counts between fixed pivots."""
-    need = (a.size + b.size) * NUMERATOR  # of (NUMERATOR + DENOMINATOR) * common
-    pivots = (np.arange(1, 16, dtype=np.uint64)) << np.uint64(60)
-    parts = lambda x: np.diff(np.concatenate([[0], np.searchsorted(x, pivots), [x.size]]))
-    if np.minimum(parts(a), parts(b)).sum() * (NUMERATOR + DENOMINATOR) < need:
-        return False
+    """Whether two sorted sets are similar enough."""
     at = np.minimum(np.searchsorted(b, a), b.size - 1)
-    return int((b[at] == a).sum()) * (NUMERATOR + DENOMINATOR) >= need
+    return int((b[at] == a).sum()) * (NUMERATOR + DENOMINATOR) >= (a.size + b.size) * NUMERATOR
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that are similar."""
+    sets = whole_sets(docs, wanted(ids, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            keep = pa.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)], pa.bool_())
+            x, y = batch.column("x"), batch.column("y")
+            keep = pa.array([linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    left = sets.select(F.col("sig").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("sig").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return cut(attached(pairs, sets.groupBy("sig").agg(F.first("members").alias("members"))).mapInArrow(run, "a long, b long"), "links")
+
+
+def connected(docs: DataFrame, ids: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
+    """node, root of every set that has a link. found: the first round's pairs."""
+    pairs = near_enough(found, ids)
+    roots = components(verified(docs, ids, pairs))
+    members = remaining(rows)
+    joined = lambda more: components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    for k in range(ROUNDS + 1):
+        now = placed(members, roots)
+        buckets = cut(divided(now), "divided")
+        left = buckets.agg(F.sum("pairs").alias("pairs"), F.sum("size").alias("rows")).first()
+        if not left["pairs"]:
+            return roots
+        near = k < ROUNDS and left["pairs"] > DENSE * left["rows"]
+        met = toward_largest(now, buckets) if near else across(now, buckets)
+        met = near_enough(met.join(pairs, ["a", "b"], "left_anti"), ids)
+        more = None if met.isEmpty() else verified(docs, ids, met)
+        some = more is not None and not more.isEmpty()
+        roots = joined(more) if some else roots
+        if not near:
+            break
+        pairs = pairs.unionByName(met)
+        if not some:  # the same hubs would meet again
+            met = near_enough(across(now, buckets).join(pairs, ["a", "b"], "left_anti"), ids)
+            return roots if met.isEmpty() else joined(verified(docs, ids, met))
+    return roots
 
 
 def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,37 +370,17 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFr
     nodes = both.filter(F.col("part").isNull()).select("doc_id", "n", "sig")
     level = levels(both.filter(F.col("part").isNotNull()).select("part", "counts"))
     hot = max(int(np.median(level)) + 4, 10)
-    rows = hubs(prefixes(docs, spark.sparkContext.broadcast(level), hot), "key")
+    ids = both.filter(F.col("n") > 0).groupBy("sig").agg(F.min("doc_id").alias("one"), F.first("sketch").alias("sketch"))
+    ids = cut(ids, "ids")
+    shared = spark.sparkContext.broadcast(level)
+    rows = described(hubs(prefixes(docs, shared, hot), "key"), "key")
     rows = cut(rows.filter(F.col("many") | F.col("salted")).drop("key"), "buckets")
-    again = hubs(rows.filter(F.col("salted") & (F.col("sig") == F.col("hub.sig"))).drop("hub", "many"), "h")
-    pairs = cut(paired(rows).unionByName(paired(again)).distinct(), "pairs")
-    ids = nodes.filter(F.col("n") > 0).groupBy("sig").agg(F.min("doc_id").alias("one"))
-    sets = whole_sets(docs, wanted(ids, pairs))
-    links = cut(verified(pairs, sets), "links")
-    joined = components(links)
-    for _ in range(ROUNDS):
-        near = cut(toward_largest(placed_members(rows, joined)).join(pairs, ["a", "b"], "left_anti"), "near")
-        if near.isEmpty():
-            break
-        more = cut(verified(near, whole_sets(docs, wanted(ids, near))), "more")
-        pairs = pairs.unionByName(near)
-        if more.isEmpty():
-            break
-        joined = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    members = placed_members(rows, joined)
-    bucket = Window.partitionBy("h")
-    apart = members.withColumn("apart", F.min("root").over(bucket) != F.max("root").over(bucket)).filter("apart").drop("apart")
-    apart = cut(apart, "apart")
-    p, q = apart.alias("p"), apart.alias("q")
-    cross = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.root") != F.col("q.root")) & (F.col("p.sig") < F.col("q.sig")) & possible(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos")))
-    cross = cross.select(F.col("p.sig").alias("a"), F.col("q.sig").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    cross = cut(cross, "cross")
-    roots = joined
-    if not cross.isEmpty():
-        more = cut(verified(cross, whole_sets(docs, wanted(ids, cross))), "more")
-        roots = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    placed = ids.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = placed.groupBy("root").agg(F.min("one").alias("component_id"))
-    place = placed.join(least, "root").select("sig", "component_id")
-    out = nodes.join(place, "sig", "left")
+    shared.destroy()
+    again = hubs(rows.filter(F.col("salted") & (F.col("sig") == F.col("hub.sig"))).drop("hub", "many", "group", "lead"), "h")
+    roots = connected(docs, ids, rows, paired(rows).unionByName(paired(again)).distinct())
+    known = ids.select("sig", "one").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    known = cut(known, "known")
+    least = known.groupBy("root").agg(F.min("one").alias("component_id"))
+    place = hot_join(known.select("sig", "root"), least, "root").select("sig", "component_id")
+    out = hot_join(nodes, place, "sig")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
