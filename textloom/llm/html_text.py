@@ -6,7 +6,11 @@ block); visibility rules drop what a reader never sees; a renderer then lays the
 collapses, blocks stand on lines of their own, paragraphs are parted by a blank line, list items are marked and indented,
 preformatted text is kept, and the cells of a table are aligned in columns.
 
-Null or empty HTML renders as the empty string. Tags that never close, close twice or nest too deeply (over DEPTH, where
+Hidden are elements that browsers don't lay out, the hidden attribute, display:none, visibility:hidden or collapse in a style
+attribute, and dialogs that aren't open; text hidden from screen readers alone is shown, and of a closed list the option that
+it shows. Columns of a table in which no cell begins take no room, however wide a span is.
+
+Null or empty HTML renders as the empty string, an empty table gives an empty result. Tags that never close, close twice or nest too deeply (over DEPTH, where
 further elements are laid out in place) are no error. Rows are independent; repeated rows render alike; all input columns
 pass through, one named like the output is replaced.
 """
@@ -24,11 +28,13 @@ from pyspark.sql import DataFrame
 from textloom.llm.base import strings
 
 DEPTH = 200
+#: Fixed value: the widest span of columns in HTML.
+WIDEST = 1000
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title noscript".split())
 HEAD = frozenset("base link meta script style title template noscript".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object embed svg math canvas audio video map datalist select option dialog title meta link".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object embed svg math canvas audio video datalist title meta link".split())
 BLOCK = frozenset("address article aside blockquote body center details dd dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table ul caption tr tbody thead tfoot".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 #: Which open elements a start tag closes, up to the nearest of the elements that keep them.
@@ -216,9 +222,26 @@ def visible(node: Node) -> bool:
     a = node.attributes
     if node.name in HIDDEN or "hidden" in a and a["hidden"].lower() != "until-found":
         return False
-    if node.name == "input":
+    if node.name == "input" or node.name == "dialog" and "open" not in a:
         return False
-    return not ("style" in a and INVISIBLE.search(a["style"])) and a.get("aria-hidden", "").lower() != "true"
+    return not ("style" in a and INVISIBLE.search(a["style"]))
+
+
+def options(node: Node) -> list[Node]:
+    out: list[Node] = []
+    for x in node.children:
+        if isinstance(x, Node) and visible(x):
+            out += [x] if x.name == "option" else options(x)
+    return out
+
+
+def shown(select: Node) -> list[Node]:
+    """The options of a closed list that a reader sees: those selected, else the first, where only one can be."""
+    every = options(select)
+    chosen = [x for x in every if "selected" in x.attributes]
+    if "multiple" in select.attributes or number(select.attributes.get("size", ""), 1, 10**6) > 1:
+        return every
+    return chosen[-1:] or every[:1]
 
 
 class Lines:
@@ -323,38 +346,65 @@ def render_table(table: Node, lines: Lines, depth: int) -> None:
     for x in [*captions, *strays(table)]:
         render(x, lines, depth)
         lines.line()
-    grid: list[list[list[str] | None]] = []
-    for r, row in enumerate(rows):
-        while len(grid) <= r:
-            grid.append([])
-        c = 0
-        for cell in row:
-            while c < len(grid[r]) and grid[r][c] is not None:
-                c += 1
+    laid: list[list[tuple[int, list[str]]]] = []
+    size: dict[int, int] = {}
+    for row in places(rows):
+        laid.append([])
+        for c, cell in row:
             inner = Lines()
             for x in cell.children:
                 render(x, inner, depth)
             inner.line()
-            across, down = number(cell.attributes.get("colspan", ""), 1, 50), number(cell.attributes.get("rowspan", ""), 1, max(1, len(rows) - r))
-            for dr in range(down):
-                while len(grid) <= r + dr:
-                    grid.append([])
-                for dc in range(across):
-                    while len(grid[r + dr]) <= c + dc:
-                        grid[r + dr].append(None)
-                    grid[r + dr][c + dc] = inner.done if not dr and not dc else []
-            c += across
-    wide = max((len(r) for r in grid), default=0)
-    full = [[(r[c] if c < len(r) else None) or [] for c in range(wide)] for r in grid]
-    size = [max((width(x) for r in full for x in r[c]), default=0) for c in range(wide)]
+            laid[-1].append((c, inner.done))
+            size[c] = max(size.get(c, 0), max(map(width, inner.done), default=0))
+    begins, total = {}, 0
+    for c in sorted(size):
+        begins[c] = total
+        total += size[c] + 2
     out: list[str] = []
-    for r in full:
-        for k in range(max(map(len, r), default=0)):
-            parts = [(x[k] if k < len(x) else "") for x in r]
-            out.append("  ".join(p + " " * (size[c] - width(p)) for c, p in enumerate(parts)).rstrip())
+    for row in laid:
+        for k in range(max((len(x) for _, x in row), default=0)):
+            text, at = [], 0
+            for c, x in row:
+                if k < len(x) and x[k]:
+                    text += [" " * (begins[c] - at), x[k]]
+                    at = begins[c] + width(x[k])
+            out.append("".join(text).rstrip())
     lines.lay(out)
 
 
+def places(rows: list[list[Node]]) -> list[list[tuple[int, Node]]]:
+    """Each row's cells with the columns in which they begin. Columns in which no cell begins take no room.
+
+    What spans of rows above cover is kept as intervals, so that the widest and longest spans cost no more than others.
+    """
+    out = []
+    over: list[tuple[int, int, int]] = []  # first column, the column after it, the row at which it ends
+    for r, row in enumerate(rows):
+        over = [x for x in over if x[2] > r]
+        new, c, k = [], 0, 0
+        out.append([])
+        for cell in row:
+            while k < len(over) and over[k][0] <= c:
+                c = max(c, over[k][1])
+                k += 1
+            out[-1].append((c, cell))
+            across, down = number(cell.attributes.get("colspan", ""), 1, WIDEST), cell.attributes.get("rowspan", "")
+            down = len(rows) - r if down.strip() == "0" else number(down, 1, len(rows) - r)
+            if down > 1:
+                new.append((c, c + across, r + down))
+            c += across
+        if new:
+            merged: list[tuple[int, int, int]] = []
+            for x in sorted(over + new):
+                if merged and merged[-1][1] == x[0] and merged[-1][2] == x[2]:
+                    merged[-1] = (merged[-1][0], x[1], x[2])
+                else:
+                    merged.append(x)
+            over = merged
+    return out
+
+
 def render(x: Node | str, lines: Lines, depth: int = 0, kept: bool = False) -> None:
     if isinstance(x, str):
         if kept:
@@ -385,6 +435,12 @@ def render(x: Node | str, lines: Lines, depth: int = 0, kept: bool = False) -> N
         return
     if name == "wbr":
         return
+    if name == "select":
+        for k, x in enumerate(shown(x)):
+            lines.inline(" " * (k > 0))
+            for c in x.children:
+                render(c, lines, depth + 1, kept)
+        return
     if name not in BLOCK and name not in ("td", "th"):
         for c in x.children:
             render(c, lines, depth + 1, kept)
