@@ -6,13 +6,16 @@ transition weights tie neighbours. Forward-backward gives each word's probabilit
 is the one with the most probability over its words, weighted by their bytes, and its score is that share.
 
 Training takes at most TRAIN_DOCS labelled documents in all, shared evenly by the languages and picked by hash of id and
-text, and at most TRAIN_WORDS words of each; all words of a document have its label. Prediction reads whole texts.
+text, and of each at most WINDOWS windows of LENGTH words, picked by hash from all over the text; all words of a document
+have its label. One window in SPLICED is made of the halves of two documents' windows, so that transitions learn how
+languages change within a text. Prediction reads whole texts; `spans` tells which words are of which language.
 
 Forward-backward is exact and runs over segments: a matrix product stands for each segment, messages pass from segment
 to segment of a document, then words inside all segments advance together.
 
 A null text, or one without a letter, is `und` with score 0, and so is everything if nothing is labelled. Ties go to the
-language first in code point order. Repeated rows are predicted each. Other columns are never read.
+language first in code point order. Repeated rows are predicted each, an empty table gives an empty result. Other columns
+are never read, and pass through whatever their names; those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -27,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.base import FOLD, buffers, slices, span_hashes, strings, word_bounds
+from textloom.llm.base import FOLD, buffers, mix, slices, span_hashes, strings, word_bounds
 
-TRAIN_DOCS, TRAIN_WORDS = 6000, 400
+#: Bounds of the sample on which the model is fitted.
+TRAIN_DOCS, WINDOWS, LENGTH, SPLICED = 6000, 12, 32, 4
 BUCKETS = 1 << 18
 SEGMENT = 64
 UNDECIDED = "und"
 LETTER = re.compile(r"[^\W\d_]")
-EPOCHS, LENGTH, ROWS, RATE, DECAY = 3, 32, 128, 0.3, 1e-6
+EPOCHS, ROWS, RATE, DECAY = 3, 128, 0.3, 1e-6
 
 
 class Weights(NamedTuple):
@@ -146,12 +150,8 @@ def train(texts: list[str], labels: list[str]) -> Weights:
     raw, ends = buffers(pa.array(texts, pa.string()))
     raw = FOLD[raw]
     starts, stops, first = word_bounds(raw, ends)
-    take = np.concatenate([np.arange(a, min(b, a + TRAIN_WORDS)) for a, b in zip(first[:-1], first[1:], strict=True)]).astype(np.int64)
-    owner = np.repeat(np.array([number[s] for s in labels]), np.minimum(np.diff(first), TRAIN_WORDS))
-    starts, stops = starts[take], stops[take]
-    doc = np.repeat(np.arange(len(texts)), np.minimum(np.diff(first), TRAIN_WORDS))
-    windows = [w for d in np.split(np.arange(len(take)), np.flatnonzero(np.diff(doc)) + 1) for w in np.split(d, range(LENGTH, len(d), LENGTH)) if len(w) == LENGTH or len(d) < LENGTH]
-    windows = [w for w in windows if len(w)]
+    owner = np.repeat(np.array([number[s] for s in labels]), np.diff(first))
+    windows = [np.arange(at, min(at + LENGTH, b)) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True) for at in range(a, b, LENGTH)]
     hashes = span_hashes(raw, starts, stops)
     rng = np.random.default_rng(7)
     seen, seen_move = np.full((BUCKETS + 1, k), 1e-6, np.float32), np.full((k, k), 1e-6)
@@ -159,6 +159,9 @@ def train(texts: list[str], labels: list[str]) -> Weights:
         order = rng.permutation(len(windows))
         for at in range(0, len(order), ROWS):
             chosen = [windows[i] for i in order[at : at + ROWS]]
+            for i in range(0, len(chosen) - 1, SPLICED):
+                x, y = chosen[i], chosen[i + 1]
+                chosen[i] = np.concatenate([x[: len(x) // 2], y[len(y) // 2 :]])
             words = np.concatenate(chosen)
             n = np.array([len(w) for w in chosen])
             _, place, inverse = np.unique(hashes[words], return_index=True, return_inverse=True)
@@ -219,50 +222,85 @@ def expectations(scores: np.ndarray, n: np.ndarray, move: np.ndarray) -> tuple[n
     return p, left.sum((0, 1))
 
 
+def windows_of(text: str, seed: int) -> str:
+    """WINDOWS windows of LENGTH words, by hash from all over the text, in order; the whole text if it has no more."""
+    words = text.encode().split()
+    count = -(-len(words) // LENGTH)
+    if count <= WINDOWS:
+        return b" ".join(words).decode()
+    lots = mix(np.arange(count, dtype=np.uint64) ^ np.uint64(seed))
+    picked = np.sort(np.argpartition(lots, WINDOWS)[:WINDOWS])
+    return b" ".join(b" ".join(words[k * LENGTH : (k + 1) * LENGTH]) for k in picked.tolist()).decode()
+
+
 def sample(docs: DataFrame, limit: int = TRAIN_DOCS) -> tuple[list[str], list[str]]:
-    """At most about `limit` labelled documents, evenly by label, by hash: the same for the same rows."""
+    """Windows of at most about `limit` labelled documents, evenly by label, by hash: the same for the same rows."""
     known = docs.filter(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(limit).collect()}
     if not counts:
         return [], []
     each = max(1, limit // len(counts))
     share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))) for lang, n in sorted(counts.items())))
     lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    got = known.filter(lot < share).select("lang", F.substring("text", 1, TRAIN_WORDS * 40).alias("text"), F.xxhash64("doc_id", "text").alias("h")).toPandas().sort_values(["h", "lang"])
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [windows_of(x, h & ((1 << 64) - 1)) for x, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(texts, pa.string()), batch.column("h")], ["lang", "text", "h"])
+
+    chosen = known.filter(lot < share).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    got = chosen.mapInArrow(cut_out, "lang string, text string, h long").toPandas().sort_values(["h", "lang", "text"])
     return got["text"].tolist(), got["lang"].tolist()
 
 
 _padded: dict[str, np.ndarray] = {}
 
 
+def trained(docs: DataFrame):
+    """The model, broadcast: its size is set by the number of languages alone. docs: doc_id, text, lang, held_out."""
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, train(*sample(docs))))
+
+
+def table_of(shared) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Labels, weights with a row of zeros behind them, and transitions; made once a worker."""
+    key, (labels, emit, move) = shared.value
+    if key not in _padded:
+        _padded.clear()
+        _padded[key] = padded(emit)
+    return labels, _padded[key], move
+
+
+def posteriors(raw: np.ndarray, ends: np.ndarray, emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, stop and probabilities of each word of the texts, and the first word of each text."""
+    part = FOLD[raw]
+    starts, stops, first = word_bounds(part, ends)
+    if not len(starts):
+        return starts, stops, np.zeros((0, len(move))), first
+    hashes, index, inverse = distinct(part, starts, stops)
+    scores = emissions(emit, *features(part, starts[index], stops[index], hashes))[inverse]
+    return starts, stops, posterior(scores, np.diff(first), move), first
+
+
+def inputs(df: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), held_out(F.col(doc_id)).alias("held_out"))
+
+
 def label(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """df with lang_pred and score of every document; columns of those names are replaced."""
-    spark = df.sparkSession
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), held_out(F.col(doc_id)).alias("held_out"))
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, train(*sample(docs))))
+    shared = trained(inputs(df, doc_id, text, lang))
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]
     schema = df.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, (labels, emit, move) = shared.value
-        if key not in _padded:
-            _padded.clear()
-            _padded[key] = padded(emit)
-        emit = _padded[key]
+        labels, emit, move = table_of(shared)
         for batch in batches:
             raw, ends = buffers(batch.column(text))
             lettered = np.array([LETTER.search(x) is not None for x in strings(batch.column(text))], bool)
             best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for a, b in slices(ends) if labels else ():
-                part = FOLD[raw[ends[a] : ends[b]]]
-                starts, stops, first = word_bounds(part, ends[a : b + 1] - ends[a])
-                if not len(starts):
-                    continue
-                hashes, index, inverse = distinct(part, starts, stops)
-                scores = emissions(emit, *features(part, starts[index], stops[index], hashes))[inverse]
-                n = np.diff(first)
-                p = posterior(scores, n, move) * (stops - starts)[:, None]
-                owner = np.repeat(np.arange(b - a), n)
+                starts, stops, p, first = posteriors(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], emit, move)
+                p = p * (stops - starts)[:, None]
+                owner = np.repeat(np.arange(b - a), np.diff(first))
                 mass = np.stack([np.bincount(owner, p[:, c], b - a) for c in range(len(labels))], 1)
                 best[a:b] = mass.argmax(1)
                 score[a:b] = np.divide(mass.max(1), mass.sum(1), out=np.zeros(b - a), where=mass.sum(1) > 0)
@@ -273,6 +311,32 @@ def label(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     return df.select(*kept).mapInArrow(run, schema)
 
 
+def spans(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """doc_id and `spans` of every document: runs of words of one language, as first_word, after_word, lang and score.
+
+    A word's language is its most probable one, a run's score the mean of its words' probabilities of it.
+    """
+    shared = trained(inputs(df, doc_id, text, lang))
+    kind = df.schema[doc_id].dataType.simpleString()
+    run_type = pa.list_(pa.struct([("first_word", pa.int64()), ("after_word", pa.int64()), ("lang", pa.string()), ("score", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, emit, move = table_of(shared)
+        for batch in batches:
+            raw, ends = buffers(batch.column(1))
+            out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for a, b in slices(ends) if labels else ():
+                _, _, p, first = posteriors(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], emit, move)
+                best = p.argmax(1) if len(p) else np.zeros(0, np.int64)
+                for k, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True), a):
+                    edges = [x, *(x + 1 + np.flatnonzero(np.diff(best[x:y]))).tolist(), y] if y > x else []
+                    out[k] = [{"first_word": i - x, "after_word": j - x, "lang": labels[best[i]], "score": float(p[i:j, best[i]].mean())} for i, j in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, run_type)], ["doc_id", "spans"])
+
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return docs.mapInArrow(run, f"doc_id {kind}, spans array<struct<first_word:long,after_word:long,lang:string,score:double>>")
+
+
 def predict(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     out = label(df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")))
