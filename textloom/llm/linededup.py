@@ -10,8 +10,9 @@ run of K words or more, whichever place has it. Every deleted line has an equal
 each repeated run stays.
 
 A gram's places are never paired with each other, only with the first, so a line of a third of all documents costs one
-row each. Null text stays null and has no lines. Rows that repeat id and text are one document: they keep the same lines.
-Ids and texts are the only columns read; all others pass through whatever their names.
+row each; places of grams so frequent are dealt over many tasks. Null text stays null and has no lines, an empty table gives
+an empty result. Rows that repeat id and text are one document: they keep the same lines. Null ids come first. Ids and texts
+are the only columns read; all others pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.base import cut, strings
+from textloom.llm.base import SHARE, SPREAD, cut, spread_join, strings
 
 #: Words of a k-gram, the least that is deleted, and of a window.
 K = 25
@@ -126,8 +127,11 @@ def removals(df: DataFrame, k: int = K) -> DataFrame:
     kind = df.schema["id"].dataType.simpleString()
     known = cut(lines(df, k), "lines").dropDuplicates(["id", "h"])
     prints = known.select("id", "h", F.explode("prints").alias("x")).select("id", "h", "x.*")
-    first = prints.groupBy("f", "g").agg(F.min(F.struct("id", "h", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = prints.join(first, ["f", "g"]).filter(~F.struct("id", "h", "pos").eqNullSafe(F.col("first")))
+    first = prints.groupBy("f", "g").agg(F.min(F.struct("id", "h", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = cut(first, "first")
+    least = max((known.agg(F.sum(F.size("prints"))).first()[0] or 0) // SHARE, SPREAD * SPREAD)
+    often = [r[0] for r in first.filter(F.col("n") > least).select("f").distinct().collect()]  # fewer than SHARE
+    later = spread_join(prints, first.drop("n"), ["f", "g"], often, "inner").filter(~F.struct("id", "h", "pos").eqNullSafe(F.col("first")))
     full = later.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "places", "chosen")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

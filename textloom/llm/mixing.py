@@ -12,8 +12,10 @@ all choices for its last undecided documents, two and LANDING set aside, are com
 nearest the expected total is taken.
 
 Null text has no words; null sources form a source of their own, last in order. Documents without words are taken
-floor(m) times or once more like others, which adds nothing. Repeated rows are documents of their own; where rows share id, text and source, their draws are shared out. Reruns agree:
-all randomness comes from hashes of ids. Other columns of the input play no part.
+floor(m) times or once more like others, which adds nothing. Repeated rows are documents of their own; where rows share id,
+text and source, their draws are shared out. Reruns agree: all randomness comes from hashes of ids and texts, and from the
+numbers of rows where more than a group's rows are alike. An empty table gives an empty result. Other columns of the input
+play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.base import WORD, cut
+from textloom.llm.base import WORD, cut, frequent
 
 #: Fixed values of the contract: weights by the sources' order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -131,6 +133,8 @@ def mix(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: st
     docs = docs.withColumn("base", F.floor(F.col("multiple") + F.lit(NEAR)))
     docs = docs.withColumn("p", F.greatest(F.lit(0.0), F.col("multiple") - F.col("base")))
     rest = docs.filter((F.col("p") > NEAR) & (F.col("size") > 0)).select("place", "row", "size", "h", "p")
+    often = frequent(rest, "h", GROUP)  # rows that repeat so often are dealt to groups by their number
+    lot = F.when(F.col("h").isin(often), F.xxhash64("h", "row")).otherwise(F.col("h")) if often else F.col("h")
     counts = _counted(rest)
     decided = spark.createDataFrame([], "row long, extra int")
     level = 0
@@ -138,7 +142,7 @@ def mix(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: st
         groups = {place: max(1, -(-n // GROUP)) for place, n in counts.items()}
         split = spark.createDataFrame(list(groups.items()), "place int, groups int")
         dealt = rest.join(F.broadcast(split) if len(groups) <= FEW else split, "place")
-        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("h", F.lit(level)), F.col("groups").cast("long")).cast("int"))
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64(lot, F.lit(level)), F.col("groups").cast("long")).cast("int"))
 
         flown = cut(dealt.groupBy("place", "part").applyInPandas(flier(level), "place int, row long, size long, h long, p double"), f"flight{level}")
         done = (F.col("p") == 0) | (F.col("p") == 1)
