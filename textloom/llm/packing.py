@@ -16,85 +16,118 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.base import cut, strings
+from textloom.llm.base import buffers, cut, slices
 
 WINDOW = 1024
 CHUNKS = 1024
-#: Entries that a worker keeps of each of its two token caches; they only save time.
-CACHE = 400_000
-#: Fixed value: how the vocabulary's byte-level BPE splits a text before merging.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-class Memo(dict):
-    """A dictionary that asks a function for what it misses and forgets all when full."""
-
-    def __init__(self, function) -> None:
-        super().__init__()
-        self.function = function
-
-    def __missing__(self, key: str) -> bytes | None:
-        got = self.function(key)
-        if len(self) >= CACHE:
-            self.clear()
-        self[key] = got
-        return got
+#: Chunks whose ids a worker keeps, and bytes of text that it encodes at once; neither changes the result.
+CACHE, STEP = 300_000, 1 << 22
 
 
 class Encoder:
-    """Token ids as little-endian bytes, remembering the spaced chunks and pieces of words it has met.
+    """Token ids of many texts at once, each distinct chunk encoded once.
 
-    Merges never cross the splitter's pieces, and a lone space before a visible character always begins a piece, so
-    texts without longer white-space runs can be encoded chunk by chunk; others go to the tokenizer whole.
+    Merges never cross the pieces into which byte-level BPE splits a text, and a lone space before a visible character
+    always begins a piece. So a text whose spaces all stand between visible characters is encoded chunk by chunk. Arrow
+    numbers the chunks; those not met before are laid end to end for one call of the tokenizer, whose tokens' bytes add up
+    to the chunks' bytes. All other texts, and those with an added token in them, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.tokenize, self.split = self.whole.model.tokenize, regex.compile(SPLIT).findall
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = iter(range(256, 512))
-        #: The visible stand-ins of bytes in the vocabulary, by latin-1 character.
-        self.letters = {b: chr(b if b in shown else next(rest)) for b in range(256)}
-        self.pieces, self.chunks = Memo(self.piece), Memo(self.chunk)
-
-    def piece(self, text: str) -> bytes:
-        return array("I", [t.id for t in self.tokenize(text.encode().decode("latin-1").translate(self.letters))]).tobytes()
-
-    def chunk(self, text: str) -> bytes | None:
-        """None for a chunk that white space begins or ends, its own space aside: it can't be encoded alone."""
-        body = text[1:] if text[:1] == " " else text
-        if not body or body[0].isspace() or body[-1].isspace():
-            return None
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
-
-    def encode(self, text: str) -> bytes:
-        if "\0" not in text:
-            parts = list(map(self.chunks.__getitem__, text.replace(" ", "\0 ").split("\0")))
-            if None not in parts:
-                return b"".join(parts)
-        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        vocabulary = self.whole.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: one visible stand-in each
+        for token, k in vocabulary.items():
+            self.size[k] = len(token)
+        self.end_id = end_id
+        self.forget()
+
+    def forget(self) -> None:
+        """Chunk 0 is the end id, chunk 1 any that can't be encoded alone."""
+        self.codes: dict[str, int] = {}
+        self.ids, self.starts, self.counts = np.array([self.end_id], np.uint32), np.array([0, 1]), np.array([1, 0])
+
+    def add(self, texts: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        at = len(self.starts)
+        self.codes.update(zip(texts, range(at, at + len(texts)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
+
+    def learn(self, chunks: list[str]) -> None:
+        """Keep the ids of chunks: a space and what follows, or, at a text's beginning, that alone under a leading NUL."""
+        firsts, others = [], []
+        for c in chunks:
+            body = c[1:]
+            if not body or body[0].isspace() or body[-1].isspace():
+                self.codes[c] = 1
+            else:
+                (others if c[0] == " " else firsts).append(c)
+        encode = self.whole.encode_batch_fast
+        own = [np.array(e.ids, np.uint32) for e in encode([c[1:] for c in firsts], add_special_tokens=False)]
+        if others:
+            ids = np.array(encode(["".join(others)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum([len(c.encode()) for c in others])
+            sums = np.cumsum(self.size[ids])
+            to = np.minimum(np.searchsorted(sums, ends), len(sums) - 1)
+            if len(sums) and (sums[to] == ends).all():
+                self.add(others, ids, np.diff(to, prepend=-1))
+            else:
+                own += [np.array(e.ids, np.uint32) for e in encode(others, add_special_tokens=False)]
+                firsts += others
+        if firsts:
+            self.add(firsts, np.concatenate(own), np.array([len(x) for x in own]))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each of the texts (no nulls), the end id behind them."""
+        if len(self.codes) > CACHE:
+            self.forget()
+        n = len(texts)
+        alone = np.zeros(n, bool)
+        for token in self.added:
+            alone |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(texts, " ")
+        begins = parts.offsets.to_numpy().astype(np.int64)
+        begins -= begins[0]
+        coded = parts.flatten().dictionary_encode()
+        spaced = [" " + c for c in coded.dictionary.to_pylist()]
+        first = ["\0" + x.partition(" ")[0] for x in texts.to_pylist()]
+        self.learn([c for c in dict.fromkeys(spaced + first) if c not in self.codes])
+        number = np.fromiter(map(self.codes.__getitem__, spaced), np.int64, len(spaced))
+        words = np.zeros(begins[-1] + n, np.int64)  # an end after each text
+        inner = np.ones(len(words), bool)
+        ends = begins[1:] + np.arange(n)
+        inner[ends] = False
+        words[inner] = number[coded.indices.to_numpy()]
+        words[begins[:-1] + np.arange(n)] = np.fromiter(map(self.codes.__getitem__, first), np.int64, n)
+        alone |= np.add.reduceat(words == 1, begins[:-1] + np.arange(n)) > 0 if n else alone
+        count = self.counts[words]
+        total = np.cumsum(count)
+        flat = self.ids[np.repeat(self.starts[words] - (total - count), count) + np.arange(int(total[-1]) if n else 0)]
+        out = np.split(flat, total[ends][:-1]) if n else []
+        for k in np.flatnonzero(alone).tolist():
+            out[k] = np.array([*self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, self.end_id], np.uint32)
+        return out
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def tokenized(df: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -103,27 +136,29 @@ def tokenized(df: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: st
     schema = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
 
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, stop = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        encode = encoder(tokenizer, end_id).encode
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for batch in batches:
-            row: list[int] = []
-            rows: list[tuple[int, int, int, int]] = []
-            ids: list[np.ndarray] = []
-            for i, x in enumerate(strings(batch.column(1))):
-                data = encode(x) + stop
-                n = len(data) // 4
-                for at in range(0, n, window):
-                    part = data[4 * at : 4 * (at + window)]
-                    row.append(i)
-                    rows.append((at, len(part) // 4, zlib.crc32(part), n))
-                    if keep_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-            table = np.array(rows, np.int64).reshape(-1, 4)
-            columns = [batch.column(0).take(pa.array(row, pa.int32())), *(pa.array(table[:, k]) for k in range(4))]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if keep_ids:
-                columns.append(pa.array([x.tolist() for x in ids], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            texts = batch.column(1).cast(pa.string()).fill_null("")
+            _, ends = buffers(texts)
+            for a, b in slices(ends, STEP):
+                row: list[int] = []
+                rows: list[tuple[int, int, int, int]] = []
+                ids: list[np.ndarray] = []
+                for i, own in enumerate(encode(texts.slice(a, b - a)), a):
+                    data = own.astype("<u4").tobytes()
+                    n = len(own)
+                    for at in range(0, n, window):
+                        part = data[4 * at : 4 * (at + window)]
+                        row.append(i)
+                        rows.append((at, len(part) // 4, zlib.crc32(part), n))
+                        if keep_ids:
+                            ids.append(own[at : at + window].astype(np.int32))
+                table = np.array(rows, np.int64).reshape(-1, 4)
+                columns = [batch.column(0).take(pa.array(row, pa.int32())), *(pa.array(table[:, k]) for k in range(4))]
+                if keep_ids:
+                    columns.append(pa.array([x.tolist() for x in ids], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * keep_ids)
 
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cuts, schema)
 
