@@ -72,6 +72,8 @@ def marker_order(patch: dict, text: str) -> list[Fix]:
     return [Fix(patch | {"start": patch["end"], "end": patch["start"]}, 0.95, "markers swapped")] if not md.between(lines, patch["start"], patch["end"]) and md.between(lines, patch["end"], patch["start"]) else []
 
 
+#: Targets that may be broadcast.
+FEW = 1000
 STRATEGIES = (section_typo, case_mismatch, white_space, key_typo, line_typo, marker_order)
 
 
@@ -95,10 +97,17 @@ def nearest(targets: DataFrame, candidates: DataFrame, top: int = 5, key: str |
     """target, value, distance: the candidates nearest each target within the edits its length allows.
 
     With a key, targets meet only their own candidates (a document's sections), by an equi-join. Without, targets are
-    few (a program's texts) and are broadcast.
+    few (a program's texts) and are broadcast, which is checked: more than FEW meet candidates by the lengths that fit.
     """
     d = F.least(F.levenshtein("target", "value"), F.levenshtein(F.lower("target"), F.lower("value")))
-    pairs = targets.join(candidates, key) if key else candidates.distinct().join(F.broadcast(targets), F.abs(F.char_length("target") - F.char_length("value")) <= allowed_distance(F.col("target")))
+    most = allowed_distance(F.col("target"))
+    if key:
+        pairs = targets.join(candidates, key)
+    elif len(targets.take(FEW + 1)) <= FEW:
+        pairs = candidates.distinct().join(F.broadcast(targets), F.abs(F.char_length("target") - F.char_length("value")) <= most)
+    else:
+        lengths = F.sequence(F.greatest(F.lit(0), F.char_length("target") - most), F.char_length("target") + most)
+        pairs = targets.withColumn("_n", F.explode(lengths)).join(candidates.distinct().withColumn("_n", F.char_length("value")), "_n").drop("_n")
     pairs = pairs.filter(F.col("target") != F.col("value")).withColumn("distance", d).filter(F.col("distance") <= allowed_distance(F.col("target")))
     by = ([key] if key else []) + ["target"]
     place = F.row_number().over(Window.partitionBy(*by).orderBy("distance", "value"))

@@ -101,19 +101,73 @@ def cache_statistics(incremental_: DataFrame) -> DataFrame:
     return incremental_.agg(F.count("*").alias("files"), hits.alias("hits"), (F.count("*") - hits).alias("misses"), (hits / F.count("*") * 100).alias("hit_percent"))
 
 
+CACHE = "path string, source_hash string, patch_hash string, output_hash string, output string"
+
+
+def cache_problems(cache: DataFrame) -> DataFrame:
+    """path, problem of entries that can't be used: no hash, an output other than its hash says, or a path twice."""
+    twice = cache.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select("path", F.lit("twice").alias("problem"))
+    bad = F.when(F.col("path").isNull() | F.col("source_hash").isNull() | F.col("patch_hash").isNull(), "incomplete").when(~F.col("output_hash").eqNullSafe(content_hash(F.col("output"))), "damaged")
+    return cache.select("path", bad.alias("problem")).filter(F.col("problem").isNotNull()).unionByName(twice)
+
+
+def repaired(cache: DataFrame) -> DataFrame:
+    """The entries without a problem: of a path that is there twice neither can be trusted, so it is built again."""
+    return cache.join(cache_problems(cache).select("path").distinct(), "path", "left_anti").filter(F.col("path").isNotNull())
+
+
+def cache_sizes(cache: DataFrame) -> DataFrame:
+    """Entries, programs and bytes of outputs."""
+    return cache.agg(F.count("*").alias("entries"), F.countDistinct("patch_hash").alias("programs"), F.coalesce(F.sum(F.octet_length("output")), F.lit(0)).alias("bytes"))
+
+
+def write_cache(built: DataFrame, table: Versions, number: int) -> None:
+    """Keep an incremental build's outputs as a version of a store; only rebuilt documents are written."""
+    rows = built.filter("rebuilt").select("path", "source_hash", "patch_hash", "output_hash", F.col("content").alias("output"), F.lit(False).alias("deleted"), F.lit(number).cast("long").alias("version"))
+    table.write(rows, number)
+
+
+def cache_store(spark: SparkSession, folder: str) -> Versions:
+    return Versions(spark, folder, CACHE + ", deleted boolean, version long")
+
+
+def read_cache(table: Versions) -> DataFrame:
+    return table.newest().filter(~F.col("deleted")).select("path", "source_hash", "patch_hash", "output_hash", "output")
+
+
+def rolled_back(outputs: DataFrame, history: DataFrame, build_id: str) -> DataFrame:
+    """path, output of every document as a build left it: its own and those that earlier builds wrote last.
+
+    outputs: build_id, path, output (null where a build dropped the path).
+    """
+    at = history.filter(F.col("build_id") == build_id).select(F.col("ts").alias("_at"))  # one row
+    before = history.filter("success").join(F.broadcast(at.limit(1)), F.col("ts") <= F.col("_at")).select("build_id", "ts")
+    rows = outputs.join(before, "build_id").groupBy("path").agg(F.max_by(F.struct("output"), F.struct("ts", "build_id")).alias("o"))
+    return rows.select("path", "o.output").filter(F.col("output").isNotNull())
+
+
+def updated(old: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The snapshot of a corpus, and path, status of what it changes in the old one."""
+    return snapshot(corpus), verify(old, corpus).filter(F.col("status") != "unchanged")
+
+
 def snapshot(corpus: DataFrame) -> DataFrame:
     """path, sha256."""
     return corpus.select("path", content_hash(F.col("content")).alias("sha256"))
 
 
-def status(before: Column, after: Column) -> Column:
-    return F.when(before.isNull(), "added").when(after.isNull(), "deleted").when(before == after, "unchanged").otherwise("modified")
+def status(before: Column, after: Column, had: Column | None = None, has: Column | None = None) -> Column:
+    """How a document changed. had, has: whether there was one, where its hash can be null."""
+    had, has = before.isNotNull() if had is None else had, after.isNotNull() if has is None else has
+    return F.when(~had, "added").when(~has, "deleted").when(before.eqNullSafe(after), "unchanged").otherwise("modified")
 
 
 def verify(old: DataFrame, corpus: DataFrame) -> DataFrame:
-    """path, status of every path of a snapshot or a corpus."""
-    now = snapshot(corpus).withColumnRenamed("sha256", "now")
-    return old.join(now, "path", "full").select("path", status(F.col("sha256"), F.col("now")).alias("status"))
+    """path, status of every path of a snapshot or a corpus. A null content is equal to itself alone."""
+    a = old.select("path", "sha256", F.lit(True).alias("_had"))
+    b = snapshot(corpus).select("path", F.col("sha256").alias("now"), F.lit(True).alias("_has"))
+    there = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return a.join(b, "path", "full").select("path", status(F.col("sha256"), F.col("now"), there("_had"), there("_has")).alias("status"))
 
 
 def unified(before: str, after: str, path: str, context: int = 3) -> str:
