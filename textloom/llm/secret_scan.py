@@ -8,7 +8,11 @@ what they claim to be can be parsed:
   (PKCS#1, PKCS#8, SEC 1) or an OpenSSH private key container, PEM armour around it or not;
 * `public`: the same for public keys and certificates (DER) and SSH wire-format public keys.
 
-Null and empty texts have no spans. Spans are code points, end exclusive. Overlaps between kinds all stay; within a kind
+Base64 may be wrapped over lines, its line breaks may be escaped as in JSON, up to STRAY other characters may stand before
+it and, since DER tells its length, others after it. What decodes to PEM text or to a signed token is read once more.
+
+Null and empty texts have no spans, repeated rows have the same, an empty table gives an empty result, and columns other than
+the id and the text play no part. Spans are code points, end exclusive. Overlaps between kinds all stay; within a kind
 spans are leftmost and disjoint. One narrow pass, whole texts, no state between rows.
 """
 
@@ -45,8 +49,14 @@ KINDS = (*BASE, "token", "key", "public")
 #: Candidates of the structural kinds.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([^-]+)-----END \1-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-ANYHEX = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
+BREAK = r"(?:\\r)?\\n|\r?\n[ \t]*"
+BASE64 = re.compile(rf"[A-Za-z0-9+/]{{40,}}(?:(?:{BREAK})[A-Za-z0-9+/]+)*={{0,2}}")
+BREAKS = re.compile(BREAK)
+ANYHEX = re.compile(r"[0-9A-Fa-f]{48,}")
+#: How base64 of a DER sequence, an OpenSSH container, an SSH wire key, PEM text and a token's header begin; and hex of the first three.
+STARTS64, STARTS16 = re.compile(r"M[A-P]|b3BlbnNzaC1r|AAAA[BCE]|LS0tLS1CRUdJ|ZX[lk]"), re.compile(r"30|6f70656e7373682d|000000(?:07|0b|13)", re.I)
+#: Characters that may stand before such a beginning in a candidate.
+STRAY = 4
 #: Object identifiers of key algorithms, DER encoded.
 ALGORITHMS = {
     bytes.fromhex("2a864886f70d010101"): "rsa",
@@ -56,6 +66,7 @@ ALGORITHMS = {
     bytes.fromhex("2b656e"): "x25519",
     bytes.fromhex("2b6571"): "ed448",
 }
+ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))  # PKCS#5 and PKCS#12 schemes
 SSH_KINDS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 OPENSSH = b"openssh-key-v1\0"
 
@@ -115,6 +126,8 @@ def der_kind(data: bytes) -> str:
         return "key"  # SEC 1
     if len(tags) == 6 and set(tags) == {0x02} and parts[0].body == b"\0":
         return "key"  # DSA
+    if tags == [0x30, 0x04] and parts[0].parts and parts[0].parts[0].tag == 0x06 and parts[0].parts[0].body.startswith(ENCRYPTION):
+        return "key"  # PKCS#8, encrypted
     if tags == [0x30, 0x03] and algorithm(parts[0]):
         return "public"
     if tags == [0x02, 0x02] and len(parts[0].body) >= 64 and len(parts[1].body) <= 8:
@@ -167,6 +180,68 @@ def binary_kind(data: bytes) -> str:
     return der_kind(data) or ssh_kind(data)
 
 
+def whole_length(data: bytes) -> int:
+    """Bytes of the DER value with which data begins, 0 if it begins with none."""
+    if len(data) < 2 or data[0] != 0x30:
+        return 0
+    n = data[1]
+    if n < 0x80:
+        return 2 + n
+    wide = n & 0x7F
+    return 2 + wide + int.from_bytes(data[2 : 2 + wide], "big") if 1 <= wide <= 4 and len(data) > 2 + wide else 0
+
+
+def armoured_kind(text: str) -> tuple[str, int, int]:
+    """Kind and place of the first armoured structure that is confirmed."""
+    for m in PEM.finditer(text):
+        if kind := binary_kind(decoded("".join(BREAKS.sub("", m[2]).split()))):
+            return kind, *m.span()
+    return "", 0, 0
+
+
+def inner_kind(data: bytes) -> str:
+    """The kind of decoded text that is itself armour or a signed token."""
+    if not data.isascii():
+        return ""
+    text = data.decode("ascii")
+    if "-----BEGIN " in text:
+        return armoured_kind(text)[0]
+    return "token" if TOKEN.fullmatch(text.strip()) and signed(text.strip()) else ""
+
+
+def in_base64(text: str, at: int) -> Span | None:
+    """The structure in a base64 candidate that begins at a place of its document."""
+    places = [k for a, b in zip([0, *(m.end() for m in BREAKS.finditer(text))], [*(m.start() for m in BREAKS.finditer(text)), len(text)], strict=True) for k in range(a, b)]
+    plain = BREAKS.sub("", text)
+    for shift in range(min(STRAY, len(plain)) + 1):
+        if not STARTS64.match(plain, shift):
+            continue
+        body = plain[shift:].rstrip("=")
+        data = decoded(body[: len(body) - (len(body) % 4 == 1)])
+        size = whole_length(data)
+        if 0 < size < len(data) and (kind := der_kind(data[:size])):
+            used = min(len(body), -(-size * 4 // 3))
+            while shift + used < len(plain) and plain[shift + used] == "=":
+                used += 1
+            return Span(kind, at + places[shift], at + places[shift + used - 1] + 1)
+        if kind := binary_kind(data) or inner_kind(data):
+            return Span(kind, at + places[shift], at + len(text))
+    return None
+
+
+def in_hex(text: str, at: int) -> Span | None:
+    for shift in range(STRAY + 1):
+        if not STARTS16.match(text, shift):
+            continue
+        data = bytes.fromhex(text[shift : len(text) - (len(text) - shift) % 2])
+        size = whole_length(data)
+        if 0 < size <= len(data) and (kind := der_kind(data[:size])):
+            return Span(kind, at + shift, at + shift + 2 * size)
+        if kind := ssh_kind(data):
+            return Span(kind, at + shift, at + shift + 2 * len(data))
+    return None
+
+
 def signed(candidate: str) -> bool:
     """A signed token: header and payload decode to JSON, and the header names an algorithm."""
     head, body, _ = candidate.split(".")
@@ -194,18 +269,14 @@ def structural_spans(text: str) -> list[Span]:
     armoured: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if kind := binary_kind(decoded("".join(m[2].split()))):
+            if kind := armoured_kind(m[0])[0]:
                 out.append(Span(kind, *m.span()))
                 armoured.append(m.span())
     inside = lambda m: any(a <= m.start() and m.end() <= b for a, b in armoured)
     if "ey" in text or "ew" in text:
         out += [Span("token", *m.span()) for m in TOKEN.finditer(text) if m[0].startswith("e") and signed(m[0])]
-    for m in BASE64.finditer(text):
-        if not inside(m) and (kind := binary_kind(decoded(m[0]))):
-            out.append(Span(kind, *m.span()))
-    for m in ANYHEX.finditer(text):
-        if m[0][:2] in ("30", "00", "6f", "6F") and not inside(m) and (kind := binary_kind(bytes.fromhex(m[0]))):
-            out.append(Span(kind, *m.span()))
+    for pattern, look in ((BASE64, in_base64), (ANYHEX, in_hex)):
+        out += [found for m in pattern.finditer(text) if not inside(m) and (found := look(m[0], m.start()))]
     return out
 
 
