@@ -98,12 +98,14 @@ def in_order(df: DataFrame) -> DataFrame:
 
 
 def write_rows(df: DataFrame, folder: str, form: str = "json") -> None:
-    """A report's rows in order of their paths, as JSON lines or as text: one line a row, columns parted by tabs."""
+    """A report's rows in order of their paths, as JSON lines or as text: one line a row, columns parted by tabs, line feeds
+    and tabs within them escaped."""
     ordered = in_order(df)
     if form == "json":
         ordered.write.mode("overwrite").json(folder)
     else:
-        show: Column = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))
+        plain = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+        show: Column = F.concat_ws("\t", *(plain(c) for c in df.columns))
         ordered.select(show.alias("value")).write.mode("overwrite").text(folder)
 
 
