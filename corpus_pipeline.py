@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.llm import jaccard, langid, linededup, mixing, packing
-from textloom.llm.base import documents, shared_dir
+from textloom.llm.base import delete, documents, registered, scratch, shared_dir
 from textloom.llm.queries import tokenizer_path
 
 #: A document whose best language has less of its words than this is of none that is known.
@@ -17,7 +17,12 @@ LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no known language, go. A missing language becomes the predicted one."""
+    """Documents without a letter, or of no known language, go. A missing language becomes the predicted one.
+
+    Where no row with a text has a language nothing can be learned: then every document with a letter stays.
+    """
+    if docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).isEmpty():
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     out = langid.label(docs)
     known = (F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SCORE)
     return out.filter(known).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
@@ -58,12 +63,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each stage's rows are written and read again before the next begins."""
-    docs = documents(spark, sf_dir)
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages on documents; each stage's rows are written and read again before the next begins, then what it was made
+    of is deleted. The last stage's rows are deleted when the process ends."""
+    docs, before = documents(spark, sf_dir), None
+    folder = registered(spark, f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        with scratch():
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

@@ -428,6 +428,10 @@ EDGE_SQL = CORPUS_SQL.rstrip() + """, e AS (
  UNION ALL SELECT path, 5, 'replace', 5 FROM c WHERE path LIKE 'en/%') """
 
 
+#: The program's patches with their risk, and what they do.
+PATCH_SQL = "WITH p AS (SELECT * FROM (VALUES (0, 'replace', 5, 'a>b'), (1, 'replace-regex', 9, 'x>y'), (2, 'remove-section', 8, 'links'), (3, 'set-frontmatter', 2, 'k'), (4, 'delete-file', 10, 'zz'), (5, 'replace', 5, 'a>b')) AS t(ord, op, risk, what)) "
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(path_column().alias("path"))
 
@@ -441,12 +445,12 @@ def edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = edges(spark, sf_dir).filter("ord in (2, 3)")
+    some = analytics.edges(paths(spark, sf_dir), analytics.patch_table(spark, PROGRAM[2:4]))
     return analytics.coverage(paths(spark, sf_dir), some).withColumn("percent", F.round("percent", 6))
 
 
 def unpatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.unpatched(paths(spark, sf_dir), edges(spark, sf_dir).filter("ord in (2, 3)"))
+    return analytics.unpatched(paths(spark, sf_dir), analytics.edges(paths(spark, sf_dir), analytics.patch_table(spark, PROGRAM[2:4])))
 
 
 def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -652,16 +656,24 @@ def region_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A watched folder, run until it has no more: the state after one batch."""
-    import tempfile
-
-    from textloom.streaming.watch import Watch
-
-    where = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + "/watch-" + uuid.uuid4().hex
-    source = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    source = source.select(path_column().alias("path"), F.col("text").alias("content"))
-    watch = Watch(spark, f"{where}/state", program({"patches": [{"op": "replace", "old": "e", "new": "E"}]}))
-    watch.start(source, f"{where}/log", once=True).awaitTermination()
+    """A watched folder after two batches: documents of src1 come with the second only, those of src2 with the first only,
+    and all others change in between."""
+    from textloom.streaming.watch import Watch, stream_table
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp()
+    where = folder.rstrip("/") + "/watch-" + uuid.uuid4().hex
+    docs = table(spark, sf_dir, "documents").select(path_column().alias("path"), "text")
+    for n, text in enumerate((F.concat("text", F.lit("old")), F.col("text"))):
+        part = docs.filter("path not like '%/src1/%'") if n == 0 else docs.filter("path not like '%/src2/%'")
+        part.select("path", text.alias("content")).write.mode("append").parquet(f"{where}/in")
+        watch = Watch(spark, f"{where}/state", program({"patches": [{"op": "replace", "old": "e", "new": "E"}]}))
+        watch.start(stream_table(spark, f"{where}/in"), f"{where}/log", once=True).awaitTermination()
     return watch.current().select("path", "output")
 
 
@@ -703,10 +715,10 @@ PLAIN_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
     "impact": (impact, EDGE_SQL + "SELECT CAST(ord AS BIGINT) AS ord, op, count(*) AS files FROM e GROUP BY ord, op"),
     "shared_files": (shared_files, EDGE_SQL + "SELECT path, count(*) AS patches FROM e GROUP BY path HAVING count(*) > 1"),
     "complexity": (complexity, EDGE_SQL + "SELECT path, count(*) AS patches, count(DISTINCT op) AS ops, CAST(sum(CASE WHEN risk >= 8 THEN 1 ELSE 0 END) AS BIGINT) AS high_risk, CAST(count(*) * 2 + count(DISTINCT op) * 1.5 + sum(CASE WHEN risk >= 8 THEN 1 ELSE 0 END) * 3 AS DOUBLE) AS score FROM e GROUP BY path"),
-    "safety": (safety, "SELECT CAST(6 AS BIGINT) AS patches, CAST(3 AS BIGINT) AS high, CAST(2 AS BIGINT) AS medium, CAST(1 AS BIGINT) AS low, round(CAST(39 AS DOUBLE) / 6, 6) AS mean_risk"),
-    "unreachable": (unreachable, "SELECT CAST(4 AS BIGINT) AS ord, 'delete-file' AS op"),
+    "safety": (safety, PATCH_SQL + "SELECT count(*) AS patches, count(*) FILTER (risk >= 8) AS high, count(*) FILTER (risk > 3 AND risk < 8) AS medium, count(*) FILTER (risk <= 3) AS low, round(avg(risk), 6) AS mean_risk FROM p"),
+    "unreachable": (unreachable, EDGE_SQL + ", " + PATCH_SQL.removeprefix("WITH ") + "SELECT CAST(p.ord AS BIGINT) AS ord, p.op FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.ord = p.ord)"),
     "overlaps": (overlaps, EDGE_SQL + "SELECT CAST(p.ord AS BIGINT) AS a, CAST(q.ord AS BIGINT) AS b, count(*) AS files FROM e p JOIN e q ON p.path = q.path AND p.ord < q.ord GROUP BY p.ord, q.ord"),
-    "redundant": (redundant, EDGE_SQL + "SELECT CAST(0 AS BIGINT) AS a, CAST(5 AS BIGINT) AS b, count(*) AS files FROM e WHERE ord = 5 HAVING count(*) > 0"),
+    "redundant": (redundant, EDGE_SQL + ", " + PATCH_SQL.removeprefix("WITH ") + "SELECT CAST(x.ord AS BIGINT) AS a, CAST(y.ord AS BIGINT) AS b, count(*) AS files FROM e x JOIN e y ON x.path = y.path AND x.ord < y.ord JOIN p s ON s.ord = x.ord JOIN p t ON t.ord = y.ord WHERE s.op = t.op AND s.what = t.what GROUP BY 1, 2"),
     "snapshot": (snapshot, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, sha256(text) AS sha256 FROM c"),
     "verify": (verify, STATUS_SQL),
     "corpus_status": (corpus_status, f"SELECT * FROM ({STATUS_SQL}) WHERE status <> 'unchanged'"),
@@ -740,7 +752,7 @@ FROM (SELECT * FROM f WHERE b = 'A') x FULL JOIN (SELECT * FROM f WHERE b = 'R')
     "regressions": (regressions, "SELECT event_type AS name, round((max(value) - avg(value)) / avg(value) * 100, 6) AS percent FROM events GROUP BY 1"),
     "corpus_diff": (corpus_diff, None),
     "region_tables": (region_tables, "SELECT 'r' || CAST(n_regionkey AS VARCHAR) || '.md' AS path, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) - 1 AS BIGINT) AS row, n_name AS name FROM nation WHERE regexp_matches(n_name, '[13579]$')"),
-    "streamed": (streamed, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(text, 'e', 'E') AS output FROM c"),
+    "streamed": (streamed, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(CASE WHEN source = 'src2' THEN text || 'old' ELSE text END, 'e', 'E') AS output FROM c"),
 }
 
 
