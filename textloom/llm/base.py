@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,20 +36,42 @@ _folders: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where unset (tests), a temporary folder that is then set."""
+    """spark.checkpoint.dir of the session. Where it is unset and all runs in one process, as in tests, a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that was registered, or any other, if it is there."""
+    _folders.pop(path, None)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def registered(spark: SparkSession, path: str) -> str:
+    """path, which is deleted when the process ends."""
+    _folders[path] = spark
+    return path
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Cuts made inside are deleted at the end: what was computed from them must have been written by then."""
+    before = set(_folders)
+    yield
+    for path in set(_folders) - before:
+        delete(_folders[path], path)
+
+
 def _clean() -> None:
-    for path, spark in _folders.items():
+    for path, spark in list(_folders.items()):
         with contextlib.suppress(Exception):  # the session may have ended before
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(spark, path)
 
 
 atexit.register(_clean)
@@ -57,8 +80,7 @@ atexit.register(_clean)
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
-    _folders[path] = spark
+    path = registered(spark, f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}")
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(ARROW_ROWS, int(rows) if int(rows) > 0 else ARROW_ROWS)))
     try:
