@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from textloom.plans.checks import holds
 from textloom.plans.planner import as_list, own
 from textloom.plans.stores import changed
 
-#: Characters of a line pair beyond which the whole line counts as changed.
+#: Characters that differ in a pair of lines, beyond which they are not compared one by one.
 LONGEST = 2000
 PART = "array<struct<kind:string,text:string>>"
 LINES = f"array<struct<kind:string,before:int,after:int,parts:{PART}>>"
@@ -23,15 +24,20 @@ KINDS = {"equal": "equal", "delete": "removed", "insert": "added"}
 
 
 def char_changes(before: str, after: str) -> list[tuple[str, str]]:
-    """Runs of equal, removed and added characters that turn one line into the other."""
-    if len(before) + len(after) > LONGEST:
-        return [(kind, text) for kind, text in (("removed", before), ("added", after)) if text]
-    out: list[tuple[str, str]] = []
-    for what, a, b, c, d in difflib.SequenceMatcher(None, before, after, autojunk=False).get_opcodes():
-        for kind, text in (("equal", before[a:b]),) if what == "equal" else (("removed", before[a:b]), ("added", after[c:d])):
-            if text:
-                out.append((kind, text))
-    return out
+    """Runs of equal, removed and added characters that turn one line into the other.
+
+    What both begin and end with is equal; between, lines that are too long together are replaced whole.
+    """
+    first = len(os.path.commonprefix([before, after]))
+    last = len(os.path.commonprefix([before[first:][::-1], after[first:][::-1]]))
+    x, y = before[first : len(before) - last], after[first : len(after) - last]
+    out: list[tuple[str, str]] = [("equal", before[:first])]
+    if len(x) + len(y) > LONGEST:
+        out += [("removed", x), ("added", y)]
+    else:
+        for what, a, b, c, d in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+            out += [("equal", x[a:b])] if what == "equal" else [("removed", x[a:b]), ("added", y[c:d])]
+    return [(kind, text) for kind, text in [*out, ("equal", before[len(before) - last :])] if text]
 
 
 def line_changes(before: str, after: str) -> list[tuple[str, int | None, int | None, list[tuple[str, str]]]]:

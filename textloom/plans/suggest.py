@@ -306,16 +306,23 @@ def suggest(source: str, target: str, path: str = "") -> list[tuple[dict, float]
         return [(p, score(p, source)) for p in json_patches(source, target, form)]
     out: list[tuple[dict, float]] = []
     now = source
-    near = lambda text: difflib.SequenceMatcher(None, text.split("\n"), target.split("\n"), False).ratio()
+    lines = target.split("\n")
+
+    def near(text: str, least: float = -1.0) -> float:
+        """Likeness to the target, by lines; where a bound on it, found in linear time, isn't above `least`, that bound."""
+        m = difflib.SequenceMatcher(None, text.split("\n"), lines, False)
+        bound = m.quick_ratio()
+        return m.ratio() if bound > least else bound
+
     best = near(now)
     for detect in DETECTORS:
         if now == target:
             break
         for patch in detect(now, target):
             after, n = md.apply(now, own(patch), path)
-            if n and (after == target or near(after) > best):
+            if n and ((got := near(after, best)) > best or after == target):
                 out.append((patch, score(patch, now)))
-                now, best = after, near(after)
+                now, best = after, got
     return out
 
 
@@ -337,7 +344,7 @@ def paired(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def suggestions(pairs: DataFrame, least: float = 0.0) -> DataFrame:
-    """path, patch (JSON), score, checked: how near all of a pair's patches come to its target."""
+    """path, patch (JSON), score, checked: how near all of a pair's patches come to its target. Best patches come first."""
     schema = "array<struct<patch:string,score:double,checked:double>>"
 
     @F.pandas_udf(schema)
@@ -347,7 +354,7 @@ def suggestions(pairs: DataFrame, least: float = 0.0) -> DataFrame:
             for x, y, path in zip(a, b, p, strict=True):
                 found = [(patch, s) for patch, s in suggest(x, y, path) if s >= least]
                 ok = check(x, y, [patch for patch, _ in found], path)
-                rows.append([{"patch": json.dumps(patch, ensure_ascii=False, sort_keys=True, default=str), "score": s, "checked": ok} for patch, s in found])
+                rows.append([{"patch": json.dumps(patch, ensure_ascii=False, sort_keys=True, default=str), "score": s, "checked": ok} for patch, s in sorted(found, key=lambda x: -x[1])])
             yield pd.Series(rows)
 
     changed = pairs.filter(F.col("source") != F.col("target"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +42,15 @@ def run(spark: SparkSession, cases: list[dict]) -> DataFrame:
     """name, passed, applied, actual, diff of every case; texts must be equal exactly."""
     rows = [(c["name"], c["input"], json.dumps(c["patches"]), c["expected"]) for c in cases]
 
-    @F.udf("passed boolean, applied int, actual string, diff string")
-    def one(text: str, patches: str, expected: str) -> tuple[bool, int, str, str]:
-        actual, applied, *_ = fold(text, "", list(enumerate(map(own, inherited(json.loads(patches))))), "warn")
-        return actual == expected, applied, actual, "" if actual == expected else unified(expected, actual, "expected")
+    @F.arrow_udf("struct<passed:boolean,applied:int,actual:string,diff:string>")
+    def one(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            done = []
+            for text, patches, expected in zip(*(c.to_pylist() for c in batch), strict=True):
+                actual, applied, *_ = fold(text, "", list(enumerate(map(own, inherited(json.loads(patches))))), "warn")
+                done.append((actual == expected, applied, actual, "" if actual == expected else unified(expected, actual, "expected")))
+            kinds = (("passed", pa.bool_()), ("applied", pa.int32()), ("actual", pa.string()), ("diff", pa.string()))
+            yield pa.StructArray.from_arrays([pa.array([d[k] for d in done], kind) for k, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
 
     df = spark.createDataFrame(rows, "name string, input string, patches string, expected string")
     return df.withColumn("r", one("input", "patches", "expected")).select("name", "r.*")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from textloom.functions import values
 from textloom.operators import corpus as corpus_ops
 from textloom.operators import md, native, relations
-from textloom.plans import analytics, build, checks, recover, stores, suggest
+from textloom.plans import analytics, build, checks, preview, recover, reports, stores, suggest
 from textloom.plans.planner import program
 
 TEMPLATE = """---
@@ -655,11 +655,8 @@ def region_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_.select("path", F.col("row").cast("long").alias("row"), F.get("cells", F.lit(0)).alias("name"))
 
 
-def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A watched folder after two batches: documents of src1 come with the second only, those of src2 with the first only,
-    and all others change in between."""
-    from textloom.streaming.watch import Watch, stream_table
-
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset and all runs in one process, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -667,7 +664,15 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp()
-    where = folder.rstrip("/") + "/watch-" + uuid.uuid4().hex
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A watched folder after two batches: documents of src1 come with the second only, those of src2 with the first only,
+    and all others change in between."""
+    from textloom.streaming.watch import Watch, stream_table
+
+    where = shared_folder(spark, "watch")
     docs = table(spark, sf_dir, "documents").select(path_column().alias("path"), "text")
     for n, text in enumerate((F.concat("text", F.lit("old")), F.col("text"))):
         part = docs.filter("path not like '%/src1/%'") if n == 0 else docs.filter("path not like '%/src2/%'")
@@ -677,6 +682,84 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.current().select("path", "output")
 
 
+#: Structured files by their number: extension, content, and what setting `a` to x leaves.
+FORMS = [
+    ("yaml", "id: {id}\nk: {k}\n", "id: {id}\nk: {k}\na: x\n"), ("toml", "id = {id}\nk = {k}\n", 'id = {id}\nk = {k}\na = "x"\n'),
+    ("env", "ID={id}\n# note\nK={k}\n", "ID={id}\nK={k}\na=x\n"), ("properties", "id={id}\nin.k={k}\n", "id={id}\nin.k={k}\na=x\n"),
+]
+
+
+def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key set in files of four formats."""
+    number, k = F.col("event_id").cast("string"), F.get_json_object("props", "$.k")
+    path, content = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for n, (form, text, _) in enumerate(FORMS):
+        path = F.when(F.col("event_id") % len(FORMS) == n, F.concat(F.lit("f/"), number, F.lit("." + form))).otherwise(path)
+        content = F.when(F.col("event_id") % len(FORMS) == n, put(text, number, k)).otherwise(content)
+    docs = table(spark, sf_dir, "events").select(path.alias("path"), content.alias("content"))
+    return build.apply_patches(docs, [{"op": "json-set", "path": "a", "value": "x"}]).select("path", "content")
+
+
+def structured_sql() -> str:
+    text = lambda x: "'" + x.replace("\n", "' || chr(10) || '") + "'"
+    some = lambda f: " ".join(f"WHEN {n} THEN {f(x)}" for n, x in enumerate(FORMS))
+    put_ = lambda x: f"replace(replace({text(x[2])}, '{{id}}', CAST(event_id AS VARCHAR)), '{{k}}', props->>'$.k')"
+    return f"SELECT 'f/' || CAST(event_id AS VARCHAR) || CASE event_id % {len(FORMS)} {some(lambda x: repr('.' + x[0]))} END AS path, CASE event_id % {len(FORMS)} {some(put_)} END AS content FROM events"
+
+
+WORK = [{"op": "replace", "old": "plain", "new": "simple"}, {"op": "remove-section", "id": "data"}, {"op": "replace", "old": "simple", "new": "x", "include": "en/**"}]
+
+
+def worked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each patch did to each document, in turn."""
+    return preview.steps(shapes(spark, sf_dir), WORK).select("path", *(F.col(c).cast("long").alias(c) for c in ("step", "count")), "op")
+
+
+#: How often "plain" is in each shape, and which shapes have a section `data`.
+WORKED_SQL = CORPUS_SQL + "SELECT path, CAST(s AS BIGINT) AS step, CAST(n AS BIGINT) AS count, CASE s WHEN 1 THEN 'remove-section' ELSE 'replace' END AS op FROM c JOIN (VALUES (0, 0, 2), (0, 1, 1), (0, 2, 1), (0, 3, 2), (1, 0, 1), (1, 3, 1), (2, 0, 2), (2, 1, 1), (2, 2, 1), (2, 3, 2)) AS t(s, shape, n) ON shape = doc_id % 5 WHERE s < 2 OR lang = 'en'"
+
+
+def by_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.by_operation(shapes(spark, sf_dir), WORK)
+
+
+def missed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints for a patch with a slip in its section's name: only where there is such a section."""
+    return reports.hints(shapes(spark, sf_dir), [{"op": "remove-section", "id": "sumary"}]).select("path", "hint", "confidence")
+
+
+def previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed lines, with the characters that were added to them."""
+    out = preview.preview(text_corpus(spark, sf_dir), changed_corpus(spark, sf_dir)).filter("status = 'modified'").select("path", F.explode("lines").alias("x"))
+    added = F.array_join(F.transform(F.filter("x.parts", lambda p: p["kind"] == "added"), lambda p: p["text"]), "")
+    return out.select("path", "x.kind", F.col("x.before").cast("long").alias("before"), F.col("x.after").cast("long").alias("after"), added.alias("added"))
+
+
+def rolled_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the fourth of seven builds left them."""
+    lines_ = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("string").alias("build_id"), F.col("l_partkey").cast("string").alias("path"))
+    outputs = lines_.agg(F.max("l_orderkey").cast("string").alias("output"))
+    history = spark.range(1, 8).select(F.col("id").cast("string").alias("build_id"), F.timestamp_seconds("id").alias("ts"), F.lit(True).alias("success"))
+    return stores.rolled_back(outputs, history, "4")
+
+
+def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(reports.word_similarity(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_type", "p_brand")), 6).alias("likeness"))
+
+
+def versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of seven versions, compacted on its way: the newest row of each path that isn't deleted."""
+    rows_ = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("version"), F.col("l_partkey").cast("string").alias("path")).agg(F.max("l_orderkey").alias("value"))
+    rows_ = rows_.select("path", "value", (F.col("value") % 10 == 0).alias("deleted"), "version")
+    store = stores.Versions(spark, shared_folder(spark, "versions"), "path string, value long, deleted boolean, version long", compact=3)
+    for n in range(1, 8):
+        store.write(rows_.filter(F.col("version") == n), n)
+    return store.newest().filter(~F.col("deleted")).select("path", "value")
+
+
+VERSIONED_SQL = "WITH v AS (SELECT l_linenumber AS version, CAST(l_partkey AS VARCHAR) AS path, max(l_orderkey) AS value FROM lineitem GROUP BY 1, 2) SELECT path, max_by(value, version) AS value FROM v GROUP BY path HAVING max_by(value, version) % 10 <> 0"
+
+
 FLAGSHIP = [
     {"op": "replace-regex", "pattern": "plain", "replacement": "simple", "flags": "g"},
     {"op": "append-to-section", "id": "summary", "content": "more"},
@@ -751,6 +834,14 @@ SELECT coalesce(x.path, y.path) AS path, CASE WHEN x.h IS NULL THEN 'added' WHEN
 FROM (SELECT * FROM f WHERE b = 'A') x FULL JOIN (SELECT * FROM f WHERE b = 'R') y ON x.path = y.path"""),
     "regressions": (regressions, "SELECT event_type AS name, round((max(value) - avg(value)) / avg(value) * 100, 6) AS percent FROM events GROUP BY 1"),
     "corpus_diff": (corpus_diff, None),
+    "structured": (structured, structured_sql()),
+    "worked": (worked, WORKED_SQL),
+    "by_operation": (by_operation, f"WITH w AS ({WORKED_SQL}) SELECT op, count(DISTINCT path) AS documents, CAST(sum(count) AS BIGINT) AS matches FROM w GROUP BY op"),
+    "missed": (missed, CORPUS_SQL + "SELECT path, 'section ' || chr(39) || 'summary' || chr(39) AS hint, CAST(0.85 AS DOUBLE) AS confidence FROM c WHERE doc_id % 5 IN (0, 3)"),
+    "previewed": (previewed, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, 'modified' AS kind, CAST(n AS BIGINT) AS before, CAST(n AS BIGINT) AS after, '!' AS added FROM (SELECT path, len(string_split(text, chr(10))) AS n FROM c WHERE source = 'src2')"),
+    "rolled_back": (rolled_back, "WITH v AS (SELECT l_linenumber AS n, CAST(l_partkey AS VARCHAR) AS path, CAST(max(l_orderkey) AS VARCHAR) AS output FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2) SELECT path, max_by(output, n) AS output FROM v GROUP BY path"),
+    "word_similarity": (word_similarity, "SELECT p_partkey, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS likeness FROM (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS a, list_distinct(string_split(lower(p_type || ' ' || p_brand), ' ')) AS b FROM part)"),
+    "versioned": (versioned, VERSIONED_SQL),
     "region_tables": (region_tables, "SELECT 'r' || CAST(n_regionkey AS VARCHAR) || '.md' AS path, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) - 1 AS BIGINT) AS row, n_name AS name FROM nation WHERE regexp_matches(n_name, '[13579]$')"),
     "streamed": (streamed, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(CASE WHEN source = 'src2' THEN text || 'old' ELSE text END, 'e', 'E') AS output FROM c"),
 }
