@@ -191,3 +191,25 @@ def test_many_targets_meet_by_length(spark, monkeypatch):
     few = rows(recover.nearest(targets, names), "target", "value", "distance")
     monkeypatch.setattr(recover, "FEW", 1)
     assert rows(recover.nearest(targets, names), "target", "value", "distance") == few == [("detail", "details", 1), ("sumary", "summary", 1)]
+
+
+def test_templates(spark, tmp_path):
+    from textloom.sources import templates
+
+    user = tmp_path / "user" / "mine"
+    (user / "docs").mkdir(parents=True)
+    (user / "template.yaml").write_text("name: mine\nvariables:\n  title:\n    default: T\n  who:\n")
+    (user / "docs/{{title}}.md").write_text("# {{title}} by {{who}} \\{{title}}\n")
+    found = templates.available(tmp_path / "user", tmp_path / "none")
+    assert {"base", "overlay", "fork", "pipeline", "mine"} == set(found)
+    with pytest.raises(ValueError, match="needs who"):
+        found["mine"].rendered({})
+    assert templates.scaffold(found["mine"], tmp_path / "out", {"who": "x"}) == ["docs/T.md"]
+    assert (tmp_path / "out/docs/T.md").read_text() == "# T by x {{title}}\n"
+    with pytest.raises(FileExistsError):
+        templates.scaffold(found["mine"], tmp_path / "out", {"who": "x"})
+    with pytest.raises(ValueError):
+        templates.scaffold(found["mine"], tmp_path / "out", {"who": "x", "title": "../../x"}, overwrite=True)
+    templates.scaffold(found["pipeline"], tmp_path / "p", {})
+    (tmp_path / "p/base/a.md").write_text("a")
+    assert rows(files.overlay(spark, str(tmp_path / "p/production/config.yaml")), "content") == [("a",)]
