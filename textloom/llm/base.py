@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -33,6 +34,8 @@ ARROW_ROWS = 2000
 SHARE, SPREAD = 1000, 64
 
 _folders: dict[str, SparkSession] = {}
+#: The C library's malloc_trim, where there is one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -134,12 +137,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(ends: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of documents of about `limit` bytes, at least one document each."""
+    """Runs of documents of about `limit` bytes, at least one document each. After the last, freed memory is given back:
+    workers outlive their tasks, and one that waits should hold no more than it must."""
     at, n = 0, len(ends) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
         yield at, to
         at = to
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

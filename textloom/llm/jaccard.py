@@ -46,8 +46,8 @@ BITS = 1 << 26
 #: Salts of a bucket whose shingle's counter stands out.
 SALTS = 64
 #: Rounds, at most, in which members meet their buckets' largest components before all remaining pairs do, and how many
-#: remaining pairs a row are worth a round. Neither changes the result.
-ROUNDS, DENSE = 3, 4
+#: remaining pairs a row are worth a round, which reads all texts again. Neither changes the result.
+ROUNDS, DENSE = 3, 64
 #: Ranges of a sketch, and the largest set that has one: sketches hold 16-bit counts.
 RANGES, SKETCHED = 64, (1 << 16) - 1
 #: Members of a block of a bucket.
