@@ -44,6 +44,35 @@ def test_run(spark, folder):
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 20
 
 
+def test_run_leaves_its_last_stage_alone(spark, folder):
+    from pathlib import Path
+
+    import corpus_pipeline as c
+    from textloom.llm.base import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in shared.iterdir()}
+    c.run(spark, folder[0])
+    (new,) = [p for p in shared.iterdir() if p.name not in before]
+    assert new.name.startswith("pipeline-") and [p.name for p in new.iterdir() if not p.name.startswith(".")] == ["4-packing"]
+
+
+def test_without_labels_letters_decide(spark, make):
+    import corpus_pipeline as c
+
+    rows = [(1, "plain words", None), (2, "123 !!", None), (3, None, None), (4, "слова", None)]
+    assert sorted(r.doc_id for r in c.language_id(spark, make(rows), "").collect()) == [1, 4]
+
+
+def test_clean_documents_keep_their_language(spark, make):
+    import corpus_pipeline as c
+
+    rng = random.Random(77)
+    rows = [(k, prose(rng, rng.randint(1, 400), FRENCH if k % 2 else None) if k % 2 else prose(rng, rng.randint(1, 400)), ("fr" if k % 2 else "en") if k % 5 else None) for k in range(300)]
+    out = {r.doc_id: r.lang for r in c.language_id(spark, make(rows), "").collect()}
+    assert len(out) == 300 and sum(out[k] == ("fr" if k % 2 else "en") for k in out) >= 295
+
+
 def test_empty(spark, make, tmp_path):
     import corpus_pipeline as c
 
