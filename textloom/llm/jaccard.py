@@ -301,19 +301,64 @@ def toward_largest(members: DataFrame, buckets: DataFrame) -> DataFrame:
     return paired(in_buckets(members, buckets).filter(F.col("root") != F.col("hub_root"))).distinct()
 
 
-def across(members: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that have different roots and pass the length and positional filters.
+def across(members: DataFrame, buckets: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pairs of members of a bucket that have different roots and pass the length, positional and suffix filters.
 
-    Members are dealt to blocks; each block meets each, so a bucket makes many small tasks' work.
+    Members are dealt to blocks, and each block meets each in a cell of bounded size. Only pairs that pass leave a cell.
     """
     rows = in_buckets(members, buckets.select("h", "salted", "size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("blocks").cast("long")).cast("int")).select("h", "sig", "n", "pos", "root", "block", "blocks")
-    p = rows.withColumn("to", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).alias("p")
-    q = rows.withColumnRenamed("block", "to").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("to")))).alias("q")
-    fit = possible(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos"))
-    once = (F.col("p.block") < F.col("p.to")) | (F.col("p.sig") < F.col("q.sig"))
-    met = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.block") == F.col("q.block")) & (F.col("p.to") == F.col("q.to")) & (F.col("p.root") != F.col("q.root")) & once & fit)
-    return met.select(F.least("p.sig", "q.sig").alias("a"), F.greatest("p.sig", "q.sig").alias("b")).distinct()
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("blocks").cast("long")).cast("int")).join(ids.select("sig", "sketch"), "sig")
+    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    names = ["h", "i", "j", "second", "sig", "root", "n", "pos", "sketch"]
+    rows = rows.select("h", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), (F.col("block") > F.col("to")).alias("second"), "sig", "root", "n", "pos", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def met(cell: pa.Table) -> pa.RecordBatch:
+            a, b = met_in_cell(*(cell.column(c).to_numpy() for c in ("i", "j", "second", "sig", "root", "n", "pos")), cell.column("sketch").to_pylist())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            key = [batch.column(c).to_numpy() for c in ("h", "i", "j")]
+            edges = np.flatnonzero(np.any([np.diff(k) != 0 for k in key], axis=0)) + 1 if batch.num_rows > 1 else np.zeros(0, np.int64)
+            last = kept[-1] if kept else None
+            if last is not None and batch.num_rows and any(last.column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("h", "i", "j")):
+                yield met(pa.Table.from_batches(kept))
+                kept = []
+            cuts = [0, *edges.tolist(), batch.num_rows]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x:
+                    yield met(pa.Table.from_batches(kept))
+                    kept = []
+                kept.append(batch.slice(x, y - x))
+        if kept:
+            yield met(pa.Table.from_batches(kept))
+
+    dealt = rows.select(*names).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def met_in_cell(i: np.ndarray, j: np.ndarray, second: np.ndarray, sig: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, sketch: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell that pass: of one block with itself, or of one with another. Filters as in possible() and near_enough()."""
+    if not len(sig):
+        return sig, sig
+    n, pos, second = n.astype(np.int64), pos.astype(np.int64), second.astype(bool)
+    x, y = np.triu_indices(len(sig), 1) if i[0] == j[0] else (v.ravel() for v in np.meshgrid(np.flatnonzero(~second), np.flatnonzero(second), indexing="ij"))
+    fit = (root[x] != root[y]) & (sig[x] != sig[y]) & (np.minimum(n[x], n[y]) * DENOMINATOR >= np.maximum(n[x], n[y]) * NUMERATOR)
+    x, y = x[fit], y[fit]
+    fit = (1 + np.minimum(n[x] - pos[x] - 1, n[y] - pos[y] - 1)) * (NUMERATOR + DENOMINATOR) >= (n[x] + n[y]) * NUMERATOR
+    x, y = x[fit], y[fit]
+    whole = np.full(RANGES, SKETCHED, np.uint16).tobytes()
+    counts = np.frombuffer(b"".join(z or whole for z in sketch), np.uint16).reshape(-1, RANGES)
+    large = np.array([z is None for z in sketch])
+    keep = [np.zeros(0, bool)]
+    for at in range(0, len(x), 1 << 14):
+        p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+        keep.append((np.minimum(counts[p], counts[q]).sum(1, dtype=np.int64) * (NUMERATOR + DENOMINATOR) >= (n[p] + n[q]) * NUMERATOR) | large[p] | large[q])
+    fit = np.concatenate(keep)
+    x, y = sig[x[fit]], sig[y[fit]]
+    return np.minimum(x, y), np.maximum(x, y)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -348,8 +393,8 @@ def connected(docs: DataFrame, ids: DataFrame, rows: DataFrame, found: DataFrame
         if not left["pairs"]:
             return roots
         near = k < ROUNDS and left["pairs"] > DENSE * left["rows"]
-        met = toward_largest(now, buckets) if near else across(now, buckets)
-        met = near_enough(met.join(pairs, ["a", "b"], "left_anti"), ids)
+        fresh = lambda met: met.join(pairs, ["a", "b"], "left_anti")  # noqa: E731, B023  used at once
+        met = near_enough(fresh(toward_largest(now, buckets)), ids) if near else cut(fresh(across(now, buckets, ids)), "pairs")
         more = None if met.isEmpty() else verified(docs, ids, met)
         some = more is not None and not more.isEmpty()
         roots = joined(more) if some else roots
@@ -357,7 +402,7 @@ def connected(docs: DataFrame, ids: DataFrame, rows: DataFrame, found: DataFrame
             break
         pairs = pairs.unionByName(met)
         if not some:  # the same hubs would meet again
-            met = near_enough(across(now, buckets).join(pairs, ["a", "b"], "left_anti"), ids)
+            met = cut(fresh(across(now, buckets, ids)), "pairs")
             return roots if met.isEmpty() else joined(verified(docs, ids, met))
     return roots
 
