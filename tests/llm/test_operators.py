@@ -74,18 +74,28 @@ def test_nnls_explains_a_mix():
 PARTS_OF_TEXTS = [" ", "  ", "\n", "\t", "a", "B's", "'s", " 's", "don't", "é", "漢字", "😀", "\0", "<|endoftext|>", "<|endof", "1234", "_", "--", "\xa0", "　", "\x1c", "\x85", "ab cd", "x" * 30, " \n ", "\r\n", "'ll", "ﬁ", "\u0301", "٣", "\ufeff"]
 
 
-def test_encoder_equals_the_plain_tokenizer(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE", 500)
+def test_encoder_equals_the_plain_tokenizer():
     rng = random.Random(5)
     plain = Tokenizer.from_file(tokenizer_path())
-    texts = ["".join(rng.choice(PARTS_OF_TEXTS) for _ in range(rng.randrange(14))) for _ in range(6000)] + ["", " x", "x ", "<|endoftext|> hi", "a\0b c", "x" * 5000, *(full(t) for _, t in EDGE)]
+    texts = ["".join(rng.choice(PARTS_OF_TEXTS) for _ in range(rng.randrange(14))) for _ in range(6000)] + ["", " x", "x ", "<|endoftext|> hi", "a\0b c", "x" * 5000, " " * 5000 + "a", *(full(t) for _, t in EDGE)]
     e = packing.Encoder(tokenizer_path(), 7)
-    for at in range(0, len(texts), 400):
-        some = texts[at : at + 400]
-        for t, ids in zip(some, e.encode(pa.array(some, pa.string())), strict=True):
-            assert ids.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 7], repr(t)
-    assert e.encode(pa.array([], pa.string())) == []
-    assert 50256 in e.encode(pa.array(["a <|endoftext|> b"]))[0]
+    assert e.merge is not None and sum(map(e.certain, texts)) > 500 and not all(map(e.certain, texts))
+    for t in texts:
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 7]
+        assert e.encode(t).tolist() == ids, repr(t)
+        if "<|endoftext|>" not in t:
+            assert [*e.merge(t), 7] == ids, repr(t)
+    assert 50256 in e.encode("a <|endoftext|> b")
+
+
+def test_merger_is_refused_where_it_may_differ(tmp_path):
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        told = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"model": told["model"] | {"merges": told["model"]["merges"][::-1]}}, {"model": told["model"] | {"merges": told["model"]["merges"][:-1]}}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(told | change), encoding="utf-8")
+        assert packing.merger(str(path)) is None
+        assert packing.Encoder(str(path), 0).encode("don't")[-1] == 0
 
 
 def test_packing_without_rows(make):
@@ -528,6 +538,24 @@ def test_jaccard_equals_brute_force(make):
     assert got(jaccard.join(make([])), "doc_id") == []
 
 
+@pytest.mark.parametrize(("rounds", "block"), [(0, 3), (3, 256)])
+def test_remaining_pairs_lose_nothing(make, monkeypatch, rounds, block):
+    """Groups whose members are near their neighbours alone, so that no hub is near all."""
+    rng = random.Random(30)
+    rows = []
+    for g in range(4):
+        w = prose(rng, 60).split()
+        for k in range(25):
+            rows.append((100 * g + k, " ".join(w)))
+            for _ in range(2):
+                w[rng.randrange(len(w))] = "g%dq%d" % (g, rng.randrange(10_000))
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "DENSE", 0.1)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng.shuffle(rows)
+    assert sorted(got(jaccard.join(make(rows)), "doc_id", "n_shingles", "component_id")) == brute_components(rows)
+
+
 @pytest.mark.parametrize("local", [0, 1000])
 def test_components(spark, monkeypatch, local):
     from textloom.llm import graph
