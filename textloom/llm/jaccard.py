@@ -51,7 +51,7 @@ ROUNDS, DENSE = 3, 64
 #: Ranges of a sketch, and the largest set that has one: sketches hold 16-bit counts.
 RANGES, SKETCHED = 64, (1 << 16) - 1
 #: Members of a block of a bucket.
-BLOCK = 256
+BLOCK = 512
 MASKS = mix(np.arange(1, SALTS + 1, dtype=np.uint64))
 
 
