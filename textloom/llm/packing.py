@@ -15,110 +15,73 @@ once each. Columns of the input other than the id and the text play no part and
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
 from textloom.llm.base import buffers, cut, slices
 
 WINDOW = 1024
 CHUNKS = 1024
-#: Chunks whose ids a worker keeps, and bytes of text that it encodes at once; neither changes the result.
-CACHE, STEP = 300_000, 1 << 22
+#: Bytes of text that a worker turns into one batch of pieces.
+STEP = 1 << 21
+#: How byte-level BPE of this family splits a text before merging, and the visible stand-ins of its bytes.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Characters whose class has long been the same in every version of Unicode: all engines split texts of them alike.
+SETTLED = re.compile("[\\x00-\u024f\u0370-\u0373\u0376\u0377\u037a-\u037e\u0384-\u038a\u038e-\u03a1\u03a3-\u0482\u048a-\u052f\u2010-\u205e\u20a0-\u20b5\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f5ff]*\\Z")
 
 
-class Encoder:
-    """Token ids of many texts at once, each distinct chunk encoded once.
+def merger(path: str):
+    """A function from a text to its ids, faster than the tokenizer and equal to it; None if that isn't certain.
 
-    Merges never cross the pieces into which byte-level BPE splits a text, and a lone space before a visible character
-    always begins a piece. So a text whose spaces all stand between visible characters is encoded chunk by chunk. Arrow
-    numbers the chunks; those not met before are laid end to end for one call of the tokenizer, whose tokens' bytes add up
-    to the chunks' bytes. All other texts, and those with an added token in them, go to the tokenizer whole.
+    It merges the neighbours whose union has the least id, the tokenizer those that stand first in its list of merges. Both
+    agree if ids follow that list and every token, encoded by itself, is itself: then the last merge that makes a token
+    within a text is the one that makes it by itself. Both is checked, and that nothing but splitting and merging is done.
     """
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, before = told["model"], told.get("pre_tokenizer") or {}
+    added = {t["content"] for t in told["added_tokens"]}
+    plain = told.get("normalizer") is None and told.get("truncation") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+    if not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    rest = iter(range(256, 512))
+    byte = {chr(b if b in SHOWN else next(rest)): b for b in range(256)}
+    vocabulary = {t: k for t, k in model["vocab"].items() if t not in added}
+    merged = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    if not set("".join(vocabulary)) <= set(byte) or any(a >= b for a, b in zip([255, *merged], merged, strict=False)) or sorted(merged) != sorted(k for t, k in vocabulary.items() if len(t) > 1):
+        return None
+    tokenize = Tokenizer.from_file(path).model.tokenize
+    if any([x.id for x in tokenize(t)] != [k] for t, k in vocabulary.items()):
+        return None
+    return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks={bytes(byte[c] for c in t): k for t, k in vocabulary.items()}, special_tokens={}).encode_ordinary
 
-    def __init__(self, path: str, end_id: int) -> None:
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+class Encoder:
+    """Token ids of texts: by the merger where it is certain to agree with the tokenizer, else by the tokenizer."""
+
+    def __init__(self, path: str, end_id: int) -> None:
+        self.whole, self.end_id, self.merge = Tokenizer.from_file(path), end_id, merger(path)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        vocabulary = self.whole.get_vocab()
-        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: one visible stand-in each
-        for token, k in vocabulary.items():
-            self.size[k] = len(token)
-        self.end_id = end_id
-        self.forget()
-
-    def forget(self) -> None:
-        """Chunk 0 is the end id, chunk 1 any that can't be encoded alone."""
-        self.codes: dict[str, int] = {}
-        self.ids, self.starts, self.counts = np.array([self.end_id], np.uint32), np.array([0, 1]), np.array([1, 0])
-
-    def add(self, texts: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        at = len(self.starts)
-        self.codes.update(zip(texts, range(at, at + len(texts)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-        self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
-
-    def learn(self, chunks: list[str]) -> None:
-        """Keep the ids of chunks: a space and what follows, or, at a text's beginning, that alone under a leading NUL."""
-        firsts, others = [], []
-        for c in chunks:
-            body = c[1:]
-            if not body or body[0].isspace() or body[-1].isspace():
-                self.codes[c] = 1
-            else:
-                (others if c[0] == " " else firsts).append(c)
-        encode = self.whole.encode_batch_fast
-        own = [np.array(e.ids, np.uint32) for e in encode([c[1:] for c in firsts], add_special_tokens=False)]
-        if others:
-            ids = np.array(encode(["".join(others)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum([len(c.encode()) for c in others])
-            sums = np.cumsum(self.size[ids])
-            to = np.minimum(np.searchsorted(sums, ends), len(sums) - 1)
-            if len(sums) and (sums[to] == ends).all():
-                self.add(others, ids, np.diff(to, prepend=-1))
-            else:
-                own += [np.array(e.ids, np.uint32) for e in encode(others, add_special_tokens=False)]
-                firsts += others
-        if firsts:
-            self.add(firsts, np.concatenate(own), np.array([len(x) for x in own]))
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each of the texts (no nulls), the end id behind them."""
-        if len(self.codes) > CACHE:
-            self.forget()
-        n = len(texts)
-        alone = np.zeros(n, bool)
-        for token in self.added:
-            alone |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        parts = pc.split_pattern(texts, " ")
-        begins = parts.offsets.to_numpy().astype(np.int64)
-        begins -= begins[0]
-        coded = parts.flatten().dictionary_encode()
-        spaced = [" " + c for c in coded.dictionary.to_pylist()]
-        first = ["\0" + x.partition(" ")[0] for x in texts.to_pylist()]
-        self.learn([c for c in dict.fromkeys(spaced + first) if c not in self.codes])
-        number = np.fromiter(map(self.codes.__getitem__, spaced), np.int64, len(spaced))
-        words = np.zeros(begins[-1] + n, np.int64)  # an end after each text
-        inner = np.ones(len(words), bool)
-        ends = begins[1:] + np.arange(n)
-        inner[ends] = False
-        words[inner] = number[coded.indices.to_numpy()]
-        words[begins[:-1] + np.arange(n)] = np.fromiter(map(self.codes.__getitem__, first), np.int64, n)
-        alone |= np.add.reduceat(words == 1, begins[:-1] + np.arange(n)) > 0 if n else alone
-        count = self.counts[words]
-        total = np.cumsum(count)
-        flat = self.ids[np.repeat(self.starts[words] - (total - count), count) + np.arange(int(total[-1]) if n else 0)]
-        out = np.split(flat, total[ends][:-1]) if n else []
-        for k in np.flatnonzero(alone).tolist():
-            out[k] = np.array([*self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, self.end_id], np.uint32)
-        return out
+
+    def certain(self, text: str) -> bool:
+        return self.merge is not None and (text.isascii() or SETTLED.match(text) is not None) and not any(t in text for t in self.added)
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text and the end id behind them."""
+        ids = self.merge(text) if self.certain(text) else self.whole.encode(text, add_special_tokens=False).ids
+        ids.append(self.end_id)
+        return np.array(ids, np.uint32)
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -145,7 +108,8 @@ def tokenized(df: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: st
                 row: list[int] = []
                 rows: list[tuple[int, int, int, int]] = []
                 ids: list[np.ndarray] = []
-                for i, own in enumerate(encode(texts.slice(a, b - a)), a):
+                for i, text_ in enumerate(texts.slice(a, b - a).to_pylist(), a):
+                    own = encode(text_)
                     data = own.astype("<u4").tobytes()
                     n = len(own)
                     for at in range(0, n, window):
