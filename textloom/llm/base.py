@@ -122,6 +122,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return column.fill_null("").to_pylist()
