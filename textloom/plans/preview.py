@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import os
 from collections.abc import Iterator
 
@@ -10,14 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions import diff
 from textloom.functions.patterns import admitted
 from textloom.operators import md
 from textloom.plans.checks import holds
 from textloom.plans.planner import as_list, own
 from textloom.plans.stores import changed
 
-#: Characters that differ in a pair of lines, beyond which they are not compared one by one.
-LONGEST = 2000
 PART = "array<struct<kind:string,text:string>>"
 LINES = f"array<struct<kind:string,before:int,after:int,parts:{PART}>>"
 KINDS = {"equal": "equal", "delete": "removed", "insert": "added"}
@@ -26,17 +24,14 @@ KINDS = {"equal": "equal", "delete": "removed", "insert": "added"}
 def char_changes(before: str, after: str) -> list[tuple[str, str]]:
     """Runs of equal, removed and added characters that turn one line into the other.
 
-    What both begin and end with is equal; between, lines that are too long together are replaced whole.
+    What both begin and end with is equal.
     """
     first = len(os.path.commonprefix([before, after]))
     last = len(os.path.commonprefix([before[first:][::-1], after[first:][::-1]]))
     x, y = before[first : len(before) - last], after[first : len(after) - last]
     out: list[tuple[str, str]] = [("equal", before[:first])]
-    if len(x) + len(y) > LONGEST:
-        out += [("removed", x), ("added", y)]
-    else:
-        for what, a, b, c, d in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            out += [("equal", x[a:b])] if what == "equal" else [("removed", x[a:b]), ("added", y[c:d])]
+    for what, a, b, c, d in diff.opcodes(x, y):
+        out += [("equal", x[a:b])] if what == "equal" else [("removed", x[a:b]), ("added", y[c:d])]
     return [(kind, text) for kind, text in [*out, ("equal", before[len(before) - last :])] if text]
 
 
@@ -44,7 +39,7 @@ def line_changes(before: str, after: str) -> list[tuple[str, int | None, int | N
     """kind (equal, modified, removed, added), line numbers from 1 and parts of every line of both texts."""
     x, y = before.split("\n"), after.split("\n")
     out: list[tuple[str, int | None, int | None, list[tuple[str, str]]]] = []
-    for what, a, b, c, d in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+    for what, a, b, c, d in diff.opcodes(x, y):
         both = min(b - a, d - c)
         for k in range(both):
             kind = "equal" if what == "equal" else "modified"

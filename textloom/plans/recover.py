@@ -72,8 +72,10 @@ def marker_order(patch: dict, text: str) -> list[Fix]:
     return [Fix(patch | {"start": patch["end"], "end": patch["start"]}, 0.95, "markers swapped")] if not md.between(lines, patch["start"], patch["end"]) and md.between(lines, patch["end"], patch["start"]) else []
 
 
-#: Targets that may be broadcast.
-FEW = 1000
+#: Edits within which all targets meet candidates first; only those with too few go on to all that their length allows.
+RING = 2
+#: Targets of so many characters are allowed three edits at most and meet by deletions, longer ones by segments.
+SHORT = 10
 STRATEGIES = (section_typo, case_mismatch, white_space, key_typo, line_typo, marker_order)
 
 
@@ -93,22 +95,92 @@ def allowed_distance(target: Column) -> Column:
     return F.when(n <= 5, 2).when(n <= 10, 3).when(n <= 20, 5).otherwise(7)
 
 
-def nearest(targets: DataFrame, candidates: DataFrame, top: int = 5, key: str | None = None) -> DataFrame:
-    """target, value, distance: the candidates nearest each target within the edits its length allows.
+def folded(x: Column) -> Column:
+    """Lower case that no context changes and that maps each character to one or none, so folding adds no edits."""
+    return F.translate(F.lower(x), "ς\u0307", "σ")
+
+
+def span(start: Column | int, stop: Column | int) -> Column:
+    """Whole numbers from start to stop, none if stop is smaller."""
+    start, stop = (F.lit(x) if isinstance(x, int) else x for x in (start, stop))
+    return F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<int>"))
+
+
+def deletions(x: Column, most: int) -> Column:
+    """Hashes of what up to `most` deletions leave. Strings within so many edits share one."""
+    level = whole = F.array(x)
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(level, lambda s: F.transform(span(1, F.char_length(s)), lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.char_length(s)))))))
+        whole = F.concat(whole, level)
+    return F.transform(F.array_distinct(whole), lambda s: F.xxhash64(F.lit(0), s))
+
+
+def segment(n: Column, i: Column, most: int) -> tuple[Column, Column]:
+    """Start (from 1) and length of segment i (from 1) of most + 1 nearly equal ones of n characters."""
+    short = F.floor(n / (most + 1)).cast("int")
+    longer = n % (most + 1)  # the last ones
+    return 1 + (i - 1) * short + F.greatest(F.lit(0), i - 1 - (most + 1 - longer)), short + (i > most + 1 - longer).cast("int")
+
+
+def segments(x: Column, most: int) -> Column:
+    """Hashes of a candidate's segments: with up to `most` edits one of them is left whole, at about its place."""
+    def one(i: Column) -> Column:
+        start, size = segment(F.char_length(x), i, most)
+        return F.xxhash64(F.lit(most), F.char_length(x), i, x.substr(start, size))
+
+    return F.transform(span(1, most + 1), one)
+
 
-    With a key, targets meet only their own candidates (a document's sections), by an equi-join. Without, targets are
-    few (a program's texts) and are broadcast, which is checked: more than FEW meet candidates by the lengths that fit.
+def probes(x: Column, most: int) -> Column:
+    """Hashes of the pieces of a target that can be a segment of a candidate within `most` edits, by that one's length.
+
+    Of several segments that are left whole one has as many edits before it as segments, and no more after it: its place
+    moves by fewer edits than the segments before or after it number.
     """
-    d = F.least(F.levenshtein("target", "value"), F.levenshtein(F.lower("target"), F.lower("value")))
-    most = allowed_distance(F.col("target"))
-    if key:
-        pairs = targets.join(candidates, key)
-    elif len(targets.take(FEW + 1)) <= FEW:
-        pairs = candidates.distinct().join(F.broadcast(targets), F.abs(F.char_length("target") - F.char_length("value")) <= most)
+    n = F.char_length(x)
+
+    def of_length(m: Column) -> Column:
+        def of_segment(i: Column) -> Column:
+            start, size = segment(m, i, most)
+            low = F.greatest(start - (i - 1), start + (n - m) - (most + 1 - i), F.lit(1))
+            high = F.least(start + (i - 1), start + (n - m) + (most + 1 - i), n - size + 1)
+            return F.transform(span(low, high), lambda at: F.xxhash64(F.lit(most), m, i, x.substr(at, size)))
+
+        return F.flatten(F.transform(span(1, most + 1), of_segment))
+
+    return F.array_distinct(F.flatten(F.transform(span(F.greatest(F.lit(0), n - most), n + most), of_length)))
+
+
+def _pairs(targets: DataFrame, candidates: DataFrame, by: list[str], ring: bool) -> DataFrame:
+    """Targets and candidates that share a signature, each pair once, with their distance where it is allowed."""
+    x, y = folded(F.col("target")), folded(F.col("value"))
+    short, size = F.char_length("target") <= SHORT, F.char_length(y)
+    none = F.array().cast("array<bigint>")
+    if ring:
+        t = F.when(short, deletions(x, RING)).otherwise(probes(x, RING))
+        c = F.concat(F.when(size <= SHORT + RING, deletions(y, RING)).otherwise(none), segments(y, RING))
     else:
-        lengths = F.sequence(F.greatest(F.lit(0), F.char_length("target") - most), F.char_length("target") + most)
-        pairs = targets.withColumn("_n", F.explode(lengths)).join(candidates.distinct().withColumn("_n", F.char_length("value")), "_n").drop("_n")
-    pairs = pairs.filter(F.col("target") != F.col("value")).withColumn("distance", d).filter(F.col("distance") <= allowed_distance(F.col("target")))
-    by = ([key] if key else []) + ["target"]
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("distance", "value"))
-    return pairs.dropDuplicates([*by, "value"]).withColumn("place", place).filter(F.col("place") <= top).select(*by, "value", "distance")
+        t = F.when(short, deletions(x, 3)).when(F.char_length("target") <= 20, probes(x, 5)).otherwise(probes(x, 7))
+        c = F.concat(F.when(size <= SHORT + 3, deletions(y, 3)).otherwise(none), segments(y, 5), segments(y, 7))
+    met = targets.withColumn("_sig", F.explode(t)).join(candidates.withColumn("_sig", F.explode(c)), [*by, "_sig"]).select(*by, "target", "value").distinct()
+    edits = lambda a, b: F.levenshtein(a, b, 7)  # noqa: E731 - -1 beyond 7
+    plain, lower = edits(F.col("target"), F.col("value")), edits(F.lower("target"), F.lower("value"))
+    least = F.least(F.when(plain >= 0, plain), F.when(lower >= 0, lower))
+    return met.filter(F.col("target") != F.col("value")).withColumn("distance", least).filter(F.col("distance") <= (RING if ring else allowed_distance(F.col("target"))))
+
+
+def nearest(targets: DataFrame, candidates: DataFrame, top: int = 5, key: str | None = None) -> DataFrame:
+    """target, value, distance: the candidates nearest each target within the edits its length allows, with case or without.
+
+    With a key, targets meet only their own candidates (a document's sections). Strings meet in an equi-join of signatures
+    and are compared once: short ones by what deletions leave of both, longer ones by segments of the candidate that edits
+    leave whole. Targets with `top` candidates within RING edits are done; the others go on with all edits they may have.
+    """
+    by = [key] if key else []
+    targets, candidates = targets.select(*by, "target").distinct(), candidates.select(*by, "value").distinct()
+    near = _pairs(targets, candidates, by, ring=True)
+    done = near.groupBy(*by, "target").agg(F.count("*").alias("_n")).filter(F.col("_n") >= top).drop("_n")
+    left = targets.filter(allowed_distance(F.col("target")) > RING).join(done, [*by, "target"], "left_anti")
+    found = near.unionByName(_pairs(left, candidates, by, ring=False)).distinct()
+    place = F.row_number().over(Window.partitionBy(*by, "target").orderBy("distance", "value"))
+    return found.withColumn("_place", place).filter(F.col("_place") <= top).select(*by, "target", "value", "distance")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import diff
 from textloom.functions.values import canonical, content_hash
 from textloom.plans.build import build
 from textloom.plans.planner import Program
@@ -170,9 +170,15 @@ def verify(old: DataFrame, corpus: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", status(F.col("sha256"), F.col("now"), there("_had"), there("_has")).alias("status"))
 
 
-def unified(before: str, after: str, path: str, context: int = 3) -> str:
-    """A unified diff of two texts by lines."""
-    return "\n".join(difflib.unified_diff(before.split("\n"), after.split("\n"), f"a/{path}", f"b/{path}", lineterm="", n=context))
+def unified(before: str | None, after: str | None, path: str, context: int = 3) -> str:
+    """A unified diff of two texts by lines; a text that isn't there has none."""
+    return diff.unified([] if before is None else before.split("\n"), [] if after is None else after.split("\n"), path, context)
+
+
+def patched(before: str | None, text: str) -> str | None:
+    """What a unified diff makes of a text. No lines are left where the text is gone."""
+    lines = diff.applied([] if before is None else before.split("\n"), text)
+    return "\n".join(lines) if lines else None
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -189,12 +195,25 @@ def corpus_diff(before: DataFrame, after: DataFrame, text: bool = True) -> DataF
     a = before.select("path", F.col("content").alias("_a")).join(keys, "path", "left_semi")
     b = after.select("path", F.col("content").alias("_b")).join(keys, "path", "left_semi")
 
-    @F.pandas_udf("string")
-    def diff(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def told(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x, y, p in batches:
-            yield pd.Series([unified(i or "", j or "", k) for i, j, k in zip(x, y, p, strict=True)])
+            yield pa.array([unified(i, j, k) for i, j, k in zip(x.to_pylist(), y.to_pylist(), p.to_pylist(), strict=True)], pa.string())
+
+    return some.join(a, "path", "left").join(b, "path", "left").select("path", "status", told("_a", "_b", "path").alias("diff"))
+
+
+def patched_corpus(before: DataFrame, diffs: DataFrame) -> DataFrame:
+    """path, content: a corpus with the diffs of `corpus_diff` applied. A diff that doesn't fit fails the job."""
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, d in batches:
+            yield pa.array([patched(i, j) for i, j in zip(x.to_pylist(), d.to_pylist(), strict=True)], pa.string())
 
-    return some.join(a, "path", "left").join(b, "path", "left").select("path", "status", diff("_a", "_b", "path").alias("diff"))
+    untouched = before.select("path", "content").join(diffs.select("path"), "path", "left_anti")
+    todo = diffs.filter("status <> 'deleted'").join(before.select("path", "content"), "path", "left")
+    return untouched.unionByName(todo.select("path", run("content", "diff").alias("content")))
 
 
 def line_changes(before: DataFrame, after: DataFrame) -> DataFrame:

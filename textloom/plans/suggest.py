@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import os
 import re
@@ -14,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import codecs
+from textloom.functions import codecs, diff
 from textloom.functions.values import MISSING, canonical, content_hash, deep_equal
 from textloom.operators import md
 from textloom.plans.build import fold
@@ -229,21 +228,36 @@ def between_patches(a: str, b: str) -> list[dict]:
     return out
 
 
+def siblings(found: list[md.Section]) -> dict[str | None, list[str]]:
+    """The sections below each section, None for those below none, in order."""
+    out: dict[str | None, list[str]] = {}
+    above: list[md.Section] = []
+    for s in found:
+        while above and above[-1].level >= s.level:
+            above.pop()
+        out.setdefault(above[-1].id if above else None, []).append(s.id)
+        above.append(s)
+    return out
+
+
 def move_patches(a: str, b: str) -> list[dict]:
-    """Sections with unchanged text outside the longest common order of ids."""
+    """The fewest moves of unchanged sections behind a neighbour that give the order of the target, below each section."""
     la, lb = a.split("\n"), b.split("\n")
     sa, sb = md.sections(la), md.sections(lb)
     ids, jds = [s.id for s in sa], [s.id for s in sb]
     if ids == jds or sorted(ids) != sorted(jds) or len(set(ids)) != len(ids):
         return []
-    kept = {ids[m.a + k] for m in difflib.SequenceMatcher(None, ids, jds, False).get_matching_blocks() for k in range(m.size)}
-    body = {s.id: "\n".join(la[s.start : s.end]).strip() for s in sa}
+    text = lambda lines, s: "\n".join(lines[s.start : s.end]).strip()
+    old, new = {s.id: s for s in sa}, {s.id: s for s in sb}
+    before, after = siblings(sa), siblings(sb)
     out = []
-    for k, t in enumerate(sb):
-        if t.id not in kept and k and "\n".join(lb[t.start : t.end]).strip() == body[t.id]:
-            before = next((s.id for s in reversed(sb[:k]) if s.level == t.level), None)
-            if before:
-                out.append({"op": "move-section", "id": t.id, "after": before})
+    for parent, order in after.items():
+        if sorted(before.get(parent, [])) != sorted(order):
+            continue
+        for name, behind in diff.moves(before[parent], order):
+            x, y = old[name], new[name]
+            if sorted(text(la, x).split("\n")) == sorted(text(lb, y).split("\n")):  # those below it may have moved as well
+                out.append({"op": "move-section", "id": name, "after": behind})
     return out
 
 
@@ -253,7 +267,7 @@ def line_patches(a: str, b: str) -> list[dict]:
     out: list[dict] = []
     swaps: Counter[tuple[str, str]] = Counter()
     lines: list[dict] = []
-    for tag, i, j, k, n in difflib.SequenceMatcher(None, la, lb, False).get_opcodes():
+    for tag, i, j, k, n in diff.opcodes(la, lb):
         if tag == "replace" and j - i == n - k:
             for x, y in zip(la[i:j], lb[k:n], strict=True):
                 p, q = x.split(), y.split()
@@ -298,7 +312,8 @@ DETECTORS = (frontmatter_patches, list_patches, link_patches, table_patches, cod
 def suggest(source: str, target: str, path: str = "") -> list[tuple[dict, float]]:
     """Patches with confidences, best first in the order of their detectors.
 
-    A detector's patches stay if they bring the document nearer to the target than what was found before.
+    A detector's patches stay if they bring the document nearer to the target than what was found before; moves, each of
+    which may only help with the others, together.
     """
     if source == target:
         return []
@@ -308,20 +323,25 @@ def suggest(source: str, target: str, path: str = "") -> list[tuple[dict, float]
     now = source
     lines = target.split("\n")
 
-    def near(text: str, least: float = -1.0) -> float:
-        """Likeness to the target, by lines; where a bound on it, found in linear time, isn't above `least`, that bound."""
-        m = difflib.SequenceMatcher(None, text.split("\n"), lines, False)
-        bound = m.quick_ratio()
-        return m.ratio() if bound > least else bound
+    def near(text: str) -> float:
+        """Likeness to the target, by lines in common order."""
+        own = text.split("\n")
+        return 1 - diff.distance(own, lines) / (len(own) + len(lines))
 
     best = near(now)
     for detect in DETECTORS:
         if now == target:
             break
-        for patch in detect(now, target):
-            after, n = md.apply(now, own(patch), path)
-            if n and ((got := near(after, best)) > best or after == target):
-                out.append((patch, score(patch, now)))
+        found = detect(now, target)
+        for group in [found] if detect is move_patches else [[patch] for patch in found]:
+            after, kept = now, []
+            for patch in group:
+                text, n = md.apply(after, own(patch), path)
+                if n:
+                    kept.append((patch, score(patch, after)))
+                    after = text
+            if kept and ((got := near(after)) > best or after == target):
+                out += kept
                 now, best = after, got
     return out
 

@@ -607,6 +607,19 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recover.nearest(targets, types).withColumn("distance", F.col("distance").cast("long"))
 
 
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three names nearest to each name of a part with its type and brand, of all of them."""
+    names = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("value"))
+    return recover.nearest(names.withColumnRenamed("value", "target"), names, 3).withColumn("distance", F.col("distance").cast("long"))
+
+
+SIMILAR_SQL = """WITH n AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS v FROM part), d AS (
+ SELECT x.v AS target, y.v AS value, least(levenshtein(x.v, y.v), levenshtein(lower(x.v), lower(y.v))) AS distance,
+ CASE WHEN length(x.v) <= 5 THEN 2 WHEN length(x.v) <= 10 THEN 3 WHEN length(x.v) <= 20 THEN 5 ELSE 7 END AS most
+ FROM n x, n y WHERE x.v <> y.v)
+SELECT target, value, CAST(distance AS BIGINT) AS distance FROM d WHERE distance <= most QUALIFY row_number() OVER (PARTITION BY target ORDER BY distance, value) <= 3"""
+
+
 def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section ids of each document nearest to a mistyped one."""
     found = relations.sections(corpus(spark, sf_dir)).select("path", F.col("id").alias("value"))
@@ -641,10 +654,50 @@ def regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unified diffs have no form in SQL; their rows are compared in corpus_status."""
+    """Unified diffs of documents that went, came, or have another last line."""
     return stores.corpus_diff(text_corpus(spark, sf_dir), changed_corpus(spark, sf_dir))
 
 
+#: All lines of a document that went or came; of a changed one the last line and up to three before it.
+DIFF_SQL = CORPUS_SQL.replace("n_chars,", "n_chars, text,") + """, l AS (
+ SELECT *, string_split(text, chr(10)) AS t, len(t) AS n, least(n, 4) AS w, CASE WHEN k = 1 THEN 'new/' || path ELSE path END AS p, chr(10) AS nl
+ FROM c, (VALUES (0), (1)) AS v(k) WHERE text IS NOT NULL AND (k = 0 AND source IN ('src1', 'src2', 'src3') OR k = 1 AND source = 'src3'))
+SELECT p AS path, CASE WHEN k = 1 THEN 'added' WHEN source = 'src2' THEN 'modified' ELSE 'deleted' END AS status,
+ '--- a/' || p || nl || '+++ b/' || p || nl || CASE WHEN k = 1 THEN '@@ -0,0 +1,' || n || ' @@' || nl || '+' || replace(text, nl, nl || '+')
+ WHEN source <> 'src2' THEN '@@ -1,' || n || ' +0,0 @@' || nl || '-' || replace(text, nl, nl || '-')
+ ELSE '@@ -' || (n - w + 1) || ',' || w || ' +' || (n - w + 1) || ',' || w || ' @@' || nl || array_to_string(list_transform(t[n - w + 1:n - 1], lambda x: ' ' || x || nl), '') || '-' || t[n] || nl || '+' || t[n] || '!' END AS diff FROM l"""
+
+
+def patched_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus brought up to date by its diffs alone."""
+    before = text_corpus(spark, sf_dir)
+    return stores.patched_corpus(before, stores.corpus_diff(before, changed_corpus(spark, sf_dir)))
+
+
+#: Sections that move within documents, by the rest of the id: their titles in order, before and after, and the moves.
+ORDERS = [
+    ("ABCDEF", "ABCDEF", []), ("ABCDEF", "BCDEFA", [("a", "f")]), ("ABCDEF", "AFBCDE", [("f", "a")]), ("ABCDEF", "ADEBCF", [("d", "a"), ("e", "d")]),
+    ("ABCDEF", "ACBEDF", [("c", "a"), ("e", "b")]), ("ABCDEFGHIJ", "AJBCDHEFGI", [("j", "a"), ("h", "d")]), ("ABCD", "ADCB", [("d", "a"), ("c", "d")]),
+]
+
+
+def sectioned(order: str, source: Column) -> Column:
+    return F.concat(F.lit("# Top\n"), *(x for c in order for x in (F.lit(f"\n## {c}\n\n{c} of "), source, F.lit("\n"))))
+
+
+def moved_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moves that give each document its new order of sections, and whether they do so exactly."""
+    docs = table(spark, sf_dir, "documents").select(path_column().alias("path"), "doc_id", "source")
+    which = F.col("doc_id") % len(ORDERS)
+    text = lambda side: F.coalesce(*(F.when(which == k, sectioned(x[side], F.coalesce("source", F.lit("none")))) for k, x in enumerate(ORDERS)))
+    pairs = docs.select("path", text(0).alias("source"), text(1).alias("target"))
+    found = suggest.suggestions(pairs)
+    return found.select("path", F.get_json_object("patch", "$.op").alias("op"), F.get_json_object("patch", "$.id").alias("id"), F.get_json_object("patch", "$.after").alias("after"), "checked")
+
+
+MOVED_SQL = CORPUS_SQL + f"SELECT path, 'move-section' AS op, id, after, CAST(1 AS DOUBLE) AS checked FROM c JOIN (VALUES {', '.join(f'({k}, {x!r}, {y!r})' for k, (_, _, m) in enumerate(ORDERS) for x, y in m)}) AS t(k, id, after) ON k = doc_id % {len(ORDERS)}"
+
+
 def region_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One markdown table of nations a region, sorted and filtered as documents, read back as rows."""
     n = table(spark, sf_dir, "nation").select("n_regionkey", F.concat(F.lit("| "), "n_name", F.lit(" | "), F.col("n_nationkey").cast("string"), F.lit(" |")).alias("row"), "n_nationkey")
@@ -825,6 +878,7 @@ PLAIN_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
  CASE WHEN length(target) <= 5 THEN 2 WHEN length(target) <= 10 THEN 3 WHEN length(target) <= 20 THEN 5 ELSE 7 END AS most
  FROM t, (SELECT DISTINCT p_type AS value FROM part) WHERE target <> value)
 SELECT target, value, CAST(distance AS BIGINT) AS distance FROM d WHERE distance <= most QUALIFY row_number() OVER (PARTITION BY target ORDER BY distance, value) <= 5"""),
+    "similar_names": (similar_names, SIMILAR_SQL),
     "recovered": (recovered, CORPUS_SQL + "SELECT path, 'summary' AS value, CAST(1 AS BIGINT) AS distance FROM c"),
     "incremental": (incremental, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(text, 'e', 'E') AS content, source IN ('src1', 'src2', 'src3') AS rebuilt FROM c"),
     "pruned": (pruned, "SELECT CAST(o_orderkey AS VARCHAR) AS build_id FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC LIMIT 30"),
@@ -833,7 +887,9 @@ SELECT coalesce(x.path, y.path) AS path, CASE WHEN x.h IS NULL THEN 'added' WHEN
  CAST(coalesce(y.size, 0) - coalesce(x.size, 0) AS BIGINT) AS size_delta, CAST(coalesce(y.h, 0) - coalesce(x.h, 0) AS BIGINT) AS patch_delta
 FROM (SELECT * FROM f WHERE b = 'A') x FULL JOIN (SELECT * FROM f WHERE b = 'R') y ON x.path = y.path"""),
     "regressions": (regressions, "SELECT event_type AS name, round((max(value) - avg(value)) / avg(value) * 100, 6) AS percent FROM events GROUP BY 1"),
-    "corpus_diff": (corpus_diff, None),
+    "corpus_diff": (corpus_diff, DIFF_SQL),
+    "patched_corpus": (patched_corpus, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT CASE WHEN source = 'src3' THEN 'new/' || path ELSE path END AS path, CASE WHEN source = 'src2' THEN text || '!' ELSE text END AS content FROM c WHERE source <> 'src1'"),
+    "moved_sections": (moved_sections, MOVED_SQL),
     "structured": (structured, structured_sql()),
     "worked": (worked, WORKED_SQL),
     "by_operation": (by_operation, f"WITH w AS ({WORKED_SQL}) SELECT op, count(DISTINCT path) AS documents, CAST(sum(count) AS BIGINT) AS matches FROM w GROUP BY op"),
