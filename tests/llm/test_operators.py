@@ -74,6 +74,14 @@ def test_nnls_explains_a_mix():
 PARTS_OF_TEXTS = [" ", "  ", "\n", "\t", "a", "B's", "'s", " 's", "don't", "é", "漢字", "😀", "\0", "<|endoftext|>", "<|endof", "1234", "_", "--", "\xa0", "　", "\x1c", "\x85", "ab cd", "x" * 30, " \n ", "\r\n", "'ll", "ﬁ", "\u0301", "٣", "\ufeff"]
 
 
+@pytest.mark.parametrize("char", [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\xa0", "\x85", "\u2003", "\u3000"])
+def test_long_white_space(char):
+    """Two million of one white-space character, alone and within words; runs about the splitter's bound."""
+    ours, plain = packing.Encoder(tokenizer_path(), 0), Tokenizer.from_file(tokenizer_path())
+    for text in ("a" + char * 2_000_000 + "b", char * (packing.RUN - 1) + "x", "x " + char * packing.RUN + "y z", char * (packing.RUN + 1)):
+        assert np.array_equal(ours.encode(text), [*plain.encode(text, add_special_tokens=False).ids, 0])
+
+
 def test_encoder_equals_the_plain_tokenizer():
     rng = random.Random(5)
     plain = Tokenizer.from_file(tokenizer_path())

@@ -37,6 +37,9 @@ STEP = 1 << 21
 #: How byte-level BPE of this family splits a text before merging, and the visible stand-ins of its bytes.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: White space of one run that the faster splitter is given; its search for the end of a run remembers every character of it.
+RUN = 100_000
+WHITE = re.compile(r"\s+")
 #: Characters whose class has long been the same in every version of Unicode: all engines split texts of them alike.
 SETTLED = re.compile("[\\x00-\u024f\u0370-\u0373\u0376\u0377\u037a-\u037e\u0384-\u038a\u038e-\u03a1\u03a3-\u0482\u048a-\u052f\u2010-\u205e\u20a0-\u20b5\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f5ff]*\\Z")
 
@@ -75,7 +78,7 @@ class Encoder:
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def certain(self, text: str) -> bool:
-        return self.merge is not None and (text.isascii() or SETTLED.match(text) is not None) and not any(t in text for t in self.added)
+        return self.merge is not None and (text.isascii() or SETTLED.match(text) is not None) and not any(t in text for t in self.added) and (len(text) <= RUN or all(m.end() - m.start() <= RUN for m in WHITE.finditer(text)))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text and the end id behind them."""
