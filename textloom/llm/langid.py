@@ -20,13 +20,13 @@ are never read, and pass through whatever their names; those named like the resu
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ TRAIN_DOCS, WINDOWS, LENGTH, SPLICED = 6000, 12, 32, 4
 BUCKETS = 1 << 18
 SEGMENT = 64
 UNDECIDED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 EPOCHS, ROWS, RATE, DECAY = 3, 128, 0.3, 1e-6
 
 
