@@ -308,10 +308,71 @@ def test_watch_keeps_folders_apart_and_compacts(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "state/output").iterdir() if p.is_dir()) == ["base=3", "version=4"]
     watch.batch(spark.createDataFrame([("a/i0.md", "T")], "path string, content string"), 2)  # an old batch again
     assert watch.current().count() == 10
-    gone = watch.sweep(watch.current().filter("path like 'a/%'").select("path"), 5)
+    gone = watch.sweep(watch.current().filter("path like 'a/%'").select("path"))
     assert gone.count() == 5 and watch.current().count() == 5
 
 
+@pytest.mark.parametrize("compact", [2, 10])
+@pytest.mark.parametrize("corpus_patch", [False, True])
+def test_sweep_between_batches(spark, tmp_path, compact, corpus_patch):
+    """What was swept stays away, what comes later arrives, and a batch that runs again changes nothing."""
+    from textloom.streaming.watch import Watch
+
+    table = lambda *r: spark.createDataFrame(list(r), "path string, content string")
+    program = Program([{"op": "delete-file", "match": "none.md"}] if corpus_patch else [], [{"op": "replace", "old": "x", "new": "y"}])
+    watch = Watch(spark, str(tmp_path / "state"), program, compact=compact)
+    assert watch.sweep(table(("a.md", "")).limit(0)).count() == 0
+    watch.batch(table(("a.md", "x1"), ("b.md", "x2")), 0)
+    assert rows(watch.sweep(table(("a.md", ""))), "path") == [("b.md",)]
+    assert watch.sweep(table(("a.md", ""))).count() == 0
+    watch.batch(table(("c.md", "x3")), 1)
+    watch.batch(table(("c.md", "x3")), 1)
+    watch.batch(table(("a.md", "x1"), ("b.md", "x2")), 0)
+    assert rows(watch.current(), "path", "output") == [("a.md", "y1"), ("c.md", "y3")]
+    watch.batch(table(("b.md", "x2"), ("a.md", None)), 2)
+    assert rows(watch.current(), "path", "output") == [("b.md", "y2"), ("c.md", "y3")]
+    assert watch.sweep(watch.current().select("path").limit(0)).count() == 2
+    watch.batch(table(("b.md", "x2"), ("a.md", None)), 2)
+    assert watch.current().count() == 0
+
+
+def test_debounced_changes(spark, tmp_path):
+    """Two changes of a path within the quiet time are one, deletes are events, and a restart loses nothing."""
+    import time
+
+    from textloom.streaming.debounce import debounced
+    from textloom.streaming.watch import Watch, stream_table
+
+    def put(*r):
+        spark.createDataFrame(list(r), "path string, content string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def until(ready, seconds=60):
+        end = time.time() + seconds
+        while not ready() and time.time() < end:
+            time.sleep(0.2)
+        assert ready()
+
+    put(("a.md", "x1"), ("b.md", "x2"))
+    seen = []
+    watch = Watch(spark, str(tmp_path / "state"), Program([], [{"op": "replace", "old": "x", "new": "y"}]), on_build=lambda df, n: seen.extend(rows(df, "path", "output")))
+    source = stream_table(spark, str(tmp_path / "in"))
+    running = watch.start(source, str(tmp_path / "c"), every="100 milliseconds", quiet=20_000)
+    until(lambda: (running.lastProgress or {}).get("batchId", -1) >= 1)
+    put(("a.md", "x3"))
+    n = running.lastProgress["batchId"]
+    until(lambda: running.lastProgress["batchId"] >= n + 1)
+    running.stop()  # both wait
+    assert seen == []
+    running = watch.start(stream_table(spark, str(tmp_path / "in")), str(tmp_path / "c"), every="100 milliseconds", quiet=500)
+    until(lambda: len(seen) >= 2)
+    assert sorted(seen) == [("a.md", "y3"), ("b.md", "y2")]
+    put(("b.md", None))
+    until(lambda: watch.current().count() == 1)
+    running.stop()
+    assert rows(watch.current(), "path", "output") == [("a.md", "y3")]
+    assert debounced(stream_table(spark, str(tmp_path / "in")), 10).columns == ["path", "content", "modified", "events"]
+
+
 def test_watch_rebuilds_if_documents_depend_on_each_other(spark, tmp_path):
     from textloom.streaming.watch import Watch
 

@@ -37,6 +37,11 @@ class Versions:
     def base(self) -> int:
         return self._parts()[0]
 
+    def next(self) -> int:
+        """The number after the newest version's, or 0."""
+        base, versions = self._parts()
+        return max([base, *versions]) + 1
+
     def read(self, before: int | None = None) -> DataFrame:
         """All versions since the newest base, the base with them; or those before a number."""
         base, versions = self._parts()

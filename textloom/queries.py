@@ -721,8 +721,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A watched folder after two batches: documents of src1 come with the second only, those of src2 with the first only,
-    and all others change in between."""
+    """A watched folder after two batches and a sweep between them: documents of src1 come with the second only, those of
+    src2 with the first only, and all others change in between; the sweep finds documents of src2, src3 and src4 with even
+    ids gone, of which the second batch brings all but those of src2 back."""
     from textloom.streaming.watch import Watch, stream_table
 
     where = shared_folder(spark, "watch")
@@ -732,9 +733,24 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.select("path", text.alias("content")).write.mode("append").parquet(f"{where}/in")
         watch = Watch(spark, f"{where}/state", program({"patches": [{"op": "replace", "old": "e", "new": "E"}]}))
         watch.start(stream_table(spark, f"{where}/in"), f"{where}/log", once=True).awaitTermination()
+        if n == 0:
+            watch.sweep(docs.filter("NOT (path RLIKE '/src[234]/' AND path RLIKE '[02468].md$')").select("path"))
     return watch.current().select("path", "output")
 
 
+def debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each document once it was quiet: all change twice, those of src2 are gone the second time."""
+    from textloom.streaming.debounce import drained
+    from textloom.streaming.watch import stream_table
+
+    where = shared_folder(spark, "quiet")
+    docs = table(spark, sf_dir, "documents").select(path_column().alias("path"), F.col("text").alias("content"))
+    for n in range(2):
+        content = F.when(F.col("path").contains("/src2/"), F.lit(None).cast("string")).otherwise(F.col("content")) if n else F.concat("content", F.lit("old"))
+        docs.select("path", content.alias("content"), F.timestamp_seconds(F.lit(n)).alias("modified")).write.mode("append").parquet(f"{where}/in")
+    return drained(stream_table(spark, f"{where}/in", "path string, content string, modified timestamp"), 1000, f"{where}/out", f"{where}/log").select("path", "content", "events")
+
+
 #: Structured files by their number: extension, content, and what setting `a` to x leaves.
 FORMS = [
     ("yaml", "id: {id}\nk: {k}\n", "id: {id}\nk: {k}\na: x\n"), ("toml", "id = {id}\nk = {k}\n", 'id = {id}\nk = {k}\na = "x"\n'),
@@ -899,7 +915,8 @@ FROM (SELECT * FROM f WHERE b = 'A') x FULL JOIN (SELECT * FROM f WHERE b = 'R')
     "word_similarity": (word_similarity, "SELECT p_partkey, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS likeness FROM (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS a, list_distinct(string_split(lower(p_type || ' ' || p_brand), ' ')) AS b FROM part)"),
     "versioned": (versioned, VERSIONED_SQL),
     "region_tables": (region_tables, "SELECT 'r' || CAST(n_regionkey AS VARCHAR) || '.md' AS path, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) - 1 AS BIGINT) AS row, n_name AS name FROM nation WHERE regexp_matches(n_name, '[13579]$')"),
-    "streamed": (streamed, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(CASE WHEN source = 'src2' THEN text || 'old' ELSE text END, 'e', 'E') AS output FROM c"),
+    "streamed": (streamed, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(CASE WHEN source = 'src2' THEN text || 'old' ELSE text END, 'e', 'E') AS output FROM c WHERE source <> 'src2' OR doc_id % 2 = 1"),
+    "debounced": (debounced, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, CASE WHEN source = 'src2' THEN NULL ELSE text END AS content, CAST(2 AS BIGINT) AS events FROM c"),
 }
 
 

@@ -1,8 +1,10 @@
 """Continuous builds: a file stream whose new and changed documents run through a program, with state in a keyed table.
 
 A batch costs what it brings and what the state holds of one folder's newest table: versions are compacted every COMPACT
-batches, and older ones deleted. A row with a null content says that its path is gone; file streams never say so, so
-`sweep` compares the state with a listing. A program with patches that copy, move or drop whole documents is built over all
+batches, and older ones deleted. Versions have numbers of their own, and each row the stream's batch it came with: a sweep
+between two batches is a version like any other, and a batch that is run again finds what it wrote. A row with a null
+content says that its path is gone; file streams never say so, so `sweep` compares the state with a listing. Changes can be
+held until a path has been quiet for a while: see debounce. A program with patches that copy, move or drop whole documents is built over all
 sources with each batch, since any path may depend on any other; all others build only what changed.
 """
 
@@ -22,9 +24,10 @@ from textloom.plans.build import build
 from textloom.plans.planner import Program
 from textloom.plans.stores import Versions, program_hash
 from textloom.sources.files import relative_path
+from textloom.streaming.debounce import debounced
 
 SCHEMA = "path string, content string"
-STATE = "path string, output string, source_hash string, patch_hash string, applied int, deleted boolean, version long"
+STATE = "path string, output string, source_hash string, patch_hash string, applied int, deleted boolean, version long, batch long, swept boolean"
 SOURCES = "path string, content string, deleted boolean, version long"
 COMPACT = 10
 VARIABLE = re.compile(r"\{\{([A-Za-z_][A-Za-z0-9_]*)\}\}")
@@ -105,63 +108,78 @@ class Watch:
         """path, output, source_hash, patch_hash, applied of every document."""
         return self.table.newest().filter(~F.col("deleted")).select("path", "output", "source_hash", "patch_hash", "applied")
 
+    def _number(self, batch_id: int) -> int | None:
+        """The version a batch is to be: of its own if it was built before and its version still stands, None if it doesn't."""
+        last = self.table.read().agg(F.max("batch").alias("b"), F.min(F.when(F.col("batch") == batch_id, F.when(~F.col("swept"), F.col("version")))).alias("v")).first()
+        if last["b"] is None or last["b"] < batch_id:
+            return self.table.next()
+        return last["v"] if last["b"] == batch_id and last["v"] is not None and last["v"] > self.table.base() else None
+
     def batch(self, df: DataFrame, batch_id: int) -> None:
         """Build what a batch brought and the state doesn't have. Running a batch again changes nothing more.
 
         Of several rows of a path the one with the latest `modified` counts, if there is such a column, else the greatest.
         """
         try:
-            if self.table.base() >= batch_id:
+            number = self._number(batch_id)
+            if number is None:
                 return
             order = F.struct("modified", "content") if "modified" in df.columns else F.struct("content")
             df = df.groupBy("path").agg(F.max_by(F.struct("content"), order).alias("c")).select("path", "c.content").withColumn("deleted", F.col("content").isNull())
             self._changed(df)
-            if self.sources:
-                self._rebuild(df, batch_id)
-            else:
-                self._build(df, batch_id)
+            self._write(df, number, batch_id)
             if self.on_build:
-                self.on_build(self.table.version(batch_id), batch_id)
+                self.on_build(self.table.version(number), batch_id)
         except Exception as e:
             self.hooks.run(self.hooks.on_error, error=e, exitCode=1)
             raise
         self.hooks.run(self.hooks.on_build, exitCode=0)
 
+    def _write(self, df: DataFrame, number: int, batch_id: int, swept: bool = False) -> None:
+        mark = lambda rows: rows.withColumn("batch", F.lit(batch_id).cast("long")).withColumn("swept", F.lit(swept))
+        self.table.write(mark(self._rebuilt(df, number) if self.sources else self._fresh(df, number)), number)
+
     def _changed(self, df: DataFrame) -> None:
         if self.hooks.on_change:
             for row in df.select("path").orderBy("path").toLocalIterator():
                 self.hooks.run(self.hooks.on_change, file=row["path"])
 
-    def _built(self, df: DataFrame, batch_id: int) -> DataFrame:
+    def _built(self, df: DataFrame, number: int) -> DataFrame:
         out = build(df.select("path", "content", F.sha2("content", 256).alias("source_hash")), self.program)
-        return out.select("path", F.col("content").alias("output"), "source_hash", F.lit(self.key).alias("patch_hash"), F.col("applied").cast("int").alias("applied"), F.lit(False).alias("deleted"), F.lit(batch_id).cast("long").alias("version"))
+        return out.select("path", F.col("content").alias("output"), "source_hash", F.lit(self.key).alias("patch_hash"), F.col("applied").cast("int").alias("applied"), F.lit(False).alias("deleted"), F.lit(number).cast("long").alias("version"))
 
-    def _gone(self, paths: DataFrame, batch_id: int) -> DataFrame:
+    def _gone(self, paths: DataFrame, number: int) -> DataFrame:
         null = F.lit(None).cast("string")
-        return paths.select("path", null.alias("output"), null.alias("source_hash"), null.alias("patch_hash"), F.lit(0).alias("applied"), F.lit(True).alias("deleted"), F.lit(batch_id).cast("long").alias("version"))
+        return paths.select("path", null.alias("output"), null.alias("source_hash"), null.alias("patch_hash"), F.lit(0).alias("applied"), F.lit(True).alias("deleted"), F.lit(number).cast("long").alias("version"))
 
-    def _build(self, df: DataFrame, batch_id: int) -> None:
-        known = self.table.newest(before=batch_id).select("path", F.col("source_hash").alias("_s"), F.col("patch_hash").alias("_p"))
+    def _fresh(self, df: DataFrame, number: int) -> DataFrame:
+        known = self.table.newest(before=number).select("path", F.col("source_hash").alias("_s"), F.col("patch_hash").alias("_p"))
         fresh = df.filter(~F.col("deleted")).withColumn("_h", F.sha2("content", 256)).join(known, "path", "left")
         fresh = fresh.filter(F.col("_s").isNull() | (F.col("_s") != F.col("_h")) | (F.col("_p") != self.key)).select("path", "content")
-        self.table.write(self._built(fresh, batch_id).unionByName(self._gone(df.filter("deleted"), batch_id)), batch_id)
+        return self._built(fresh, number).unionByName(self._gone(df.filter("deleted"), number))
 
-    def _rebuild(self, df: DataFrame, batch_id: int) -> None:
-        self.sources.write(df.select("path", "content", "deleted", F.lit(batch_id).cast("long").alias("version")), batch_id)
+    def _rebuilt(self, df: DataFrame, number: int) -> DataFrame:
+        self.sources.write(df.select("path", "content", "deleted", F.lit(number).cast("long").alias("version")), number)
         everything = self.sources.newest().filter(~F.col("deleted")).select("path", "content")
-        done = self._built(everything, batch_id)
-        old = self.table.newest(before=batch_id).filter(~F.col("deleted")).select("path").join(done.select("path"), "path", "left_anti")
-        self.table.write(done.unionByName(self._gone(old, batch_id)), batch_id)
-
-    def sweep(self, existing: DataFrame, batch_id: int) -> DataFrame:
-        """Drop what a listing (path) no longer has; the paths dropped. Call it between runs, with a number after the last batch's."""
-        known = (self.sources or self.table).newest().filter(~F.col("deleted")).select("path")
-        gone = known.join(existing.select("path"), "path", "left_anti").withColumn("content", F.lit(None).cast("string"))
-        self.batch(gone, batch_id)
-        return self.table.version(batch_id).filter("deleted").select("path")
-
-    def start(self, source: DataFrame, checkpoint: str, every: str = "300 milliseconds", once: bool = False) -> StreamingQuery:
-        """Changes that come within `every` make one batch."""
+        done = self._built(everything, number)
+        old = self.table.newest(before=number).filter(~F.col("deleted")).select("path").join(done.select("path"), "path", "left_anti")
+        return done.unionByName(self._gone(old, number))
+
+    def sweep(self, existing: DataFrame) -> DataFrame:
+        """Drop what a listing (path) no longer has; the paths dropped. Call it between runs of the stream."""
+        last = self.table.read().agg(F.max("batch")).first()[0]
+        number = self.table.next()
+        if last is not None:
+            known = (self.sources or self.table).newest().filter(~F.col("deleted")).select("path")
+            gone = known.join(existing.select("path"), "path", "left_anti").withColumn("content", F.lit(None).cast("string")).withColumn("deleted", F.lit(True))
+            self._write(gone, number, last, swept=True)
+        return self.table.version(number).filter("deleted").select("path")
+
+    def start(self, source: DataFrame, checkpoint: str, every: str = "300 milliseconds", once: bool = False, quiet: int | None = None) -> StreamingQuery:
+        """Changes that come within `every` make one batch. With `quiet`, a path's changes wait until none came for so many
+        milliseconds, and the last one is built; not with `once`, which waits for nothing."""
+        if quiet and not once:
+            source = debounced(source, quiet)
         writer = source.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
