@@ -93,11 +93,16 @@ def date_number(text: str) -> float:
     return 0.0
 
 
+#: The root locale's order of ASCII characters that are no letters or digits; all come before those.
+PUNCTUATION = "\t\n\v\f\r _-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$"
+
+
 def collation_key(text: str) -> tuple:
-    """About the order of a locale: letters first without marks and case, then marks, then lower case before upper."""
+    """Order of the root locale for Latin text, near it for other: letters first without marks and case, then marks, then
+    lower case before upper. In columns the locale's own order is used."""
     base = unicodedata.normalize("NFKD", text)
     bare = "".join(c for c in base if not unicodedata.combining(c))
-    rank = [(0, c) if not c.isalnum() else (1, c) if c.isdigit() else (2, c) for c in bare.casefold()]
+    rank = [(0, PUNCTUATION.find(c), c) if not c.isalnum() else (1, 0, c) if c.isdigit() else (2, 0, c) for c in bare.casefold()]
     return rank, [c for c in base if unicodedata.combining(c)], bare.swapcase()
 
 

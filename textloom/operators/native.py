@@ -1,6 +1,6 @@
 """Content operators as Column expressions: text, line and section patches that never leave the JVM.
 
-`build(patch, content)` gives the new content and the count as columns, or None where only Python has the exact semantics.
+Tables, lists and tables of contents are in `blocks`. `build(patch, content)` gives the new content and the count as columns, or None where only Python has the exact semantics.
 Sections are found in place: header lines are numbered and the first with the wanted id and its end are looked up by
 array functions, so no document is exploded.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.patterns import Unsupported, from_js, java_replacement
 from textloom.functions.values import occurrences, slug_of
+from textloom.operators import blocks
 
 Pair = tuple[Column, Column]
 
@@ -235,24 +236,34 @@ BUILDERS: dict[str, Callable[[Column, dict], Pair]] = {
     "change-section-level": change_section_level,
     "insert-section": insert_section,
     "move-section": move_section,
-}
+    "update-toc": blocks.update_toc,
+} | {op: blocks.builder(op) for op in (*blocks.TABLE_OPS, *blocks.LIST_OPS)}
 
 
+#: Operators whose `id` names a section.
+SECTION = {"remove-section", "replace-section", "prepend-to-section", "append-to-section", "replace-in-section", "rename-header", "change-section-level", "insert-section", "move-section"}
 #: Marks a patch whose document's lines, headers or first marker are columns already.
 STAGED = "_staged"
-STAGES = ("_lines", "_heads", "_first")
+STAGES = ("_lines", "_heads", "_first", *blocks.STAGES)
 
 
 def staged(df: DataFrame, patch: dict) -> tuple[DataFrame, dict]:
     """df with what a patch's expressions refer to again and again, each computed once in a projection of its own."""
-    sections = "id" in patch and patch["op"] in BUILDERS
-    if not sections and not patch["op"].endswith("-between"):
+    op = patch["op"]
+    block = patch.get("table", patch.get("list")) if op in blocks.TABLE_OPS or op in blocks.LIST_OPS else None
+    toc = op == "update-toc"
+    sections = "id" in patch and op in BUILDERS and op in SECTION or toc or isinstance(block, str)
+    if not sections and not op.endswith("-between") and block is None:
         return df, patch
     df = df.withColumn("_lines", lines_of(F.col("content")))
     if sections:
         df = df.withColumn("_heads", heads_of(F.col("_lines")))
-    else:
-        df = df.withColumn("_first", first_where(F.col("_lines"), lambda x, i: F.contains(x, F.lit(patch["start"]))))
+    if toc or op.endswith("-between"):
+        start = patch.get("marker", "<!-- TOC -->") if toc else patch["start"]
+        df = df.withColumn("_first", first_where(F.col("_lines"), lambda x, i: F.contains(x, F.lit(start))))
+    if block is not None:
+        for name, column in blocks.table_stages(block) if op in blocks.TABLE_OPS else blocks.list_stages(block):
+            df = df.withColumn(name, column)
     return df, patch | {STAGED: True}
 
 

@@ -95,7 +95,7 @@ def own(patch: dict) -> dict:
 
 def needs_python(patch: dict) -> bool:
     """Whether an operator, condition or rule of a patch has no form as a column."""
-    return patch["op"] not in BUILDERS or "frontmatter" in str(patch.get("when", "")) or "frontmatterRequired" in patch.get("validate", {})
+    return patch["op"] not in BUILDERS or patch.get("type") == "date" or "frontmatter" in str(patch.get("when", "")) or "frontmatterRequired" in patch.get("validate", {})
 
 
 def runs(patches: list[dict]) -> list[tuple[bool, list[dict]]]:

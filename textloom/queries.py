@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.functions import values
 from textloom.operators import corpus as corpus_ops
@@ -708,6 +709,37 @@ def region_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_.select("path", F.col("row").cast("long").alias("row"), F.get("cells", F.lit(0)).alias("name"))
 
 
+#: Names of parts with marks, capitals, signs and digits, by the part's key.
+SPELLINGS = ["p_name", "replace(p_name, 'e', 'é')", "upper(p_name)", "replace(p_name, 'o', 'Ö')", "'_' || p_name", "CAST(p_size AS VARCHAR(9)) || ' ' || p_name"]
+SPELLED_SQL = f"SELECT DISTINCT p_brand, CASE p_partkey % {len(SPELLINGS)} {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(SPELLINGS))} END AS name FROM "
+
+
+def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SPELLED_SQL + "{part}", part=table(spark, sf_dir, "part"))
+
+
+def locale_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of each brand in the order of the root locale, as rows."""
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.collate("name", "UNICODE")))
+    return spelled(spark, sf_dir).select("p_brand", "name", place.cast("long").alias("place"))
+
+
+def locale_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list and a table of each brand's names, put in the order of the root locale within its document."""
+    names = spelled(spark, sf_dir).groupBy("p_brand").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    rows_ = F.array_join(F.transform("names", lambda x: F.concat(F.lit("| "), x, F.lit(" |"))), "\n")
+    docs = names.select(F.col("p_brand").alias("path"), F.concat(F.lit("- "), F.array_join("names", "\n- "), F.lit("\n\n| name |\n| --- |\n"), rows_).alias("content"))
+    patches = [{"op": "sort-list", "list": 0}, {"op": "sort-table", "table": 0, "column": "name", "direction": "desc"}]
+    # the table's line number differs, so its section finds it
+    patches[1]["table"] = "names"
+    docs = docs.withColumn("content", F.regexp_replace("content", r"\n\n\| name", "\n\n# Names\n| name")).withColumn("content", F.concat("content", F.lit("\n")))
+    return build.apply_patches(docs, patches, native_only=True).select("path", "content")
+
+
+LOCALE_LISTS_SQL = f"""SELECT p_brand AS path, '- ' || string_agg(name, chr(10) || '- ' ORDER BY name COLLATE en) || chr(10) || chr(10) || '# Names' || chr(10) || '| name |' || chr(10) || '| --- |' || chr(10)
+ || string_agg('| ' || name || ' |', chr(10) ORDER BY name COLLATE en DESC) || chr(10) AS content FROM ({SPELLED_SQL} part) GROUP BY p_brand"""
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset and all runs in one process, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -915,6 +947,8 @@ FROM (SELECT * FROM f WHERE b = 'A') x FULL JOIN (SELECT * FROM f WHERE b = 'R')
     "word_similarity": (word_similarity, "SELECT p_partkey, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS likeness FROM (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS a, list_distinct(string_split(lower(p_type || ' ' || p_brand), ' ')) AS b FROM part)"),
     "versioned": (versioned, VERSIONED_SQL),
     "region_tables": (region_tables, "SELECT 'r' || CAST(n_regionkey AS VARCHAR) || '.md' AS path, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) - 1 AS BIGINT) AS row, n_name AS name FROM nation WHERE regexp_matches(n_name, '[13579]$')"),
+    "locale_rank": (locale_rank, f"SELECT p_brand, name, row_number() OVER (PARTITION BY p_brand ORDER BY name COLLATE en) AS place FROM ({SPELLED_SQL} part)"),
+    "locale_lists": (locale_lists, LOCALE_LISTS_SQL),
     "streamed": (streamed, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(CASE WHEN source = 'src2' THEN text || 'old' ELSE text END, 'e', 'E') AS output FROM c WHERE source <> 'src2' OR doc_id % 2 = 1"),
     "debounced": (debounced, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, CASE WHEN source = 'src2' THEN NULL ELSE text END AS content, CAST(2 AS BIGINT) AS events FROM c"),
 }
