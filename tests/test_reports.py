@@ -212,3 +212,43 @@ def test_templates(spark, tmp_path):
     templates.scaffold(found["pipeline"], tmp_path / "p", {})
     (tmp_path / "p/base/a.md").write_text("a")
     assert rows(files.overlay(spark, str(tmp_path / "p/production/config.yaml")), "content") == [("a",)]
+
+
+def test_counters_come_with_the_write(spark, docs, tmp_path):
+    from textloom.plans import build
+
+    program = Program([], [*PATCHES, {"op": "replace", "old": "none", "new": "some"}, {"op": "set-frontmatter", "key": "k", "value": 1}])
+    counters = reports.Counters(program)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "")
+    told = counters.write(build.build(docs, program, tally=True), f"file://{tmp_path}/out")
+    assert len(jobs.getJobIdsForGroup("counted")) == 1
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plain = build.build(docs, program)
+    assert {k: told[k] for k in ("files", "changed", "applied", "skipped", "warnings", "errors", "bytes")} == plain_statistics(plain)
+    assert told["ms"] > 0 and told["slowest_ms"] <= told["ms"] and told["seconds"] > 0
+    assert counters.by_operation() == {r["op"]: (r["documents"], r["matches"]) for r in reports.by_operation(docs, program.content).collect()}
+    assert spark.read.parquet(f"file://{tmp_path}/out").columns == ["path", "content", "applied", "skipped", "warnings", "errors"]
+
+
+def plain_statistics(built):
+    from textloom.plans.build import statistics
+
+    return {k: v or 0 for k, v in statistics(built).first().asDict().items()}
+
+
+def test_a_patch_rebuilds_what_it_admits(spark):
+    corpus = spark.createDataFrame([("a/1.md", "x"), ("b/2.md", "x"), ("c/3.md", None)], "path string, content string")
+    old = Program([], [{"op": "replace", "old": "x", "new": "y", "include": "a/**"}, {"op": "append-to-file", "content": "!"}])
+    built = stores.incremental(corpus, spark.createDataFrame([], stores.CACHE), old)
+    cache = built.select("path", "source_hash", "patch_hash", "output_hash", F.col("content").alias("output")).cache()
+    again = lambda program: rows(stores.incremental(corpus, cache, program), "path", "rebuilt")
+    assert again(old) == [("a/1.md", False), ("b/2.md", False), ("c/3.md", False)]
+    assert again(Program([], [old.content[0] | {"new": "z"}, old.content[1]]))[:2] == [("a/1.md", True), ("b/2.md", False)]
+    assert again(Program([], [old.content[0] | {"include": "b/**"}, old.content[1]]))[:2] == [("a/1.md", True), ("b/2.md", True)]
+    assert again(Program([], [*old.content, {"op": "replace", "old": "q", "new": "r", "include": "d/**"}]))[:2] == [("a/1.md", False), ("b/2.md", False)]
+    assert all(r for _, r in again(Program([], old.content, validators=[{"name": "v", "contains": "x"}])))
+    counters = reports.Counters(old)
+    counters.on(stores.incremental(corpus.unionByName(spark.createDataFrame([("d/4.md", "x")], corpus.schema)), cache, old, tally=True)).write.format("noop").mode("overwrite").save()
+    told = counters.statistics()
+    assert told["files"] == 4 and told["reasons"]["new-file"] == 1 and told["hits"] + told["misses"] == 4

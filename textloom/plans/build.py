@@ -6,6 +6,7 @@ content stays null: no condition holds for it, no patch matches it, no rule is b
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,8 +20,8 @@ from textloom.operators.corpus import apply_corpus
 from textloom.plans.checks import condition_column, failure_array, failures, first_failure, holds
 from textloom.plans.planner import Program, as_list, own, runs
 
-STATE = "content string, applied int, skipped int, warnings array<string>, errors array<string>"
-STATE_FIELDS = [("content", pa.string()), ("applied", pa.int32()), ("skipped", pa.int32()), ("warnings", pa.list_(pa.string())), ("errors", pa.list_(pa.string()))]
+STATE = "content string, applied int, skipped int, warnings array<string>, errors array<string>, counts array<int>, ms double"
+STATE_FIELDS = [("content", pa.string()), ("applied", pa.int32()), ("skipped", pa.int32()), ("warnings", pa.list_(pa.string())), ("errors", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("ms", pa.float64())]
 
 
 class BuildError(RuntimeError):
@@ -51,6 +52,7 @@ def native_step(df: DataFrame, k: int, patch: dict, on_no_match: str, built: nat
     content = F.col("content")
     run = path_guard(patch, F.col("path"))
     when = F.coalesce(condition_column(patch["when"], content), F.lit(False)) if "when" in patch else F.lit(True)
+    tally = "counts" in df.columns
     df = df.withColumn("_run", run & when).withColumn("_off", run & ~when)
     df = df.withColumn("_new", F.when(F.col("_run"), F.struct(text.alias("t"), n.cast("int").alias("n"))))
     hit = F.coalesce(F.col("_new.n") > 0, F.lit(False))
@@ -67,15 +69,19 @@ def native_step(df: DataFrame, k: int, patch: dict, on_no_match: str, built: nat
     if patch.get("validate"):
         broken = F.transform(failure_array(patch["validate"], F.col("_new.t")), lambda x: F.concat(F.lit(message(k, patch, "breaks ")), x))
         columns["errors"] = F.when(hit, F.concat(columns["errors"], broken)).otherwise(columns["errors"])
+    if tally:
+        columns["counts"] = F.concat("counts", F.array(F.when(hit, F.col("_new.n")).otherwise(0)))
     return df.withColumns(columns).drop("_run", "_off", "_new")
 
 
-def fold(text: str | None, path: str, patches: list[tuple[int, dict]], on_no_match: str) -> tuple[str | None, int, int, list[str], list[str]]:
-    """Patches on one document, in Python."""
+def fold(text: str | None, path: str, patches: list[tuple[int, dict]], on_no_match: str, counts: list[int] | None = None) -> tuple[str | None, int, int, list[str], list[str]]:
+    """Patches on one document, in Python. counts: a list to which each patch's count is added."""
+    counts = [] if counts is None else counts
     applied = skipped = 0
     warnings: list[str] = []
     errors: list[str] = []
     for k, patch in patches:
+        counts.append(0)
         if not admitted(path, as_list(patch.get("include")), as_list(patch.get("exclude"))):
             continue
         if "when" in patch and (text is None or not holds(patch["when"], text)):
@@ -83,7 +89,7 @@ def fold(text: str | None, path: str, patches: list[tuple[int, dict]], on_no_mat
             continue
         new, n = (None, 0) if text is None else md.apply(text, own(patch), path)
         if n:
-            text, applied = new, applied + 1
+            text, applied, counts[-1] = new, applied + 1, n
             errors += [message(k, patch, f"breaks {x}") for x in failures(patch.get("validate", {}), text)]
         else:
             how = patch.get("onNoMatch", on_no_match)
@@ -102,11 +108,16 @@ def python_run(df: DataFrame, patches: list[tuple[int, dict]], on_no_match: str)
         md.PLUGINS.update(plugins)
         md.TRANSFORMS.update(transforms)
         for content, path in batches:
-            done = [fold(t, p, patches, on_no_match) for t, p in zip(content.to_pylist(), path.to_pylist(), strict=True)]
+            done = []
+            for t, p in zip(content.to_pylist(), path.to_pylist(), strict=True):
+                counts: list[int] = []
+                began = time.perf_counter()
+                done.append((*fold(t, p, patches, on_no_match, counts), counts, 1000 * (time.perf_counter() - began)))
             yield pa.StructArray.from_arrays([pa.array([x[k] for x in done], kind) for k, (_, kind) in enumerate(STATE_FIELDS)], [name for name, _ in STATE_FIELDS])
 
+    tally = {"counts": F.concat("counts", "_r.counts"), "ms": F.col("ms") + F.col("_r.ms")} if "counts" in df.columns else {}
     df = df.withColumn("_r", run("content", "path"))
-    return df.withColumns({
+    return df.withColumns(tally | {
         "content": F.col("_r.content"), "applied": F.col("applied") + F.col("_r.applied"), "skipped": F.col("skipped") + F.col("_r.skipped"),
         "warnings": F.concat("warnings", "_r.warnings"), "errors": F.concat("errors", "_r.errors"),
     }).drop("_r")
@@ -133,12 +144,17 @@ def validated(df: DataFrame, validators: list[dict]) -> DataFrame:
     return df
 
 
-def apply_patches(df: DataFrame, patches: list[dict], on_no_match: str = "warn", *, native_only: bool = False, allow_exec: bool = False) -> DataFrame:
-    """df (path, content) with content patched, and applied, skipped, warnings and errors by document."""
+def apply_patches(df: DataFrame, patches: list[dict], on_no_match: str = "warn", *, native_only: bool = False, allow_exec: bool = False, tally: bool = False) -> DataFrame:
+    """df (path, content) with content patched, and applied, skipped, warnings and errors by document.
+
+    tally: also counts, each patch's matches, and ms, the time that patches in Python took.
+    """
     if not allow_exec and any(p["op"] == "exec" for p in patches):
         raise PermissionError("exec patches run commands on executors; allow_exec permits them")
     empty = F.array().cast("array<string>")
     df = df.withColumns({"applied": F.lit(0), "skipped": F.lit(0), "warnings": empty, "errors": empty})
+    if tally:
+        df = df.withColumns({"counts": F.array().cast("array<int>"), "ms": F.lit(0.0)})
     k = 0
     for python, run in runs(patches):
         numbered = list(enumerate(run, k))
@@ -152,7 +168,7 @@ def apply_patches(df: DataFrame, patches: list[dict], on_no_match: str = "warn",
             staged, marked = native.staged(df, patch)
             built = native.build(marked, F.col("content"))
             df = native_step(staged, n, patch, on_no_match, built).drop(*native.STAGES) if built else python_run(df, [(n, patch)], on_no_match)
-        df = fenced(df, ["content", "applied", "skipped", "warnings", "errors"])
+        df = fenced(df, ["content", "applied", "skipped", "warnings", "errors", *(["counts", "ms"] if tally else [])])
     return df
 
 
@@ -167,10 +183,10 @@ def fenced(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(*df.columns)
 
 
-def build(df: DataFrame, program: Program, *, allow_exec: bool = False) -> DataFrame:
+def build(df: DataFrame, program: Program, *, allow_exec: bool = False, tally: bool = False) -> DataFrame:
     """A whole program on a corpus: corpus patches, content patches, validators."""
     out = apply_corpus(df, program.corpus)
-    return validated(apply_patches(out, program.content, program.on_no_match, allow_exec=allow_exec), program.validators)
+    return validated(apply_patches(out, program.content, program.on_no_match, allow_exec=allow_exec, tally=tally), program.validators)
 
 
 def strict(df: DataFrame) -> DataFrame:

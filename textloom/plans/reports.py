@@ -3,23 +3,86 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textloom.plans import analytics, recover
 from textloom.plans.build import statistics
+from textloom.plans.planner import Program
 from textloom.plans.preview import step, steps, takes
 
 
+#: Why a document is rebuilt.
+REASONS = ("new-file", "source-changed", "patches-changed")
+
+
 def by_operation(corpus: DataFrame, patches: list[dict]) -> DataFrame:
     """op, documents, matches: what each kind of operation does when a program runs."""
     done = steps(corpus, patches).select("op", "path", "count")
     return done.groupBy("op").agg(F.countDistinct("path").alias("documents"), F.sum("count").alias("matches"))
 
 
+class Counters:
+    """Counts of a build, taken as its rows pass to the first action that reads them: no job of their own.
+
+    Rows come from `build(..., tally=True)` or `incremental(..., tally=True)`. ms is the time that patches in Python took;
+    seconds that of the whole write.
+    """
+
+    def __init__(self, program: Program) -> None:
+        self.program, self.observation, self.seconds = program, Observation(f"build-{uuid.uuid4().hex}"), None
+
+    def on(self, built: DataFrame) -> DataFrame:
+        """The same rows, counted."""
+        zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        count = lambda k: F.coalesce(F.get("counts", F.lit(k)), F.lit(0))
+        metrics = [
+            F.count("*").alias("files"), zero((F.col("applied") > 0).cast("long")).alias("changed"), zero("applied").alias("applied"), zero("skipped").alias("skipped"),
+            zero(F.size("warnings")).alias("warnings"), zero(F.size("errors")).alias("errors"), zero(F.octet_length("content")).alias("bytes"), zero("ms").cast("double").alias("ms"), F.coalesce(F.max("ms"), F.lit(0.0)).alias("slowest_ms"),
+        ]
+        if "rebuilt" in built.columns:
+            metrics += [zero(F.col("rebuilt").cast("long")).alias("misses")] + [zero((F.col("reason") == r).cast("long")).alias(f"reason {r}") for r in REASONS]
+        for op, places in self._by_op().items():
+            some = reduce(lambda a, b: a | b, [count(k) > 0 for k in places])
+            metrics += [zero(some.cast("long")).alias(f"documents {op}"), zero(reduce(lambda a, b: a + b, [count(k) for k in places])).alias(f"matches {op}")]
+        return built.observe(self.observation, *metrics)
+
+    def _by_op(self) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for k, p in enumerate(self.program.content):
+            out.setdefault(p["op"], []).append(k)
+        return out
+
+    def write(self, built: DataFrame, folder: str) -> dict:
+        """Write the rows, less what only the counts need, as Parquet; the statistics."""
+        began = time.perf_counter()
+        self.on(built).drop("counts", "ms").write.parquet(folder)
+        self.seconds = time.perf_counter() - began
+        return self.statistics()
+
+    def statistics(self) -> dict:
+        """Waits until the rows have passed."""
+        told = self.observation.get
+        out = {k: v for k, v in told.items() if " " not in k} | ({} if self.seconds is None else {"seconds": self.seconds})
+        if "misses" in out:
+            files, misses = out["files"], out["misses"]
+            mean = out["ms"] / misses if misses else 0.0
+            out |= {"hits": files - misses, "hit_percent": (files - misses) / files * 100 if files else 0.0, "mean_ms": mean, "saved_ms": mean * (files - misses)}
+            out["reasons"] = {r: n for r in REASONS if (n := told[f"reason {r}"])}
+        return out
+
+    def by_operation(self) -> dict[str, tuple[int, int]]:
+        """Documents and matches of each kind of operation that did something."""
+        told = self.observation.get
+        return {op: (told[f"documents {op}"], told[f"matches {op}"]) for op in self._by_op() if told[f"documents {op}"]}
+
+
 def hints(corpus: DataFrame, patches: list[dict], most: int = 3) -> DataFrame:
     """path, step, op, hint, confidence: for each patch that matches nothing, what would make it match."""
     schema = "path string, step int, op string, hint string, confidence double"

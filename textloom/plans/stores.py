@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import diff
 from textloom.functions.values import canonical, content_hash
-from textloom.plans.build import build
+from textloom.plans.build import build, path_guard
 from textloom.plans.planner import Program
 
 
@@ -78,27 +78,40 @@ def program_hash(program: Program) -> str:
     return hashlib.sha256(canonical([program.corpus, program.content, program.on_no_match, program.validators]).encode()).hexdigest()
 
 
-def stale(corpus: DataFrame, cache: DataFrame, patches: str) -> DataFrame:
-    """corpus with the reason why a document must be rebuilt, null if its cached output stands. cache: path, source_hash, patch_hash, output."""
-    known = cache.select("path", F.col("source_hash").alias("_s"), F.col("patch_hash").alias("_p"))
+def signature(program: Program, path: Column) -> Column:
+    """Hash of what a program does to a document at a path: the patches that admit it, in order, and the program's rules.
+
+    A patch that changes changes the signatures of the paths it admits or admitted, and of no others.
+    """
+    digest = lambda x: hashlib.sha256(canonical(x).encode()).hexdigest()
+    own = [F.when(path_guard(p, path), F.lit(digest({k: v for k, v in p.items() if k not in ("include", "exclude", "group")}))) for p in program.content]
+    return F.sha2(F.concat_ws(",", F.lit(digest([program.corpus, program.on_no_match, program.validators])), *own), 256)
+
+
+def stale(corpus: DataFrame, cache: DataFrame, patches: str | Column) -> DataFrame:
+    """corpus with the reason why a document must be rebuilt, null if its cached output stands. cache: path, source_hash,
+    patch_hash, output; patches: the hash that a document's cached patches must have, one for all or of its path."""
+    known = cache.select("path", F.col("source_hash").alias("_s"), F.col("patch_hash").alias("_p"), F.lit(True).alias("_had"))
     out = corpus.withColumn("source_hash", content_hash(F.col("content"))).join(known, "path", "left")
-    reason = F.when(F.col("_s").isNull(), "new-file").when(F.col("_s") != F.col("source_hash"), "source-changed").when(F.col("_p") != patches, "patches-changed")
-    return out.withColumn("reason", reason).drop("_s", "_p")
+    reason = F.when(F.col("_had").isNull(), "new-file").when(~F.col("_s").eqNullSafe(F.col("source_hash")), "source-changed").when(F.col("_p") != patches, "patches-changed")
+    return out.withColumn("reason", reason).drop("_s", "_p", "_had")
 
 
-def incremental(corpus: DataFrame, cache: DataFrame, program: Program) -> DataFrame:
+def incremental(corpus: DataFrame, cache: DataFrame, program: Program, *, tally: bool = False) -> DataFrame:
     """path, content (output), source_hash, patch_hash, output_hash, rebuilt: only stale documents run through the program.
 
-    Corpus patches rename and add paths, so a program with any rebuilds everything.
+    A document is stale if it changed or if a patch for its path did. Corpus patches rename and add paths, so a program with
+    any rebuilds everything. tally: also reason (null where the cache was good), applied, skipped, counts and ms.
     """
-    key = program_hash(program)
-    marked = stale(corpus, cache, key)
+    marked = stale(corpus, cache, signature(program, F.col("path")))
     old = marked.filter(F.col("reason").isNull()) if not program.corpus else marked.limit(0)
     todo = marked.filter(F.col("reason").isNotNull()) if not program.corpus else marked
-    done = build(todo.select("path", "content", "source_hash"), program)
+    done = build(todo.select("path", "content", "source_hash", *(["reason"] if tally else [])), program, tally=tally)
     kept = old.select("path", "source_hash").join(cache.select("path", F.col("output").alias("content")), "path")
-    out = done.select("path", "content", "source_hash", F.lit(True).alias("rebuilt")).unionByName(kept.select("path", "content", "source_hash", F.lit(False).alias("rebuilt")))
-    return out.withColumn("patch_hash", F.lit(key)).withColumn("output_hash", content_hash(F.col("content")))
+    more = ["reason", "applied", "skipped", "warnings", "errors", "counts", "ms"] if tally else []
+    nothing = {"reason": F.lit(None).cast("string"), "applied": F.lit(0), "skipped": F.lit(0), "warnings": F.array().cast("array<string>"), "errors": F.array().cast("array<string>"), "counts": F.array().cast("array<int>"), "ms": F.lit(0.0)}
+    out = done.select("path", "content", "source_hash", F.lit(True).alias("rebuilt"), *more).unionByName(kept.select("path", "content", "source_hash", F.lit(False).alias("rebuilt"), *(nothing[c].alias(c) for c in more)))
+    return out.withColumn("patch_hash", signature(program, F.col("path"))).withColumn("output_hash", content_hash(F.col("content")))
 
 
 def cache_statistics(incremental_: DataFrame) -> DataFrame:

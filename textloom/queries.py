@@ -631,10 +631,54 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = program({"patches": [{"op": "replace", "old": "e", "new": "E"}]})
     old = changed_corpus(spark, sf_dir)
     cache = build.build(old, p).select("path", values.content_hash(F.col("content")).alias("_"), F.col("content").alias("output"))
-    cache = cache.join(old.select("path", values.content_hash(F.col("content")).alias("source_hash")), "path").select("path", "source_hash", F.lit(stores.program_hash(p)).alias("patch_hash"), "output")
+    cache = cache.join(old.select("path", values.content_hash(F.col("content")).alias("source_hash")), "path").select("path", "source_hash", stores.signature(p, F.col("path")).alias("patch_hash"), "output")
     return stores.incremental(text_corpus(spark, sf_dir), cache, p).select("path", "content", "rebuilt")
 
 
+#: Programs before and after one patch changed its text and another its paths; a document sees the patches for its path.
+BEFORE = [{"op": "replace", "old": "e", "new": "E"}, {"op": "replace", "old": "a", "new": "A", "include": "en/**"}, {"op": "append-to-file", "content": "!", "include": ["de/**", "fr/**"]}]
+AFTER = [BEFORE[0], BEFORE[1] | {"new": "@"}, BEFORE[2] | {"include": ["de/**", "es/**"]}]
+
+
+def cached(spark: SparkSession, sf_dir: str, config: dict) -> DataFrame:
+    """What a build of all documents by a program leaves in the cache."""
+    p = program(config)
+    docs = text_corpus(spark, sf_dir).select("path", "content", values.content_hash(F.col("content")).alias("source_hash"))
+    return build.build(docs, p).select("path", "source_hash", stores.signature(p, F.col("path")).alias("patch_hash"), F.col("content").alias("output"))
+
+
+def rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After two of three patches changed only documents that one of them admits or admitted are built again."""
+    out = stores.incremental(text_corpus(spark, sf_dir), cached(spark, sf_dir, {"patches": BEFORE}), program({"patches": AFTER}))
+    return out.select("path", "content", "rebuilt")
+
+
+REBUILT_SQL = """SELECT path, CASE lang WHEN 'en' THEN replace(t, 'a', '@') WHEN 'de' THEN t || '!' WHEN 'es' THEN t || '!' ELSE t END AS content, lang IN ('en', 'fr', 'es') AS rebuilt FROM (SELECT *, replace(text, 'e', 'E') AS t FROM c)"""
+
+
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and matches by operation, counted while a build is written: no job of their own."""
+    p = program({"patches": WORK})
+    counters = reports.Counters(p)
+    counters.write(build.build(shapes(spark, sf_dir), p, tally=True), shared_folder(spark, "counted"))
+    return spark.createDataFrame([(op, *n) for op, n in counters.by_operation().items()], "op string, documents long, matches long")
+
+
+def cache_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits, misses and their reasons, and bytes, counted while an incremental build is written."""
+    p = program({"patches": AFTER})
+    old = cached(spark, sf_dir, {"patches": BEFORE}).filter("path NOT LIKE '%/src1/%'")
+    counters = reports.Counters(p)
+    told = counters.write(stores.incremental(text_corpus(spark, sf_dir), old, p, tally=True), shared_folder(spark, "cached"))
+    row = (told["files"], told["hits"], told["misses"], round(told["hit_percent"], 6), told["reasons"].get("new-file", 0), told["reasons"].get("patches-changed", 0), told["bytes"])
+    return spark.createDataFrame([row], "files long, hits long, misses long, hit_percent double, new_files long, patches_changed long, bytes long")
+
+
+CACHE_SQL = """SELECT count(*) AS files, count(*) FILTER (NOT m) AS hits, count(*) FILTER (m) AS misses, round(count(*) FILTER (NOT m) * 100.0 / count(*), 6) AS hit_percent,
+ count(*) FILTER (source = 'src1') AS new_files, count(*) FILTER (m AND source <> 'src1') AS patches_changed, CAST(sum(strlen(text) + CASE WHEN lang IN ('de', 'es') THEN 1 ELSE 0 END) AS BIGINT) AS bytes
+FROM (SELECT *, source = 'src1' OR lang IN ('en', 'fr', 'es') AS m FROM c)"""
+
+
 def pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.pruned(history(spark, sf_dir), keep_last=30).select("build_id")
 
@@ -929,6 +973,9 @@ SELECT target, value, CAST(distance AS BIGINT) AS distance FROM d WHERE distance
     "similar_names": (similar_names, SIMILAR_SQL),
     "recovered": (recovered, CORPUS_SQL + "SELECT path, 'summary' AS value, CAST(1 AS BIGINT) AS distance FROM c"),
     "incremental": (incremental, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(text, 'e', 'E') AS content, source IN ('src1', 'src2', 'src3') AS rebuilt FROM c"),
+    "rebuilt": (rebuilt, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + REBUILT_SQL),
+    "counted": (counted, f"WITH w AS ({WORKED_SQL}) SELECT op, count(DISTINCT path) AS documents, CAST(sum(count) AS BIGINT) AS matches FROM w GROUP BY op"),
+    "cache_counted": (cache_counted, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + CACHE_SQL),
     "pruned": (pruned, "SELECT CAST(o_orderkey AS VARCHAR) AS build_id FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC LIMIT 30"),
     "compared": (compared, """WITH f AS (SELECT l_returnflag AS b, CAST(l_partkey AS VARCHAR) AS path, max(l_linenumber) AS h, count(*) AS size FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2)
 SELECT coalesce(x.path, y.path) AS path, CASE WHEN x.h IS NULL THEN 'added' WHEN y.h IS NULL THEN 'deleted' WHEN x.h = y.h THEN 'unchanged' ELSE 'modified' END AS status,

@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from textloom.plans.build import build
 from textloom.plans.planner import Program
-from textloom.plans.stores import Versions, program_hash
+from textloom.plans.stores import Versions, signature
 from textloom.sources.files import relative_path
 from textloom.streaming.debounce import debounced
 
@@ -97,7 +97,6 @@ class Watch:
 
     def __init__(self, spark: SparkSession, state: str, program: Program, on_build: Callable[[DataFrame, int], None] | None = None, hooks: Hooks | None = None, compact: int = COMPACT) -> None:
         self.spark, self.program, self.on_build, self.hooks = spark, program, on_build, hooks or Hooks()
-        self.key = program_hash(program)
         self.table = Versions(spark, f"{state}/output", STATE, compact)
         self.sources = Versions(spark, f"{state}/source", SOURCES, compact) if program.corpus else None
 
@@ -146,7 +145,7 @@ class Watch:
 
     def _built(self, df: DataFrame, number: int) -> DataFrame:
         out = build(df.select("path", "content", F.sha2("content", 256).alias("source_hash")), self.program)
-        return out.select("path", F.col("content").alias("output"), "source_hash", F.lit(self.key).alias("patch_hash"), F.col("applied").cast("int").alias("applied"), F.lit(False).alias("deleted"), F.lit(number).cast("long").alias("version"))
+        return out.select("path", F.col("content").alias("output"), "source_hash", signature(self.program, F.col("path")).alias("patch_hash"), F.col("applied").cast("int").alias("applied"), F.lit(False).alias("deleted"), F.lit(number).cast("long").alias("version"))
 
     def _gone(self, paths: DataFrame, number: int) -> DataFrame:
         null = F.lit(None).cast("string")
@@ -155,7 +154,7 @@ class Watch:
     def _fresh(self, df: DataFrame, number: int) -> DataFrame:
         known = self.table.newest(before=number).select("path", F.col("source_hash").alias("_s"), F.col("patch_hash").alias("_p"))
         fresh = df.filter(~F.col("deleted")).withColumn("_h", F.sha2("content", 256)).join(known, "path", "left")
-        fresh = fresh.filter(F.col("_s").isNull() | (F.col("_s") != F.col("_h")) | (F.col("_p") != self.key)).select("path", "content")
+        fresh = fresh.filter(F.col("_s").isNull() | (F.col("_s") != F.col("_h")) | (F.col("_p") != signature(self.program, F.col("path")))).select("path", "content")
         return self._built(fresh, number).unionByName(self._gone(df.filter("deleted"), number))
 
     def _rebuilt(self, df: DataFrame, number: int) -> DataFrame:
