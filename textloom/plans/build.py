@@ -9,15 +9,14 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.patterns import admitted, glob_regex
-from textloom.operators import md, native
+from textloom.operators import frontmatter, md, native
 from textloom.operators.corpus import apply_corpus
-from textloom.plans.checks import condition_column, failure_array, failures, first_failure, holds
+from textloom.plans.checks import condition_column, failure_array, failures, first_failure, holds, reads_frontmatter
 from textloom.plans.planner import Program, as_list, own, runs
 
 STATE = "content string, applied int, skipped int, warnings array<string>, errors array<string>, counts array<int>, ms double"
@@ -46,11 +45,21 @@ def message(k: int, patch: dict, what: str) -> str:
     return f"patch {k} ({patch['op']}): {what}"
 
 
-def native_step(df: DataFrame, k: int, patch: dict, on_no_match: str, built: native.Pair) -> DataFrame:
+def fronted(df: DataFrame, content: Column, native_only: bool = False) -> DataFrame:
+    """df with the content's frontmatter as VARIANT in _front."""
+    for name, column in frontmatter.stages(content, native_only):
+        df = df.withColumn(name, column)
+    return df
+
+
+def native_step(df: DataFrame, k: int, patch: dict, on_no_match: str, built: native.Pair, native_only: bool = False) -> DataFrame:
     """One patch as columns. The text is computed once, in a projection of its own."""
     text, n = built
     content = F.col("content")
     run = path_guard(patch, F.col("path"))
+    rules = patch.get("validate") or {}
+    if "when" in patch and reads_frontmatter(patch["when"]):
+        df = fronted(df, content, native_only)
     when = F.coalesce(condition_column(patch["when"], content), F.lit(False)) if "when" in patch else F.lit(True)
     tally = "counts" in df.columns
     df = df.withColumn("_run", run & when).withColumn("_off", run & ~when)
@@ -66,12 +75,14 @@ def native_step(df: DataFrame, k: int, patch: dict, on_no_match: str, built: nat
         "warnings": F.when(missed, F.concat("warnings", note)).otherwise(F.col("warnings")) if how == "warn" else F.col("warnings"),
         "errors": F.when(missed, F.concat("errors", note)).otherwise(F.col("errors")) if how == "error" else F.col("errors"),
     }
-    if patch.get("validate"):
-        broken = F.transform(failure_array(patch["validate"], F.col("_new.t")), lambda x: F.concat(F.lit(message(k, patch, "breaks ")), x))
+    if rules:
+        if "frontmatterRequired" in rules:
+            df = fronted(df, F.col("_new.t"), native_only)
+        broken = F.transform(failure_array(rules, F.col("_new.t")), lambda x: F.concat(F.lit(message(k, patch, "breaks ")), x))
         columns["errors"] = F.when(hit, F.concat(columns["errors"], broken)).otherwise(columns["errors"])
     if tally:
         columns["counts"] = F.concat("counts", F.array(F.when(hit, F.col("_new.n")).otherwise(0)))
-    return df.withColumns(columns).drop("_run", "_off", "_new")
+    return df.withColumns(columns).drop("_run", "_off", "_new", *frontmatter.STAGES)
 
 
 def fold(text: str | None, path: str, patches: list[tuple[int, dict]], on_no_match: str, counts: list[int] | None = None) -> tuple[str | None, int, int, list[str], list[str]]:
@@ -123,25 +134,14 @@ def python_run(df: DataFrame, patches: list[tuple[int, dict]], on_no_match: str)
     }).drop("_r")
 
 
-def python_failure(rules: dict):
-    """The first broken rule, for rules that read frontmatter."""
-
-    @F.pandas_udf("string")
-    def first(content: pd.Series) -> pd.Series:
-        return content.map(lambda t: None if t is None else next(iter(failures(rules, t)), None))
-
-    return first
-
-
 def validated(df: DataFrame, validators: list[dict]) -> DataFrame:
     """The first broken rule of each validator is an error."""
+    if any("frontmatterRequired" in v for v in validators):
+        df = fronted(df, F.col("content"))
     for v in validators:
-        if "frontmatterRequired" in v:
-            broken = python_failure({k: x for k, x in v.items() if k != "name"})("content")
-        else:
-            broken = first_failure(v, F.col("content"))
+        broken = F.when(F.col("content").isNotNull(), first_failure(v, F.col("content")))
         df = df.withColumn("_v", broken).withColumn("errors", F.when(F.col("_v").isNotNull(), F.concat("errors", F.array(F.concat(F.lit(f"validator {v['name']}: breaks "), F.col("_v"))))).otherwise(F.col("errors"))).drop("_v")
-    return df
+    return df.drop(*frontmatter.STAGES)
 
 
 def apply_patches(df: DataFrame, patches: list[dict], on_no_match: str = "warn", *, native_only: bool = False, allow_exec: bool = False, tally: bool = False) -> DataFrame:
@@ -167,7 +167,7 @@ def apply_patches(df: DataFrame, patches: list[dict], on_no_match: str = "warn",
         for n, patch in numbered:
             staged, marked = native.staged(df, patch)
             built = native.build(marked, F.col("content"))
-            df = native_step(staged, n, patch, on_no_match, built).drop(*native.STAGES) if built else python_run(df, [(n, patch)], on_no_match)
+            df = native_step(staged, n, patch, on_no_match, built, native_only).drop(*native.STAGES) if built else python_run(df, [(n, patch)], on_no_match)
         df = fenced(df, ["content", "applied", "skipped", "warnings", "errors", *(["counts", "ms"] if tally else [])])
     return df
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions.codecs import CONDITION_BLOCK, condition_frontmatter
 from textloom.functions.patterns import compiled, from_js
 from textloom.functions.values import MISSING, deep_equal, get_path, line_count, word_count
+from textloom.operators import frontmatter
 from textloom.plans.spec import slashed
 
 
@@ -31,9 +34,29 @@ def holds(condition: dict, text: str) -> bool:
         return False
 
 
+def leaves(condition: dict) -> list[tuple[str, object]]:
+    """The conditions within a condition that test something."""
+    kind, value = next(iter(condition.items()))
+    if kind == "not":
+        return leaves(value)
+    return [x for c in value for x in leaves(c)] if kind in ("anyOf", "allOf") else [(kind, value)]
+
+
+def reads_frontmatter(condition: dict) -> bool:
+    return any(kind.startswith("frontmatter") for kind, _ in leaves(condition))
+
+
+def has_column(condition: dict) -> bool:
+    return all(frontmatter.supported(kind, value) for kind, value in leaves(condition) if kind.startswith("frontmatter"))
+
+
 def condition_column(condition: dict, text: Column) -> Column:
-    """The same for conditions that don't read frontmatter."""
+    """The same as a column; frontmatter is read from the column _front (see operators.frontmatter)."""
     kind, value = next(iter(condition.items()))
+    if kind == "frontmatterEquals":
+        return F.when(text.isNotNull(), frontmatter.equals(value["key"], value["value"]))
+    if kind == "frontmatterExists":
+        return F.when(text.isNotNull(), frontmatter.exists(value))
     if kind == "fileContains":
         return F.contains(text, F.lit(value))
     if kind == "fileMatches":
@@ -83,8 +106,9 @@ def failures(rules: dict, text: str) -> list[str]:
 
 
 def rule_columns(rules: dict, text: Column) -> list[tuple[str, Column]]:
-    """Name and whether it is broken, of rules that don't read frontmatter, in order."""
+    """Name and whether it is broken, in order; frontmatter is read from the column _front."""
     make = {
+        "frontmatterRequired": lambda v: ~reduce(lambda a, b: a & b, [frontmatter.exists(k) for k in v], F.lit(True)),
         "contains": lambda v: ~F.contains(text, F.lit(v)),
         "notContains": lambda v: F.contains(text, F.lit(v)),
         "matchesRegex": lambda v: ~text.rlike(from_js(v)),

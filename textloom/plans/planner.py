@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+from textloom.operators.frontmatter import path_of
 from textloom.operators.md import CORPUS_OPS
 from textloom.operators.native import BUILDERS
 from textloom.plans.spec import id_of
@@ -95,7 +96,10 @@ def own(patch: dict) -> dict:
 
 def needs_python(patch: dict) -> bool:
     """Whether an operator, condition or rule of a patch has no form as a column."""
-    return patch["op"] not in BUILDERS or patch.get("type") == "date" or "frontmatter" in str(patch.get("when", "")) or "frontmatterRequired" in patch.get("validate", {})
+    from textloom.plans.checks import has_column
+
+    keys = (patch.get("validate") or {}).get("frontmatterRequired", [])
+    return patch["op"] not in BUILDERS or patch.get("type") == "date" or not has_column(patch.get("when") or {"allOf": []}) or any(path_of(k) is None for k in keys)
 
 
 def runs(patches: list[dict]) -> list[tuple[bool, list[dict]]]:

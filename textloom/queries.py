@@ -284,6 +284,17 @@ def frontmatter_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("applied").cast("long").alias("applied"), F.col("skipped").cast("long").alias("skipped"))
 
 
+def front_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions on the frontmatter of documents of all shapes, read once."""
+    docs = build.fronted(shapes(spark, sf_dir), F.col("content"))
+    english, titled = {"frontmatterEquals": {"key": "lang", "value": "en"}}, {"frontmatterExists": "title"}
+    test = lambda c: checks.condition_column(c, F.col("content"))
+    return docs.select("doc_id", test(english).alias("english"), test({"allOf": [{"not": english}, titled]}).alias("foreign_title"), test({"anyOf": [{"frontmatterExists": "tags"}, {"fileContains": "## Links"}]}).alias("tagged"))
+
+
+FRONT_SQL = "SELECT doc_id, doc_id % 5 IN (0, 2) AND lang = 'en' AS english, doc_id % 5 = 0 AND lang <> 'en' AS foreign_title, doc_id % 5 IN (0, 3) AS tagged FROM documents"
+
+
 def validators(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = {"notContains": "password", "matchesRegex": "[a-z]", "minWordCount": 20, "maxLineCount": 40}
     docs = table(spark, sf_dir, "documents")
@@ -927,6 +938,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLAIN_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "conditions": (conditions, "SELECT doc_id, contains(text, 'the') AND NOT regexp_matches(text, '(?i)token') AND (contains(text, '|') OR starts_with(text, 'The')) AS holds FROM documents"),
     "frontmatter_condition": (frontmatter_condition, "SELECT doc_id, CAST(CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS BIGINT) AS applied, CAST(CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS BIGINT) AS skipped FROM documents"),
+    "front_conditions": (front_conditions, FRONT_SQL),
     "validators": (validators, f"SELECT doc_id, CASE WHEN a THEN 'notContains' WHEN b THEN 'matchesRegex' WHEN c THEN 'minWordCount' WHEN d THEN 'maxLineCount' ELSE '' END AS failed, CAST(CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) + CAST(d AS INT) AS BIGINT) AS n FROM (SELECT doc_id, contains(text, 'password') AS a, NOT regexp_matches(text, '[a-z]') AS b, {WORDS_SQL} < 20 AS c, {LINE_COUNT_SQL} > 40 AS d FROM documents)"),
     "counts": (counts, f"SELECT doc_id, CAST({WORDS_SQL} AS BIGINT) AS words, CAST({LINE_COUNT_SQL} AS BIGINT) AS lines FROM documents"),
     "slugs": (slugs, "SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(p_name || ' -- ' || p_type)), '\\s+', '-', 'g'), '[^a-z0-9_-]', '', 'g'), '-+', '-', 'g'), '-') AS slug FROM part"),
