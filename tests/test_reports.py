@@ -252,3 +252,67 @@ def test_a_patch_rebuilds_what_it_admits(spark):
     counters.on(stores.incremental(corpus.unionByName(spark.createDataFrame([("d/4.md", "x")], corpus.schema)), cache, old, tally=True)).write.format("noop").mode("overwrite").save()
     told = counters.statistics()
     assert told["files"] == 4 and told["reasons"]["new-file"] == 1 and told["hits"] + told["misses"] == 4
+
+
+@pytest.mark.parametrize("form", ["zip", "tar", "tar.gz"])
+def test_archives_are_read_by_many_tasks(spark, tmp_path, form):
+    from textloom.sources import archives
+
+    files_ = [(f"top/{'a' if k % 2 else 'b'}/{k}.md", (f"é{k} " * 2000).encode()) for k in range(40)]
+    (tmp_path / "in/deep").mkdir(parents=True)
+    (tmp_path / f"in/deep/x.{form}").write_bytes(archives.packed(files_, form))
+    (tmp_path / f"in/y.{form}").write_bytes(archives.packed([("b/1.md", b"one"), ("b/1.md", b"two")], form))
+    (tmp_path / "in/other.txt").write_text("no archive")
+    read = lambda **k: archives.read_archives(spark, f"file://{tmp_path}/in", bytes=100_000, **k)
+    want = sorted([(f"deep/x.{form}", p.removeprefix("top/"), len(c), c.decode()) for p, c in files_] + [(f"y.{form}", "1.md", 3, "two")])
+    assert rows(read(), "archive", "path", "size", "content") == want
+    tasks = read().rdd.getNumPartitions()
+    assert tasks == 2 if form == "tar.gz" else tasks >= 5
+    one = read().filter("path LIKE 'a/%'")
+    assert rows(one, "path") == sorted((p,) for _, p, *_ in want if p.startswith("a/")) and (form == "tar.gz" or one.rdd.getNumPartitions() < tasks)
+    assert rows(read().filter(F.col("path").isin("a/1.md", "none")), "path") == [("a/1.md",)]
+    assert rows(read(content=False), "path", "content") == sorted((p, None) for _, p, *_ in want)
+    assert rows(read(folder="a"), "path") == sorted((p.removeprefix("a/"),) for _, p, *_ in want if p.startswith("a/"))
+    with pytest.raises(Exception, match="unpacks to more than"):
+        read(most=10).collect()
+    (tmp_path / f"in/z.{form}").write_bytes(archives.packed([("../x", b"x")], form))
+    with pytest.raises(Exception, match="leads out"):
+        read().collect()
+
+
+def test_a_configuration_with_remote_resources(spark, tmp_path):
+    """An archive, a repository, a base and local files as one table; pinned, and again from the cache alone."""
+    origin = tmp_path / "origin.git"
+    origin.mkdir()
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=n", "-c", "user.email=e@e", *a], cwd=origin, check=True, capture_output=True)
+    run("init", "-q", "-b", "main")
+    (origin / "g.md").write_text("git")
+    (origin / "l.md").write_text("git")
+    run("add", ".")
+    run("commit", "-qm", "one")
+    at = tmp_path / "conf"
+    at.mkdir()
+    (at / "l.md").write_text("local")
+    (at / "config.yaml").write_text(f"resources: ['*.md', {{url: 'https://h.com/r.zip//docs', auth: {{type: bearer, tokenEnv: T}}}}, 'git::file://{origin}?ref=main', '!**/no.md']")
+    data = tar({"r/docs/a.md": "A", "r/docs/l.md": "far", "r/docs/no.md": "N"})
+    opener = lambda url, headers: _zip(data) if headers == {"Authorization": "Bearer s"} else b""
+    lock: dict = {}
+    read = lambda **k: rows(files.overlay(spark, str(at / "config.yaml"), cache=f"file://{tmp_path}/cache", lock=lock, env={"T": "s"}, **k), "path", "content")
+    assert read(opener=opener) == [("a.md", "A"), ("g.md", "git"), ("l.md", "local")]
+    assert set(lock) == {"https://h.com/r.zip", f"file://{origin}"} or len(lock) == 2
+    (origin / "g.md").write_text("newer")
+    run("commit", "-qam", "two")
+    assert read(opener=lambda url, headers: 1 / 0) == [("a.md", "A"), ("g.md", "git"), ("l.md", "local")]
+    lock["https://h.com/r.zip"]["integrity"] = "sha256-" + "0" * 64
+    with pytest.raises(Exception, match="not sha256-"):
+        read(opener=opener)
+    with pytest.raises(ValueError, match="cache"):
+        files.overlay(spark, str(at / "config.yaml"))
+
+
+def _zip(data):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=io.BytesIO(data)) as t, zipfile.ZipFile(out, "w") as z:
+        for m in t:
+            z.writestr(m.name, t.extractfile(m).read())
+    return out.getvalue()

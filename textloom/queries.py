@@ -795,6 +795,18 @@ LOCALE_LISTS_SQL = f"""SELECT p_brand AS path, '- ' || string_agg(name, chr(10)
  || string_agg('| ' || name || ' |', chr(10) ORDER BY name COLLATE en DESC) || chr(10) AS content FROM ({SPELLED_SQL} part) GROUP BY p_brand"""
 
 
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of two languages out of archives, of which there is one a source, by the archives' own directories."""
+    from textloom.sources.archives import read_archives, write_archives
+
+    where = shared_folder(spark, "archives")
+    docs = text_corpus(spark, sf_dir).withColumn("source", F.regexp_extract("path", "/(src[^/]*)/", 1))
+    for form, test in (("zip", "source < 'src2'"), ("tar", "source >= 'src2' AND source < 'src5'"), ("tar.gz", "source >= 'src5'")):
+        write_archives(docs.filter(test), where, "source", form)
+    part = lambda lang: read_archives(spark, where, bytes=1 << 18).filter(F.col("path").startswith(f"{lang}/"))
+    return part("en").unionByName(part("fr")).select(F.regexp_extract("archive", r"^(.*?)\.", 1).alias("archive"), "path", "size", "content")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset and all runs in one process, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -1008,6 +1020,7 @@ FROM (SELECT * FROM f WHERE b = 'A') x FULL JOIN (SELECT * FROM f WHERE b = 'R')
     "region_tables": (region_tables, "SELECT 'r' || CAST(n_regionkey AS VARCHAR) || '.md' AS path, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) - 1 AS BIGINT) AS row, n_name AS name FROM nation WHERE regexp_matches(n_name, '[13579]$')"),
     "locale_rank": (locale_rank, f"SELECT p_brand, name, row_number() OVER (PARTITION BY p_brand ORDER BY name COLLATE en) AS place FROM ({SPELLED_SQL} part)"),
     "locale_lists": (locale_lists, LOCALE_LISTS_SQL),
+    "archived": (archived, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT source AS archive, path, strlen(text) AS size, text AS content FROM c WHERE lang IN ('en', 'fr') AND text IS NOT NULL"),
     "streamed": (streamed, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(CASE WHEN source = 'src2' THEN text || 'old' ELSE text END, 'e', 'E') AS output FROM c WHERE source <> 'src2' OR doc_id % 2 = 1"),
     "debounced": (debounced, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, CASE WHEN source = 'src2' THEN NULL ELSE text END AS content, CAST(2 AS BIGINT) AS events FROM c"),
 }

@@ -1,7 +1,9 @@
 """Remote resources as corpora: credentials, downloads with retries and checks, archives unpacked, git repositories checked out.
 
-Fetching runs on the driver, a few resources a configuration; what archives hold is unpacked by tasks. Downloads are kept by
-the hash of their URL in a cache folder and pinned in a lock file.
+`resolved` fetches all resources of a configuration in tasks, one each: archives are written to a cache folder that all
+executors share and read from there as a data source; a repository is checked out in its task's own folder, whose files
+become rows of a table in the cache. Downloads are kept by the hash of their URL and pinned in a lock file. `fetch` takes one
+resource through a local cache, for use without a cluster.
 """
 
 from __future__ import annotations
@@ -10,21 +12,20 @@ import base64
 import hashlib
 import io
 import os
+import shutil
 import subprocess
-import tarfile
+import tempfile
 import urllib.request
-import zipfile
 from collections.abc import Callable, Iterator, Mapping
 from pathlib import Path
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from textloom.sources.archives import MOST, contents, members, read_archives
 from textloom.sources.remote import ArchiveUrl, GitUrl, allowed, archive_url, git_url, integrity, with_retries
 
-#: Bytes that one archive may unpack to.
-MOST_BYTES = 1 << 30
 Opener = Callable[[str, Mapping[str, str]], bytes]
 
 
@@ -49,49 +50,10 @@ def download(url: str, headers: Mapping[str, str]) -> bytes:
         return answer.read()
 
 
-def _inside(name: str) -> str | None:
-    """A member's path in an archive, None if it leads out of it or has no name."""
-    parts = [p for p in name.replace("\\", "/").split("/") if p not in ("", ".")]
-    return None if name.startswith("/") or ".." in parts or not parts or ":" in parts[0] else "/".join(parts)
-
-
-def unpacked(name: str, data: bytes, folder: str = "", most: int = MOST_BYTES) -> list[tuple[str, str]]:
-    """path, content of an archive's files below a folder, as UTF-8. Links and devices are no files; a member that leads out
-    of the archive, or more than `most` bytes in all, is an error. A lone top folder is left out, as hosts add one."""
-    found: list[tuple[str, Callable[[], bytes], int]] = []
-    if name.lower().endswith(".zip"):
-        archive = zipfile.ZipFile(io.BytesIO(data))
-        found = [(i.filename, lambda i=i: archive.read(i), i.file_size) for i in archive.infolist() if not i.is_dir() and (i.external_attr >> 28) != 0xA]
-    else:
-        tar = tarfile.open(fileobj=io.BytesIO(data))  # noqa: SIM115  read below
-        found = [(m.name, lambda m=m: tar.extractfile(m).read(), m.size) for m in tar.getmembers() if m.isreg()]
-    if sum(n for *_, n in found) > most:
-        raise ValueError(f"{name}: unpacks to more than {most} bytes")
-    if bad := [x for x, *_ in found if _inside(x) is None]:
-        raise ValueError(f"{name}: {bad[0]!r} leads out of the archive")
-    paths = [(_inside(x), read) for x, read, _ in found]
-    tops = {p.split("/")[0] for p, _ in paths if p}
-    if len(tops) == 1 and all("/" in p for p, _ in paths if p):
-        paths = [(p.split("/", 1)[1], read) for p, read in paths if p]
-    prefix = folder.strip("/") + "/" if folder.strip("/") else ""
-    return sorted((p.removeprefix(prefix), read().decode("utf-8", "replace")) for p, read in paths if p and p.startswith(prefix))
-
-
-def archive_rows(archives: DataFrame, folder: str = "", most: int = MOST_BYTES) -> DataFrame:
-    """archive, path, content of the files in a table of archives (path, content as bytes): a task an archive."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                files = unpacked(name, data.as_py(), folder, most) if data.is_valid else []
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(files), pa.string()), pa.array([p for p, _ in files], pa.string()), pa.array([c for _, c in files], pa.string())], ["archive", "path", "content"])
-
-    return archives.select("path", "content").mapInArrow(run, "archive string, path string, content string")
-
-
-def read_archives(spark: SparkSession, where: str, folder: str = "") -> DataFrame:
-    """The files in all archives of a folder or a glob, on whatever file system."""
-    return archive_rows(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where), folder)
+def unpacked(name: str, data: bytes, folder: str = "", most: int = MOST) -> list[tuple[str, str]]:
+    """path, content of an archive's files below a folder, as UTF-8."""
+    found = members(name, io.BytesIO(data), folder, most)
+    return sorted((m.path, x.decode("utf-8", "replace")) for m, x in contents(name, io.BytesIO(data), found))
 
 
 def key_of(url: str) -> str:
@@ -157,9 +119,99 @@ def fetch(spark: SparkSession, resource: str | Mapping, cache: str, *, security:
     if found := archive_url(entry["url"]):
         pin = (lock or {}).get(found.url, {}).get("integrity")
         kept, now = fetch_archive(found, cache, auth=entry.get("auth"), sha256=entry.get("sha256") or pin, opener=opener, offline=offline, env=env)
-        return archive_rows(spark.read.format("binaryFile").load(str(kept)), found.folder).select("path", "content"), now
+        return read_archives(spark, str(kept), found.folder).select("path", "content"), now
     if repo := git_url(entry["url"]):
         pin = (lock or {}).get(repo.repository, {}).get("resolved")
         folder, now = fetch_git(repo._replace(ref=pin) if pin else repo, cache, offline=offline, headers=credentials(entry.get("auth"), env))
         return read_corpus(spark, str(folder)), now
     raise ValueError(f"{entry['url']!r} is neither a repository nor an archive")
+
+
+# All resources of a configuration, fetched by tasks.
+
+
+def kept_archive(found: ArchiveUrl, cache: str, want: str | None, offline: bool, headers: Mapping[str, str], opener: Opener, tries: int) -> tuple[str, str]:
+    """URI of an archive in a shared cache, and its integrity."""
+    system, root = fs.FileSystem.from_uri(cache) if "://" in cache else (fs.LocalFileSystem(), cache)
+    path = f"{root.rstrip('/')}/{key_of(found.url)}/{found.url.rsplit('/', 1)[-1]}"
+    there = system.get_file_info(path).type == fs.FileType.File
+    if there:
+        with system.open_input_stream(path, compression=None) as source:
+            data = source.read()
+    elif offline:
+        raise FileNotFoundError(f"{found.url} is not in the cache")
+    else:
+        data = with_retries(lambda: opener(found.url, headers), tries)
+    have = integrity(data)
+    if want and have.removeprefix("sha256-") != want.removeprefix("sha256-").lower():
+        raise ValueError(f"{found.url}: has {have}, not sha256-{want.removeprefix('sha256-')}")
+    if not there:
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        part = f"{path}.{os.getpid()}.part"  # another try of the task writes another
+        with system.open_output_stream(part, compression=None) as out:
+            out.write(data)
+        system.move(part, path)
+    return path if "://" not in cache else cache.split("://", 1)[0] + "://" + path, have
+
+
+def checked_out(found: GitUrl, ref: str, headers: Mapping[str, str]) -> tuple[str, list[tuple[str, str]]]:
+    """The commit and the markdown files of a repository's folder, by a checkout that is deleted again."""
+    from textloom.sources.files import EXTENSIONS, SKIPPED
+
+    with tempfile.TemporaryDirectory() as where:  # of this task alone: its files leave as rows
+        folder, entry = fetch_git(found._replace(ref=ref), where, headers=headers)
+        files = []
+        for path in sorted(folder.rglob("*")):
+            name = path.relative_to(folder).as_posix()
+            if path.is_file() and not path.is_symlink() and name.endswith(tuple(f".{e}" for e in EXTENSIONS)) and not set(name.split("/")[:-1]) & set(SKIPPED):
+                files.append((name, path.read_text(encoding="utf-8", errors="replace")))
+        shutil.rmtree(folder, ignore_errors=True)
+    return entry["resolved"], files
+
+
+def resolved(spark: SparkSession, resources: list[str | Mapping], cache: str, *, security: Mapping | None = None, lock: Mapping[str, dict] | None = None, offline: bool = False, opener: Opener = download, tries: int = 3, env: Mapping[str, str] = os.environ) -> tuple[DataFrame, dict[str, dict]]:
+    """place (in the list), path, content of all remote resources, and their lock entries.
+
+    cache: a folder that all executors share. Each resource is one task's download; archives are then read by as many tasks
+    as their size asks for.
+    """
+    rows = []
+    for k, r in enumerate(resources):
+        entry = {"url": r} if isinstance(r, str) else dict(r)
+        if why := allowed(entry["url"], (security or {}).get("allowedHosts"), (security or {}).get("allowedProtocols")):
+            raise PermissionError(why)
+        archive, repo = archive_url(entry["url"]), git_url(entry["url"])
+        if not archive and not repo:
+            raise ValueError(f"{entry['url']!r} is neither a repository nor an archive")
+        key = archive.url if archive else repo.repository
+        pin = (lock or {}).get(key, {})
+        rows.append((k, entry["url"], entry.get("sha256") or pin.get("integrity") if archive else pin.get("resolved"), list(credentials(entry.get("auth"), env).items())))
+    schema = "place int, url string, pin string, headers array<struct<k:string,v:string>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                headers = {h["k"]: h["v"] for h in r["headers"]}
+                if found := archive_url(r["url"]):
+                    where, have = kept_archive(found, cache, r["pin"] or found.sha256, offline, headers, opener, tries)
+                    out = [(r["place"], found.url, found.url, have, where, found.folder, None, None)]
+                else:
+                    repo = git_url(r["url"])
+                    if offline:
+                        raise FileNotFoundError(f"{repo.repository} is not in the cache")
+                    commit, files = checked_out(repo, r["pin"] or repo.ref, headers)
+                    out = [(r["place"], repo.repository, commit, f"git-{commit}", None, None, p, c) for p, c in files or [(None, None)]]
+                names = ["place", "url", "resolved", "integrity", "archive", "folder", "path", "content"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.string()) for k, c in enumerate(zip(*out, strict=True))], names)
+
+    asked = spark.createDataFrame(rows, schema).repartition(max(len(rows), 1), "place")
+    table = f"{cache.rstrip('/')}/fetched-{hashlib.sha256(repr([r[:3] for r in rows]).encode()).hexdigest()[:16]}"
+    asked.mapInArrow(run, "place int, url string, resolved string, integrity string, archive string, folder string, path string, content string").write.mode("overwrite").parquet(table)
+    got = spark.read.parquet(table)
+    told = got.select("place", "url", "resolved", "integrity", "archive", "folder").distinct().collect()  # a row a resource
+    out = got.filter("path IS NOT NULL").select("place", "path", "content")
+    for r in told:
+        if r["archive"]:
+            part = read_archives(spark, r["archive"], r["folder"])
+            out = out.unionByName(part.selectExpr(f"{r['place']} AS place", "path", "content"))
+    return out, {r["url"]: {"url": r["url"], "resolved": r["resolved"], "integrity": r["integrity"]} for r in told}
