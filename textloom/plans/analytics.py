@@ -170,7 +170,13 @@ def lint(patches: list[dict]) -> list[tuple[int, str, str]]:
     return out
 
 
-def explain(edge: DataFrame) -> DataFrame:
-    """path, lineage: the patches that a document meets, in order."""
+def explain(edge: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+    """path, lineage: the patches that a document meets, in order.
+
+    chains: path and chain, the configurations through which documents came (see sources.files.overlay). With it every
+    document has a row, with its chain and how many configurations are in it; one that no patch admits has an empty lineage.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("ord", "op")))
+    if chains is not None:
+        return chains.select("path", "chain").join(explain(edge), "path", "left").select("path", "chain", F.size("chain").alias("depth"), F.coalesce("lineage", F.lit("")).alias("lineage"))
     return edge.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["ord"].cast("string"), x["op"])), ",").alias("lineage"))

@@ -807,6 +807,33 @@ def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part("en").unionByName(part("fr")).select(F.regexp_extract("archive", r"^(.*?)\.", 1).alias("archive"), "path", "size", "content")
 
 
+#: Configurations that stand on each other, and the languages of the documents in each one's folder.
+LEVELS = [("base", ("en", "de")), ("mid", ("fr", "de")), ("top", ("es",))]
+
+
+def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of three configurations, each on the one before: the chain through which each came, and its patches."""
+    from pathlib import Path
+
+    from textloom.sources import files
+
+    where = shared_folder(spark, "levels").removeprefix("file://")
+    docs = table(spark, sf_dir, "documents").select(path_column().alias("path"), "lang", F.lit("x").alias("content"))
+    for k, (name, languages) in enumerate(LEVELS):
+        files.write_files(docs.filter(F.col("lang").isin(*languages)), f"{where}/{name}")
+        Path(where, name).mkdir(parents=True, exist_ok=True)
+        Path(where, name, "config.yaml").write_text(f"resources: [{f'../{LEVELS[k - 1][0]}, ' if k else ''}'**/*.md']")
+    found = files.overlay(spark, f"{where}/top/config.yaml", chain=True)
+    edge = analytics.edges(found, analytics.patch_table(spark, PROGRAM))
+    names = F.array_join(F.transform("chain", lambda c: F.regexp_extract(c, r"([^/]*)/config\.yaml$", 1)), ">")
+    return analytics.explain(edge, found).select("path", names.alias("chain"), F.col("depth").cast("long").alias("depth"), "lineage")
+
+
+CONFIGURED_SQL = """, l AS (SELECT path, string_agg(CAST(ord AS VARCHAR) || ':' || op, ',' ORDER BY ord) AS lineage FROM e GROUP BY path)
+SELECT c.path, CASE lang WHEN 'en' THEN 'base>mid>top' WHEN 'es' THEN 'top' ELSE 'mid>top' END AS chain, CAST(CASE lang WHEN 'en' THEN 3 WHEN 'es' THEN 1 ELSE 2 END AS BIGINT) AS depth, l.lineage
+FROM c JOIN l ON c.path = l.path WHERE lang IN ('en', 'de', 'fr', 'es')"""
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset and all runs in one process, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -987,6 +1014,7 @@ PLAIN_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
     "ai_transform": (transform, f"SELECT doc_id, {filled_sql(TEMPLATE)} || 'end' AS content FROM documents"),
     "lines": (lines, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, CAST(k - 1 AS BIGINT) AS line, string_split(text, chr(10))[k] AS text FROM (SELECT path, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM c)"),
     "lineage": (lineage, EDGE_SQL + "SELECT path, string_agg(CAST(ord AS VARCHAR) || ':' || op, ',' ORDER BY ord) AS lineage FROM e GROUP BY path"),
+    "configured": (configured, EDGE_SQL + CONFIGURED_SQL),
     "suggestions": (suggestions, CORPUS_SQL + """SELECT path, '{"item": "[home](https://example.com/' || CAST(doc_id AS VARCHAR) || ')", "list": 0, "new": "[home](/d/' || CAST(doc_id AS VARCHAR) || ')", "op": "set-list-item"}' AS patch, CAST(0.9 AS DOUBLE) AS score, CAST(1 AS DOUBLE) AS checked FROM c"""),
     "consolidated": (consolidated, """SELECT '{"content": "end", "op": "append-to-file"}' AS patch, CAST(0.9 AS DOUBLE) AS score, count(*) AS files, '**/*.md' AS include FROM documents"""),
     "nearest": (nearest, """WITH t(target) AS (VALUES ('STANDERT'), ('promoo'), ('LARG')), d AS (

@@ -57,13 +57,14 @@ def last_wins(df: DataFrame, order: str) -> DataFrame:
     return best.select("path", *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
-def overlay(spark: SparkSession, config_path: str, depth: int = 0, seen: tuple[str, ...] = (), *, cache: str | None = None, lock: dict[str, dict] | None = None, **remote: object) -> DataFrame:
+def overlay(spark: SparkSession, config_path: str, depth: int = 0, seen: tuple[str, ...] = (), *, cache: str | None = None, lock: dict[str, dict] | None = None, chain: bool = False, **remote: object) -> DataFrame:
     """The corpus that a configuration's resources name: globs, exact paths, archives and repositories, and folders with
     configurations of their own.
 
     A base's patches never apply, only its resources. Of one path local files win over what bases and then remote resources
     have, and later ones of each over earlier ones. Remote resources are kept in `cache`, a folder that all executors share;
-    `lock` pins them and takes their new entries. More options as in fetch.resolved.
+    `lock` pins them and takes their new entries. More options as in fetch.resolved. chain: also `chain`, the configurations
+    through which each document came, from the one that names it to this one.
     """
     from textloom.sources import fetch
     from textloom.sources.remote import archive_url, git_url
@@ -73,17 +74,18 @@ def overlay(spark: SparkSession, config_path: str, depth: int = 0, seen: tuple[s
         raise ValueError(f"configurations refer to each other: {' -> '.join((*seen, folder))}")
     config = yaml_load(Path(config_path).read_text())
     plain, parts, far = [], [], []
+    own = F.array(F.lit(str(Path(config_path).resolve())))
     for entry in config["resources"]:
         name = entry["url"] if isinstance(entry, dict) else entry
         nested = next((str(p) for c in CONFIG_NAMES if (p := Path(folder, name, c)).exists()), None) if not is_glob(name) else None
         if nested:
-            parts.append(overlay(spark, nested, depth + 1, (*seen, folder), cache=cache, lock=lock, **remote))
+            parts.append(overlay(spark, nested, depth + 1, (*seen, folder), cache=cache, lock=lock, chain=True, **remote).withColumn("chain", F.concat("chain", own)))
         elif not name.startswith("!") and (archive_url(name) or git_url(name)):
             far.append(entry)
         else:
             plain.append(name)
     if any(not x.startswith("!") for x in plain):
-        parts.append(select_resources(read_corpus(spark, folder), plain))
+        parts.append(select_resources(read_corpus(spark, folder), plain).withColumn("chain", own))
     out = None
     if far:
         if cache is None:
@@ -91,13 +93,14 @@ def overlay(spark: SparkSession, config_path: str, depth: int = 0, seen: tuple[s
         fetched, entries = fetch.resolved(spark, far, cache, security=config.get("security"), lock=lock, **remote)
         if lock is not None:
             lock.update(entries)
-        out = fetched.select("path", "content", (F.col("place") - len(far)).alias("_k"))
+        out = fetched.select("path", "content", own.alias("chain"), (F.col("place") - len(far)).alias("_k"))
     for k, part in enumerate(parts):
-        part = part.select("path", "content", F.lit(k).alias("_k"))
+        part = part.select("path", "content", "chain", F.lit(k).alias("_k"))
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], "path string, content string")
+        return spark.createDataFrame([], "path string, content string" + ", chain array<string>" * chain)
     out = last_wins(out, "_k")
+    out = out if chain else out.drop("chain")
     gone = [x for x in plain if x.startswith("!")]
     return out.filter(~resource_test([x[1:] for x in gone], F.col("path"))) if gone else out
 
