@@ -141,13 +141,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(ends: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of documents of about `limit` bytes, at least one document each. After the last, freed memory is given back:
-    workers outlive their tasks, and one that waits should hold no more than it must."""
+    """Runs of documents of about `limit` bytes, at least one document each. After the last, freed memory is given back."""
     at, n = 0, len(ends) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
         yield at, to
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory to the system: workers outlive their tasks, and one that waits should hold no more than it must."""
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)

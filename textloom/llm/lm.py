@@ -36,14 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.base import cut, mix, strings
+from textloom.llm.base import cut, give_back, mix, strings
 
 #: Words, the end among them, whose arcs to each other are a matrix.
 CONTEXTS = 512
 #: Words with their counts that each worker holds, and the longest of them; all others are counted in buckets.
 HEAD, HEAD_BYTES = 100_000, 64
 #: Distinct words, or bigrams, after which a task passes its counts on, and documents scored at once.
-FLUSH, BATCH = 1_000_000, 500
+FLUSH, BATCH = 400_000, 500
 #: Training tokens a bucket, beyond the LEAST_BUCKETS.
 BUCKET, LEAST_BUCKETS = 500_000, 32
 #: How a bigram is dealt: by both words, by a rare second word, by a rare first word. Documents go along.
@@ -397,13 +397,17 @@ def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataF
                 kept.append(others)
                 if sum(x.shape[1] for x in kept) > flush:
                     yield deal(ids)
+                    give_back()
         if kept:
             yield deal(ids)
+        del kept
+        give_back()
 
     def count(table: pa.Table) -> pa.Table:
         if table.column("kind")[0].as_py() == PLAIN:
             return table.append_column("facts", pa.nulls(len(table), pa.binary()))
-        parts = zip(*counted(table.select(["kind", "blob"]), buckets), strict=True)
+        parts = list(zip(*counted(table.select(["kind", "blob"]), buckets), strict=True))
+        give_back()
         given = {c: pa.array(x, t) for (c, t), x in zip((("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("facts", pa.binary())), parts, strict=True)}
         return pa.table({f: given[f] if f in given else pa.nulls(len(given["kind"]), table.schema.field(f).type) for f in [*table.column_names, "facts"]})
 
@@ -446,6 +450,7 @@ def score(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataF
                     kept.clear()
         if kept:
             yield by_row(summed(np.concatenate(kept, axis=1)), buckets)
+        give_back()
 
     def of_rare(table: pa.Table) -> pa.Table:
         model = model_of(shared)
