@@ -305,7 +305,7 @@ def test_watch_keeps_folders_apart_and_compacts(spark, tmp_path):
         watch.start(stream_files(spark, str(inside)), str(tmp_path / "c"), once=True).awaitTermination()
     assert rows(watch.current(), "path", "output") == sorted((f"{w}/i{k}.md", f"U{w}{k}") for w in ("a", "b c") for k in range(5))
     assert seen == [(k, 2) for k in range(5)] and watch.table.base() == 3
-    assert sorted(p.name for p in (tmp_path / "state/output").iterdir() if p.is_dir()) == ["base=3", "version=4"]
+    assert sorted(p.name for p in (tmp_path / "state/output").iterdir() if p.is_dir()) == ["base=1", "base=3", "version=2", "version=3", "version=4"]
     watch.batch(spark.createDataFrame([("a/i0.md", "T")], "path string, content string"), 2)  # an old batch again
     assert watch.current().count() == 10
     gone = watch.sweep(watch.current().filter("path like 'a/%'").select("path"))

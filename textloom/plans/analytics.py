@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.functions.patterns import glob_regex
 from textloom.plans.planner import as_list
@@ -38,14 +39,23 @@ def patch_table(spark: SparkSession, patches: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, op string, id string, grp string, include array<string>, exclude array<string>, risk int, risk_level string, spec string")
 
 
+#: Patches that are broadcast; a longer program meets paths as Spark plans it.
+FEW = 10_000
+
+
+def small(patches: DataFrame) -> DataFrame:
+    """A table of patches, marked for broadcast if it is short."""
+    return F.broadcast(patches) if len(patches.take(FEW + 1)) <= FEW else patches
+
+
 def edges(files: DataFrame, patches: DataFrame) -> DataFrame:
     """path, ord, op, risk, risk_level, spec: which patches admit which documents.
 
-    The one theta join of the engine: every path is tested against every patch's globs, the patches broadcast. Their
-    number is a program's length, not the corpus's.
+    The one theta join of the engine: every path is tested against every patch's globs, the patches broadcast up to FEW.
+    Their number is a program's length, not the corpus's.
     """
     hit = ((F.size("include") == 0) | F.exists("include", lambda g: F.rlike("path", g))) & ~F.exists("exclude", lambda g: F.rlike("path", g))
-    return files.select("path").join(F.broadcast(patches), hit).select("path", "ord", "op", "risk", "risk_level", "spec")
+    return files.select("path").join(small(patches), hit).select("path", "ord", "op", "risk", "risk_level", "spec")
 
 
 def coverage(files: DataFrame, edge: DataFrame) -> DataFrame:
@@ -59,9 +69,17 @@ def unpatched(files: DataFrame, edge: DataFrame) -> DataFrame:
     return files.select("path").join(edge.select("path"), "path", "left_anti")
 
 
-def impact(edge: DataFrame) -> DataFrame:
-    """ord, op, files: how many documents a patch admits."""
-    return edge.groupBy("ord", "op").agg(F.count("*").alias("files"))
+def impact(edge: DataFrame, listed: int = 0) -> DataFrame:
+    """ord, op, files: how many documents a patch admits; with `listed`, also paths, the first so many of them in order.
+
+    Tasks pass on no more than that many paths of a patch; all of them are the rows of `edges`.
+    """
+    out = edge.groupBy("ord", "op").agg(F.count("*").alias("files"))
+    if not listed:
+        return out
+    place = F.row_number().over(Window.partitionBy("ord").orderBy("path"))
+    first = edge.select("ord", "path", place.alias("_n")).filter(F.col("_n") <= listed).groupBy("ord").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return out.join(first, "ord")
 
 
 def shared_files(edge: DataFrame) -> DataFrame:
@@ -101,7 +119,7 @@ def pairs_in_common(edge: DataFrame) -> DataFrame:
 def redundant(patches: DataFrame, edge: DataFrame) -> DataFrame:
     """a, b, files: later patches equal to an earlier one on the same documents."""
     p, q = patches.select(F.col("ord").alias("a"), F.col("spec").alias("x")), patches.select(F.col("ord").alias("b"), F.col("spec").alias("y"))
-    return pairs_in_common(edge).join(F.broadcast(p), "a").join(F.broadcast(q), "b").filter(F.col("x") == F.col("y")).select("a", "b", "files")
+    return pairs_in_common(edge).join(small(p), "a").join(small(q), "b").filter(F.col("x") == F.col("y")).select("a", "b", "files")
 
 
 def target(spec: Column) -> Column:
@@ -113,7 +131,7 @@ def overlapping(patches: DataFrame, edge: DataFrame) -> DataFrame:
     """a, b, files: patches with one target on the same documents."""
     p = patches.select(F.col("ord").alias("a"), target(F.col("spec")).alias("x"))
     q = patches.select(F.col("ord").alias("b"), target(F.col("spec")).alias("y"))
-    return pairs_in_common(edge).join(F.broadcast(p), "a").join(F.broadcast(q), "b").filter(F.col("x") == F.col("y")).select("a", "b", "files")
+    return pairs_in_common(edge).join(small(p), "a").join(small(q), "b").filter(F.col("x") == F.col("y")).select("a", "b", "files")
 
 
 def regex_complexity(pattern: str) -> int:

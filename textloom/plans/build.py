@@ -52,7 +52,7 @@ def fronted(df: DataFrame, content: Column, native_only: bool = False) -> DataFr
     return df
 
 
-def native_step(df: DataFrame, k: int, patch: dict, on_no_match: str, built: native.Pair, native_only: bool = False) -> DataFrame:
+def native_step(df: DataFrame, k: int, patch: dict, on_no_match: str, built: native.Pair, native_only: bool = False, hints: bool = False) -> DataFrame:
     """One patch as columns. The text is computed once, in a projection of its own."""
     text, n = built
     content = F.col("content")
@@ -66,8 +66,11 @@ def native_step(df: DataFrame, k: int, patch: dict, on_no_match: str, built: nat
     df = df.withColumn("_new", F.when(F.col("_run"), F.struct(text.alias("t"), n.cast("int").alias("n"))))
     hit = F.coalesce(F.col("_new.n") > 0, F.lit(False))
     missed = F.col("_run") & ~hit
-    note = F.array(F.lit(message(k, patch, "no match")))
     how = patch.get("onNoMatch", on_no_match)
+    note = F.array(F.lit(message(k, patch, "no match")))
+    if hints and how != "skip":
+        df = df.withColumn("_hint", hint_column(patch, F.when(missed, content)))
+        note = F.array(F.concat(F.lit(message(k, patch, "no match")), F.coalesce("_hint", F.lit(""))))
     columns = {
         "content": F.when(hit, F.col("_new.t")).otherwise(content),
         "applied": F.col("applied") + hit.cast("int"),
@@ -82,11 +85,31 @@ def native_step(df: DataFrame, k: int, patch: dict, on_no_match: str, built: nat
         columns["errors"] = F.when(hit, F.concat(columns["errors"], broken)).otherwise(columns["errors"])
     if tally:
         columns["counts"] = F.concat("counts", F.array(F.when(hit, F.col("_new.n")).otherwise(0)))
-    return df.withColumns(columns).drop("_run", "_off", "_new", *frontmatter.STAGES)
+    return df.withColumns(columns).drop("_run", "_off", "_new", "_hint", *frontmatter.STAGES)
+
+
+def hint_of(patch: dict, text: str | None) -> str:
+    """What would make a patch match, as the end of a warning; empty if nothing is known."""
+    from textloom.plans import recover
+
+    found = dict.fromkeys(f.why for f in recover.fixes(patch, text)[:3]) if text is not None else {}
+    return f"; near: {', '.join(found)}" if found else ""
+
+
+def hint_column(patch: dict, text: Column) -> Column:
+    """The same of texts that aren't null, others null: only documents that a patch missed cross to Python."""
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([None if t is None else hint_of(patch, t) for t in texts.to_pylist()], pa.string())
+
+    return run(text)
 
 
-def fold(text: str | None, path: str, patches: list[tuple[int, dict]], on_no_match: str, counts: list[int] | None = None) -> tuple[str | None, int, int, list[str], list[str]]:
-    """Patches on one document, in Python. counts: a list to which each patch's count is added."""
+def fold(text: str | None, path: str, patches: list[tuple[int, dict]], on_no_match: str, counts: list[int] | None = None, hints: bool = False) -> tuple[str | None, int, int, list[str], list[str]]:
+    """Patches on one document, in Python. counts: a list to which each patch's count is added;
+    hints: whether warnings say what would match."""
     counts = [] if counts is None else counts
     applied = skipped = 0
     warnings: list[str] = []
@@ -105,11 +128,11 @@ def fold(text: str | None, path: str, patches: list[tuple[int, dict]], on_no_mat
         else:
             how = patch.get("onNoMatch", on_no_match)
             if how != "skip":
-                (warnings if how == "warn" else errors).append(message(k, patch, "no match"))
+                (warnings if how == "warn" else errors).append(message(k, patch, "no match") + (hint_of(patch, text) if hints else ""))
     return text, applied, skipped, warnings, errors
 
 
-def python_run(df: DataFrame, patches: list[tuple[int, dict]], on_no_match: str) -> DataFrame:
+def python_run(df: DataFrame, patches: list[tuple[int, dict]], on_no_match: str, hints: bool = False) -> DataFrame:
     """A run of patches in one Arrow-batched UDF: the text crosses once, however many patches there are."""
     plugins = {p["plugin"]: md.PLUGINS[p["plugin"]] for _, p in patches if p["op"] == "plugin" and p["plugin"] in md.PLUGINS}
     transforms = dict(md.TRANSFORMS) if any(p["op"] == "ai-transform" for _, p in patches) else {}
@@ -123,7 +146,7 @@ def python_run(df: DataFrame, patches: list[tuple[int, dict]], on_no_match: str)
             for t, p in zip(content.to_pylist(), path.to_pylist(), strict=True):
                 counts: list[int] = []
                 began = time.perf_counter()
-                done.append((*fold(t, p, patches, on_no_match, counts), counts, 1000 * (time.perf_counter() - began)))
+                done.append((*fold(t, p, patches, on_no_match, counts, hints), counts, 1000 * (time.perf_counter() - began)))
             yield pa.StructArray.from_arrays([pa.array([x[k] for x in done], kind) for k, (_, kind) in enumerate(STATE_FIELDS)], [name for name, _ in STATE_FIELDS])
 
     tally = {"counts": F.concat("counts", "_r.counts"), "ms": F.col("ms") + F.col("_r.ms")} if "counts" in df.columns else {}
@@ -144,10 +167,11 @@ def validated(df: DataFrame, validators: list[dict]) -> DataFrame:
     return df.drop(*frontmatter.STAGES)
 
 
-def apply_patches(df: DataFrame, patches: list[dict], on_no_match: str = "warn", *, native_only: bool = False, allow_exec: bool = False, tally: bool = False) -> DataFrame:
+def apply_patches(df: DataFrame, patches: list[dict], on_no_match: str = "warn", *, native_only: bool = False, allow_exec: bool = False, tally: bool = False, hints: bool = False) -> DataFrame:
     """df (path, content) with content patched, and applied, skipped, warnings and errors by document.
 
-    tally: also counts, each patch's matches, and ms, the time that patches in Python took.
+    tally: also counts, each patch's matches, and ms, the time that patches in Python took. hints: warnings and errors of
+    patches that match nothing say what would; documents they miss are looked at in Python.
     """
     if not allow_exec and any(p["op"] == "exec" for p in patches):
         raise PermissionError("exec patches run commands on executors; allow_exec permits them")
@@ -162,12 +186,12 @@ def apply_patches(df: DataFrame, patches: list[dict], on_no_match: str = "warn",
         if python and native_only:
             raise ValueError(f"no native form: {', '.join(sorted({p['op'] for p in run}))}")
         if python:
-            df = python_run(df, numbered, on_no_match)
+            df = python_run(df, numbered, on_no_match, hints)
             continue
         for n, patch in numbered:
             staged, marked = native.staged(df, patch)
             built = native.build(marked, F.col("content"))
-            df = native_step(staged, n, patch, on_no_match, built, native_only).drop(*native.STAGES) if built else python_run(df, [(n, patch)], on_no_match)
+            df = native_step(staged, n, patch, on_no_match, built, native_only, hints).drop(*native.STAGES) if built else python_run(df, [(n, patch)], on_no_match, hints)
         df = fenced(df, ["content", "applied", "skipped", "warnings", "errors", *(["counts", "ms"] if tally else [])])
     return df
 
@@ -183,10 +207,10 @@ def fenced(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(*df.columns)
 
 
-def build(df: DataFrame, program: Program, *, allow_exec: bool = False, tally: bool = False) -> DataFrame:
+def build(df: DataFrame, program: Program, *, allow_exec: bool = False, tally: bool = False, hints: bool = False) -> DataFrame:
     """A whole program on a corpus: corpus patches, content patches, validators."""
     out = apply_corpus(df, program.corpus)
-    return validated(apply_patches(out, program.content, program.on_no_match, allow_exec=allow_exec, tally=tally), program.validators)
+    return validated(apply_patches(out, program.content, program.on_no_match, allow_exec=allow_exec, tally=tally, hints=hints), program.validators)
 
 
 def strict(df: DataFrame) -> DataFrame:

@@ -59,10 +59,8 @@ def line_typo(patch: dict, text: str) -> list[Fix]:
         return []
     want = patch["match"]
     most = max(5, int(0.2 * len(want)))
-    best = min(((levenshtein(want, x, most), x) for x in dict.fromkeys(text.split("\n")) if x.strip()), default=(most + 1, ""))
-    if not 0 < best[0] <= most:
-        return []
-    return [Fix(patch | {"match": best[1]}, 0.75 * (1 - min(1.0, best[0] / most)), "line")]
+    near = sorted((d, x) for x in dict.fromkeys(text.split("\n")) if x.strip() and 0 < (d := levenshtein(want, x, most)) <= most)
+    return [Fix(patch | {"match": x}, 0.75 * (1 - min(1.0, d / most)), f"line {x!r}") for d, x in near[:3]]
 
 
 def marker_order(patch: dict, text: str) -> list[Fix]:

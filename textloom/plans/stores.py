@@ -62,15 +62,20 @@ class Versions:
         return self.read().filter(F.col("version") == number)
 
     def write(self, rows: DataFrame, number: int) -> None:
-        """Write a version; writing it again replaces it. Every `compact` versions the newest rows become the base."""
+        """Write a version; writing it again replaces it. Every `compact` versions the newest rows become the base.
+
+        The base before and the versions since stay until the next time: a reader may be at them.
+        """
         rows.write.mode("overwrite").parquet(f"{self.folder}/version={number}")
         base, versions = self._parts()
         if len(versions) < self.compact:
             return
         self.newest().write.mode("overwrite").parquet(f"{self.folder}/base={number}")
-        fs, _ = self._fs()
-        for name in [f"base={base}"] * (base >= 0) + [f"version={n}" for n in versions]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"), True)
+        fs, path = self._fs()
+        for name in [x.getPath().getName() for x in fs.listStatus(path)]:
+            kind, _, n = name.partition("=")
+            if n.isdigit() and (kind == "base" and int(n) < base or kind == "version" and int(n) <= base):
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"), True)
 
 
 def program_hash(program: Program) -> str:

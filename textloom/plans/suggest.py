@@ -359,8 +359,11 @@ def check(source: str, target: str, patches: list[dict], path: str = "") -> floa
 
 
 def paired(source: DataFrame, target: DataFrame) -> DataFrame:
-    """path, source, target of documents on both sides."""
-    return source.select("path", F.col("content").alias("source")).join(target.select("path", F.col("content").alias("target")), "path")
+    """path, source, target of documents that are on both sides and differ. Hashes meet first: only such texts move."""
+    side = lambda df, name: df.select("path", content_hash(F.col("content")).alias(name))
+    keys = side(source, "a").join(side(target, "b"), "path").filter(~F.col("a").eqNullSafe(F.col("b"))).select("path")
+    some = lambda df, name: df.select("path", F.col("content").alias(name)).join(keys, "path", "left_semi")
+    return some(source, "source").join(some(target, "target"), "path")
 
 
 def suggestions(pairs: DataFrame, least: float = 0.0) -> DataFrame:

@@ -6,7 +6,6 @@ result of an operator is then another template, written down line by line and so
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -19,6 +18,7 @@ from textloom.operators import corpus as corpus_ops
 from textloom.operators import md, native, relations
 from textloom.plans import analytics, build, checks, preview, recover, reports, stores, suggest
 from textloom.plans.planner import program
+from textloom.sources.shared import shared_folder
 
 TEMPLATE = """---
 title: Doc {id}
@@ -478,7 +478,13 @@ def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.safety(analytics.patch_table(spark, PROGRAM)).withColumn("mean_risk", F.round("mean_risk", 6))
+    """Risks of all that the program does to documents: a patch counts for each that it admits."""
+    return analytics.safety(edges(spark, sf_dir)).withColumn("mean_risk", F.round("mean_risk", 6))
+
+
+def impact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each patch, the first three of them by name."""
+    return analytics.impact(edges(spark, sf_dir), listed=3).select(F.col("ord").cast("long").alias("ord"), "files", F.array_join("paths", ",").alias("paths"))
 
 
 def unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -834,18 +840,6 @@ SELECT c.path, CASE lang WHEN 'en' THEN 'base>mid>top' WHEN 'es' THEN 'top' ELSE
 FROM c JOIN l ON c.path = l.path WHERE lang IN ('en', 'de', 'fr', 'es')"""
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset and all runs in one process, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp()
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A watched folder after two batches and a sweep between them: documents of src1 come with the second only, those of
     src2 with the first only, and all others change in between; the sweep finds documents of src2, src3 and src4 with even
@@ -884,22 +878,26 @@ FORMS = [
 ]
 
 
-def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One key set in files of four formats."""
+def form_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of four formats."""
     number, k = F.col("event_id").cast("string"), F.get_json_object("props", "$.k")
     path, content = F.lit(None).cast("string"), F.lit(None).cast("string")
     for n, (form, text, _) in enumerate(FORMS):
         path = F.when(F.col("event_id") % len(FORMS) == n, F.concat(F.lit("f/"), number, F.lit("." + form))).otherwise(path)
         content = F.when(F.col("event_id") % len(FORMS) == n, put(text, number, k)).otherwise(content)
-    docs = table(spark, sf_dir, "events").select(path.alias("path"), content.alias("content"))
-    return build.apply_patches(docs, [{"op": "json-set", "path": "a", "value": "x"}]).select("path", "content")
+    return table(spark, sf_dir, "events").select(path.alias("path"), content.alias("content"))
 
 
-def structured_sql() -> str:
+def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key set in files of four formats."""
+    return build.apply_patches(form_corpus(spark, sf_dir), [{"op": "json-set", "path": "a", "value": "x"}]).select("path", "content")
+
+
+def structured_sql(left: list[str], applied: str = "") -> str:
     text = lambda x: "'" + x.replace("\n", "' || chr(10) || '") + "'"
     some = lambda f: " ".join(f"WHEN {n} THEN {f(x)}" for n, x in enumerate(FORMS))
-    put_ = lambda x: f"replace(replace({text(x[2])}, '{{id}}', CAST(event_id AS VARCHAR)), '{{k}}', props->>'$.k')"
-    return f"SELECT 'f/' || CAST(event_id AS VARCHAR) || CASE event_id % {len(FORMS)} {some(lambda x: repr('.' + x[0]))} END AS path, CASE event_id % {len(FORMS)} {some(put_)} END AS content FROM events"
+    put_ = lambda x: f"replace(replace({text(left[FORMS.index(x)])}, '{{id}}', CAST(event_id AS VARCHAR)), '{{k}}', props->>'$.k')"
+    return f"SELECT 'f/' || CAST(event_id AS VARCHAR) || CASE event_id % {len(FORMS)} {some(lambda x: repr('.' + x[0]))} END AS path, CASE event_id % {len(FORMS)} {some(put_)} END AS content{applied} FROM events"
 
 
 WORK = [{"op": "replace", "old": "plain", "new": "simple"}, {"op": "remove-section", "id": "data"}, {"op": "replace", "old": "simple", "new": "x", "include": "en/**"}]
@@ -923,6 +921,48 @@ def missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.hints(shapes(spark, sf_dir), [{"op": "remove-section", "id": "sumary"}]).select("path", "hint", "confidence")
 
 
+#: A slip of each kind that recovery knows, and which shapes it finds what in.
+SLIPS = [
+    ({"op": "remove-section", "id": "sumary"}, "section 'summary'", 0.85, (0, 3)), ({"op": "replace", "old": "PLAIN", "new": "x"}, "letter case", 0.9, (0, 1, 2, 3)), ({"op": "replace", "old": "characters  of text", "new": "x"}, "white space", 0.88, (0,)),
+    ({"op": "remove-frontmatter", "key": "titel"}, "key 'title'", 0.6, (0,)), ({"op": "delete-between", "start": "<!-- /TOC", "end": "<!-- TOC"}, "markers swapped", 0.95, (0,)),
+]
+
+
+def missed_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What patches with slips were meant to match, by all ways of recovery."""
+    found = reports.hints(shapes(spark, sf_dir), [x[0] for x in SLIPS])
+    return found.select("path", F.col("step").cast("long").alias("step"), "hint", F.round("confidence", 6).alias("confidence"))
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+MISSED_SQL = CORPUS_SQL + "SELECT path, CAST(k AS BIGINT) AS step, hint, CAST(confidence AS DOUBLE) AS confidence FROM c JOIN (VALUES " + ", ".join(f"({shape}, {k}, {quoted(hint)}, {least})" for k, (_, hint, least, found) in enumerate(SLIPS) for shape in found) + ") AS t(shape, k, hint, confidence) ON shape = doc_id % 5"
+
+
+def hinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings of patches that match nothing, which say what would."""
+    out = build.apply_patches(shapes(spark, sf_dir), [SLIPS[0][0], {"op": "append-to-file", "content": "x"}, SLIPS[3][0]], hints=True)
+    return out.select("path", F.posexplode("warnings").alias("place", "warning")).select("path", F.col("place").cast("long").alias("place"), "warning")
+
+
+HINTED_SQL = CORPUS_SQL + f"""SELECT path, CAST(0 AS BIGINT) AS place, 'patch 0 (remove-section): no match' || CASE WHEN doc_id % 5 IN (0, 3) THEN {quoted("; near: section 'summary'")} ELSE '' END AS warning FROM c
+UNION ALL SELECT path, 1, 'patch 2 (remove-frontmatter): no match' || CASE WHEN doc_id % 5 = 0 THEN {quoted("; near: key 'title'")} ELSE '' END FROM c"""
+
+#: Deletes and merges in files of four formats, and what they leave of FORMS.
+EDITS = [
+    {"op": "json-delete", "path": "k", "include": "**/*.{yaml,toml}"}, {"op": "json-delete", "path": "K", "include": "**/*.env"}, {"op": "json-delete", "path": "in.k", "include": "**/*.properties"},
+    {"op": "json-merge", "value": {"note": {"by": "x"}}, "exclude": "**/*.env"}, {"op": "json-delete", "path": "none", "onNoMatch": "skip"},
+]
+EDITED = ["id: {id}\nnote:\n  by: x\n", 'id = {id}\n\n[note]\nby = "x"\n', "ID={id}\n", "id={id}\nnote.by=x\n"]
+
+
+def structured_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys deleted and maps merged in files of four formats."""
+    return build.apply_patches(form_corpus(spark, sf_dir), EDITS).select("path", "content", F.col("applied").cast("long").alias("applied"))
+
+
 def previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed lines, with the characters that were added to them."""
     out = preview.preview(text_corpus(spark, sf_dir), changed_corpus(spark, sf_dir)).filter("status = 'modified'").select("path", F.explode("lines").alias("x"))
@@ -994,7 +1034,8 @@ PLAIN_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
     "impact": (impact, EDGE_SQL + "SELECT CAST(ord AS BIGINT) AS ord, op, count(*) AS files FROM e GROUP BY ord, op"),
     "shared_files": (shared_files, EDGE_SQL + "SELECT path, count(*) AS patches FROM e GROUP BY path HAVING count(*) > 1"),
     "complexity": (complexity, EDGE_SQL + "SELECT path, count(*) AS patches, count(DISTINCT op) AS ops, CAST(sum(CASE WHEN risk >= 8 THEN 1 ELSE 0 END) AS BIGINT) AS high_risk, CAST(count(*) * 2 + count(DISTINCT op) * 1.5 + sum(CASE WHEN risk >= 8 THEN 1 ELSE 0 END) * 3 AS DOUBLE) AS score FROM e GROUP BY path"),
-    "safety": (safety, PATCH_SQL + "SELECT count(*) AS patches, count(*) FILTER (risk >= 8) AS high, count(*) FILTER (risk > 3 AND risk < 8) AS medium, count(*) FILTER (risk <= 3) AS low, round(avg(risk), 6) AS mean_risk FROM p"),
+    "safety": (safety, EDGE_SQL + "SELECT count(*) AS patches, count(*) FILTER (risk >= 8) AS high, count(*) FILTER (risk > 3 AND risk < 8) AS medium, count(*) FILTER (risk <= 3) AS low, round(avg(risk), 6) AS mean_risk FROM e"),
+    "impact_paths": (impact_paths, EDGE_SQL + "SELECT CAST(ord AS BIGINT) AS ord, max(n) AS files, string_agg(path, ',' ORDER BY path) FILTER (k <= 3) AS paths FROM (SELECT ord, path, row_number() OVER (PARTITION BY ord ORDER BY path) AS k, count(*) OVER (PARTITION BY ord) AS n FROM e) GROUP BY ord"),
     "unreachable": (unreachable, EDGE_SQL + ", " + PATCH_SQL.removeprefix("WITH ") + "SELECT CAST(p.ord AS BIGINT) AS ord, p.op FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.ord = p.ord)"),
     "overlaps": (overlaps, EDGE_SQL + "SELECT CAST(p.ord AS BIGINT) AS a, CAST(q.ord AS BIGINT) AS b, count(*) AS files FROM e p JOIN e q ON p.path = q.path AND p.ord < q.ord GROUP BY p.ord, q.ord"),
     "redundant": (redundant, EDGE_SQL + ", " + PATCH_SQL.removeprefix("WITH ") + "SELECT CAST(x.ord AS BIGINT) AS a, CAST(y.ord AS BIGINT) AS b, count(*) AS files FROM e x JOIN e y ON x.path = y.path AND x.ord < y.ord JOIN p s ON s.ord = x.ord JOIN p t ON t.ord = y.ord WHERE s.op = t.op AND s.what = t.what GROUP BY 1, 2"),
@@ -1037,10 +1078,13 @@ FROM (SELECT * FROM f WHERE b = 'A') x FULL JOIN (SELECT * FROM f WHERE b = 'R')
     "corpus_diff": (corpus_diff, DIFF_SQL),
     "patched_corpus": (patched_corpus, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT CASE WHEN source = 'src3' THEN 'new/' || path ELSE path END AS path, CASE WHEN source = 'src2' THEN text || '!' ELSE text END AS content FROM c WHERE source <> 'src1'"),
     "moved_sections": (moved_sections, MOVED_SQL),
-    "structured": (structured, structured_sql()),
+    "structured": (structured, structured_sql([x[2] for x in FORMS])),
+    "structured_edits": (structured_edits, structured_sql(EDITED, ", CAST(CASE WHEN event_id % 4 = 2 THEN 1 ELSE 2 END AS BIGINT) AS applied")),
     "worked": (worked, WORKED_SQL),
     "by_operation": (by_operation, f"WITH w AS ({WORKED_SQL}) SELECT op, count(DISTINCT path) AS documents, CAST(sum(count) AS BIGINT) AS matches FROM w GROUP BY op"),
     "missed": (missed, CORPUS_SQL + "SELECT path, 'section ' || chr(39) || 'summary' || chr(39) AS hint, CAST(0.85 AS DOUBLE) AS confidence FROM c WHERE doc_id % 5 IN (0, 3)"),
+    "missed_ways": (missed_ways, MISSED_SQL),
+    "hinted": (hinted, HINTED_SQL),
     "previewed": (previewed, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, 'modified' AS kind, CAST(n AS BIGINT) AS before, CAST(n AS BIGINT) AS after, '!' AS added FROM (SELECT path, len(string_split(text, chr(10))) AS n FROM c WHERE source = 'src2')"),
     "rolled_back": (rolled_back, "WITH v AS (SELECT l_linenumber AS n, CAST(l_partkey AS VARCHAR) AS path, CAST(max(l_orderkey) AS VARCHAR) AS output FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2) SELECT path, max_by(output, n) AS output FROM v GROUP BY path"),
     "word_similarity": (word_similarity, "SELECT p_partkey, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS likeness FROM (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS a, list_distinct(string_split(lower(p_type || ' ' || p_brand), ' ')) AS b FROM part)"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions.codecs import yaml_load
 from textloom.functions.patterns import glob_regex, is_glob
 from textloom.plans.spec import relative
+from textloom.sources.shared import shared_folder
 
 SKIPPED = ("node_modules", ".git", "output")
 EXTENSIONS = ("md",)
@@ -142,8 +143,11 @@ def clean(folder: str, result: DataFrame, extensions: tuple[str, ...] = EXTENSIO
                 Path(root, relative(path)).unlink(missing_ok=True)
             yield frame
 
-    done = [tuple(r) for r in gone.mapInPandas(remove, "path string").collect()]  # what a person reads: files of one output folder
-    return result.sparkSession.createDataFrame(done, "path string")
+    listing = shared_folder(result.sparkSession, "cleaned")
+    gone.write.parquet(listing)  # first the list, which a lost task finds again, then the files
+    listed = result.sparkSession.read.schema("path string").parquet(listing)
+    listed.mapInPandas(remove, "path string").write.format("noop").mode("overwrite").save()
+    return listed
 
 
 def leftovers(existing: DataFrame, result: DataFrame) -> DataFrame:

@@ -139,9 +139,11 @@ class Watch:
         self.table.write(mark(self._rebuilt(df, number) if self.sources else self._fresh(df, number)), number)
 
     def _changed(self, df: DataFrame) -> None:
+        """One call a batch, whatever its size: {{file}} is the first path, {{files}} their number."""
         if self.hooks.on_change:
-            for row in df.select("path").orderBy("path").toLocalIterator():
-                self.hooks.run(self.hooks.on_change, file=row["path"])
+            told = df.agg(F.min("path").alias("file"), F.count("*").alias("files")).first()
+            if told["files"]:
+                self.hooks.run(self.hooks.on_change, file=told["file"], files=told["files"])
 
     def _built(self, df: DataFrame, number: int) -> DataFrame:
         out = build(df.select("path", "content", F.sha2("content", 256).alias("source_hash")), self.program)
