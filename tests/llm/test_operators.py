@@ -6,6 +6,7 @@ import json
 import math
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -280,6 +281,71 @@ def test_structures_in_other_clothes():
     assert kinds("MIIB" + "\nA" * 50_000) == []
 
 
+def random_key(rng):
+    """Kind and bytes of a random key structure."""
+    big = lambda bits: rng.getrandbits(bits) | 1 << bits - 1 | 1
+    n = rng.choice([512, 768, 1024, 2048])
+    rsa = der(0x30, b"".join(map(integer, [0, big(n), 65537, big(n), big(n // 2), big(n // 2), big(n // 2), big(n // 2), big(n // 2)])))
+    ed = der(0x30, der(6, bytes.fromhex("2b6570")))
+    ssh = lambda *parts: b"".join(struct.pack(">I", len(x)) + x for x in parts)
+    return rng.choice([
+        ("key", rsa), ("key", der(0x30, integer(0) + OID + der(4, rsa))), ("key", der(0x30, integer(0) + ed + der(4, der(4, rng.randbytes(32))))), ("key", der(0x30, integer(1) + der(4, rng.randbytes(32)))),
+        ("public", der(0x30, OID + der(3, b"\0" + der(0x30, integer(big(n)) + integer(65537))))), ("public", ssh(b"ssh-ed25519", rng.randbytes(32))), ("public", ssh(b"ssh-rsa", b"\1\0\1", b"\0" + rng.randbytes(n // 8))),
+    ])
+
+
+def test_planted_keys_are_found():
+    """Keys in running text, one a line, wrapped, behind long tokens and paths, URL-safe, escaped and in hex: at least 0.95 of each kind, at their places; none in prose."""
+    rng = random.Random(11)
+    b64 = lambda x: base64.b64encode(x).decode()
+    wrap = lambda x, by="\n": by.join(x[k : k + 64] for k in range(0, len(x), 64))
+    found, planted, false = Counter(), Counter(), 0
+    for _ in range(600):
+        keys = [random_key(rng) for _ in range(rng.randrange(1, 4))]
+        ders = [k for k in keys if k[1][0] == 0x30]
+        how = rng.choice(["prose", "lines", "wrapped", "token", "path", "url", "escaped", "hex", "none"])
+        texts = [(kind, b64(x)) for kind, x in keys]
+        if how == "prose":
+            text = " ".join(prose(rng, 8) + " " + x + " " + prose(rng, 5) for _, x in texts)
+        elif how == "lines":
+            texts = [(kind, x.rstrip("=")) for kind, x in texts]
+            text = prose(rng, 8) + "\n" + "\n".join(x for _, x in texts) + "\n" + prose(rng, 3)
+        elif how == "wrapped":
+            texts = [(kind, wrap(x)) for kind, x in texts]
+            text = "\n\n".join(x for _, x in texts)
+        elif how == "token":
+            texts = texts[:1]
+            text = "see " + "".join(rng.choice("abcdefxyz0189") for _ in range(44)) + "\n" + texts[0][1] + "\nend"
+        elif how == "path":
+            texts = [(kind, b64(x)) for kind, x in ders[:1]]
+            text = "".join(f"path/to/privatekey/{x} " for _, x in texts)
+        elif how == "url":
+            texts = [(kind, base64.urlsafe_b64encode(x).decode().rstrip("=")) for kind, x in keys]
+            text = " ".join(x for _, x in texts)
+        elif how == "escaped":
+            texts = [(kind, wrap(x, "\\n")) for kind, x in texts]
+            text = json.dumps({"a": 1}) + " ".join(x for _, x in texts)
+        elif how == "hex":
+            texts = [(kind, x.hex()) for kind, x in ders]
+            text = " ".join("f0"[: rng.randrange(3)] + x for _, x in texts)
+        else:
+            texts, text = [], prose(rng, 60)
+        spans = [(s.kind, text[s.start : s.end].rstrip("=")) for s in secret_scan.structural_spans(text)]
+        for kind, x in texts:
+            planted[kind] += 1
+            found[kind] += (kind, x.rstrip("=")) in spans
+        false += len([x for x in spans if x not in [(k, y.rstrip("=")) for k, y in texts]])
+    assert all(found[k] >= 0.95 * n for k, n in planted.items()) and sum(planted.values()) > 600, (found, planted)
+    assert false <= 0.01 * sum(planted.values())
+
+
+@pytest.mark.parametrize("text", ["MIIB" * 200_000, "AAAAC3NzaC1lZDI1NTE5AAAA" * 40_000, "LS0tLS1CRUdJTiBY" * 50_000, "ZXlK" * 200_000, "30" * 400_000, "MA" * 300_000, "M_" * 300_000])
+def test_secret_candidates_of_hostile_shapes(text):
+    began = time.perf_counter()
+    secret_scan.scan(text)
+    assert time.perf_counter() - began < 20
+
+
 BASES = {"assign": r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
 
 

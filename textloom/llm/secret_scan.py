@@ -8,8 +8,9 @@ what they claim to be can be parsed:
   (PKCS#1, PKCS#8, SEC 1) or an OpenSSH private key container, PEM armour around it or not;
 * `public`: the same for public keys and certificates (DER) and SSH wire-format public keys.
 
-Base64 may be wrapped over lines, its line breaks may be escaped as in JSON, up to STRAY other characters may stand before
-it and, since DER tells its length, others after it. What decodes to PEM text or to a signed token is read once more.
+Base64 may be wrapped over lines and its line breaks may be escaped as in JSON; one line may also use the URL-safe alphabet. A
+run of such characters is looked at from every place at which a structure can begin, and again behind each one found: other
+characters may stand before it and, since DER tells its length, after it. What decodes to PEM text or to a signed token is read once more.
 
 Null and empty texts have no spans, repeated rows have the same, an empty table gives an empty result, and columns other than
 the id and the text play no part. Spans are code points, end exclusive. Overlaps between kinds all stay; within a kind
@@ -25,6 +26,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,10 +54,12 @@ PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([^-]+)-----END \1-----")
 BREAK = r"(?:\\r)?\\n|\r?\n[ \t]*"
 BASE64 = re.compile(rf"[A-Za-z0-9+/]{{40,}}(?:(?:{BREAK})[A-Za-z0-9+/]+)*={{0,2}}")
 BREAKS = re.compile(BREAK)
+#: The URL-safe alphabet, on one line and with one of its own characters.
+URL64 = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{40,}")
 ANYHEX = re.compile(r"[0-9A-Fa-f]{48,}")
 #: How base64 of a DER sequence, an OpenSSH container, an SSH wire key, PEM text and a token's header begin; and hex of the first three.
 STARTS64, STARTS16 = re.compile(r"M[A-P]|b3BlbnNzaC1r|AAAA[BCE]|LS0tLS1CRUdJ|ZX[lk]"), re.compile(r"30|6f70656e7373682d|000000(?:07|0b|13)", re.I)
-#: Characters that may stand before such a beginning in a candidate.
+#: Characters that may stand before a token's header in a line, or before an SSH key in hex.
 STRAY = 4
 #: Object identifiers of key algorithms, DER encoded.
 ALGORITHMS = {
@@ -67,7 +71,8 @@ ALGORITHMS = {
     bytes.fromhex("2b6571"): "ed448",
 }
 ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))  # PKCS#5 and PKCS#12 schemes
-SSH_KINDS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+#: Names of SSH keys, and the strings that each is made of.
+SSH_KINDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
 OPENSSH = b"openssh-key-v1\0"
 
 
@@ -209,37 +214,87 @@ def inner_kind(data: bytes) -> str:
     return "token" if TOKEN.fullmatch(text.strip()) and signed(text.strip()) else ""
 
 
-def in_base64(text: str, at: int) -> Span | None:
-    """The structure in a base64 candidate that begins at a place of its document."""
-    places = [k for a, b in zip([0, *(m.end() for m in BREAKS.finditer(text))], [*(m.start() for m in BREAKS.finditer(text)), len(text)], strict=True) for k in range(a, b)]
-    plain = BREAKS.sub("", text)
-    for shift in range(min(STRAY, len(plain)) + 1):
-        if not STARTS64.match(plain, shift):
+def ssh_length(plain: str, shift: int) -> int:
+    """Bytes of the SSH key that begins at a place of base64 text, told by its own lengths; 0 if there is none."""
+    name = decoded(plain[shift : shift + 32])[4:]
+    fields = next((n for k, n in SSH_KINDS.items() if name.startswith(k)), 0)
+    size = 0
+    for _ in range(fields):
+        at = shift + size // 3 * 4
+        head = decoded(plain[at : at + 8])[size % 3 : size % 3 + 4]
+        n = int.from_bytes(head, "big")
+        if len(head) < 4 or not 0 < n <= 1 << 14:
+            return 0
+        size += 4 + n
+    return size
+
+
+def begun(plain: str, shift: int, stops: list[int], fresh: bool, tried: set[tuple[int, int]]) -> tuple[str, int]:
+    """Kind and end of the structure that begins at a place of base64 text, whose lines end at `stops`.
+
+    A DER value and an SSH key tell their own length. The others last to the end of their line or of the text. fresh: whether a line begins
+    about here, as a token's header must.
+    """
+    head = decoded(plain[shift : shift + 8])
+    if head[:1] == b"0" or head[:3] == b"\0\0\0":
+        size = whole_length(head) or ssh_length(plain, shift)
+        end = shift + -(-size * 4 // 3)
+        if size < 24 or end > len(plain):
+            return "", 0
+        kind = binary_kind(decoded(plain[shift:end])[:size])
+        while kind and end < len(plain) and plain[end] == "=":
+            end += 1
+        return kind, end
+    for stop in dict.fromkeys((next(x for x in stops if x > shift), len(plain))):
+        if (shift % 4, stop) in tried:
             continue
-        body = plain[shift:].rstrip("=")
+        body = plain[shift:stop].rstrip("=")
         data = decoded(body[: len(body) - (len(body) % 4 == 1)])
-        size = whole_length(data)
-        if 0 < size < len(data) and (kind := der_kind(data[:size])):
-            used = min(len(body), -(-size * 4 // 3))
-            while shift + used < len(plain) and plain[shift + used] == "=":
-                used += 1
-            return Span(kind, at + places[shift], at + places[shift + used - 1] + 1)
-        if kind := binary_kind(data) or inner_kind(data):
-            return Span(kind, at + places[shift], at + len(text))
-    return None
-
-
-def in_hex(text: str, at: int) -> Span | None:
-    for shift in range(STRAY + 1):
-        if not STARTS16.match(text, shift):
-            continue
-        data = bytes.fromhex(text[shift : len(text) - (len(text) - shift) % 2])
-        size = whole_length(data)
-        if 0 < size <= len(data) and (kind := der_kind(data[:size])):
-            return Span(kind, at + shift, at + shift + 2 * size)
-        if kind := ssh_kind(data):
-            return Span(kind, at + shift, at + shift + 2 * len(data))
-    return None
+        if kind := ssh_kind(data) or (inner_kind(data) if fresh or head.startswith(b"-----") else ""):
+            return kind, stop
+        tried.add((shift % 4, stop))
+    return "", 0
+
+
+def in_base64(text: str, at: int) -> list[Span]:
+    """All structures in a base64 candidate that begins at a place of its document: at every beginning, one after the other."""
+    breaks = list(BREAKS.finditer(text))
+    places = np.concatenate([np.arange(a, b) for a, b in zip([0, *(m.end() for m in breaks)], [*(m.start() for m in breaks), len(text)], strict=True)])
+    plain = BREAKS.sub("", text).replace("-", "+").replace("_", "/")
+    stops = sorted({*np.searchsorted(places, [m.start() for m in breaks]).tolist(), len(plain)})
+    starts = [0, *stops[:-1]]
+    out: list[Span] = []
+    tried: set[tuple[int, int]] = set()
+    k = line = 0
+    while m := STARTS64.search(plain, k):
+        shift = m.start()
+        while line + 1 < len(starts) and starts[line + 1] <= shift:
+            line += 1
+        kind, end = begun(plain, shift, stops[line:], shift - starts[line] <= STRAY, tried)
+        k = end if kind else shift + 1
+        if kind:
+            out.append(Span(kind, at + int(places[shift]), at + int(places[end - 1]) + 1))
+    return out
+
+
+def in_hex(text: str, at: int) -> list[Span]:
+    """All structures in a hex candidate, at every beginning."""
+    out: list[Span] = []
+    k = 0
+    while m := STARTS16.search(text, k):
+        shift, kind = m.start(), ""
+        head = bytes.fromhex(text[shift : shift + 12])
+        size = whole_length(head)
+        if head[0] == 0x30:
+            if 24 <= size and shift + 2 * size <= len(text):
+                kind = der_kind(bytes.fromhex(text[shift : shift + 2 * size]))
+        elif shift <= STRAY:
+            size = (len(text) - shift) // 2
+            kind = ssh_kind(bytes.fromhex(text[shift : shift + 2 * size]))
+        if kind:
+            out.append(Span(kind, at + shift, at + shift + 2 * size))
+        k = shift + 2 * size if kind else shift + 1
+    return out
 
 
 def signed(candidate: str) -> bool:
@@ -275,8 +330,10 @@ def structural_spans(text: str) -> list[Span]:
     inside = lambda m: any(a <= m.start() and m.end() <= b for a, b in armoured)
     if "ey" in text or "ew" in text:
         out += [Span("token", *m.span()) for m in TOKEN.finditer(text) if m[0].startswith("e") and signed(m[0])]
-    for pattern, look in ((BASE64, in_base64), (ANYHEX, in_hex)):
-        out += [found for m in pattern.finditer(text) if not inside(m) and (found := look(m[0], m.start()))]
+    for pattern, look in ((BASE64, in_base64), (URL64, in_base64), (ANYHEX, in_hex)):
+        for m in pattern.finditer(text):
+            if not inside(m):
+                out += look(m[0], m.start())
     return out
 
 
