@@ -18,6 +18,7 @@ from textloom.operators import corpus as corpus_ops
 from textloom.operators import md, native, relations
 from textloom.plans import analytics, build, checks, preview, recover, reports, stores, suggest
 from textloom.plans.planner import program
+from textloom.sources.files import dealt
 from textloom.sources.shared import shared_folder
 
 TEMPLATE = """---
@@ -101,7 +102,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content, doc_id: one markdown document a row of documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"))
     return docs.select(path_column().alias("path"), filled(TEMPLATE).alias("content"), "doc_id")
 
 
@@ -226,7 +227,7 @@ def changed_shape(k: int, edits: list[tuple]) -> list[str]:
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content, doc_id: documents of all shapes, by their id."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"))
     content = filled(TEMPLATE)
     for k in range(1, len(SHAPES)):
         content = F.when(F.col("doc_id") % len(SHAPES) == k, filled(SHAPES[k])).otherwise(content)
@@ -253,7 +254,7 @@ def patch_sql(name: str, lines: list[str]) -> str:
 
 def text_query(patch: dict) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
         new, n = native.build(patch, F.col("text"))
         return docs.select("doc_id", new.alias("content"), n.cast("long").alias("n"))
 
@@ -505,7 +506,7 @@ def redundant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(path_column().alias("path"), F.col("text").alias("content"), "doc_id")
+    return dealt(table(spark, sf_dir, "documents").select(path_column().alias("path"), F.col("text").alias("content"), "doc_id"))
 
 
 def changed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,12 @@ def read_corpus(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
     return out.filter(~path.rlike(rf"(^|/)({'|'.join(x.replace('.', chr(92) + '.') for x in SKIPPED)})/"))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan has fewer tasks than those, as of a table in one row group; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def resource_test(resources: list[str], path: Column, base: str = "") -> Column:
     """Whether any resource selects a path and no negation takes it out."""
     some, none = F.lit(False), F.lit(False)
