@@ -732,10 +732,10 @@ def load_plugin(name: str, path: str, checksum: str | None = None) -> None:
 def execute(text: str, command: str, timeout: int = 30_000) -> Result:
     """The text through a command, without a shell; what fails or takes too long changes nothing."""
     try:
-        done = subprocess.run(shlex.split(command), input=text, capture_output=True, text=True, timeout=timeout / 1000, check=False)  # noqa: S603
+        done = subprocess.run(shlex.split(command), input=text.encode(), capture_output=True, timeout=timeout / 1000, check=False)  # noqa: S603
+        return (done.stdout.decode(), 1) if done.returncode == 0 else (text, 0)  # as bytes: line ends stay as they are
     except (OSError, ValueError, subprocess.TimeoutExpired):
         return text, 0
-    return (done.stdout, 1) if done.returncode == 0 else (text, 0)
 
 
 @op("ai-transform")

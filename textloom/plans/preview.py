@@ -35,9 +35,10 @@ def char_changes(before: str, after: str) -> list[tuple[str, str]]:
     return [(kind, text) for kind, text in [*out, ("equal", before[len(before) - last :])] if text]
 
 
-def line_changes(before: str, after: str) -> list[tuple[str, int | None, int | None, list[tuple[str, str]]]]:
-    """kind (equal, modified, removed, added), line numbers from 1 and parts of every line of both texts."""
-    x, y = before.split("\n"), after.split("\n")
+def line_changes(before: str | None, after: str | None) -> list[tuple[str, int | None, int | None, list[tuple[str, str]]]]:
+    """kind (equal, modified, removed, added), line numbers from 1 and parts of every line of both texts; a text that isn't
+    there has none."""
+    x, y = ([] if t is None else t.split("\n") for t in (before, after))
     out: list[tuple[str, int | None, int | None, list[tuple[str, str]]]] = []
     for what, a, b, c, d in diff.opcodes(x, y):
         both = min(b - a, d - c)
@@ -60,7 +61,7 @@ def preview(before: DataFrame, after: DataFrame, context: bool = False) -> DataF
         part = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
         kind = pa.list_(pa.struct([("kind", pa.string()), ("before", pa.int32()), ("after", pa.int32()), ("parts", part)]))
         for x, y in batches:
-            done = [[line for line in line_changes(i or "", j or "") if context or line[0] != "equal"] for i, j in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+            done = [[line for line in line_changes(i, j) if context or line[0] != "equal"] for i, j in zip(x.to_pylist(), y.to_pylist(), strict=True)]
             yield pa.array([[{"kind": k, "before": m, "after": n, "parts": [{"kind": p, "text": t} for p, t in parts]} for k, m, n, parts in d] for d in done], kind)
 
     return some.join(a, "path", "left").join(b, "path", "left").select("path", "status", lines("_a", "_b").alias("lines"))

@@ -351,33 +351,63 @@ def file_query(patch: dict) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = relations.sections(corpus(spark, sf_dir))
-    return out.select("path", "id", *(F.col(c).cast("long").alias(c) for c in ("level", "start_line", "end_line")))
+    out = relations.sections(shapes(spark, sf_dir))
+    return out.select("path", "id", "title", *(F.col(c).cast("long").alias(c) for c in ("level", "start_line", "end_line")))
 
 
-SECTIONS_SQL = CORPUS_SQL + "SELECT path, s.id, CAST(s.level AS BIGINT) AS level, CAST(s.a AS BIGINT) AS start_line, CAST(s.b AS BIGINT) AS end_line FROM c, (VALUES ('document-', 1, 6, 40), ('summary', 2, 8, 16), ('detail', 3, 12, 16), ('data', 2, 16, 25), ('links', 2, 25, 40)) AS s(id, level, a, b)".replace("s.id,", "CASE WHEN s.level = 1 THEN s.id || CAST(doc_id AS VARCHAR) ELSE s.id END AS id,")
+#: Parts of documents by shape: {id}, {lang}, {source} and {n} stand for their columns.
+BY_SHAPE = {
+    "sections": [(0, "document-{id}", "Document {id}", 1, 6, 40), (0, "summary", "Summary", 2, 8, 16), (0, "detail", "Detail", 3, 12, 16), (0, "data", "Data", 2, 16, 25), (0, "links", "Links", 2, 25, 40), (1, "note-{id}", "Note {id}", 1, 0, 4), (3, "summary", "Summary", 2, 1, 6), (3, "links", "Links", 2, 6, 12), (3, "data", "Data", 2, 12, 22)],
+    "links": [(0, "home", "https://example.com/{id}")],
+    "table_cells": [(0, 0, "key", "source"), (0, 0, "value", "{source}"), (0, 1, "key", "chars"), (0, 1, "value", "{n}"), *((0, r, h, v) for r in (2, 3) for h, v in (("key", "lang"), ("value", "{lang}"))), (2, 0, "key", "lang"), (2, 0, "value", "{lang}"), (3, 0, "key", "lang"), (3, 0, "v", "a")],
+    "list_items": [
+        *((0, 0, k, 27 + k, 27 + k, False, t, k == 2, k == 2) for k, t in enumerate(("[home](https://example.com/{id})", "plain", "done", "plain"))), (2, 0, 0, 9, 9, False, "plain\r", False, False), (2, 0, 1, 10, 10, False, "done\r", True, True),
+        (3, 0, 0, 2, 4, False, "plain", False, False), (3, 1, 0, 8, 8, True, "plain", False, False), (3, 1, 1, 9, 10, True, "done", False, False),
+    ],
+    "code_blocks": [(0, 0, "js", "let x = {id};"), (3, 0, "md", "## Summary\n- plain\n| key |"), (3, 1, "js", "let x;")],
+    "frontmatter": [(0, '{"title": "Doc {id}", "lang": "{lang}", "tags": ["a"]}'), *((k, None) for k in (1, 2, 3, 4))],
+}
+
+
+def by_shape_sql(name: str, *columns: str) -> str:
+    """Rows of BY_SHAPE for every document of their shape."""
+
+    def one(x: object) -> str:
+        if isinstance(x, bool) or x is None:
+            return {True: "TRUE", False: "FALSE", None: "NULL"}[x]
+        return f"CAST({x} AS BIGINT)" if isinstance(x, int) else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '") + "'"
+
+    rows_ = ", ".join(f"({', '.join(map(one, r))})" for r in BY_SHAPE[name])
+    text = {c for c, x in zip(columns, BY_SHAPE[name][0][1:], strict=True) if isinstance(x, str)}
+    fill = lambda c: f"replace(replace(replace(replace({c}, '{{id}}', CAST(doc_id AS VARCHAR)), '{{lang}}', lang), '{{source}}', source), '{{n}}', CAST(n_chars AS VARCHAR)) AS {c}" if c in text else c
+    return CORPUS_SQL + f"SELECT path, {', '.join(map(fill, columns))} FROM c JOIN (VALUES {rows_}) AS t(shape, {', '.join(columns)}) ON shape = doc_id % 5"
+
+
+def all_shapes_sql(change: Callable[[str], str]) -> str:
+    """doc_id, content of documents of all shapes, changed."""
+    cases = " ".join(f"WHEN {k} THEN {filled_sql(lines_) or repr('')}" for k, lines_ in enumerate(SHAPES))
+    return f"SELECT doc_id, {change(f'(CASE doc_id % {len(SHAPES)} {cases} END)')} AS content FROM documents"
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.links(corpus(spark, sf_dir)).select("path", "text", "url")
+    return relations.links(shapes(spark, sf_dir)).select("path", "text", "url")
 
 
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.table_cells(corpus(spark, sf_dir)).select("path", F.col("row").cast("long").alias("row"), "header", "value")
+    return relations.table_cells(shapes(spark, sf_dir)).select("path", F.col("row").cast("long").alias("row"), "header", "value")
 
 
 def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = relations.list_items(corpus(spark, sf_dir)).filter("start_line > 10")
-    return out.select("path", F.col("item").cast("long").alias("item"), "text", "checked")
+    out = relations.list_items(shapes(spark, sf_dir))
+    return out.select("path", *(F.col(c).cast("long").alias(c) for c in ("ord", "item", "start_line", "end_line")), "ordered", "text", "is_task", "checked")
 
 
 def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.code_blocks(corpus(spark, sf_dir)).select("path", "language", "body")
+    return relations.code_blocks(shapes(spark, sf_dir)).select("path", F.col("ord").cast("long").alias("ord"), "language", "body")
 
 
 def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = relations.frontmatter(corpus(spark, sf_dir))
-    return out.select("path", F.get_json_object("data", "$.title").alias("title"), F.get_json_object("data", "$.tags[0]").alias("tag"))
+    return relations.frontmatter(shapes(spark, sf_dir)).select("path", "data")
 
 
 # Structured files.
@@ -458,12 +488,12 @@ def edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = analytics.edges(paths(spark, sf_dir), analytics.patch_table(spark, PROGRAM[2:4]))
+    some = analytics.edges(paths(spark, sf_dir), analytics.patch_table(spark, PROGRAM[1:5]))
     return analytics.coverage(paths(spark, sf_dir), some).withColumn("percent", F.round("percent", 6))
 
 
 def unpatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.unpatched(paths(spark, sf_dir), analytics.edges(paths(spark, sf_dir), analytics.patch_table(spark, PROGRAM[2:4])))
+    return analytics.unpatched(paths(spark, sf_dir), analytics.edges(paths(spark, sf_dir), analytics.patch_table(spark, PROGRAM[1:5])))
 
 
 def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -534,8 +564,7 @@ def corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = stores.line_changes(text_corpus(spark, sf_dir), changed_corpus(spark, sf_dir))
-    return out.agg(F.sum("removed").alias("removed"), F.sum("added").alias("added"))
+    return stores.line_changes(text_corpus(spark, sf_dir), changed_corpus(spark, sf_dir))
 
 
 def stale(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -586,17 +615,17 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
     md.PLUGINS["upper"] = lambda text, params, context: text.upper() + params["end"]
-    out = build.apply_patches(corpus(spark, sf_dir), [{"op": "plugin", "plugin": "upper", "params": {"end": "!"}}])
+    out = build.apply_patches(shapes(spark, sf_dir), [{"op": "plugin", "plugin": "upper", "params": {"end": "!"}}])
     return out.select("doc_id", "content")
 
 
 def execute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build.apply_patches(corpus(spark, sf_dir), [{"op": "exec", "command": "tr d D"}], allow_exec=True).select("doc_id", "content")
+    return build.apply_patches(shapes(spark, sf_dir), [{"op": "exec", "command": "tr d D"}], allow_exec=True).select("doc_id", "content")
 
 
 def transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     md.TRANSFORMS["echo"] = lambda text, prompt, given: f"{text}{prompt}"
-    out = build.apply_patches(corpus(spark, sf_dir), [{"op": "ai-transform", "prompt": "end", "provider": "echo"}, {"op": "ai-transform", "prompt": "x", "provider": "none", "onNoMatch": "skip"}])
+    out = build.apply_patches(shapes(spark, sf_dir), [{"op": "ai-transform", "prompt": "end", "provider": "echo"}, {"op": "ai-transform", "prompt": "x", "provider": "none", "onNoMatch": "skip"}])
     return out.select("doc_id", "content")
 
 
@@ -641,7 +670,7 @@ SELECT target, value, CAST(distance AS BIGINT) AS distance FROM d WHERE distance
 
 def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section ids of each document nearest to a mistyped one."""
-    found = relations.sections(corpus(spark, sf_dir)).select("path", F.col("id").alias("value"))
+    found = relations.sections(shapes(spark, sf_dir)).select("path", F.col("id").alias("value"))
     return recover.nearest(paths(spark, sf_dir).withColumn("target", F.lit("sumary")), found, 1, "path").select("path", "value", F.col("distance").cast("long").alias("distance"))
 
 
@@ -966,9 +995,15 @@ def structured_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed lines, with the characters that were added to them."""
-    out = preview.preview(text_corpus(spark, sf_dir), changed_corpus(spark, sf_dir)).filter("status = 'modified'").select("path", F.explode("lines").alias("x"))
+    out = preview.preview(text_corpus(spark, sf_dir), changed_corpus(spark, sf_dir)).select("path", "status", F.explode("lines").alias("x"))
     added = F.array_join(F.transform(F.filter("x.parts", lambda p: p["kind"] == "added"), lambda p: p["text"]), "")
-    return out.select("path", "x.kind", F.col("x.before").cast("long").alias("before"), F.col("x.after").cast("long").alias("after"), added.alias("added"))
+    return out.select("path", "status", "x.kind", F.coalesce("x.before", F.lit(0)).cast("long").alias("before"), F.coalesce("x.after", F.lit(0)).cast("long").alias("after"), added.alias("added"))
+
+
+#: Of a changed document its last line, of one that came or went all lines.
+PREVIEWED_SQL = CORPUS_SQL.replace("n_chars,", "n_chars, text,") + """, t AS (SELECT *, string_split(text, chr(10)) AS lines, len(lines) AS n FROM c WHERE text IS NOT NULL), u AS (SELECT *, unnest(range(1, n + 1)) AS k FROM t WHERE source IN ('src1', 'src3'))
+SELECT path, 'modified' AS status, 'modified' AS kind, CAST(n AS BIGINT) AS before, CAST(n AS BIGINT) AS after, '!' AS added FROM t WHERE source = 'src2'
+UNION ALL SELECT path, 'deleted', 'removed', CAST(k AS BIGINT), 0, '' FROM u UNION ALL SELECT 'new/' || path, 'added', 'added', 0, CAST(k AS BIGINT), lines[k] FROM u WHERE source = 'src3'"""
 
 
 def rolled_back(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1023,15 +1058,15 @@ PLAIN_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
     "counts": (counts, f"SELECT doc_id, CAST({WORDS_SQL} AS BIGINT) AS words, CAST({LINE_COUNT_SQL} AS BIGINT) AS lines FROM documents"),
     "slugs": (slugs, "SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(p_name || ' -- ' || p_type)), '\\s+', '-', 'g'), '[^a-z0-9_-]', '', 'g'), '-+', '-', 'g'), '-') AS slug FROM part"),
     "fuzzy": (fuzzy, "SELECT value, CAST(levenshtein(value, 'STANDERT') AS BIGINT) AS distance FROM (SELECT DISTINCT p_type AS value FROM part) ORDER BY 2, 1 LIMIT 3"),
-    "sections": (sections, SECTIONS_SQL),
-    "links": (links, CORPUS_SQL + "SELECT path, 'home' AS text, 'https://example.com/' || CAST(doc_id AS VARCHAR) AS url FROM c"),
-    "table_cells": (table_cells, CORPUS_SQL + "SELECT path, CAST(r AS BIGINT) AS row, h AS header, CASE WHEN h = 'key' THEN key WHEN key = 'source' THEN source WHEN key = 'chars' THEN CAST(n_chars AS VARCHAR) ELSE lang END AS value FROM c, (VALUES (0, 'source'), (1, 'chars'), (2, 'lang'), (3, 'lang')) AS t(r, key), (VALUES ('key'), ('value')) AS u(h)"),
-    "list_items": (list_items, CORPUS_SQL + "SELECT path, CAST(k AS BIGINT) AS item, CASE WHEN k = 0 THEN '[home](https://example.com/' || CAST(doc_id AS VARCHAR) || ')' ELSE t END AS text, k = 2 AS checked FROM c, (VALUES (0, ''), (1, 'plain'), (2, 'done'), (3, 'plain')) AS v(k, t)"),
-    "code_blocks": (code_blocks, CORPUS_SQL + "SELECT path, 'js' AS language, 'let x = ' || CAST(doc_id AS VARCHAR) || ';' AS body FROM c"),
-    "frontmatter": (frontmatter, CORPUS_SQL + "SELECT path, 'Doc ' || CAST(doc_id AS VARCHAR) AS title, 'a' AS tag FROM c"),
+    "sections": (sections, by_shape_sql("sections", "id", "title", "level", "start_line", "end_line")),
+    "links": (links, by_shape_sql("links", "text", "url")),
+    "table_cells": (table_cells, by_shape_sql("table_cells", "row", "header", "value")),
+    "list_items": (list_items, by_shape_sql("list_items", "ord", "item", "start_line", "end_line", "ordered", "text", "is_task", "checked")),
+    "code_blocks": (code_blocks, by_shape_sql("code_blocks", "ord", "language", "body")),
+    "frontmatter": (frontmatter, by_shape_sql("frontmatter", "data")),
     "edges": (edge_rows, EDGE_SQL + "SELECT path, CAST(ord AS BIGINT) AS ord, op FROM e"),
-    "coverage": (coverage, EDGE_SQL + "SELECT count(*) AS total, count(h.path) AS patched, count(*) - count(h.path) AS unpatched, round(count(h.path) * 100.0 / count(*), 6) AS percent FROM c LEFT JOIN (SELECT DISTINCT path FROM e WHERE ord IN (2, 3)) h ON c.path = h.path"),
-    "unpatched": (unpatched, EDGE_SQL + "SELECT path FROM c WHERE path NOT IN (SELECT path FROM e WHERE ord IN (2, 3))"),
+    "coverage": (coverage, EDGE_SQL + "SELECT count(*) AS total, count(h.path) AS patched, count(*) - count(h.path) AS unpatched, round(count(h.path) * 100.0 / count(*), 6) AS percent FROM c LEFT JOIN (SELECT DISTINCT path FROM e WHERE ord IN (1, 2, 3)) h ON c.path = h.path"),
+    "unpatched": (unpatched, EDGE_SQL + "SELECT path FROM c WHERE path NOT IN (SELECT path FROM e WHERE ord IN (1, 2, 3))"),
     "impact": (impact, EDGE_SQL + "SELECT CAST(ord AS BIGINT) AS ord, op, count(*) AS files FROM e GROUP BY ord, op"),
     "shared_files": (shared_files, EDGE_SQL + "SELECT path, count(*) AS patches FROM e GROUP BY path HAVING count(*) > 1"),
     "complexity": (complexity, EDGE_SQL + "SELECT path, count(*) AS patches, count(DISTINCT op) AS ops, CAST(sum(CASE WHEN risk >= 8 THEN 1 ELSE 0 END) AS BIGINT) AS high_risk, CAST(count(*) * 2 + count(DISTINCT op) * 1.5 + sum(CASE WHEN risk >= 8 THEN 1 ELSE 0 END) * 3 AS DOUBLE) AS score FROM e GROUP BY path"),
@@ -1043,7 +1078,7 @@ PLAIN_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
     "snapshot": (snapshot, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, sha256(text) AS sha256 FROM c"),
     "verify": (verify, STATUS_SQL),
     "corpus_status": (corpus_status, f"SELECT * FROM ({STATUS_SQL}) WHERE status <> 'unchanged'"),
-    "line_changes": (line_changes, "SELECT CAST(sum(CASE WHEN source IN ('src1', 'src3') THEN n WHEN source = 'src2' THEN 1 ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN source = 'src3' THEN n WHEN source = 'src2' THEN 1 ELSE 0 END) AS BIGINT) AS added FROM (SELECT source, len(string_split(text, chr(10))) AS n FROM documents)"),
+    "line_changes": (line_changes, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT CASE WHEN k = 1 THEN 'new/' || path ELSE path END AS path, CAST(CASE WHEN k = 1 THEN 0 WHEN source = 'src2' THEN 1 ELSE n END AS BIGINT) AS removed, CAST(CASE WHEN k = 1 THEN n WHEN source = 'src2' THEN 1 ELSE 0 END AS BIGINT) AS added FROM (SELECT *, len(string_split(text, chr(10))) AS n FROM c), (VALUES (0), (1)) AS v(k) WHERE k = 0 AND source IN ('src1', 'src2', 'src3') OR k = 1 AND source = 'src3'"),
     "stale": (stale, CORPUS_SQL + "SELECT path, CASE WHEN source IN ('src1', 'src3') THEN 'new-file' WHEN source = 'src2' THEN 'source-changed' WHEN source = 'src4' THEN 'patches-changed' ELSE '' END AS reason FROM c"),
     "history_page": (history_page, "SELECT CAST(o_orderkey AS VARCHAR) AS build_id, o_custkey AS files FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC LIMIT 20 OFFSET 5"),
     "history_statistics": (history_statistics, "SELECT count(*) AS builds, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS succeeded, round(avg(o_custkey), 6) AS mean_files FROM orders"),
@@ -1051,9 +1086,9 @@ PLAIN_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
     "renamed": (renamed, "WITH u AS (SELECT any_value(" + PATH_SQL + ") AS path, any_value(source) AS source FROM documents GROUP BY text HAVING count(*) = 1) SELECT path, 'new/' || path AS to_path FROM u WHERE source = 'src3'"),
     "deduplicated": (deduplicated, CORPUS_SQL + "SELECT path, CASE WHEN source LIKE 'src1%' THEN 'new' ELSE 'old' END AS content FROM c"),
     "selected": (selected, CORPUS_SQL + "SELECT path FROM c WHERE (lang IN ('en', 'de') OR (lang = 'fr' AND source = 'src2')) AND NOT regexp_full_match(source, 'src1.')"),
-    "plugin": (plugin, f"SELECT doc_id, upper({filled_sql(TEMPLATE)}) || '!' AS content FROM documents"),
-    "exec": (execute, f"SELECT doc_id, replace({filled_sql(TEMPLATE)}, 'd', 'D') AS content FROM documents"),
-    "ai_transform": (transform, f"SELECT doc_id, {filled_sql(TEMPLATE)} || 'end' AS content FROM documents"),
+    "plugin": (plugin, all_shapes_sql(lambda x: f"upper({x}) || '!'")),
+    "exec": (execute, all_shapes_sql(lambda x: f"replace({x}, 'd', 'D')")),
+    "ai_transform": (transform, all_shapes_sql(lambda x: f"{x} || 'end'")),
     "lines": (lines, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, CAST(k - 1 AS BIGINT) AS line, string_split(text, chr(10))[k] AS text FROM (SELECT path, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM c)"),
     "lineage": (lineage, EDGE_SQL + "SELECT path, string_agg(CAST(ord AS VARCHAR) || ':' || op, ',' ORDER BY ord) AS lineage FROM e GROUP BY path"),
     "configured": (configured, EDGE_SQL + CONFIGURED_SQL),
@@ -1065,7 +1100,7 @@ PLAIN_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
  FROM t, (SELECT DISTINCT p_type AS value FROM part) WHERE target <> value)
 SELECT target, value, CAST(distance AS BIGINT) AS distance FROM d WHERE distance <= most QUALIFY row_number() OVER (PARTITION BY target ORDER BY distance, value) <= 5"""),
     "similar_names": (similar_names, SIMILAR_SQL),
-    "recovered": (recovered, CORPUS_SQL + "SELECT path, 'summary' AS value, CAST(1 AS BIGINT) AS distance FROM c"),
+    "recovered": (recovered, CORPUS_SQL + "SELECT path, 'summary' AS value, CAST(1 AS BIGINT) AS distance FROM c WHERE doc_id % 5 IN (0, 3)"),
     "incremental": (incremental, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(text, 'e', 'E') AS content, source IN ('src1', 'src2', 'src3') AS rebuilt FROM c"),
     "rebuilt": (rebuilt, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + REBUILT_SQL),
     "counted": (counted, f"WITH w AS ({WORKED_SQL}) SELECT op, count(DISTINCT path) AS documents, CAST(sum(count) AS BIGINT) AS matches FROM w GROUP BY op"),
@@ -1086,7 +1121,7 @@ FROM (SELECT * FROM f WHERE b = 'A') x FULL JOIN (SELECT * FROM f WHERE b = 'R')
     "missed": (missed, CORPUS_SQL + "SELECT path, 'section ' || chr(39) || 'summary' || chr(39) AS hint, CAST(0.85 AS DOUBLE) AS confidence FROM c WHERE doc_id % 5 IN (0, 3)"),
     "missed_ways": (missed_ways, MISSED_SQL),
     "hinted": (hinted, HINTED_SQL),
-    "previewed": (previewed, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, 'modified' AS kind, CAST(n AS BIGINT) AS before, CAST(n AS BIGINT) AS after, '!' AS added FROM (SELECT path, len(string_split(text, chr(10))) AS n FROM c WHERE source = 'src2')"),
+    "previewed": (previewed, PREVIEWED_SQL),
     "rolled_back": (rolled_back, "WITH v AS (SELECT l_linenumber AS n, CAST(l_partkey AS VARCHAR) AS path, CAST(max(l_orderkey) AS VARCHAR) AS output FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2) SELECT path, max_by(output, n) AS output FROM v GROUP BY path"),
     "word_similarity": (word_similarity, "SELECT p_partkey, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS likeness FROM (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS a, list_distinct(string_split(lower(p_type || ' ' || p_brand), ' ')) AS b FROM part)"),
     "versioned": (versioned, VERSIONED_SQL),
