@@ -222,6 +222,33 @@ def test_mix_edges(make):
     assert mixing.repeated(make([(k, "a b c") for k in range(10)]), mixed).count() * 3 == sum(t for (t,) in got(mixed, "taken"))
 
 
+def test_media_within_containers():
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.png", png())
+        z.writestr("b.gif", GIF)
+    box = lambda kind, body: struct.pack(">I4s", 8 + len(body), kind) + body
+    archive = out.getvalue()
+    found = media.nested(b"x" + archive + png())
+    assert [(m.kind, d) for m, d in found] == [("zip", 0), ("png", 1), ("gif", 1), ("png", 0)] and found[0][0] == media.Media("zip", 1, 1 + len(archive))
+    doc = b"%PDF-1.4\n" + png() + b"startxref\n9\n%%EOF\nupdate startxref\n99\n%%EOF"
+    assert media.sniff(doc + b" tail") == [media.Media("pdf", 0, len(doc))] and [(m.kind, d) for m, d in media.nested(doc)] == [("pdf", 0), ("png", 1)]
+    assert media.sniff(doc + doc) == [media.Media("pdf", 0, len(doc)), media.Media("pdf", len(doc), 2 * len(doc))]
+    movie = box(b"ftyp", b"isom\0\0\2\0isommp41") + struct.pack(">I4sQ", 1, b"free", 24) + b"12345678" + struct.pack(">I4s", 0, b"mdat") + b"z" * 50
+    assert media.sniff(movie) == [media.Media("mp4", 0, len(movie))]
+    assert media.nested(b"") == [] and media.nested(b"text") == []
+
+
+@pytest.mark.parametrize("part", [b"PK\3\4\x14" + bytes(26), b"PK\3\4\x14" + bytes(26) + b"PK\5\6", b"%PDF-1.4\n", b"%PDF-1.4\n%%EOF", b"PK\5\6" + bytes(18)])
+def test_media_of_hostile_shapes(part):
+    began = time.perf_counter()
+    media.sniff(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 10
+
+
 # Secrets
 
 

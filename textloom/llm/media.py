@@ -3,9 +3,11 @@
 An Aho-Corasick automaton over all known signatures finds every place in a value where a format may begin. A validator
 for that format then walks its structure (chunk lengths, checksums, block sizes, end markers) and either confirms it,
 with its full length, or rejects the place. The format confirmed at byte 0 is the value's type, whatever was declared;
-confirmed places elsewhere, outside a format already confirmed, are embedded media and can be carved.
+confirmed places elsewhere, outside a format already confirmed, are embedded media and can be carved; where asked for, so are
+those within containers. Validators read a value in linear time: marks that several of them look for are found once.
 
-Null or empty values have no type (`empty`) and no media. Bytes that no validator confirms are `text` if they are UTF-8
+Null or empty values have no type (`empty`) and no media; repeated rows are looked at each, an empty table gives an empty one,
+and other columns pass by whatever their names, but for those that an operator adds, which are replaced. Bytes that no validator confirms are `text` if they are UTF-8
 without control characters, else `unknown`. Work is one narrow pass; a value is held by one task at a time, never a group.
 """
 
@@ -15,7 +17,9 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -150,17 +154,28 @@ def riff(b: bytes, at: int) -> tuple[str, int]:
     return ("avi", end) if form == b"AVI " and b"LIST" in seen else ("", 0)
 
 
+@lru_cache(maxsize=4)
+def places(b: bytes, mark: bytes) -> list[int]:
+    """Where a mark stands in a value; found once for all validators that ask."""
+    return [m.start() for m in re.finditer(re.escape(mark), b)]
+
+
+@lru_cache(maxsize=2)
+def archives(b: bytes) -> dict[int, int]:
+    """Start and end of each zip archive whose directory counts its entries: every directory tells where its archive began."""
+    out = {}
+    for p in places(b, b"PK\5\6"):
+        if p + 22 <= len(b):
+            entries, size, offset, note = struct.unpack_from("<HIIH", b, p + 10)
+            at = p - size - offset
+            if at >= 0 and p + 22 + note <= len(b) and (not entries or b[at + offset : at + offset + 4] == b"PK\1\2"):
+                out.setdefault(at, p + 22 + note)
+    return out
+
+
 def archive(b: bytes, at: int) -> int:
     """A local header whose archive ends with a directory that counts its entries."""
-    if at + 30 > len(b) or struct.unpack_from("<H", b, at + 4)[0] > 63:
-        return 0
-    p = b.find(b"PK\5\6", at)
-    while 0 <= p and p + 22 <= len(b):
-        entries, size, offset, note = struct.unpack_from("<HIIH", b, p + 10)
-        if at + offset + size == p and p + 22 + note <= len(b) and (not entries or b[at + offset : at + offset + 4] == b"PK\1\2"):
-            return p + 22 + note
-        p = b.find(b"PK\5\6", p + 1)
-    return 0
+    return 0 if at + 30 > len(b) or struct.unpack_from("<H", b, at + 4)[0] > 63 else archives(b).get(at, 0)
 
 
 def gzip(b: bytes, at: int) -> int:
@@ -179,17 +194,29 @@ def gzip(b: bytes, at: int) -> int:
 
 
 def pdf(b: bytes, at: int) -> int:
+    """A header, and the last end mark before the next header: each update of a file adds one. A cross reference comes before it."""
     if not re.match(rb"%PDF-[12]\.\d[\r\n]", b[at : at + 10]):
         return 0
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end > 0 and b.find(b"startxref", at, end) > 0 else 0
+    heads, ends, tables = places(b, b"%PDF-"), places(b, b"%%EOF"), places(b, b"startxref")
+    after = bisect_right(heads, at)
+    limit = heads[after] if after < len(heads) else len(b)
+    last = bisect_left(ends, limit) - 1
+    if last < 0 or ends[last] < at:
+        return 0
+    table = bisect_right(tables, at)
+    return ends[last] + 5 if table < len(tables) and tables[table] < ends[last] else 0
 
 
 def mp4(b: bytes, at: int) -> int:
-    """Boxes with lengths, ftyp first. The signature is four bytes into the file."""
+    """Boxes with lengths, ftyp first; a length of 1 has eight more bytes, one of 0 reaches to the end. The signature is four bytes into the file."""
     p, n = at, 0
     while p + 8 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, p)
+        if size == 1 and p + 16 <= len(b):
+            size = struct.unpack_from(">Q", b, p + 8)[0]
+            size = 0 if size < 16 else size
+        elif size == 0 and n:
+            size = len(b) - p
         if size < 8 or not kind.isalnum() or p + size > len(b):
             break
         p, n = p + size, n + 1
@@ -288,6 +315,27 @@ def sniff(b: bytes) -> list[Media]:
     return out
 
 
+#: Formats that hold other files as they are.
+CONTAINERS = ("zip", "pdf", "wav", "avi", "mp4", "ogg")
+
+
+def nested(b: bytes) -> list[tuple[Media, int]]:
+    """All confirmed media by start with their depth: those outside any other have 0, those within a container one more than it."""
+    out: list[tuple[Media, int]] = []
+    around: list[Media] = []
+    for last, signature in automaton().iter(b.decode("latin-1")):
+        at = last - len(signature) + 1
+        start = at - SIGNATURES[signature][2]
+        while around and around[-1].end <= start:
+            around.pop()
+        if around and (around[-1].kind not in CONTAINERS or start <= around[-1].start):
+            continue
+        if start >= 0 and (m := confirm(b, signature, at)) and (not around or m.end <= around[-1].end):
+            out.append((m, len(around)))
+            around.append(m)
+    return out
+
+
 CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
 
 
@@ -322,9 +370,9 @@ def wav_samples(b: bytes, m: Media) -> bytes:
     return b""
 
 
-def inspect(df: DataFrame, data: str, declared: str | None = None, prefix: str = "media_") -> DataFrame:
+def inspect(df: DataFrame, data: str, declared: str | None = None, prefix: str = "media_", deep: bool = False) -> DataFrame:
     """df with `<prefix>type` (what the bytes show), `<prefix>corrected` (it differs from `declared`) and `<prefix>found`
-    (kind, start and end of every confirmed medium, embedded ones included). Existing columns of those names are replaced."""
+    (kind, start and end of every confirmed medium, embedded ones included). Existing columns of those names are replaced. deep: media within containers are found as well."""
     names = [prefix + x for x in ("type", "corrected", "found")]
     kept = [c for c in df.columns if c not in names]
     schema = df.select(*kept).schema.add(names[0], "string").add(names[1], "boolean").add(names[2], T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long")))
@@ -333,7 +381,7 @@ def inspect(df: DataFrame, data: str, declared: str | None = None, prefix: str =
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [x or b"" for x in batch.column(data).to_pylist()]
-            found = [sniff(b) for b in values]
+            found = [[m for m, _ in nested(b)] if deep else sniff(b) for b in values]
             kinds = [kind_of(b, f) for b, f in zip(values, found, strict=True)]
             said = batch.column(declared).to_pylist() if declared else [None] * len(values)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(kinds, pa.string()), pa.array([s is not None and s != k for s, k in zip(said, kinds, strict=True)], pa.bool_()), pa.array([[m._asdict() for m in f] for f in found], row)], [*kept, *names])
