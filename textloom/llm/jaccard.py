@@ -48,8 +48,10 @@ SALTS = 64
 #: Rounds, at most, in which members meet their buckets' largest components before all remaining pairs do, and how many
 #: remaining pairs a row are worth a round, which reads all texts again. Neither changes the result.
 ROUNDS, DENSE = 3, 64
-#: Ranges of a sketch, and the largest set that has one: sketches hold 16-bit counts.
+#: Ranges of a sketch, and the largest set that has one: sketches hold 16-bit counts. Sets of up to SMALL members have bits
+#: of as many bytes instead, and their size before them.
 RANGES, SKETCHED = 64, (1 << 16) - 1
+SMALL, WIDE = 512, 16 * RANGES
 #: Members of a block of a bucket.
 BLOCK = 512
 MASKS = mix(np.arange(1, SALTS + 1, dtype=np.uint64))
@@ -63,11 +65,46 @@ def signatures(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def sketches(sets: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
-    """Counts of each set's members by range, for sets that are not too large for 16 bits."""
+    """What bounds how many members two sets have in common: for small sets which of WIDE ranges have any, for others how many each of RANGES has."""
     n = np.diff(ends)
-    at = np.repeat(np.arange(len(n)) * RANGES, n) + (sets >> np.uint64(58)).astype(np.int64)
-    counts = np.bincount(at, minlength=len(n) * RANGES).reshape(-1, RANGES).astype(np.uint16)
-    return [row.tobytes() if size <= SKETCHED else None for row, size in zip(counts, n.tolist(), strict=True)]
+    owner = np.repeat(np.arange(len(n)), n)
+    counts = np.bincount(owner * RANGES + (sets >> np.uint64(58)).astype(np.int64), minlength=len(n) * RANGES).reshape(-1, RANGES).astype(np.uint16)
+    place = np.cumsum(n <= SMALL) - 1
+    bits = np.zeros((int((n <= SMALL).sum()), WIDE), bool)
+    some = n[owner] <= SMALL
+    bits[place[owner[some]], (sets[some] >> np.uint64(64 - WIDE.bit_length() + 1)).astype(np.int64)] = True
+    bits = np.packbits(bits, axis=1)
+    return [size.to_bytes(2, "little") + bits[k].tobytes() if size <= SMALL else row.tobytes() if size <= SKETCHED else None for row, size, k in zip(counts, n.tolist(), place.tolist(), strict=True)]
+
+
+class Sketches:
+    """Sketches of several sets, by number."""
+
+    def __init__(self, given: list[bytes | None]) -> None:
+        self.small = np.array([x is not None and len(x) == 2 + WIDE // 8 for x in given], bool)
+        self.none = np.array([x is None for x in given], bool)
+        null = bytes(2 + WIDE // 8)
+        self.bits = np.frombuffer(b"".join(x if k else null for x, k in zip(given, self.small.tolist(), strict=True)), np.uint8).reshape(-1, 2 + WIDE // 8)
+        self.n, self.bits = self.bits[:, 0].astype(np.int64) + 256 * self.bits[:, 1].astype(np.int64), np.ascontiguousarray(self.bits[:, 2:]).view(np.uint64)
+        zero = bytes(2 * RANGES)
+        self.counts = np.frombuffer(b"".join(zero if k or x is None else x for x, k in zip(given, self.small.tolist(), strict=True)), np.uint16).reshape(-1, RANGES)
+
+    def may_link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether pairs leave room for enough common members: a bit that one set alone has stands for a member that the other lacks.
+
+        Pairs of a small and a large set pass, and of sets without a sketch.
+        """
+        out = np.ones(len(x), bool)
+        for at in range(0, len(x), 1 << 14):
+            p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+            a, b = self.bits[p], self.bits[q]
+            alone = lambda u, v: np.bitwise_count(u & ~v).sum(1, dtype=np.int64)
+            few = np.minimum(self.n[p] - alone(a, b), self.n[q] - alone(b, a)) * (NUMERATOR + DENOMINATOR) < (self.n[p] + self.n[q]) * NUMERATOR
+            u, v = self.counts[p].astype(np.int64), self.counts[q].astype(np.int64)
+            less = np.minimum(u, v).sum(1) * (NUMERATOR + DENOMINATOR) < (u.sum(1) + v.sum(1)) * NUMERATOR
+            small, large = self.small[p] & self.small[q], ~(self.small[p] | self.small[q] | self.none[p] | self.none[q])
+            out[at : at + (1 << 14)] = ~(small & few | large & less)
+        return out
 
 
 def shingled(df: DataFrame) -> DataFrame:
@@ -256,12 +293,9 @@ def near_enough(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """The suffix filter: pairs whose sketches leave room for enough common members. Pairs of very large sets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = np.full(RANGES, SKETCHED, np.uint16).tobytes()
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(p or whole for p in batch.column(c).to_pylist()), np.uint16).reshape(-1, RANGES).astype(np.int64) for c in ("x", "y"))
-            enough = np.minimum(x, y).sum(1) * (NUMERATOR + DENOMINATOR) >= (x.sum(1) + y.sum(1)) * NUMERATOR
-            null = batch.column("x").is_null().to_numpy(zero_copy_only=False) | batch.column("y").is_null().to_numpy(zero_copy_only=False)
-            keep = pa.array(enough | null)
+            n = batch.num_rows
+            keep = pa.array(Sketches([*batch.column("x").to_pylist(), *batch.column("y").to_pylist()]).may_link(np.arange(n), np.arange(n, 2 * n)))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return cut(attached(cut(pairs, "candidates"), ids.select("sig", "sketch")).mapInArrow(run, "a long, b long"), "pairs")
@@ -349,14 +383,7 @@ def met_in_cell(i: np.ndarray, j: np.ndarray, second: np.ndarray, sig: np.ndarra
     x, y = x[fit], y[fit]
     fit = (1 + np.minimum(n[x] - pos[x] - 1, n[y] - pos[y] - 1)) * (NUMERATOR + DENOMINATOR) >= (n[x] + n[y]) * NUMERATOR
     x, y = x[fit], y[fit]
-    whole = np.full(RANGES, SKETCHED, np.uint16).tobytes()
-    counts = np.frombuffer(b"".join(z or whole for z in sketch), np.uint16).reshape(-1, RANGES)
-    large = np.array([z is None for z in sketch])
-    keep = [np.zeros(0, bool)]
-    for at in range(0, len(x), 1 << 14):
-        p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-        keep.append((np.minimum(counts[p], counts[q]).sum(1, dtype=np.int64) * (NUMERATOR + DENOMINATOR) >= (n[p] + n[q]) * NUMERATOR) | large[p] | large[q])
-    fit = np.concatenate(keep)
+    fit = Sketches(sketch).may_link(x, y)
     x, y = sig[x[fit]], sig[y[fit]]
     return np.minimum(x, y), np.maximum(x, y)
 
