@@ -316,3 +316,13 @@ def _zip(data):
         for m in t:
             z.writestr(m.name, t.extractfile(m).read())
     return out.getvalue()
+
+
+def test_profile_and_replay(spark, docs):
+    told = {r["step"]: r for r in preview.profile(docs, PATCHES).collect()}
+    assert [(told[k]["op"], told[k]["tried"], told[k]["documents"], told[k]["matches"]) for k in range(3)] == [("replace", 2, 1, 3), ("remove-section", 2, 0, 0), ("append-to-file", 1, 1, 1)]
+    assert all(r["ms"] >= r["slowest_ms"] >= 0 for r in told.values())
+    taken = spark.createDataFrame([("a.md", 0, "apply"), ("a.md", 1, "apply"), ("a.md", 0, "apply"), ("x/b.md", 2, "skip"), ("x/b.md", 9, "apply"), ("n.md", 0, "apply"), ("none", 0, "apply")], "path string, step int, action string")
+    assert rows(preview.replayed(docs, PATCHES, taken), "path", "content", "applied", "skipped") == [("a.md", "# Summbry\n\nb b\n", 1, 0), ("n.md", None, 0, 0), ("x/b.md", "none", 0, 1)]
+    session = preview.Session("a.md", "# Summary\n\na a\n", PATCHES)
+    assert session.replay([{"file": "a.md", "patchIndex": 0, "action": "apply"}]) == "# Summbry\n\nb b\n"

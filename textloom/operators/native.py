@@ -119,9 +119,9 @@ def heads_of(lines: Column) -> Column:
     """Header lines: place, level, id and title."""
 
     def one(x: Column, i: Column) -> Column:
-        title = F.trim(F.regexp_extract(x, HEADER, 2))
+        title = blocks.strip(F.regexp_extract(x, HEADER, 2))
         custom = F.regexp_extract(title, CUSTOM, 1)
-        plain = F.when(custom != "", F.trim(F.regexp_replace(title, r"\s*" + CUSTOM, ""))).otherwise(title)
+        plain = F.when(custom != "", blocks.strip(F.regexp_replace(title, r"\s*" + CUSTOM, ""))).otherwise(title)
         return F.struct(i.alias("at"), F.length(F.regexp_extract(x, HEADER, 1)).alias("level"), F.when(custom != "", custom).otherwise(slug_of(title)).alias("id"), plain.alias("title"))
 
     return F.filter(F.transform(lines, lambda x, i: F.when(F.startswith(x, F.lit("#")) & x.rlike(HEADER), one(x, i))), lambda h: h.isNotNull())

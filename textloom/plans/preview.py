@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -138,6 +139,61 @@ def step(text: str, path: str, patch: dict) -> tuple[str, int]:
     return md.apply(text, own(patch), path) if takes(text, path, patch) else (text, 0)
 
 
+def replayed(corpus: DataFrame, patches: list[dict], decisions: DataFrame) -> DataFrame:
+    """path, content, applied, skipped: a corpus after the decisions of debug sessions (path, step, action: apply or skip).
+
+    Decisions meet documents by path, a row a document with as many of them as there are patches at most. They are taken in
+    order of their steps; what they leave out is not done, and an `apply` of a patch that isn't for the document, or matches
+    nothing, leaves it as it is and counts as neither.
+    """
+    known = decisions.filter(F.col("action").isin("apply", "skip") & F.col("step").between(0, len(patches) - 1))
+    of_path = known.groupBy("path").agg(F.array_sort(F.collect_set(F.struct(F.col("step").cast("int").alias("step"), F.col("action")))).alias("taken"))
+    joined = corpus.select("path", "content").join(of_path, "path", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, text, taken in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                applied = skipped = 0
+                for d in taken or []:
+                    if d["action"] == "skip":
+                        skipped += 1
+                    elif text is not None:
+                        text, n = step(text, path, patches[d["step"]])
+                        applied += n > 0
+                rows.append((path, text, applied, skipped))
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["path", "content", "applied", "skipped"])
+
+    return joined.mapInArrow(run, "path string, content string, applied int, skipped int")
+
+
+def profile(corpus: DataFrame, patches: list[dict]) -> DataFrame:
+    """step, op, tried, documents, matches, ms, slowest_ms: for each patch how many documents it was for and matched, and the
+    time that it took, in Python. Tasks pass on a row a patch."""
+    schema = "step int, tried long, documents long, matches long, ms double, slowest_ms double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [[0, 0, 0, 0.0, 0.0] for _ in patches]
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k, patch in enumerate(patches if text is not None else []):
+                    began = time.perf_counter()
+                    if not takes(text, path, patch):
+                        continue
+                    text, n = step(text, path, patch)
+                    took = 1000 * (time.perf_counter() - began)
+                    own = seen[k]
+                    seen[k] = [own[0] + 1, own[1] + (n > 0), own[2] + n, own[3] + took, max(own[4], took)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(patches)), pa.int32()), *(pa.array([x[c] for x in seen], t) for c, t in enumerate(kinds))], ["step", "tried", "documents", "matches", "ms", "slowest_ms"])
+
+    found = corpus.select("path", "content").mapInArrow(run, schema)
+    named = F.element_at(F.array(*(F.lit(p["op"]) for p in patches)), F.col("step") + 1)
+    sums = [F.sum(c).alias(c) for c in ("tried", "documents", "matches", "ms")]
+    return found.groupBy("step").agg(*sums, F.max("slowest_ms").alias("slowest_ms")).select("step", named.alias("op"), "tried", "documents", "matches", "ms", "slowest_ms")
+
+
 def steps(corpus: DataFrame, patches: list[dict]) -> DataFrame:
     """path, step, op, count, before, after: what each patch that matches does to each document, in turn."""
     schema = "path string, step int, op string, count int, before string, after string"

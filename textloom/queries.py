@@ -942,6 +942,35 @@ def worked(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORKED_SQL = CORPUS_SQL + "SELECT path, CAST(s AS BIGINT) AS step, CAST(n AS BIGINT) AS count, CASE s WHEN 1 THEN 'remove-section' ELSE 'replace' END AS op FROM c JOIN (VALUES (0, 0, 2), (0, 1, 1), (0, 2, 1), (0, 3, 2), (1, 0, 1), (1, 3, 1), (2, 0, 2), (2, 1, 1), (2, 2, 1), (2, 3, 2)) AS t(s, shape, n) ON shape = doc_id % 5 WHERE s < 2 OR lang = 'en'"
 
 
+def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each patch was for and matched; the times have no form in SQL."""
+    out = preview.profile(shapes(spark, sf_dir), WORK)
+    return out.select(*(F.col(c).cast("long").alias(c) for c in ("step", "tried", "documents", "matches")), "op")
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of debug sessions: all patches are applied to documents of even ids, the first is skipped elsewhere."""
+    docs = shapes(spark, sf_dir)
+    even = F.col("doc_id") % 2 == 0
+    decisions = docs.select("path", F.explode(F.when(even, F.array(*(F.struct(F.lit(k).alias("step"), F.lit("apply").alias("action")) for k in range(len(WORK))))).otherwise(F.array(F.struct(F.lit(0).alias("step"), F.lit("skip").alias("action"))))).alias("d")).select("path", "d.*")
+    return preview.replayed(docs, WORK, decisions).select("path", "content", F.col("applied").cast("long").alias("applied"), F.col("skipped").cast("long").alias("skipped"))
+
+
+def replayed_sql() -> str:
+    """Contents by shape, with and without the patches; the last one is for English documents."""
+    def after(k: int, english: bool) -> list[str]:
+        lines_ = [x.replace("plain", "simple") for x in SHAPES[k]]
+        if k in (0, 3):
+            start, end = (16, 25) if k == 0 else (12, 22)
+            lines_ = lines_[:start] + lines_[end:]
+        return [x.replace("simple", "x") for x in lines_] if english else lines_
+
+    text = lambda lines_: filled_sql(lines_) or "''"
+    cases = " ".join(f"WHEN {k} THEN CASE WHEN doc_id % 2 = 1 THEN {text(SHAPES[k])} WHEN lang = 'en' THEN {text(after(k, True))} ELSE {text(after(k, False))} END" for k in range(len(SHAPES)))
+    done = "CASE doc_id % 5 WHEN 0 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 1 END + CASE WHEN lang = 'en' AND doc_id % 5 <> 4 THEN 1 ELSE 0 END"
+    return CORPUS_SQL + f"SELECT path, CASE doc_id % 5 {cases} END AS content, CAST(CASE WHEN doc_id % 2 = 0 THEN {done} ELSE 0 END AS BIGINT) AS applied, doc_id % 2 AS skipped FROM c"
+
+
 def by_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.by_operation(shapes(spark, sf_dir), WORK)
 
@@ -1117,6 +1146,8 @@ FROM (SELECT * FROM f WHERE b = 'A') x FULL JOIN (SELECT * FROM f WHERE b = 'R')
     "structured": (structured, structured_sql([x[2] for x in FORMS])),
     "structured_edits": (structured_edits, structured_sql(EDITED, ", CAST(CASE WHEN event_id % 4 = 2 THEN 1 ELSE 2 END AS BIGINT) AS applied")),
     "worked": (worked, WORKED_SQL),
+    "profiled": (profiled, f"WITH w AS ({WORKED_SQL}) SELECT s AS step, op, CAST(CASE s WHEN 2 THEN (SELECT count(*) FROM documents WHERE lang = 'en') ELSE (SELECT count(*) FROM documents) END AS BIGINT) AS tried, documents, matches FROM (SELECT step AS s, op, count(*) AS documents, CAST(sum(count) AS BIGINT) AS matches FROM w GROUP BY 1, 2)"),
+    "replayed": (replayed, replayed_sql()),
     "by_operation": (by_operation, f"WITH w AS ({WORKED_SQL}) SELECT op, count(DISTINCT path) AS documents, CAST(sum(count) AS BIGINT) AS matches FROM w GROUP BY op"),
     "missed": (missed, CORPUS_SQL + "SELECT path, 'section ' || chr(39) || 'summary' || chr(39) AS hint, CAST(0.85 AS DOUBLE) AS confidence FROM c WHERE doc_id % 5 IN (0, 3)"),
     "missed_ways": (missed_ways, MISSED_SQL),
