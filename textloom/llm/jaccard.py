@@ -1,14 +1,15 @@
 """N-gram Jaccard join: which documents share at least 80 % of their word 5-grams, exactly, and what they connect.
 
-1. Shingling gives each document its set of 64-bit shingle hashes, a signature of that set and a sketch: how many of its
-   hashes are in each of 64 equal ranges. Documents with one set are one node from here on, so exact copies never meet.
+1. Shingling gives each document its set of 64-bit shingle hashes, a signature of that set and a sketch: of a set of up to
+   512 hashes which of 1024 equal ranges have any, of a larger one how many each of 64 has. Documents with one set are one
+   node from here on, so exact copies never meet.
 2. A fixed table of 2**21 counters, summed over all documents, orders shingles rare first: by the logarithm of their
    counter, then by hash. Any total order makes prefix filtering exact; this one keeps frequent shingles out of prefixes.
 3. Each set sends its prefix, the n - ceil(0.8 n) + 1 rarest shingles, to the shingles' buckets. Sets that meet nowhere
    can't be similar.
 4. In each bucket every set is paired with one hub only, the member least edited. Buckets of very frequent shingles are
    salted, and their hubs meet in a second round. Pairs that pass the length and positional filters, then the suffix filter
-   (the ranges of two sketches bound what can be common), are verified once on the whole sets.
+   (a range that one sketch alone has, or has more of, is a member that the other lacks), are verified once on the whole sets.
 5. Components of those links tell which members of buckets of three and more are connected already. Of buckets with the
    same members, as the shingles of a shared passage make, one goes on. While pairs across
    components would outnumber the rows many times, members of other components meet their bucket's largest one, by its
