@@ -270,15 +270,21 @@ def table_of(shared) -> tuple[list[str], np.ndarray, np.ndarray]:
     return labels, _padded[key], move
 
 
-def posteriors(raw: np.ndarray, ends: np.ndarray, emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, stop and probabilities of each word of the texts, and the first word of each text."""
+def posteriors(raw: np.ndarray, ends: np.ndarray, emit: np.ndarray, move: np.ndarray, seen: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Start, stop and probabilities of each word of the texts, and the first word of each text. With `seen`, whether each
+    bucket's features were learned, also what share of its features were, for each word."""
     part = FOLD[raw]
     starts, stops, first = word_bounds(part, ends)
     if not len(starts):
-        return starts, stops, np.zeros((0, len(move))), first
+        return starts, stops, np.zeros((0, len(move))), first, np.zeros(0)
     hashes, index, inverse = distinct(part, starts, stops)
-    scores = emissions(emit, *features(part, starts[index], stops[index], hashes))[inverse]
-    return starts, stops, posterior(scores, np.diff(first), move), first
+    buckets, begin = features(part, starts[index], stops[index], hashes)
+    scores = emissions(emit, buckets, begin)[inverse]
+    known = np.zeros(0)
+    if seen is not None:
+        some = buckets < BUCKETS
+        known = (np.add.reduceat((seen[buckets] & some).sum(0), begin) / np.maximum(np.add.reduceat(some.sum(0), begin), 1))[inverse]
+    return starts, stops, posterior(scores, np.diff(first), move), first, known
 
 
 def inputs(df: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
@@ -286,27 +292,35 @@ def inputs(df: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
 
 
 def label(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """df with lang_pred and score of every document; columns of those names are replaced."""
+    """df with lang_pred, score and familiar of every document; columns of those names are replaced.
+
+    familiar is the share of features of a document's words, weighted by their bytes, that the model learned anything about:
+    how much there is to go by, whatever the number of languages; 0 without words.
+    """
     shared = trained(inputs(df, doc_id, text, lang))
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-    schema = df.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    kept = [c for c in df.columns if c not in ("lang_pred", "score", "familiar")]
+    schema = df.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("familiar", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, emit, move = table_of(shared)
+        seen = (emit != 0).any(1)
         for batch in batches:
             raw, ends = buffers(batch.column(text))
+            familiar = np.zeros(batch.num_rows)
             lettered = np.array([LETTER.search(x) is not None for x in strings(batch.column(text))], bool)
             best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for a, b in slices(ends) if labels else ():
-                starts, stops, p, first = posteriors(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], emit, move)
-                p = p * (stops - starts)[:, None]
+                starts, stops, p, first, known = posteriors(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], emit, move, seen)
+                size = stops - starts
+                p = p * size[:, None]
                 owner = np.repeat(np.arange(b - a), np.diff(first))
                 mass = np.stack([np.bincount(owner, p[:, c], b - a) for c in range(len(labels))], 1)
                 best[a:b] = mass.argmax(1)
+                familiar[a:b] = np.bincount(owner, known * size, b - a) / np.maximum(np.bincount(owner, size, b - a), 1)
                 score[a:b] = np.divide(mass.max(1), mass.sum(1), out=np.zeros(b - a), where=mass.sum(1) > 0)
             ok = lettered & bool(labels)
             names = [labels[k] if good else UNDECIDED for k, good in zip(best.tolist(), ok.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(np.where(ok, np.clip(score, 0, 1), 0.0))], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(np.where(ok, np.clip(score, 0, 1), 0.0)), pa.array(familiar)], [*kept, "lang_pred", "score", "familiar"])
 
     return df.select(*kept).mapInArrow(run, schema)
 
@@ -326,7 +340,7 @@ def spans(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
             raw, ends = buffers(batch.column(1))
             out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for a, b in slices(ends) if labels else ():
-                _, _, p, first = posteriors(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], emit, move)
+                _, _, p, first, _ = posteriors(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], emit, move)
                 best = p.argmax(1) if len(p) else np.zeros(0, np.int64)
                 for k, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True), a):
                     edges = [x, *(x + 1 + np.flatnonzero(np.diff(best[x:y]))).tolist(), y] if y > x else []
