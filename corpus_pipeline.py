@@ -12,8 +12,9 @@ from textloom.llm import jaccard, langid, linededup, mixing, packing
 from textloom.llm.base import delete, documents, registered, scratch, shared_dir
 from textloom.llm.queries import tokenizer_path
 
-#: A document whose best language has less of its words than this is of none that is known.
-LEAST_SCORE = 0.4
+#: A document of whose words' features the model has learned less than this share is of no language that it knows. That
+#: doesn't depend on how many languages there are, and words of several known ones are all familiar.
+LEAST_FAMILIAR = 0.7
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).isEmpty():
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     out = langid.label(docs)
-    known = (F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SCORE)
+    known = (F.col("lang_pred") != langid.UNDECIDED) & (F.col("familiar") >= LEAST_FAMILIAR)
     return out.filter(known).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
