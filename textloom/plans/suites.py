@@ -41,6 +41,11 @@ def read(text: str) -> list[dict]:
 def run(spark: SparkSession, cases: list[dict]) -> DataFrame:
     """name, passed, applied, actual, diff of every case; texts must be equal exactly."""
     rows = [(c["name"], c["input"], json.dumps(c["patches"]), c["expected"]) for c in cases]
+    return run_table(spark.createDataFrame(rows, "name string, input string, patches string, expected string"))
+
+
+def run_table(cases: DataFrame) -> DataFrame:
+    """The same for a table of cases (name, input, patches as JSON, expected), however many there are."""
 
     @F.arrow_udf("struct<passed:boolean,applied:int,actual:string,diff:string>")
     def one(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -52,5 +57,4 @@ def run(spark: SparkSession, cases: list[dict]) -> DataFrame:
             kinds = (("passed", pa.bool_()), ("applied", pa.int32()), ("actual", pa.string()), ("diff", pa.string()))
             yield pa.StructArray.from_arrays([pa.array([d[k] for d in done], kind) for k, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
 
-    df = spark.createDataFrame(rows, "name string, input string, patches string, expected string")
-    return df.withColumn("r", one("input", "patches", "expected")).select("name", "r.*")
+    return cases.withColumn("r", one("input", "patches", "expected")).select("name", "r.*")

@@ -1060,6 +1060,165 @@ def versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 VERSIONED_SQL = "WITH v AS (SELECT l_linenumber AS version, CAST(l_partkey AS VARCHAR) AS path, max(l_orderkey) AS value FROM lineitem GROUP BY 1, 2) SELECT path, max_by(value, version) AS value FROM v GROUP BY path HAVING max_by(value, version) % 10 <> 0"
 
 
+# Sources, sinks, programs, reports and stores, each read back or counted.
+
+
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files, one each, and scanned again; files of other extensions and folders that are skipped aren't there."""
+    from textloom.sources import files
+
+    where = shared_folder(spark, "files").removeprefix("file://")
+    docs = text_corpus(spark, sf_dir).select("path", "content")
+    other = docs.withColumn("path", F.when(F.col("path").startswith("en/"), F.concat(F.lit("node_modules/"), "path")).otherwise(F.concat("path", F.lit(".txt"))))
+    files.write_files(docs.unionByName(other).filter("content IS NOT NULL"), where)
+    return files.read_corpus(spark, f"file://{where}")
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of an output folder that a later build no longer has, deleted; a second run finds none."""
+    from textloom.sources import files
+
+    where = shared_folder(spark, "output").removeprefix("file://")
+    docs = paths(spark, sf_dir).withColumn("content", F.lit("x"))
+    files.write_files(docs, where)
+    kept = docs.filter("path NOT LIKE '%/src1/%'")
+    gone = files.clean(f"file://{where}", kept)
+    left = files.clean(f"file://{where}", kept).select(F.concat(F.lit("again: "), "path").alias("path"))
+    return gone.unionByName(left)
+
+
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's rows, written as JSON lines in order of their paths and read again."""
+    where = shared_folder(spark, "report")
+    reports.write_rows(edge_rows(spark, sf_dir), where)
+    return spark.read.schema("path string, ord long, op string").json(where)
+
+
+def pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resources with what their lock entries resolved to."""
+    from textloom.sources import remote
+
+    url = F.concat(F.lit("https://h.com/"), "s_name", F.lit(".zip"))
+    supplier = table(spark, sf_dir, "supplier").select(url.alias("url"), "s_suppkey")
+    lock = supplier.filter("s_suppkey % 3 = 0").select("url", F.col("url").alias("resolved"), F.concat(F.lit("sha256-"), F.sha2("url", 256)).alias("integrity"))
+    return remote.pinned(supplier, lock).select("url", "s_suppkey", "resolved", "integrity")
+
+
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program with variables, groups of which one is off, and a patch that extends another."""
+    config = {
+        "vars": {"word": "simple"},
+        "patches": [
+            {"op": "replace", "patchId": "base", "old": "plain", "new": "${word}", "include": "en/**"}, {"op": "append-to-file", "content": "${missing}", "group": "tail"},
+            {"op": "append-to-file", "content": "never", "group": "off"}, {"extends": "base", "op": "replace", "new": "${word}r", "include": "de/**"},
+        ],
+    }
+    return build.build(shapes(spark, sf_dir), program(config, disable=["off"])).select("path", "content")
+
+
+def grouped_sql() -> str:
+    """English documents lose the word to the first patch, German ones to the one that extends it; which takes both globs."""
+    swap = lambda lines_, word: filled_sql([x.replace("plain", word) for x in lines_]) or "''"
+    cases = " ".join(f"WHEN {k} THEN CASE lang WHEN 'en' THEN {swap(x, 'simple')} WHEN 'de' THEN {swap(x, 'simpler')} ELSE {filled_sql(x) or repr('')} END" for k, x in enumerate(SHAPES))
+    return CORPUS_SQL + f"SELECT path, (CASE doc_id % 5 {cases} END) || '${{missing}}' AS content FROM c"
+
+
+def nested_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested key that one patch sets, and conditions on it of later ones."""
+    patches = [
+        {"op": "set-frontmatter", "key": "meta.kind", "value": "doc", "include": "en/**"}, {"op": "append-to-file", "content": "A", "when": {"frontmatterEquals": {"key": "meta.kind", "value": "doc"}}},
+        {"op": "append-to-file", "content": "B", "when": {"allOf": [{"frontmatterExists": "meta"}, {"not": {"frontmatterExists": "meta.none"}}]}}, {"op": "append-to-file", "content": "C", "when": {"frontmatterEquals": {"key": "meta.kind", "value": True}}},
+    ]
+    out = build.apply_patches(shapes(spark, sf_dir), patches)
+    return out.select("path", F.regexp_extract("content", "[A-C]*$", 0).alias("tail"), F.col("applied").cast("long").alias("applied"), F.col("skipped").cast("long").alias("skipped"))
+
+
+def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of patches with one target that share documents."""
+    out = analytics.overlapping(analytics.patch_table(spark, PROGRAM), edges(spark, sf_dir))
+    return out.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "files")
+
+
+def most_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.most_complex(edges(spark, sf_dir), 25).select("path", "patches", F.col("score").cast("double").alias("score"))
+
+
+def bundled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of a report bundle: how many rows each has, and its sum of one field."""
+    out = reports.bundle(paths(spark, sf_dir), PROGRAM, top=7)
+    number = lambda field: F.aggregate(F.from_json("body", f"array<struct<{field}:double>>"), F.lit(0.0), lambda a, x: a + x[field])
+    one = lambda field: F.get_json_object("body", f"$.{field}").cast("double")
+    total = F.when(F.col("section") == "coverage", one("patched")).when(F.col("section") == "safety", one("high")).when(F.col("section") == "impact", number("files")).when(F.col("section") == "complexity", number("score")).otherwise(number("risk"))
+    rows_ = F.when(F.startswith("body", F.lit("[")), F.json_array_length("body")).otherwise(1)
+    return out.select("section", rows_.cast("long").alias("rows"), total.alias("total"))
+
+
+BUNDLED_SQL = EDGE_SQL + ", " + PATCH_SQL.removeprefix("WITH ") + """, x AS (SELECT path, count(*) * 2 + count(DISTINCT op) * 1.5 + sum(CASE WHEN risk >= 8 THEN 1 ELSE 0 END) * 3 AS score FROM e GROUP BY path ORDER BY score DESC, path LIMIT 7)
+SELECT 'coverage' AS section, CAST(1 AS BIGINT) AS rows, CAST((SELECT count(DISTINCT path) FROM e) AS DOUBLE) AS total UNION ALL SELECT 'impact', count(DISTINCT ord), CAST(count(*) AS DOUBLE) FROM e
+UNION ALL SELECT 'complexity', count(*), CAST(sum(score) AS DOUBLE) FROM x UNION ALL SELECT 'safety', 1, CAST(count(*) FILTER (risk >= 8) AS DOUBLE) FROM p UNION ALL SELECT 'riskiest', count(*), CAST(sum(risk) AS DOUBLE) FROM p"""
+
+
+def likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return part.select("p_partkey", F.round(values.similarity_of(F.lower("p_name"), F.lower("p_type")), 6).alias("likeness"), F.round(values.similarity_of(F.col("p_name"), F.lit("")), 6).alias("none"))
+
+
+#: Dates as documents write them, by the order's key.
+DATED = ["%Y-%m-%d", "%m/%d/%Y", "%B %d, %Y", "%Y/%m/%d"]
+JAVA_DATES = ["yyyy-MM-dd", "MM/dd/yyyy", "MMMM dd, yyyy", "yyyy/MM/dd"]
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of each customer's order dates, in four spellings, sorted by date."""
+    o = table(spark, sf_dir, "orders")
+    day = F.coalesce(*(F.when(F.col("o_orderkey") % 4 == k, F.date_format("o_orderdate", x)) for k, x in enumerate(JAVA_DATES)))
+    docs = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", day.alias("day")))).alias("days"))
+    content = F.concat(F.lit("- "), F.array_join(F.transform("days", lambda x: x["day"]), "\n- "))
+    docs = docs.select(F.col("o_custkey").cast("string").alias("path"), content.alias("content"))
+    return build.apply_patches(docs, [{"op": "sort-list", "list": 0, "type": "date", "direction": "desc"}]).select("path", "content")
+
+
+DATED_SQL = f"""SELECT CAST(o_custkey AS VARCHAR) AS path, '- ' || string_agg(CASE o_orderkey % 4 {' '.join(f"WHEN {k} THEN strftime(o_orderdate, '{x}')" for k, x in enumerate(DATED))} END, chr(10) || '- ' ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) AS content FROM orders GROUP BY 1"""
+
+
+def broken_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache some of whose entries are damaged, incomplete, or there twice."""
+    docs = text_corpus(spark, sf_dir)
+    source, k = F.col("doc_id") % 10, F.col("doc_id")
+    entry = docs.select("path", F.when(source == 1, F.lit(None).cast("string")).otherwise(values.content_hash(F.col("content"))).alias("source_hash"), F.lit("p").alias("patch_hash"), F.when(source == 2, F.lit("bad")).otherwise(values.content_hash(F.col("content"))).alias("output_hash"), F.col("content").alias("output"), k.alias("doc_id"))
+    return entry.unionByName(entry.filter("doc_id % 10 = 3")).drop("doc_id")
+
+
+def cache_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.cache_problems(broken_cache(spark, sf_dir))
+
+
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the cache, and its size."""
+    left = stores.repaired(broken_cache(spark, sf_dir))
+    return stores.cache_sizes(left).crossJoin(left.agg(F.countDistinct("path").alias("paths")))
+
+
+def suited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of a test suite, one a document: input, patches, and what is expected, which is wrong for every seventh."""
+    from textloom.plans import suites
+
+    docs = shapes(spark, sf_dir)
+    right = F.replace("content", F.lit("plain"), F.lit("simple"))
+    cases = docs.select(F.col("path").alias("name"), F.col("content").alias("input"), F.lit('[{"op": "replace", "old": "plain", "new": "simple"}]').alias("patches"), F.when(F.col("doc_id") % 7 == 0, F.col("content")).otherwise(right).alias("expected"))
+    return suites.run_table(cases).select("name", "passed", F.col("applied").cast("long").alias("applied"), (F.col("diff") == "").alias("same"))
+
+
+def suggested_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells, rows and items that changed between two versions of each document, as patches."""
+    source = corpus(spark, sf_dir)
+    n = F.regexp_extract("content", r"chars \| (\d+)", 1)
+    target = source.withColumn("content", F.replace(F.replace("content", F.concat(F.lit("| chars | "), n, F.lit(" |")), F.lit("| chars | none |")), F.lit("- [x] done"), F.lit("- [x] ready")))
+    found = suggest.suggestions(suggest.paired(source, target))
+    field = lambda k: F.coalesce(F.get_json_object("patch", f"$.{k}"), F.lit(""))
+    return found.select("path", field("op").alias("op"), field("row.value").alias("row"), field("column").alias("column"), F.coalesce(F.get_json_object("patch", "$.content"), F.get_json_object("patch", "$.new")).alias("new"), "score", "checked")
+
+
 FLAGSHIP = [
     {"op": "replace-regex", "pattern": "plain", "replacement": "simple", "flags": "g"},
     {"op": "append-to-section", "id": "summary", "content": "more"},
@@ -1160,6 +1319,21 @@ FROM (SELECT * FROM f WHERE b = 'A') x FULL JOIN (SELECT * FROM f WHERE b = 'R')
     "locale_rank": (locale_rank, f"SELECT p_brand, name, row_number() OVER (PARTITION BY p_brand ORDER BY name COLLATE en) AS place FROM ({SPELLED_SQL} part)"),
     "locale_lists": (locale_lists, LOCALE_LISTS_SQL),
     "archived": (archived, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT source AS archive, path, strlen(text) AS size, text AS content FROM c WHERE lang IN ('en', 'fr') AND text IS NOT NULL"),
+    "scanned": (scanned, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, text AS content FROM c WHERE text IS NOT NULL"),
+    "cleaned": (cleaned, CORPUS_SQL + "SELECT path FROM c WHERE source = 'src1'"),
+    "reported": (reported, EDGE_SQL + "SELECT path, CAST(ord AS BIGINT) AS ord, op FROM e"),
+    "pinned": (pinned, "SELECT 'https://h.com/' || s_name || '.zip' AS url, s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'https://h.com/' || s_name || '.zip' END AS resolved, CASE WHEN s_suppkey % 3 = 0 THEN 'sha256-' || sha256('https://h.com/' || s_name || '.zip') END AS integrity FROM supplier"),
+    "grouped": (grouped, grouped_sql()),
+    "nested_front": (nested_front, CORPUS_SQL + "SELECT path, CASE WHEN lang = 'en' THEN 'AB' ELSE '' END AS tail, CAST(CASE WHEN lang = 'en' THEN 3 ELSE 0 END AS BIGINT) AS applied, CAST(CASE WHEN lang = 'en' THEN 1 ELSE 3 END AS BIGINT) AS skipped FROM c"),
+    "overlapping": (overlapping, EDGE_SQL + "SELECT CAST(x.ord AS BIGINT) AS a, CAST(y.ord AS BIGINT) AS b, count(*) AS files FROM e x JOIN e y ON x.path = y.path AND x.ord = 0 AND y.ord = 5 GROUP BY 1, 2"),
+    "most_complex": (most_complex, EDGE_SQL + "SELECT path, count(*) AS patches, CAST(count(*) * 2 + count(DISTINCT op) * 1.5 + sum(CASE WHEN risk >= 8 THEN 1 ELSE 0 END) * 3 AS DOUBLE) AS score FROM e GROUP BY path ORDER BY 3 DESC, path LIMIT 25"),
+    "bundled": (bundled, BUNDLED_SQL),
+    "likeness": (likeness, "SELECT p_partkey, round(1 - levenshtein(lower(p_name), lower(p_type)) / CAST(greatest(length(p_name), length(p_type)) AS DOUBLE), 6) AS likeness, CAST(0 AS DOUBLE) AS none FROM part"),
+    "dated": (dated, DATED_SQL),
+    "cache_problems": (cache_problems, CORPUS_SQL + "SELECT path, CASE doc_id % 10 WHEN 1 THEN 'incomplete' WHEN 2 THEN 'damaged' ELSE 'twice' END AS problem FROM c WHERE doc_id % 10 IN (1, 2, 3)"),
+    "repaired": (repaired, "SELECT count(*) AS entries, CAST(1 AS BIGINT) AS programs, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) AS paths FROM documents WHERE doc_id % 10 NOT IN (1, 2, 3)"),
+    "suited": (suited, CORPUS_SQL + "SELECT path AS name, doc_id % 7 <> 0 OR doc_id % 5 = 4 AS passed, CAST(CASE WHEN doc_id % 5 = 4 THEN 0 ELSE 1 END AS BIGINT) AS applied, doc_id % 7 <> 0 OR doc_id % 5 = 4 AS same FROM c"),
+    "suggested_cells": (suggested_cells, CORPUS_SQL + "SELECT path, op, row, col AS \"column\", new, CAST(0.9 AS DOUBLE) AS score, CAST(1 AS DOUBLE) AS checked FROM c, (VALUES ('replace-table-cell', 'chars', 'value', 'none'), ('set-list-item', '', '', 'ready')) AS t(op, row, col, new)"),
     "streamed": (streamed, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(CASE WHEN source = 'src2' THEN text || 'old' ELSE text END, 'e', 'E') AS output FROM c WHERE source <> 'src2' OR doc_id % 2 = 1"),
     "debounced": (debounced, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, CASE WHEN source = 'src2' THEN NULL ELSE text END AS content, CAST(2 AS BIGINT) AS events FROM c"),
 }
