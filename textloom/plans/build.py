@@ -46,10 +46,13 @@ def message(k: int, patch: dict, what: str) -> str:
 
 
 def fronted(df: DataFrame, content: Column, native_only: bool = False) -> DataFrame:
-    """df with the content's frontmatter as VARIANT in _front."""
+    """df with the content's frontmatter as VARIANT in _front. Each stage is fenced: what it is made of would else be written
+    out into it wherever it is used, and again by the next patch with a condition."""
+    state = [c for c in ("content", "applied", "skipped", "warnings", "errors", "counts", "ms") if c in df.columns]
+    df = fenced(df, state)
     for name, column in frontmatter.stages(content, native_only):
         df = df.withColumn(name, column)
-    return df
+    return fenced(df, ["_json", "_front"])
 
 
 def native_step(df: DataFrame, k: int, patch: dict, on_no_match: str, built: native.Pair, native_only: bool = False, hints: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ from textloom.functions import codecs
 from textloom.functions.values import levenshtein, similar_strings
 from textloom.operators import md
 from textloom.plans.spec import SECTION_OPS
+from textloom.sources.shared import shared_folder
 
 
 class Fix(NamedTuple):
@@ -161,10 +162,15 @@ def _pairs(targets: DataFrame, candidates: DataFrame, by: list[str], ring: bool)
         t = F.when(short, deletions(x, 3)).when(F.char_length("target") <= 20, probes(x, 5)).otherwise(probes(x, 7))
         c = F.concat(F.when(size <= SHORT + 3, deletions(y, 3)).otherwise(none), segments(y, 5), segments(y, 7))
     met = targets.withColumn("_sig", F.explode(t)).join(candidates.withColumn("_sig", F.explode(c)), [*by, "_sig"]).select(*by, "target", "value").distinct()
-    edits = lambda a, b: F.levenshtein(a, b, 7)  # noqa: E731 - -1 beyond 7
-    plain, lower = edits(F.col("target"), F.col("value")), edits(F.lower("target"), F.lower("value"))
-    least = F.least(F.when(plain >= 0, plain), F.when(lower >= 0, lower))
-    return met.filter(F.col("target") != F.col("value")).withColumn("distance", least).filter(F.col("distance") <= (RING if ring else allowed_distance(F.col("target"))))
+    met = met.filter(F.col("target") != F.col("value"))
+    most = RING if ring else 7
+    within = lambda a, b: F.levenshtein(a, b, most)  # noqa: E731 - -1 beyond
+    # lower case never adds edits, but for the one letter that becomes two
+    odd = F.contains("target", F.lit("İ")) | F.contains("value", F.lit("İ"))
+    lower, plain = within(F.lower("target"), F.lower("value")), F.when(odd, within(F.col("target"), F.col("value")))
+    both = met.select("*", F.inline(F.array(F.struct(lower.alias("_l"), plain.alias("_p")))))  # computed once, whatever reads it
+    distance = F.least(F.when(F.col("_l") >= 0, F.col("_l")), F.when(F.col("_p") >= 0, F.col("_p")))
+    return both.withColumn("distance", distance).drop("_l", "_p").filter(F.col("distance") <= (RING if ring else allowed_distance(F.col("target"))))
 
 
 def nearest(targets: DataFrame, candidates: DataFrame, top: int = 5, key: str | None = None) -> DataFrame:
@@ -172,13 +178,17 @@ def nearest(targets: DataFrame, candidates: DataFrame, top: int = 5, key: str |
 
     With a key, targets meet only their own candidates (a document's sections). Strings meet in an equi-join of signatures
     and are compared once: short ones by what deletions leave of both, longer ones by segments of the candidate that edits
-    leave whole. Targets with `top` candidates within RING edits are done; the others go on with all edits they may have.
+    leave whole. Targets with `top` candidates within RING edits are done; the others, if there are any, go on with all edits
+    they may have. What the first ring found is written to the shared folder, since both steps read it.
     """
     by = [key] if key else []
     targets, candidates = targets.select(*by, "target").distinct(), candidates.select(*by, "value").distinct()
-    near = _pairs(targets, candidates, by, ring=True)
+    spark, where = targets.sparkSession, shared_folder(targets.sparkSession, "near")
+    first = _pairs(targets, candidates, by, ring=True)
+    first.write.parquet(where)
+    near = spark.read.schema(first.schema).parquet(where)
     done = near.groupBy(*by, "target").agg(F.count("*").alias("_n")).filter(F.col("_n") >= top).drop("_n")
     left = targets.filter(allowed_distance(F.col("target")) > RING).join(done, [*by, "target"], "left_anti")
-    found = near.unionByName(_pairs(left, candidates, by, ring=False)).distinct()
+    found = near if left.isEmpty() else near.unionByName(_pairs(left, candidates, by, ring=False)).distinct()
     place = F.row_number().over(Window.partitionBy(*by, "target").orderBy("distance", "value"))
     return found.withColumn("_place", place).filter(F.col("_place") <= top).select(*by, "target", "value", "distance")
