@@ -623,6 +623,15 @@ def brute_components(rows):
     return sorted((i, len(s), least[find(k)]) for k, (i, s) in enumerate(sets))
 
 
+def test_shingles_of_one_prefix_alone_stay_where_they_are(make, spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(200))) for i in range(30)]
+    rows += [(100, rows[0][1] + " more"), (101, rows[0][1])]
+    docs = make(rows).select("doc_id", "text").repartition(3)
+    shared = spark.sparkContext.broadcast(np.zeros(jaccard.COUNTERS, np.uint8))
+    keys = Counter(r["key"] for r in jaccard.prefixes(docs, shared, 10).collect())
+    assert keys and len(keys) < 60 and min(keys.values()) > 1
+
+
 def test_jaccard_equals_brute_force(make):
     rng = random.Random(9)
     rows = [*EDGE[:-2]]

@@ -8,7 +8,8 @@
 3. Each set sends its prefix, the n - ceil(0.8 n) + 1 rarest shingles, to the shingles' buckets. Sets that meet nowhere
    can't be similar.
 4. In each bucket every set is paired with one hub only, the member least edited. Buckets of very frequent shingles are
-   salted, and their hubs meet in a second round. Pairs that pass the length and positional filters, then the suffix filter
+   salted, and their hubs meet in a second round. Shingles of one prefix alone are told before, from three bytes of each, and
+   stay where they are. Pairs that pass the length and positional filters, then the suffix filter
    (a range that one sketch alone has, or has more of, is a member that the other lacks), are verified once on the whole sets.
 5. Components of those links tell which members of buckets of three and more are connected already. Of buckets with the
    same members, as the shingles of a shared passage make, one goes on. While pairs across
@@ -16,7 +17,7 @@
    least edited member. At last the pairs of different components that pass all filters are verified, found by blocks of
    members against blocks, so no link that could change a component is lost.
 
-Whole texts are read three times as a rule: for signatures, prefixes, and the few sets that stand in a pair. A bucket, a
+Whole texts are read four times as a rule: for signatures, prefixes (twice), and the few sets that stand in a pair. A bucket, a
 hub, a set of copies or a component that holds many rows is dealt over many tasks by counts taken before.
 
 Null text is empty. A document without words has an empty set, is linked with nothing and is its own component. With
@@ -44,6 +45,11 @@ NUMERATOR, DENOMINATOR = 4, 5
 COUNTERS, PARTS = 1 << 21, 256
 #: Bits of the filter of documents whose sets are fetched.
 BITS = 1 << 26
+#: Bits of the code of a prefix's shingle, and of the filter of codes that occur twice. More shingles than these tell apart
+#: let single ones pass, which then meet none.
+CODE, FILTER = 32, 27
+#: Codes that a task packs at once.
+PACKED = 1 << 21
 #: Salts of a bucket whose shingle's counter stands out.
 SALTS = 64
 #: Rounds, at most, in which members meet their buckets' largest components before all remaining pairs do, and how many
@@ -151,39 +157,95 @@ def levels(parts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def prefix_rows(batches: Iterator[pa.RecordBatch], level: np.ndarray, hot: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """key, sig, n, pos, salted of the rarest shingles of every distinct set of a task."""
+    known = set()  # sets of this task: copies send one prefix
+    for batch in batches:
+        raw, ends = buffers(batch.column(1))
+        for a, b in slices(ends):
+            sets, at = shingle_sets(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], WIDTH)
+            sig, n = signatures(sets, at), np.diff(at)
+            _, first = np.unique(sig, return_index=True)
+            first = np.array([k for k in first.tolist() if n[k] and int(sig[k]) not in known], np.int64)
+            known.update(sig[first].tolist())
+            high = level[(sets & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            key = (high.astype(np.uint64) << np.uint64(56)) | (sets >> np.uint64(8))
+            take = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
+            picks = []
+            for k in first.tolist():
+                own = key[at[k] : at[k + 1]]
+                picks.append(at[k] + np.argsort(own, kind="stable")[: take[k]])
+            if not picks:
+                continue
+            at_ = np.concatenate(picks)
+            count = take[first]
+            owner = np.repeat(first, count)
+            pos = np.arange(len(at_)) - np.repeat(np.cumsum(count) - count, count)
+            salted = high[at_] >= hot
+            h = np.where(salted, sets[at_] ^ MASKS[sig[owner] & (SALTS - 1)], sets[at_])
+            yield h, sig[owner], n[owner], pos, salted
+
+
+def repeated(df: DataFrame, shared, hot: int) -> np.ndarray:
+    """2**FILTER bits with those of the codes that prefixes have twice: of one size for any corpus.
+
+    A code is the upper half of a shingle's hash: its first byte is the part, the other three are sent.
+    """
+    low = CODE - (PARTS - 1).bit_length()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: list[np.ndarray]) -> pa.RecordBatch:
+            codes = np.sort(np.concatenate(held))
+            edges = np.searchsorted(codes >> low, np.arange(PARTS + 1))
+            three = codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : low // 8]
+            some = [k for k in range(PARTS) if edges[k] < edges[k + 1]]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([three[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary())], ["part", "codes"])
+
+        held, size = [], 0
+        for h, _, _, _, salted in prefix_rows(batches, shared.value, hot):
+            held.append((h[~salted] >> np.uint64(64 - CODE)).astype(np.int64))
+            size += len(held[-1])
+            if size >= PACKED:
+                yield told(held)
+                held, size = [], 0
+        if size:
+            yield told(held)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once: dict[int, np.ndarray] = {}
+        twice: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(codes, np.uint8).reshape(-1, low // 8).astype(np.int64) @ (1 << 8 * np.arange(low // 8))
+                bits = once.setdefault(part, np.zeros(1 << low - 3, np.uint8))
+                again = np.concatenate([x[1:][x[1:] == x[:-1]], x[bits[x >> 3] >> (x & 7) & 1 == 1]])
+                np.bitwise_or.at(bits, x >> 3, (1 << (x & 7)).astype(np.uint8))
+                twice.setdefault(part, np.zeros((1 << FILTER) // PARTS, bool))[again >> CODE - FILTER] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(twice), pa.int32()), pa.array([np.packbits(x).tobytes() for x in twice.values()], pa.binary())], ["part", "bits"])
+
+    out = np.zeros((PARTS, (1 << FILTER) // PARTS // 8), np.uint8)
+    for row in df.mapInArrow(pack, "part int, codes binary").repartition("part").mapInArrow(meet, "part int, bits binary").collect():
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
 def prefixes(df: DataFrame, shared, hot: int) -> DataFrame:
-    """Dealt by key: key, h, sig, n, pos, salted of the rarest shingles of every distinct set of a task.
+    """Dealt by key: key, h, sig, n, pos, salted of the rarest shingles of every distinct set of a task, but for shingles that
+    no second prefix has.
 
-    The key is the shingle's hash, changed by one of SALTS masks where its counter stands out.
+    The key is the shingle's hash, changed by one of SALTS masks where its counter stands out. Those all go on: their hubs
+    meet hubs of other salts.
     """
+    filter_ = df.sparkSession.sparkContext.broadcast(repeated(df, shared, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, known = shared.value, set()  # sets of this task: copies send one prefix
-        for batch in batches:
-            raw, ends = buffers(batch.column(1))
-            for a, b in slices(ends):
-                sets, at = shingle_sets(raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], WIDTH)
-                sig, n = signatures(sets, at), np.diff(at)
-                _, first = np.unique(sig, return_index=True)
-                first = np.array([k for k in first.tolist() if n[k] and int(sig[k]) not in known], np.int64)
-                known.update(sig[first].tolist())
-                high = level[(sets & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                key = (high.astype(np.uint64) << np.uint64(56)) | (sets >> np.uint64(8))
-                take = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
-                picks = []
-                for k in first.tolist():
-                    own = key[at[k] : at[k + 1]]
-                    picks.append(at[k] + np.argsort(own, kind="stable")[: take[k]])
-                if not picks:
-                    continue
-                at_ = np.concatenate(picks)
-                count = take[first]
-                owner = np.repeat(first, count)
-                pos = np.arange(len(at_)) - np.repeat(np.cumsum(count) - count, count)
-                salted = high[at_] >= hot
-                h = np.where(salted, sets[at_] ^ MASKS[sig[owner] & (SALTS - 1)], sets[at_])
-                what = (salted.astype(np.int64) << 62) | (n[owner] << 31) | pos
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sig[owner]), pa.array(what)], ["key", "sig", "what"])
+        bits = filter_.value
+        for h, sig, n, pos, salted in prefix_rows(batches, shared.value, hot):
+            code = (h >> np.uint64(64 - FILTER)).astype(np.int64)
+            keep = salted | ((bits[code >> 3] >> (7 - (code & 7)).astype(np.uint8)) & 1 == 1)
+            h, sig, n, pos, salted = (x[keep] for x in (h, sig, n, pos, salted))
+            what = (salted.astype(np.int64) << 62) | (n << 31) | pos
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sig), pa.array(what)], ["key", "sig", "what"])
 
     dealt = df.mapInArrow(run, "key long, sig long, what long").repartition("key")  # three numbers a row cross the network
     mask = F.get(F.array(*(F.lit(int(x)) for x in MASKS.view(np.int64))), F.col("sig").bitwiseAND(SALTS - 1).cast("int"))
@@ -259,13 +321,11 @@ def bitmap(ids: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def whole_sets(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """sig, members (packed) of the wanted sets (sig and one document that has it), and of few others.
+def whole_sets(df: DataFrame, shared) -> DataFrame:
+    """sig, members (packed) of the sets of documents whose id's bit is set: of those wanted, and of few others.
 
-    No text moves: documents whose id's bit is not set are passed over where they are read. Sets that nobody asked for
-    meet no pair later.
+    No text moves: all other documents are passed over where they are read. Sets that nobody asked for meet no pair later.
     """
-    shared = df.sparkSession.sparkContext.broadcast(bitmap(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -279,9 +339,7 @@ def whole_sets(df: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array([sets[begin[k] : begin[k + 1]].tobytes() for k in keep], pa.binary())], ["sig", "members"])
 
     hashed = df.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("long").alias("bit"))
-    out = cut(hashed.mapInArrow(run, "sig long, members binary"), "sets")
-    shared.destroy()
-    return out
+    return hashed.mapInArrow(run, "sig long, members binary")
 
 
 def wanted(ids: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -396,8 +454,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that are similar."""
-    sets = whole_sets(docs, wanted(ids, pairs))
+    """The pairs that are similar. Sets are written once, where they are dealt to pairs: both sides read the same shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted(ids, pairs)))
+    sets = whole_sets(docs, shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,7 +464,9 @@ def verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
             keep = pa.array([linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return cut(attached(pairs, sets.groupBy("sig").agg(F.first("members").alias("members"))).mapInArrow(run, "a long, b long"), "links")
+    out = cut(attached(pairs, sets.groupBy("sig").agg(F.first("members").alias("members"))).mapInArrow(run, "a long, b long"), "links")
+    shared.destroy()
+    return out
 
 
 def connected(docs: DataFrame, ids: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
