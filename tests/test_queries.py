@@ -4,6 +4,9 @@ import subprocess
 import sys
 import textwrap
 
+import duckdb
+import pytest
+
 import __spark_entry__
 from textloom import queries
 
@@ -40,3 +43,15 @@ def test_flagship_runs(spark):
     out = __spark_entry__.entry(spark)
     assert out.columns == ["doc_id", "path", "content", "applied", "warnings", "errors"]
     assert out.filter("errors > 0 OR warnings <> 1").count() == 0
+
+
+@pytest.mark.parametrize("name", ["streamed"])
+def test_query_equals_its_sql(spark, name):
+    """Of a query that lost rows, or whose reading and writing changed."""
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    out = queries.queries()[name](spark, folder)
+    told = con.execute(f"SELECT {', '.join(out.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, told)) == sorted(repr(tuple(r)) for r in out.collect())
+    assert name != "streamed" or len(told) == con.execute("SELECT count(*) FROM documents").fetchone()[0]

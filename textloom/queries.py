@@ -872,14 +872,15 @@ FROM c JOIN l ON c.path = l.path WHERE lang IN ('en', 'de', 'fr', 'es')"""
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A watched folder after two batches and a sweep between them: documents of src1 come with the second only, those of
-    src2 with the first only, and all others change in between; the sweep finds documents of src2, src3 and src4 with even
-    ids gone, of which the second batch brings all but those of src2 back."""
+    src2 don't change, and all others do in between; the sweep finds documents of src2, src3 and src4 with even ids gone,
+    which the second batch brings back."""
     from textloom.streaming.watch import Watch, stream_table
 
     where = shared_folder(spark, "watch")
     docs = table(spark, sf_dir, "documents").select(path_column().alias("path"), "text")
-    for n, text in enumerate((F.concat("text", F.lit("old")), F.col("text"))):
-        part = docs.filter("path not like '%/src1/%'") if n == 0 else docs.filter("path not like '%/src2/%'")
+    old = F.concat("text", F.lit("old"))
+    for n, text in enumerate((old, F.when(F.col("path").contains("/src2/"), old).otherwise(F.col("text")))):
+        part = docs.filter("path not like '%/src1/%'") if n == 0 else docs.filter("path not like '%/src2/%' OR path RLIKE '[02468].md$'")
         part.select("path", text.alias("content")).write.mode("append").parquet(f"{where}/in")
         watch = Watch(spark, f"{where}/state", program({"patches": [{"op": "replace", "old": "e", "new": "E"}]}))
         watch.start(stream_table(spark, f"{where}/in"), f"{where}/log", once=True).awaitTermination()
@@ -1334,7 +1335,7 @@ FROM (SELECT * FROM f WHERE b = 'A') x FULL JOIN (SELECT * FROM f WHERE b = 'R')
     "repaired": (repaired, "SELECT count(*) AS entries, CAST(1 AS BIGINT) AS programs, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) AS paths FROM documents WHERE doc_id % 10 NOT IN (1, 2, 3)"),
     "suited": (suited, CORPUS_SQL + "SELECT path AS name, doc_id % 7 <> 0 OR doc_id % 5 = 4 AS passed, CAST(CASE WHEN doc_id % 5 = 4 THEN 0 ELSE 1 END AS BIGINT) AS applied, doc_id % 7 <> 0 OR doc_id % 5 = 4 AS same FROM c"),
     "suggested_cells": (suggested_cells, CORPUS_SQL + "SELECT path, op, row, col AS \"column\", new, CAST(0.9 AS DOUBLE) AS score, CAST(1 AS DOUBLE) AS checked FROM c, (VALUES ('replace-table-cell', 'chars', 'value', 'none'), ('set-list-item', '', '', 'ready')) AS t(op, row, col, new)"),
-    "streamed": (streamed, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(CASE WHEN source = 'src2' THEN text || 'old' ELSE text END, 'e', 'E') AS output FROM c WHERE source <> 'src2' OR doc_id % 2 = 1"),
+    "streamed": (streamed, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, replace(CASE WHEN source = 'src2' THEN text || 'old' ELSE text END, 'e', 'E') AS output FROM c"),
     "debounced": (debounced, CORPUS_SQL.replace("n_chars,", "n_chars, text,") + "SELECT path, CASE WHEN source = 'src2' THEN NULL ELSE text END AS content, CAST(2 AS BIGINT) AS events FROM c"),
 }
 
