@@ -312,6 +312,16 @@ def test_watch_keeps_folders_apart_and_compacts(spark, tmp_path):
     assert gone.count() == 5 and watch.current().count() == 5
 
 
+def test_newest_rows_move_only_what_is_asked_for(spark, tmp_path):
+    table = stores.Versions(spark, str(tmp_path), "path string, output string, deleted boolean, version long")
+    for n in range(2):
+        table.write(spark.createDataFrame([("a", f"x{n}", False, n)], table.schema), n)
+    out = table.newest(columns=("deleted",))
+    assert rows(out, "path", "deleted") == [("a", False)] and rows(table.newest(), "output") == [("x1",)]
+    assert "output:string" in table.newest()._jdf.queryExecution().executedPlan().toString()
+    assert "output:string" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("compact", [2, 10])
 @pytest.mark.parametrize("corpus_patch", [False, True])
 def test_sweep_between_batches(spark, tmp_path, compact, corpus_patch):

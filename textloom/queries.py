@@ -886,7 +886,7 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
         watch.start(stream_table(spark, f"{where}/in"), f"{where}/log", once=True).awaitTermination()
         if n == 0:
             watch.sweep(docs.filter("NOT (path RLIKE '/src[234]/' AND path RLIKE '[02468].md$')").select("path"))
-    return watch.current().select("path", "output")
+    return watch.current(("output",))
 
 
 def debounced(spark: SparkSession, sf_dir: str) -> DataFrame:

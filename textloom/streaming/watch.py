@@ -103,9 +103,9 @@ class Watch:
     def versions(self) -> DataFrame:
         return self.table.read()
 
-    def current(self) -> DataFrame:
-        """path, output, source_hash, patch_hash, applied of every document."""
-        return self.table.newest().filter(~F.col("deleted")).select("path", "output", "source_hash", "patch_hash", "applied")
+    def current(self, columns: tuple[str, ...] = ("output", "source_hash", "patch_hash", "applied")) -> DataFrame:
+        """path, output, source_hash, patch_hash, applied of every document, or path and some of these."""
+        return self.table.newest(columns=("deleted", *columns)).filter(~F.col("deleted")).select("path", *columns)
 
     def _number(self, batch_id: int) -> int | None:
         """The version a batch is to be: of its own if it was built before and its version still stands, None if it doesn't."""
@@ -154,16 +154,16 @@ class Watch:
         return paths.select("path", null.alias("output"), null.alias("source_hash"), null.alias("patch_hash"), F.lit(0).alias("applied"), F.lit(True).alias("deleted"), F.lit(number).cast("long").alias("version"))
 
     def _fresh(self, df: DataFrame, number: int) -> DataFrame:
-        known = self.table.newest(before=number).select("path", F.col("source_hash").alias("_s"), F.col("patch_hash").alias("_p"))
+        known = self.table.newest(before=number, columns=("source_hash", "patch_hash")).select("path", F.col("source_hash").alias("_s"), F.col("patch_hash").alias("_p"))
         fresh = df.filter(~F.col("deleted")).withColumn("_h", F.sha2("content", 256)).join(known, "path", "left")
         fresh = fresh.filter(F.col("_s").isNull() | (F.col("_s") != F.col("_h")) | (F.col("_p") != signature(self.program, F.col("path")))).select("path", "content")
         return self._built(fresh, number).unionByName(self._gone(df.filter("deleted"), number))
 
     def _rebuilt(self, df: DataFrame, number: int) -> DataFrame:
         self.sources.write(df.select("path", "content", "deleted", F.lit(number).cast("long").alias("version")), number)
-        everything = self.sources.newest().filter(~F.col("deleted")).select("path", "content")
+        everything = self.sources.newest(columns=("content", "deleted")).filter(~F.col("deleted")).select("path", "content")
         done = self._built(everything, number)
-        old = self.table.newest(before=number).filter(~F.col("deleted")).select("path").join(done.select("path"), "path", "left_anti")
+        old = self.table.newest(before=number, columns=("deleted",)).filter(~F.col("deleted")).select("path").join(done.select("path"), "path", "left_anti")
         return done.unionByName(self._gone(old, number))
 
     def sweep(self, existing: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ class Watch:
         last = self.table.read().agg(F.max("batch")).first()[0]
         number = self.table.next()
         if last is not None:
-            known = (self.sources or self.table).newest().filter(~F.col("deleted")).select("path")
+            known = (self.sources or self.table).newest(columns=("deleted",)).filter(~F.col("deleted")).select("path")
             gone = known.join(existing.select("path"), "path", "left_anti").withColumn("content", F.lit(None).cast("string")).withColumn("deleted", F.lit(True))
             self._write(gone, number, last, swept=True)
         return self.table.version(number).filter("deleted").select("path")
