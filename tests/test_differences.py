@@ -110,6 +110,16 @@ def test_similarity_join_by_key(spark):
     assert sorted(tuple(r) for r in recover.nearest(targets, found, 5, "path").collect()) == [("p", "sumary", "summary", 1), ("q", "dta", "Data", 1), ("q", "dta", "data", 1)]
 
 
+def test_signatures_that_a_keys_targets_lack_stay_in_their_row(spark):
+    from pyspark.sql import functions as F
+
+    targets = spark.createDataFrame([(k, 7) for k in range(20)], "path long, _sig long")
+    found = spark.createDataFrame([(k, "x", [7, *range(1000 * k, 1000 * k + 40)]) for k in range(40)], "path long, value string, sigs array<long>")
+    some, c = recover.with_words(targets, found, ["path"], F.col("sigs"))
+    got = some.select("path", c.alias("sigs")).collect()
+    assert len(got) == 20 and all(7 in r["sigs"] for r in got) and sum(len(r["sigs"]) for r in got) < 60
+
+
 def test_similarity_join_grows_with_its_input(spark):
     """No nested loops, no join by length, and hardly more pairs a target in a table ten times as large."""
     from pyspark.sql import functions as F

@@ -75,6 +75,8 @@ def marker_order(patch: dict, text: str) -> list[Fix]:
 RING = 2
 #: Targets of so many characters are allowed three edits at most and meet by deletions, longer ones by segments.
 SHORT = 10
+#: 64-bit words of a key's bitmap of its targets' signatures.
+WORDS = 8
 STRATEGIES = (section_typo, case_mismatch, white_space, key_typo, line_typo, marker_order)
 
 
@@ -150,6 +152,17 @@ def probes(x: Column, most: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(span(F.greatest(F.lit(0), n - most), n + most), of_length)))
 
 
+def with_words(targets: DataFrame, candidates: DataFrame, by: list[str], signatures: Column) -> tuple[DataFrame, Column]:
+    """Candidates of keys that have targets, and those of their signatures that their key's targets may have, told by a bitmap
+    of one size for each key: the others never leave the row."""
+    place = lambda x: F.pmod(x, F.lit(64 * WORDS)).cast("int")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), place(x) % 64)
+    word = lambda x: F.floor(place(x) / 64).cast("int")
+    none = F.lit(0).cast("bigint")
+    seen = targets.groupBy(*by).agg(F.array(*(F.bit_or(F.when(word(F.col("_sig")) == k, bit(F.col("_sig"))).otherwise(none)) for k in range(WORDS))).alias("_seen"))
+    return candidates.join(seen, by), F.filter(signatures, lambda x: F.get("_seen", word(x)).bitwiseAND(bit(x)) != 0)
+
+
 def _pairs(targets: DataFrame, candidates: DataFrame, by: list[str], ring: bool) -> DataFrame:
     """Targets and candidates that share a signature, each pair once, with their distance where it is allowed."""
     x, y = folded(F.col("target")), folded(F.col("value"))
@@ -161,7 +174,10 @@ def _pairs(targets: DataFrame, candidates: DataFrame, by: list[str], ring: bool)
     else:
         t = F.when(short, deletions(x, 3)).when(F.char_length("target") <= 20, probes(x, 5)).otherwise(probes(x, 7))
         c = F.concat(F.when(size <= SHORT + 3, deletions(y, 3)).otherwise(none), segments(y, 5), segments(y, 7))
-    met = targets.withColumn("_sig", F.explode(t)).join(candidates.withColumn("_sig", F.explode(c)), [*by, "_sig"]).select(*by, "target", "value").distinct()
+    targets = targets.withColumn("_sig", F.explode(t))
+    if by:
+        candidates, c = with_words(targets, candidates, by, c)
+    met = targets.join(candidates.withColumn("_sig", F.explode(c)), [*by, "_sig"]).select(*by, "target", "value").distinct()
     met = met.filter(F.col("target") != F.col("value"))
     most = RING if ring else 7
     within = lambda a, b: F.levenshtein(a, b, most)  # noqa: E731 - -1 beyond
