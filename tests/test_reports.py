@@ -326,3 +326,18 @@ def test_profile_and_replay(spark, docs):
     assert rows(preview.replayed(docs, PATCHES, taken), "path", "content", "applied", "skipped") == [("a.md", "# Summbry\n\nb b\n", 1, 0), ("n.md", None, 0, 0), ("x/b.md", "none", 0, 1)]
     session = preview.Session("a.md", "# Summary\n\na a\n", PATCHES)
     assert session.replay([{"file": "a.md", "patchIndex": 0, "action": "apply"}]) == "# Summbry\n\nb b\n"
+
+
+def test_files_are_listed_and_read_by_few_tasks(spark, tmp_path):
+    from textloom.sources import files
+
+    for k in range(300):
+        (tmp_path / f"in/d{k % 3}/e").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"in/d{k % 3}/e/{k} +%.md").write_text(f"é{k}\r\n", newline="")
+    for name in (".hidden.md", "_made.md", "a.txt", "node_modules/a.md", ".git/a.md"):
+        (tmp_path / "in" / name).parent.mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("no")
+    (tmp_path / "in/empty.md").write_text("")
+    out = files.read_corpus(spark, f"file://{tmp_path}/in")
+    assert rows(out, "path", "content") == sorted([(f"d{k % 3}/e/{k} +%.md", f"é{k}\r\n") for k in range(300)] + [("empty.md", "")])
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ SKIPPED = ("node_modules", ".git", "output")
 EXTENSIONS = ("md",)
 CONFIG_NAMES = ("config.yaml", "kustomization.yaml")
 DEPTH = 10
+#: Names of a batch of a listing, files that a task reads, and characters of a batch of contents.
+LISTED, TASK_FILES, BATCH = 10_000, 2000, 4 << 20
 
 
 def relative_path(folder: str) -> Column:
@@ -25,8 +31,74 @@ def relative_path(folder: str) -> Column:
     return F.regexp_replace(url, rf"^[a-z0-9]+:/*\Q{root}\E/", "")
 
 
+def local_root(folder: str) -> str | None:
+    """The path of a folder that all executors share as a local one, None of any other."""
+    root = re.sub(r"^file:(//)?(?=/)", "", folder).rstrip("/")
+    return root if "://" not in root and os.path.isdir(root or "/") else None
+
+
+def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """path (relative) of the files with these extensions below a shared folder, by tasks: a folder is a row, and those of one
+    depth are listed at once. No content is read, and neither names nor folders pass through the driver.
+
+    Folders that are skipped, and hidden names as Spark's readers know them, aren't there.
+    """
+    endings = tuple("." + x for x in extensions)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                names, inner = [], []
+                with os.scandir(f"{root}/{folder}") as found:
+                    for x in found:
+                        name, deeper = x.name, x.is_dir()
+                        hidden = name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+                        if hidden or (name in SKIPPED if deeper else not name.endswith(endings)):
+                            continue
+                        names.append(f"{folder}/{name}" if folder else name)
+                        inner.append(deeper)
+                        if len(names) == LISTED:
+                            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(inner)], ["path", "folder"])
+                            names, inner = [], []
+                if names:
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(inner)], ["path", "folder"])
+
+    where, schema = shared_folder(spark, "listing"), "path string, folder boolean"
+    cores, levels = spark.sparkContext.defaultParallelism, []
+    front = spark.createDataFrame([("",)], "path string")
+    while not levels or not front.isEmpty():
+        levels.append(f"{where}/{len(levels)}")
+        front.mapInArrow(walk, schema).write.parquet(levels[-1])
+        front = spark.read.schema(schema).parquet(levels[-1]).filter("folder").select("path").repartition(4 * cores)
+    return spark.read.schema(schema).parquet(*levels).filter(~F.col("folder")).select("path")
+
+
 def read_corpus(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """path (relative), content of all files with these extensions, whatever file system the folder is on."""
+    """path (relative), content of all files with these extensions, whatever file system the folder is on.
+
+    Files of a shared local folder are listed and read by tasks, TASK_FILES each: Spark's reader counts every file as 4 MB, so
+    it makes a task of each 32, and its driver holds the status of all.
+    """
+    root = local_root(folder)
+    if root is not None:
+        listing = list_files(spark, root, extensions)
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                paths, texts, size = [], [], 0
+                for path in batch.column(0).to_pylist():
+                    with open(f"{root}/{path}", "rb") as f:
+                        paths.append(path)
+                        texts.append(f.read().decode("utf-8", "replace"))
+                    size += len(texts[-1])
+                    if size >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts, pa.string())], ["path", "content"])
+                        paths, texts, size = [], [], 0
+                if paths:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts, pa.string())], ["path", "content"])
+
+        tasks = max(spark.sparkContext.defaultParallelism, listing.count() // TASK_FILES)
+        return listing.repartition(tasks).mapInArrow(read, "path string, content string")
     glob = "*." + (extensions[0] if len(extensions) == 1 else "{" + ",".join(extensions) + "}")
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     path = relative_path(folder)
@@ -114,16 +186,18 @@ def overlay(spark: SparkSession, config_path: str, depth: int = 0, seen: tuple[s
 
 def write_files(df: DataFrame, folder: str) -> None:
     """One file a row below a folder that all executors share. A retried task writes the same files again."""
-    from collections.abc import Iterator
-
     import pandas as pd
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: set[str] = set()  # folders of this task
         for frame in batches:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                target = Path(folder, relative(path))
-                target.parent.mkdir(parents=True, exist_ok=True)
-                target.write_text(content, newline="")
+                target = os.path.join(folder, relative(path))
+                if (parent := os.path.dirname(target)) not in made:
+                    os.makedirs(parent, exist_ok=True)
+                    made.add(parent)
+                with open(target, "w", encoding="utf-8", newline="") as f:
+                    f.write(content)
             yield frame[["path"]]
 
     df.select("path", "content").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
@@ -134,8 +208,6 @@ def clean(folder: str, result: DataFrame, extensions: tuple[str, ...] = EXTENSIO
 
     The folder is one that all executors share. A retried task finds its files gone, which is fine.
     """
-    from collections.abc import Iterator
-
     import pandas as pd
 
     gone = leftovers(read_corpus(result.sparkSession, folder, extensions), result)
