@@ -341,3 +341,14 @@ def test_files_are_listed_and_read_by_few_tasks(spark, tmp_path):
     out = files.read_corpus(spark, f"file://{tmp_path}/in")
     assert rows(out, "path", "content") == sorted([(f"d{k % 3}/e/{k} +%.md", f"é{k}\r\n") for k in range(300)] + [("empty.md", "")])
     assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_cleaning_reads_no_contents(spark, tmp_path, monkeypatch):
+    from textloom.sources import files
+
+    (tmp_path / "a.md").write_text("x")
+    (tmp_path / "b.md").write_text("x")
+    monkeypatch.setattr(files, "read_corpus", lambda *args: 1 / 0)
+    kept = spark.createDataFrame([("a.md",)], "path string")
+    assert rows(files.clean(f"file://{tmp_path}", kept), "path") == [("b.md",)]
+    assert (tmp_path / "a.md").exists() and not (tmp_path / "b.md").exists()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 from collections.abc import Iterator
@@ -210,15 +211,17 @@ def clean(folder: str, result: DataFrame, extensions: tuple[str, ...] = EXTENSIO
     """
     import pandas as pd
 
-    gone = leftovers(read_corpus(result.sparkSession, folder, extensions), result)
+    root = local_root(folder)
+    gone = leftovers(read_corpus(result.sparkSession, folder, extensions) if root is None else list_files(result.sparkSession, root, extensions), result)
     if not delete:
         return gone
-    root = folder.removeprefix("file://")
+    root = root or folder.removeprefix("file://")
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for path in frame["path"]:
-                Path(root, relative(path)).unlink(missing_ok=True)
+                with contextlib.suppress(FileNotFoundError):
+                    os.unlink(os.path.join(root, relative(path)))
             yield frame
 
     listing = shared_folder(result.sparkSession, "cleaned")
