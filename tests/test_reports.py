@@ -352,3 +352,29 @@ def test_cleaning_reads_no_contents(spark, tmp_path, monkeypatch):
     kept = spark.createDataFrame([("a.md",)], "path string")
     assert rows(files.clean(f"file://{tmp_path}", kept), "path") == [("b.md",)]
     assert (tmp_path / "a.md").exists() and not (tmp_path / "b.md").exists()
+
+
+@pytest.mark.parametrize("form", ["zip", "tar", "tar.gz"])
+def test_archives_are_written_as_a_stream(form):
+    import io
+    import os
+    import tracemalloc
+
+    from textloom.sources import archives
+
+    class Sink(io.RawIOBase):
+        def writable(self):
+            return True
+
+        def write(self, data):
+            return len(data)
+
+    data = os.urandom(1 << 20)
+    tracemalloc.start()
+    packer = archives.Packer(Sink(), form)
+    for k in range(30):
+        packer.add(f"{k}.md", data)
+    packer.close()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20

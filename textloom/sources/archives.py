@@ -76,7 +76,7 @@ def members(name: str, source: Any, folder: str, most: int) -> list[Member]:
         infos = zipfile.ZipFile(source).infolist()
         return listed(name, [(i.filename, i.file_size, 0) for i in infos if not i.is_dir() and (i.external_attr >> 28) != 0xA], folder, most)
     mode = "r:" if kind_of(name) == "tar" else "r|*"
-    with tarfile.open(fileobj=source, mode=mode) as tar:
+    with tarfile.open(fileobj=source, mode=mode, stream=True) as tar:  # members aren't kept
         return listed(name, [(m.name, m.size, m.offset_data) for m in tar if m.isreg()], folder, most)
 
 
@@ -92,7 +92,7 @@ def contents(name: str, source: Any, wanted: list[Member]) -> Iterator[tuple[Mem
             yield m, source.read(m.size)
     else:
         by_place = {m.at: m for m in wanted}
-        with tarfile.open(fileobj=source, mode="r|*") as tar:
+        with tarfile.open(fileobj=source, mode="r|*", stream=True) as tar:
             for info in tar:
                 if info.isreg() and (m := by_place.get(info.offset_data)):
                     yield m, tar.extractfile(info).read()
@@ -199,37 +199,66 @@ def read_archives(spark: SparkSession, where: str, folder: str = "", **options:
     return reader.load(where)
 
 
+class Packer:
+    """An archive that is written to an open stream a member at a time: only the list of a zip's members is held."""
+
+    def __init__(self, out: Any, form: str) -> None:
+        self.zip = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) if form == "zip" else None
+        self.tar = None if self.zip else tarfile.open(fileobj=out, mode="w|gz" if form.endswith("gz") else "w|")
+
+    def add(self, path: str, data: bytes) -> None:
+        if self.zip:
+            self.zip.writestr(path, data)
+            return
+        info = tarfile.TarInfo(path)
+        info.size = len(data)
+        self.tar.addfile(info, io.BytesIO(data))
+        self.tar.members = []  # what was written isn't asked for again
+
+    def close(self) -> None:
+        (self.zip or self.tar).close()
+
+
 def packed(files: list[tuple[str, bytes]], form: str) -> bytes:
     """An archive of files, as zip, tar or tar.gz."""
     out = io.BytesIO()
-    if form == "zip":
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for path, data in files:
-                z.writestr(path, data)
-    else:
-        with tarfile.open(fileobj=out, mode="w:gz" if form.endswith("gz") else "w") as tar:
-            for path, data in files:
-                info = tarfile.TarInfo(path)
-                info.size = len(data)
-                tar.addfile(info, io.BytesIO(data))
+    packer = Packer(out, form)
+    for path, data in files:
+        packer.add(path, data)
+    packer.close()
     return out.getvalue()
 
 
 def write_archives(corpus: DataFrame, folder: str, key: str, form: str = "zip") -> None:
     """One archive for each value of a column, below a folder on shared storage; a retried task writes the same again.
 
-    Rows of a key are one archive, so they are one task's: keys should be as fine as archives are meant to be.
+    Rows of a key are one archive, so they are one task's, in order of their paths: keys should be as fine as archives are
+    meant to be. They stream through it, a batch at a time, however large the archive.
     """
 
-    def write(table: pa.Table) -> pa.Table:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        files = sorted((p, c.encode()) for p, c in zip(table["path"].to_pylist(), table["content"].to_pylist(), strict=True) if c is not None)
         system.create_dir(root, recursive=True)
-        name = f"{root.rstrip('/')}/{table['key'][0].as_py()}.{form}"
-        with system.open_output_stream(name, compression=None) as out:
-            out.write(packed(files, form))
-        return pa.table({"name": pa.array([name], pa.string())})
+        now, packer, out, names = None, None, None, []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                key, path, content = (batch.column(c)[k].as_py() for c in range(3))
+                if out is None or key != now:
+                    if out is not None:
+                        packer.close()
+                        out.close()
+                    now, name = key, f"{root.rstrip('/')}/{key}.{form}"
+                    out = system.open_output_stream(name, compression=None)
+                    packer = Packer(out, form)
+                    names.append(name)
+                if content is not None:
+                    packer.add(path, content.encode())
+        if out is not None:
+            packer.close()
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
 
     from pyspark.sql import functions as F
 
-    corpus.select(F.col(key).cast("string").alias("key"), "path", "content").groupBy("key").applyInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+    rows = corpus.select(F.col(key).cast("string").alias("key"), "path", "content")
+    rows.repartition("key").sortWithinPartitions("key", "path", "content").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
