@@ -45,7 +45,7 @@ def test_flagship_runs(spark):
     assert out.filter("errors > 0 OR warnings <> 1").count() == 0
 
 
-@pytest.mark.parametrize("name", ["streamed", "configured", "scanned", "cleaned"])
+@pytest.mark.parametrize("name", ["streamed", "configured", "scanned", "cleaned", "recovered"])
 def test_query_equals_its_sql(spark, name):
     """Of a query that lost rows, or whose reading and writing changed."""
     folder = "/root/testdata/sf0.001"
