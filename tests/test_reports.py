@@ -354,6 +354,24 @@ def test_cleaning_reads_no_contents(spark, tmp_path, monkeypatch):
     assert (tmp_path / "a.md").exists() and not (tmp_path / "b.md").exists()
 
 
+def test_overlays_read_only_what_wins(spark, tmp_path):
+    """A file that no task can open is in the way of a reader of all files, but neither of what wins nor of names."""
+    from textloom.sources import files
+
+    for name, told in (("base", "['*.md']"), ("top", "['../base', '*.md']")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "config.yaml").write_text(f"resources: {told}")
+    (tmp_path / "base/a.md").symlink_to(tmp_path / "none")
+    (tmp_path / "base/b.md").write_text("b")
+    (tmp_path / "top/a.md").write_text("own")
+    out = files.overlay(spark, str(tmp_path / "top/config.yaml"), chain=True)
+    found = sorted((r["path"], r["content"], [x.split("/")[-2] for x in r["chain"]]) for r in out.collect())
+    assert found == [("a.md", "own", ["top"]), ("b.md", "b", ["base", "top"])]
+    (tmp_path / "top/c.md").symlink_to(tmp_path / "none")
+    names = files.overlay(spark, str(tmp_path / "top/config.yaml"), chain=True, contents=False)
+    assert names.columns == ["path", "chain"] and rows(names, "path") == [("a.md",), ("b.md",), ("c.md",)]
+
+
 @pytest.mark.parametrize("form", ["zip", "tar", "tar.gz"])
 def test_archives_are_written_as_a_stream(form):
     import io

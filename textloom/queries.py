@@ -859,7 +859,7 @@ def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
         files.write_files(docs.filter(F.col("lang").isin(*languages)), f"{where}/{name}")
         Path(where, name).mkdir(parents=True, exist_ok=True)
         Path(where, name, "config.yaml").write_text(f"resources: [{f'../{LEVELS[k - 1][0]}, ' if k else ''}'**/*.md']")
-    found = files.overlay(spark, f"{where}/top/config.yaml", chain=True)
+    found = files.overlay(spark, f"{where}/top/config.yaml", chain=True, contents=False)
     edge = analytics.edges(found, analytics.patch_table(spark, PROGRAM))
     names = F.array_join(F.transform("chain", lambda c: F.regexp_extract(c, r"([^/]*)/config\.yaml$", 1)), ">")
     return analytics.explain(edge, found).select("path", names.alias("chain"), F.col("depth").cast("long").alias("depth"), "lineage")

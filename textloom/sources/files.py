@@ -74,6 +74,29 @@ def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXT
     return spark.read.schema(schema).parquet(*levels).filter(~F.col("folder")).select("path")
 
 
+def read_contents(rows: DataFrame, n: int) -> DataFrame:
+    """n rows (path, root, content, ...) with content of the files that lie below a root, by tasks of TASK_FILES rows; rows
+    without a root keep theirs."""
+    fields = rows.columns
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, size, began = [], 0, 0
+            for k, (path, root, text) in enumerate(zip(*(batch.column(fields.index(c)).to_pylist() for c in ("path", "root", "content")), strict=True), 1):
+                if root is not None:
+                    with open(f"{root}/{path}", "rb") as f:
+                        text = f.read().decode("utf-8", "replace")
+                texts.append(text)
+                size += len(text or "")
+                if size >= BATCH or k == batch.num_rows:
+                    part = batch.slice(began, k - began)
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "content" else part.column(i) for i, c in enumerate(fields)], fields)
+                    texts, size, began = [], 0, k
+
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, n // TASK_FILES)
+    return rows.repartition(tasks).mapInArrow(read, rows.schema)
+
+
 def read_corpus(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """path (relative), content of all files with these extensions, whatever file system the folder is on.
 
@@ -83,23 +106,8 @@ def read_corpus(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
     root = local_root(folder)
     if root is not None:
         listing = list_files(spark, root, extensions)
-
-        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                paths, texts, size = [], [], 0
-                for path in batch.column(0).to_pylist():
-                    with open(f"{root}/{path}", "rb") as f:
-                        paths.append(path)
-                        texts.append(f.read().decode("utf-8", "replace"))
-                    size += len(texts[-1])
-                    if size >= BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts, pa.string())], ["path", "content"])
-                        paths, texts, size = [], [], 0
-                if paths:
-                    yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts, pa.string())], ["path", "content"])
-
-        tasks = max(spark.sparkContext.defaultParallelism, listing.count() // TASK_FILES)
-        return listing.repartition(tasks).mapInArrow(read, "path string, content string")
+        rows = listing.select("path", F.lit(root).alias("root"), F.lit(None).cast("string").alias("content"))
+        return read_contents(rows, listing.count()).select("path", "content")
     glob = "*." + (extensions[0] if len(extensions) == 1 else "{" + ",".join(extensions) + "}")
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     path = relative_path(folder)
@@ -137,7 +145,7 @@ def last_wins(df: DataFrame, order: str) -> DataFrame:
     return best.select("path", *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
-def overlay(spark: SparkSession, config_path: str, depth: int = 0, seen: tuple[str, ...] = (), *, cache: str | None = None, lock: dict[str, dict] | None = None, chain: bool = False, **remote: object) -> DataFrame:
+def overlay(spark: SparkSession, config_path: str, *, cache: str | None = None, lock: dict[str, dict] | None = None, chain: bool = False, contents: bool = True, **remote: object) -> DataFrame:
     """The corpus that a configuration's resources name: globs, exact paths, archives and repositories, and folders with
     configurations of their own.
 
@@ -145,7 +153,23 @@ def overlay(spark: SparkSession, config_path: str, depth: int = 0, seen: tuple[s
     have, and later ones of each over earlier ones. Remote resources are kept in `cache`, a folder that all executors share;
     `lock` pins them and takes their new entries. More options as in fetch.resolved. chain: also `chain`, the configurations
     through which each document came, from the one that names it to this one.
+
+    Folders are listed, and only what wins of a path is read, once. contents: without, there is no `content`, and no local
+    file is opened.
     """
+    columns = ["path"] + ["content"] * contents + ["chain"] * chain
+    out = named(spark, config_path, 0, (), cache, lock, remote)
+    if out is None:
+        return spark.createDataFrame([], NAMED).select(*columns)
+    return (read_contents(out, out.count()) if contents else out).select(*columns)
+
+
+#: A document by its name: the local folder that its file is in, or its content where it is none.
+NAMED = "path string, root string, content string, chain array<string>"
+
+
+def named(spark: SparkSession, config_path: str, depth: int, seen: tuple[str, ...], cache: str | None, lock: dict[str, dict] | None, remote: dict[str, object]) -> DataFrame | None:
+    """The documents of a configuration as NAMED, one a path; None if it has no resources."""
     from textloom.sources import fetch
     from textloom.sources.remote import archive_url, git_url
 
@@ -154,18 +178,19 @@ def overlay(spark: SparkSession, config_path: str, depth: int = 0, seen: tuple[s
         raise ValueError(f"configurations refer to each other: {' -> '.join((*seen, folder))}")
     config = yaml_load(Path(config_path).read_text())
     plain, parts, far = [], [], []
-    own = F.array(F.lit(str(Path(config_path).resolve())))
+    own, none = F.array(F.lit(str(Path(config_path).resolve()))), F.lit(None).cast("string")
     for entry in config["resources"]:
         name = entry["url"] if isinstance(entry, dict) else entry
         nested = next((str(p) for c in CONFIG_NAMES if (p := Path(folder, name, c)).exists()), None) if not is_glob(name) else None
         if nested:
-            parts.append(overlay(spark, nested, depth + 1, (*seen, folder), cache=cache, lock=lock, chain=True, **remote).withColumn("chain", F.concat("chain", own)))
+            base = named(spark, nested, depth + 1, (*seen, folder), cache, lock, remote)
+            parts += [base.withColumn("chain", F.concat("chain", own))] if base is not None else []
         elif not name.startswith("!") and (archive_url(name) or git_url(name)):
             far.append(entry)
         else:
             plain.append(name)
     if any(not x.startswith("!") for x in plain):
-        parts.append(select_resources(read_corpus(spark, folder), plain).withColumn("chain", own))
+        parts.append(select_resources(list_files(spark, folder), plain).select("path", F.lit(folder).alias("root"), none.alias("content"), own.alias("chain")))
     out = None
     if far:
         if cache is None:
@@ -173,14 +198,13 @@ def overlay(spark: SparkSession, config_path: str, depth: int = 0, seen: tuple[s
         fetched, entries = fetch.resolved(spark, far, cache, security=config.get("security"), lock=lock, **remote)
         if lock is not None:
             lock.update(entries)
-        out = fetched.select("path", "content", own.alias("chain"), (F.col("place") - len(far)).alias("_k"))
+        out = fetched.select("path", none.alias("root"), "content", own.alias("chain"), (F.col("place") - len(far)).alias("_k"))
     for k, part in enumerate(parts):
-        part = part.select("path", "content", "chain", F.lit(k).alias("_k"))
+        part = part.withColumn("_k", F.lit(k))
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], "path string, content string" + ", chain array<string>" * chain)
+        return None
     out = last_wins(out, "_k")
-    out = out if chain else out.drop("chain")
     gone = [x for x in plain if x.startswith("!")]
     return out.filter(~resource_test([x[1:] for x in gone], F.col("path"))) if gone else out
 
