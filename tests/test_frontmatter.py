@@ -63,3 +63,26 @@ def test_only_odd_blocks_need_python(spark):
     assert sorted(out.select("path", "applied").collect()) == [("a", 1), ("b", 0), ("c", 0)]
     with pytest.raises(Exception, match="needs a YAML parser"):
         build.apply_patches(df.withColumn("content", F.lit("---\n{a: 1}\n---\n")), [patch], native_only=True).collect()
+
+
+def test_neighbours_that_parse_frontmatter_share_a_worker(spark):
+    """One Python step for all of them, with what each leaves alone, as columns, and what all leave in Python."""
+    kind = {"frontmatterEquals": {"key": "meta.kind", "value": "doc"}}
+    patches = [
+        {"op": "set-frontmatter", "key": "meta.kind", "value": "doc", "include": "1*"}, {"op": "append-to-file", "content": "A", "when": kind},
+        {"op": "append-to-file", "content": "B", "when": {"not": kind}, "validate": {"frontmatterRequired": ["lang"]}}, {"op": "replace", "old": "body", "new": "C"},
+    ]
+    assert [(p, len(r)) for p, r in planner.runs(patches)] == [(True, 3), (False, 1)]
+    assert [p for p, _ in planner.runs(patches, False)] == [True, False]
+    assert [p for p, _ in planner.runs(patches[1:2])] == [False] and [p for p, _ in planner.runs(patches[2:3])] == [True]
+    sort = {"op": "sort-list", "list": 0, "when": kind}
+    assert [p for p, _ in planner.runs([patches[0], sort, patches[1]])] == [True, False]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate([*TEXTS, None])], "path string, content string")
+    out = build.apply_patches(df, patches)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    alone = df
+    for p in patches:
+        alone = build.apply_patches(alone, [p]).select("path", "content")
+    want = {str(i): build.fold(t, str(i), list(enumerate(patches)), "warn") for i, t in enumerate([*TEXTS, None])}
+    assert {r["path"]: (r["content"], r["applied"], r["skipped"], r["warnings"], r["errors"]) for r in out.collect()} == want
+    assert {r["path"]: r["content"] for r in alone.collect()} == {k: v[0] for k, v in want.items()}

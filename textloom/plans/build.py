@@ -183,7 +183,7 @@ def apply_patches(df: DataFrame, patches: list[dict], on_no_match: str = "warn",
     if tally:
         df = df.withColumns({"counts": F.array().cast("array<int>"), "ms": F.lit(0.0)})
     k = 0
-    for python, run in runs(patches):
+    for python, run in runs(patches, not native_only):
         numbered = list(enumerate(run, k))
         k += len(run)
         if python and native_only:

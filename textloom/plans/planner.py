@@ -102,11 +102,34 @@ def needs_python(patch: dict) -> bool:
     return patch["op"] not in BUILDERS or patch.get("type") == "date" or not has_column(patch.get("when") or {"allOf": []}) or any(path_of(k) is None for k in keys)
 
 
-def runs(patches: list[dict]) -> list[tuple[bool, list[dict]]]:
-    """Neighbouring patches that run alike: (in Python, patches)."""
+#: Operators that sort by the whole root locale as columns, by an approximation of it in Python.
+COLLATED = ("sort-table", "sort-list")
+
+
+def parsers(patch: dict) -> int:
+    """How often a patch as columns hands frontmatter to a YAML parser: each time is a Python worker of every task."""
+    from textloom.plans.checks import reads_frontmatter
+
+    return ("when" in patch and reads_frontmatter(patch["when"])) + ("frontmatterRequired" in (patch.get("validate") or {}))
+
+
+def runs(patches: list[dict], fuse: bool = True) -> list[tuple[bool, list[dict]]]:
+    """Neighbouring patches that run alike: (in Python, patches).
+
+    fuse: neighbours that run in Python or parse frontmatter run in Python together, as all workers of a task live at once:
+    as columns each would have its own, and their memory would grow with the program's length.
+    """
+    marks = [needs_python(p) for p in patches]
+    at = 0
+    while fuse and at < len(patches):
+        end = at
+        while end < len(patches) and (marks[end] or parsers(patches[end]) and patches[end]["op"] not in COLLATED):
+            end += 1
+        if sum(1 if marks[k] else parsers(patches[k]) for k in range(at, end)) > 1:
+            marks[at:end] = [True] * (end - at)
+        at = max(end, at + 1)
     out: list[tuple[bool, list[dict]]] = []
-    for p in patches:
-        python = needs_python(p)
+    for python, p in zip(marks, patches, strict=True):
         if out and out[-1][0] == python:
             out[-1][1].append(p)
         else:
