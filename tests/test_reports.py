@@ -396,3 +396,84 @@ def test_archives_are_written_as_a_stream(form):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8 << 20
+
+
+def test_archive_directories_are_read_once(spark, tmp_path):
+    """Tasks go to their members by the listing: nothing of a zip's directory is asked for again."""
+    from textloom.sources import archives
+
+    data = archives.packed([(f"a/{k}.md", f"é{k} ".encode() * 500) for k in range(2500)] + [("b/x.md", b"x"), ("b/x.md", b"y")], "zip")
+    (tmp_path / "x.zip").write_bytes(data)
+    listing = archives.list_archives(spark, str(tmp_path))
+    (tmp_path / "x.zip").write_bytes(data[: data.index(b"PK\1\2")])
+    read = archives.read_archives(spark, str(tmp_path), listing=listing, bytes=100_000)
+    want = sorted([(f"a/{k}.md", f"é{k} " * 500) for k in range(2500)] + [("b/x.md", "y")])
+    assert rows(read, "path", "content") == want and read.rdd.getNumPartitions() > 10
+    assert rows(read.filter(F.col("path").startswith("b/")), "path") == [("b/x.md",)]
+
+
+def test_archive_partitions_are_bounded(spark, tmp_path, monkeypatch):
+    from textloom.sources import archives
+
+    (tmp_path / "x.tar").write_bytes(archives.packed([(f"{k}.md", b"x" * 100) for k in range(3000)], "tar"))
+    listing = archives.list_archives(spark, f"file://{tmp_path}")
+    monkeypatch.setattr(archives, "PARTITIONS", 5)
+    reader = archives.ArchiveReader({"path": f"file://{tmp_path}", "listing": listing, "bytes": "1"})
+    parts = reader.partitions()
+    assert 5 <= len(parts) <= 6
+    assert sorted(p for part in parts for batch in reader.read(part) for p in batch.column(1).to_pylist()) == sorted(f"{k}.md" for k in range(3000))
+
+
+@pytest.mark.parametrize("form", ["zip", "tar", "tar.gz"])
+def test_archives_are_written_in_pieces(spark, tmp_path, form):
+    """One large archive is many tasks' work, and still one archive in order of its paths, for any reader."""
+    import tarfile
+    import zipfile
+
+    from textloom.sources import archives
+
+    texts = spark.range(4000).select(F.lit("k").alias("key"), F.format_string("d/%05d é.md", "id").alias("path"), F.sha2(F.col("id").cast("string"), 512).alias("content"))
+    texts = texts.withColumn("content", F.repeat("content", 20)).withColumn("content", F.when(F.col("path") < "d/00010", None).otherwise(F.col("content")))
+    want = {r.path: r.content for r in texts.collect() if r.content is not None}
+    # the data is small, so tasks must not be put together for their size
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.sparkContext.setJobGroup(f"pieces-{form}", "")
+        archives.write_archives(texts, f"file://{tmp_path}/out", "key", form)
+        tracker = spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"pieces-{form}")]
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert jobs and [x.name for x in (tmp_path / "out").iterdir() if not x.name.startswith(".")] == [f"k.{form}"]
+    name = tmp_path / f"out/k.{form}"
+    if form == "zip":
+        with zipfile.ZipFile(name) as z:
+            assert z.testzip() is None and [(x, z.read(x).decode()) for x in z.namelist()] == sorted(want.items())
+    else:
+        with tarfile.open(name) as t:
+            assert [(m.name, t.extractfile(m).read().decode()) for m in t] == sorted(want.items())
+    if form == "tar.gz":
+        assert name.read_bytes().count(b"\x1f\x8b\x08\0\0\0\0\0") > 2  # streams: pieces, and the end
+    assert rows(archives.read_archives(spark, f"file://{tmp_path}/out"), "path", "content") == sorted((p.removeprefix("d/"), c) for p, c in want.items())
+
+
+def test_joined_zips_are_wide(tmp_path):
+    import zipfile
+
+    from pyarrow import fs
+
+    from textloom.sources import archives
+
+    for k in range(2):
+        (tmp_path / f"{k}").write_bytes(archives.packed([(f"{k}/{n}", b"") for n in range(33000)], "zip"))
+    with open(tmp_path / "x.zip", "wb") as out:
+        archives.joined(fs.LocalFileSystem(), [str(tmp_path / "0"), str(tmp_path / "1")], "zip", out)
+    with zipfile.ZipFile(tmp_path / "x.zip") as z, open(tmp_path / "x.zip", "rb") as source:
+        assert len(z.namelist()) == 66000 and z.read("1/32999") == b""
+        found = archives.members("x.zip", source, "", 10)
+        assert [(m.name, m.at) for m in found] == [(i.filename, i.header_offset) for i in z.infolist()]
+        fields, name, extra, comment = next(archives.entries(source))
+    far = archives.moved(fields, name, extra, comment, 5 << 30)
+    fields = archives.ENTRY.unpack_from(far)
+    assert fields[16] == 0xFFFFFFFF and archives.wide(far[archives.ENTRY.size + len(name) :], fields[9], fields[8], fields[16])[2] == 5 << 30

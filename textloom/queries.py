@@ -833,13 +833,14 @@ LOCALE_LISTS_SQL = f"""SELECT p_brand AS path, '- ' || string_agg(name, chr(10)
 
 def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of two languages out of archives, of which there is one a source, by the archives' own directories."""
-    from textloom.sources.archives import read_archives, write_archives
+    from textloom.sources.archives import list_archives, read_archives, write_archives
 
     where = shared_folder(spark, "archives")
     docs = text_corpus(spark, sf_dir).withColumn("source", F.regexp_extract("path", "/(src[^/]*)/", 1))
-    for form, test in (("zip", "source < 'src2'"), ("tar", "source >= 'src2' AND source < 'src5'"), ("tar.gz", "source >= 'src5'")):
-        write_archives(docs.filter(test), where, "source", form)
-    part = lambda lang: read_archives(spark, where, bytes=1 << 18).filter(F.col("path").startswith(f"{lang}/"))
+    form = F.when(F.col("source") < "src2", "zip").when(F.col("source") < "src5", "tar").when(F.col("source") >= "src5", "tar.gz")
+    write_archives(docs, where, "source", form)
+    listing = list_archives(spark, where, most=1 << 62)  # they were just written: none is a bomb, however large a source is
+    part = lambda lang: read_archives(spark, where, listing=listing, bytes=1 << 18).filter(F.col("path").startswith(f"{lang}/"))
     return part("en").unionByName(part("fr")).select(F.regexp_extract("archive", r"^(.*?)\.", 1).alias("archive"), "path", "size", "content")
 
 
