@@ -575,6 +575,8 @@ def write_archives(corpus: DataFrame, folder: str, key: str, form: str | Column
     rows = corpus.select(F.col(key).cast("string").alias("key"), form.alias("form"), "path", "content").filter("form IS NOT NULL")
     pieces, schema = f"{parts}/list", "key string, form string, piece string"
     rows.repartitionByRange("key", "form", "path").sortWithinPartitions("key", "form", "path", "content").mapInArrow(write, schema).write.parquet(pieces)
-    found = spark.read.schema(schema).parquet(pieces).repartition("key", "form").sortWithinPartitions("key", "form", "piece")
+    found = spark.read.schema(schema).parquet(pieces)
+    tasks = max(4 * spark.sparkContext.defaultParallelism, found.count() // 1000)  # told, or rows this few are put into one
+    found = found.repartition(tasks, "key", "form").sortWithinPartitions("key", "form", "piece")
     found.mapInArrow(join, "name string").write.format("noop").mode("overwrite").save()
     system.delete_dir(root)
